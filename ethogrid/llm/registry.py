@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import substring
+from . import neardup, secrets, substring
 
-QUERIES = {"op1_substring_dedup": substring.op1_substring_dedup}
-SQL = {"op1_substring_dedup": substring.op1_sql()}
+QUERIES = {
+    "op1_substring_dedup": substring.op1_substring_dedup,
+    "op2_secret_scan": secrets.op2_secret_scan,
+    "op5_minhash_neardup": neardup.op5_minhash_neardup,
+}
+SQL = {
+    "op1_substring_dedup": substring.op1_sql(),
+    "op2_secret_scan": secrets.op2_sql(),
+    "op5_minhash_neardup": neardup.op5_sql(),
+}
