@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, chunk_words, chunks, input_chars, mix, rolling, word_spans
 
 INNER = 8
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -172,7 +172,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(least_buckets, input_chars(docs, text_col) // bucket_chars)
     found = d.where(F.col("id").isNotNull() & F.col("text").isNotNull()).mapInArrow(_hash_windows(window, buckets), "bucket int, id long, th long, packed binary, hashes binary")
     # what a task already knows rides along under a salt, so that no group holds it all
-    group = F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(-1 - F.pmod("th", F.lit(buckets)))
+    group = F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(-1 - F.pmod(F.xxhash64("id", "th"), F.lit(buckets)))
 
     def repeats(key, pdf):
         return _repeats(key, pdf) if key[0] >= 0 else pdf[["id", "th", "packed"]].astype({"id": "int64", "th": "int64"})
