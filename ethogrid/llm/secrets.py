@@ -36,7 +36,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, kinds: tuple[Kind
     if ledger is not None:
         known = ledger.where(F.col("rule_version") == version).select("blob")
         unseen, texts = unseen.join(known, "blob", "left_anti"), texts.join(known, "blob", "left_anti")
-    found = located(texts, ["blob"], kinds).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "stop"))).alias("spans"))
+    found = located(texts, ["blob"], kinds, unique=True).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "stop"))).alias("spans"))
     none = F.array().cast("array<struct<start:bigint,kind:int,stop:bigint>>")
     new = stored(unseen.join(found, "blob", "left").select("blob", F.lit(version).alias("rule_version"), F.coalesce("spans", none).alias("spans")), "ledger")
     whole = new if ledger is None else ledger.select(*new.columns).unionByName(new)

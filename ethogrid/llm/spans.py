@@ -58,9 +58,9 @@ PERSONAL = (
 )
 
 
-def located(df: DataFrame, keys: list[str], kinds: tuple[Kind, ...], around: int = 0) -> DataFrame:
+def located(df: DataFrame, keys: list[str], kinds: tuple[Kind, ...], around: int = 0, unique: bool = False) -> DataFrame:
     """keys, kind (its number), start, stop and up to `around` characters before and after, one row per match; df has
-    keys and text. One task sees the matches of one row of keys in order."""
+    keys and text. Rows with equal keys must have equal texts; they count once. unique: there are none."""
     some = [F.when(F.col("text").contains(k.hint) & F.col("text").rlike(k.pattern), F.struct(F.regexp_extract_all("text", F.lit(k.pattern), F.lit(0)).alias("m"), F.split("text", k.pattern, -1).alias("s"))).alias(f"_{i}") for i, k in enumerate(kinds)]
     hits = df.select(*keys, *some)
 
@@ -70,7 +70,10 @@ def located(df: DataFrame, keys: list[str], kinds: tuple[Kind, ...], around: int
         return F.zip_with(F.col(f"_{i}.m"), gaps, lambda m, g: F.when(m.isNotNull(), F.struct(F.lit(i).alias("kind"), g["gap"].alias("gap"), F.length(m).alias("n"), k.ok(m).alias("ok"), g["before"].alias("before"), g["after"].alias("after"))))
 
     each = F.array_compact(F.flatten(F.array_compact(F.array(*[pieces(i, k) for i, k in enumerate(kinds)]))))
-    rows = hits.select(*keys, F.posexplode(each).alias("pos", "x")).select(*keys, "pos", "x.*")
+    rows = hits.select(*keys, F.posexplode(each).alias("pos", "x"))
+    if not unique:
+        rows = rows.repartition(*keys).dropDuplicates([*keys, "pos"])
+    rows = rows.select(*keys, "pos", "x.*")
     so_far = Window.partitionBy(*keys, "kind").orderBy("pos")
     stop = F.sum(F.col("gap").cast("long") + F.col("n")).over(so_far)
     return rows.withColumn("stop", stop).where("ok").select(*keys, "kind", (F.col("stop") - F.col("n")).alias("start"), "stop", "before", "after")
