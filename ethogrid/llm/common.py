@@ -82,9 +82,9 @@ def rolling(values: np.ndarray, width: int, base: int = _WORD_BASE) -> np.ndarra
     return mix((total[width:] - total[:-width]) * powers(inverse(base), n - width + 1) + np.uint64(width))
 
 
-def word_spans(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(buf: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each word; bounds: where each document starts, and the end. Words never cross a bound."""
-    word = ~SPACE[buf]
+    word = ~space[buf]
     before, after = np.empty_like(word), np.empty_like(word)
     if len(buf):
         before[0], before[1:] = True, ~word[:-1]

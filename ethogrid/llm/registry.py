@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, packing, pii, quality, secrets, substring, topk, urls
+from . import mixing, neardup, packing, pii, quality, secrets, substring, topk, toxicity, urls
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii_sanitise": pii.op3_pii_sanitise,
     "op4_url_filter": urls.op4_url_filter,
     "op5_minhash_neardup": neardup.op5_minhash_neardup,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_topk_nra": topk.op7_topk_nra,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
