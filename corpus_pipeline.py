@@ -1,4 +1,72 @@
-STAGES = []
-ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""A training-data pipeline over `documents`: each stage takes (spark, docs, sf_dir) and returns a DataFrame.
+
+1. toxicity: documents that the model rejects (score of 0.7 or more) go.
+2. near-dedup: one document of each group of near copies stays (5-word shingles, similarity 0.8), the smallest doc_id.
+3. PII: entities and the terms that disclose them are replaced in the text.
+4. mixing: documents are repeated to the sources' target weights and shuffled.
+5. packing: documents are tokenised, cut and packed into sequences of 4096 tokens.
+
+All but the last return the columns of `documents`. After mixing, copies share a doc_id; packing treats them alike.
+Rows of equal doc_id and text count as one document in stages 1 and 2. Stages take tables with extra columns and keep
+them; null texts, null ids and empty tables are as the operators define them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ethogrid.llm import mixing, neardup, packing, pii, toxicity
+from ethogrid.llm.common import stored
+from ethogrid.llm.spans import PERSONAL
+
+
+def _keep(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs without the rows whose id and text hash are in rejected."""
+    rows = docs.withColumn("_th", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(rejected["id"]) & F.col("_th").eqNullSafe(rejected["th"])
+    return rows.join(rejected, same, "left_anti").select(*docs.columns)
+
+
+def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).where("score < 0.7").select("row.*")
+
+
+def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(docs, shingle=5, similarity=(80, 100))
+    return _keep(docs, stored(found.where("NOT kept").select("id", "th").distinct(), "copies"))
+
+
+def pii_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = pii.sanitise(docs).select("id", "th", "islands")
+    rows = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(found["id"]) & (rows["_th"] == found["th"]), "left")
+    text = pii.replaced(F.col("text"), F.col("islands"), [k.name for k in PERSONAL])
+    return rows.withColumn("text", text).withColumn("n_chars", F.when(F.col("islands").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+
+
+def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(docs, keep_ids=False)
+    return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near-dedup", near_dedup_stage),
+    ("PII", pii_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+ORACLE_SQL = None  # a trained network decides in the first stage
+
+
+def run(spark, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -274,24 +274,25 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 1000, id_col: str =
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' id and text hash with score, one row each."""
+    """id, score and row (all of docs' columns, passed through), one row per row of docs."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def of(batches):
         m = held.value
         for b in batches:
             got = []
-            for _, data in chunks(b.column(2).to_pylist(), 1 << 20):
+            for _, data in chunks(b.column(1).to_pylist(), 1 << 20):
                 if "p" in m:
                     got.append(_sigmoid(m["a"] * logits(m, data).astype(np.float64) + m["b"]))
                 else:
                     got.append(np.full(len(data), m["share"]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(got) if got else np.empty(0), pa.float64())], names=["id", "th", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(got) if got else np.empty(0), pa.float64()), b.column(2)], names=["id", "score", "row"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).mapInArrow(of, "id long, th long, score double")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return rows.mapInArrow(of, f"id long, score double, row {rows.schema['row'].dataType.simpleString()}")
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     r = score(docs, learn(docs, labels)).select(F.col("id").alias("doc_id"), "score")
     return r.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
