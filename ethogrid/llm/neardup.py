@@ -184,10 +184,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES)).cast("int")
     members = stored(entries.select("id", "th", "key").join(buckets.select("key", blocks.alias("g")), "key"), "members")
     texts = d.mapInArrow(_squeeze, "id long, th long, z binary")
-    wanted = members.select("id", "th").distinct()
-    texts = texts.join(wanted, ["id", "th"], "left_semi")
+    # a document is in `bands` buckets at most; a merge join at every size, so that a small run costs what a large one does
+    wanted = members.groupBy("id", "th").agg(F.collect_list(F.struct("key", "g")).alias("keys"))
+    dealt = texts.join(wanted.hint("merge"), ["id", "th"]).select("id", "th", "z", F.explode("keys").alias("x")).select("id", "th", "z", "x.*")
     mine = F.pmod(F.xxhash64("id", "th"), F.col("g").cast("long")).cast("int")
-    dealt = members.join(texts, ["id", "th"]).withColumn("b", mine)
+    dealt = dealt.withColumn("b", mine)
     dealt = dealt.withColumn("o", F.explode(F.when(F.col("g") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("g") - 1), lambda k: k != F.col("b")))))
     dealt = dealt.select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "id", "z")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
