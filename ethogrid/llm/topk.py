@@ -18,34 +18,40 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STEP, FEW = 512, 256
-
-
-def no_random_access(vectors: np.ndarray, lists: np.ndarray, query: np.ndarray, k: int, own: np.ndarray) -> np.ndarray:
-    """Indexes of candidates among which the k best (and all ties of the k-th) are; own: rows to leave out."""
-    m = len(vectors)
-    dims = np.flatnonzero(query)
-    if m <= FEW or not len(dims) or float(abs(vectors).max()) * float(abs(query).max()) * len(dims) >= 2.0**52:  # few, or too large for bounds in doubles
-        return np.flatnonzero(~own)
-    order = np.where(query[dims] > 0, lists[::-1, dims], lists[:, dims])
-    weight = query[dims]
-    least = vectors[order[-1], dims] * weight
-    seen = np.zeros((m, len(dims)), bool)
-    total = np.zeros(m, np.int64)
-    alive = ~own
-    for at in range(0, m, STEP):
-        rows = order[at : at + STEP]
-        np.add.at(total, rows.ravel(), (vectors[rows, dims] * weight).ravel())
-        seen[rows, np.arange(len(dims))] = True
-        stand = vectors[rows[-1], dims] * weight
-        unseen = (~seen).astype(np.float64)
-        low, high = total + unseen @ least.astype(np.float64), total + unseen @ stand.astype(np.float64)
-        low = low[alive]
-        if len(low) > k:
-            alive &= high >= np.partition(low, len(low) - k)[len(low) - k]
-        if alive.sum() <= FEW:
+FEW, QUERIES = 256, 64
+
+
+def no_random_access(vectors: np.ndarray, lists: np.ndarray, queries: np.ndarray, k: int, own: np.ndarray):
+    """For each query, indexes of candidates among which its k best (and all ties of the k-th) are.
+
+    lists: per dimension, the candidates by rising value. A query reads a list from its top where its component is
+    positive, else from its bottom, all lists in step. The bounds are looked at after growing depths, for all queries at
+    once: what they have read is a mask that depends on the sign alone, so sums and bounds are products of matrices.
+    own: (queries, candidates) to leave out."""
+    m, left = len(vectors), [np.flatnonzero(~o) for o in own]
+    if m <= FEW or float(abs(vectors).max()) * float(abs(queries).max()) * queries.shape[1] >= 2.0**52:
+        return left  # few, or too large for exact sums in doubles
+    x, plus, minus = vectors.astype(float), np.maximum(queries, 0).astype(float), np.minimum(queries, 0).astype(float)
+    rank = np.empty_like(lists)
+    np.put_along_axis(rank, lists, np.arange(m)[:, None], axis=0)
+    ordered = np.take_along_axis(vectors, lists, axis=0).astype(float)
+    alive, wait = ~own, np.arange(len(queries))
+    for depth in (m // 4, m // 2, 3 * m // 4, 7 * m // 8, m):
+        top, bottom = rank >= m - depth, rank < depth
+        p, n = plus[wait], minus[wait]
+        seen = p @ (x * top).T + n @ (x * bottom).T
+        if depth < m:
+            low = seen + (p * ordered[0]) @ (~top).T + (n * ordered[-1]) @ (~bottom).T
+            high = seen + (p * ordered[m - depth]) @ (~top).T + (n * ordered[depth - 1]) @ (~bottom).T
+        else:
+            low = high = seen
+        low = np.where(alive[wait], low, -np.inf)
+        alive[wait] &= high >= np.partition(low, m - k, axis=1)[:, m - k, None] if m > k else True
+        few = alive[wait].sum(axis=1) <= FEW
+        wait = wait[~few]
+        if not len(wait):
             break
-    return np.flatnonzero(alive)
+    return [np.flatnonzero(a) for a in alive]
 
 
 def _search(k: int):
@@ -53,13 +59,14 @@ def _search(k: int):
         is_query = pdf["query"].to_numpy()
         vectors, ids = np.stack(pdf["v"].to_numpy()).astype(np.int64), pdf["id"].to_numpy()
         cand, cid, out = vectors[~is_query], ids[~is_query], []
-        if len(cand):
-            lists = np.argsort(cand, axis=0, kind="stable")
-            for q, qid in zip(vectors[is_query], ids[is_query]):
-                left = no_random_access(cand, lists, q, k, cid == qid)
-                score = cand[left] @ q
+        asked, qids = vectors[is_query], ids[is_query]
+        lists = np.argsort(cand, axis=0, kind="stable")
+        for at in range(0, len(asked) if len(cand) else 0, QUERIES):
+            q, qid = asked[at : at + QUERIES], qids[at : at + QUERIES]
+            for one, i, left in zip(q, qid, no_random_access(cand, lists, q, k, cid[None, :] == qid[:, None])):
+                score = cand[left] @ one
                 best = np.lexsort((cid[left], -score))[:k]
-                out += zip([qid] * len(best), cid[left][best], score[best])
+                out += zip([i] * len(best), cid[left][best], score[best])
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return of
