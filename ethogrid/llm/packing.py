@@ -14,12 +14,17 @@ row once. Ties: smaller id, then smaller piece first. An empty table gives an em
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
+LATIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: Byte-level models write the bytes that have no printable Latin-1 character as characters from 256 on.
+BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -29,35 +34,61 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def word_ids(path: str):
-    """A function from texts (bytes) to their ids as little-endian 32-bit bytes."""
-    import array
-    import sys
+    """A function from texts (bytes) to their ids as little-endian 32-bit bytes.
+
+    Words are cached as they are in lower case; a new one is looked up as its stem and its closing punctuation, which are
+    tokens of their own after an ASCII letter, so that only stems reach the tokenizer, many in one call."""
+    import struct
 
+    import numpy as np
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    tokenize = tokenizer.model.tokenize
+
+    def pack(*ids: int) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     cache: dict[bytes, bytes] = {}
+    stems: dict[bytes, bytes] = {}
+
+    def encode(new: list[bytes]) -> None:
+        for i in range(0, len(new), 2000):
+            texts = [w.decode() for w in new[i : i + 2000]]
+            e = tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            raw = np.array(e.ids, "<u4").tobytes()
+            starts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+            cut = (4 * np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), starts)).tolist() + [len(raw)]
+            stems.update((w, raw[a:b]) for w, a, b in zip(new[i : i + 2000], cut[:-1], cut[1:]))
 
-    def packed(ids) -> bytes:
-        a = array.array("I", ids)
-        if sys.byteorder == "big":
-            a.byteswap()
-        return a.tobytes()
+    def parts(w: bytes) -> tuple[bytes, bytes]:
+        stem = w.rstrip(b".,;:!?#*$%&")
+        return (stem, w[len(stem) :]) if stem[-1:].isalpha() and b"<|" not in w else (w, b"")
 
     def of(text: bytes) -> bytes:
-        words = text.split()  # bytes split at ASCII white space only
-        try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in cache]
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                new = list(dict.fromkeys(words))
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                    cache[w] = packed(e.ids)
-            return b"".join(map(cache.__getitem__, words))
+        # bytes: lower() and split() know ASCII only; the strings of special tokens are left as they are
+        words = text.lower().split() if b"<|" not in text else [w if b"<|" in w else w.lower() for w in text.split()]
+        got = list(map(cache.get, words))
+        if None not in got:
+            return b"".join(got)
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+        if len(stems) > CACHE_WORDS:
+            stems.clear()
+        split = {w: parts(w) for w, i in zip(words, got) if i is None}
+        odd = []
+        for x in dict.fromkeys(y for p in split.values() for y in p if y):
+            if x not in stems:
+                letters = x if x.isalpha() else LATIN.fullmatch(t := x.decode()) and t.lower().encode()
+                if letters:  # one piece for the model, in its alphabet of bytes
+                    stems[x] = pack(*[t.id for t in tokenize(letters.decode("latin-1").translate(BYTE_LETTERS))])
+                else:
+                    odd.append(x)
+        encode(odd)
+        stems[b""] = b""
+        new = {w: stems[stem] + stems[end] for w, (stem, end) in split.items()}
+        cache.update(new)
+        return b"".join([new[w] if i is None else i for w, i in zip(words, got)])
 
     return of
 
