@@ -34,7 +34,7 @@ NOT_LETTER[65:91] = NOT_LETTER[97:123] = NOT_LETTER[128:] = False
 
 def tokens(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
     """Index of each word among the distinct ones, where documents' words start, hashes of the distinct words, and their
-    hashed grams with the word that each belongs to."""
+    hashed grams, in order of the word that each belongs to (one at least)."""
     bounds = np.zeros(len(data) + 1, np.int64)
     np.cumsum([len(b) for b in data], out=bounds[1:])
     buf = np.frombuffer(b"".join(data), np.uint8)
@@ -47,17 +47,17 @@ def tokens(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.n
     inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     padded[np.repeat(at, size) + inside] = buf[np.repeat(starts[first], size) + inside]
     owner = np.repeat(np.arange(len(size)), size + 1)  # of the position before each letter and of the last letter
-    grams, owners = [], []
     base = 0x9E3779B97F4A7C15 | 1
     total = np.zeros(len(padded) + 1, np.uint64)
     np.cumsum((padded + np.uint64(1)) * powers(base, len(padded)), out=total[1:])
     back = powers(inverse(base), len(padded) + 1)
     room = np.repeat(size + 2, size + 1) - (np.arange(len(owner)) - np.repeat(at - 1, size + 1))  # letters and ends from here
-    for n in (3, 4, 5):
+    grams, fits = np.zeros((len(owner), 3), np.uint64), np.zeros((len(owner), 3), bool)
+    for k, n in enumerate((3, 4, 5)):
         here = np.flatnonzero(room >= n)
-        grams.append(mix((total[here + n] - total[here]) * back[here] + np.uint64(n)))
-        owners.append(owner[here])
-    return index, np.searchsorted(starts, bounds), hashes, np.concatenate(grams), np.concatenate(owners)
+        grams[here, k] = mix((total[here + n] - total[here]) * back[here] + np.uint64(n))
+        fits[here, k] = True
+    return index, np.searchsorted(starts, bounds), hashes, grams[fits], np.repeat(owner, 3).reshape(-1, 3)[fits]
 
 
 def windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,14 +82,14 @@ def start(seed: int = 5) -> dict[str, np.ndarray]:
 
 def inputs(p: dict, prior: dict, hashes: np.ndarray, grams: np.ndarray, owners: np.ndarray) -> np.ndarray:
     """The input vector of each distinct word."""
-    n = len(hashes)
+    if not len(hashes):
+        return np.zeros((0, INPUT), np.float32)
     w, g = (hashes % np.uint64(WORDS)).astype(np.int64), (grams % np.uint64(GRAMS)).astype(np.int64)
-    count = np.maximum(np.bincount(owners, minlength=n), 1)[:, None]
-    mean = np.stack([np.bincount(owners, p["gram"][g, k], n) for k in range(GRAM_DIM)], axis=1) / count
+    begin = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
+    count = np.diff(np.r_[begin, len(owners)])[:, None].astype(np.float32)
     odds = prior["gram"][g]
-    most = np.zeros(n)
-    np.maximum.at(most, owners, odds)
-    return np.concatenate([p["word"][w], prior["word"][w, None], mean, np.bincount(owners, odds, n)[:, None] / count, most[:, None]], axis=1).astype(np.float32)
+    mean, part = np.add.reduceat(p["gram"][g], begin, axis=0) / count, np.add.reduceat(odds, begin)[:, None] / count
+    return np.concatenate([p["word"][w], prior["word"][w, None], mean, part, np.maximum(np.maximum.reduceat(odds, begin), 0)[:, None]], axis=1).astype(np.float32)
 
 
 def forward(p: dict, fed: np.ndarray, index: np.ndarray, length: np.ndarray, keep: bool = False):
@@ -138,6 +138,7 @@ def backward(p: dict, fed_rows: int, index: np.ndarray, kept, d_logit: np.ndarra
     for way in (0, 1):
         carry = np.zeros((n, h), np.float32)
         turn = p["turn"][way]
+        steps = np.empty((WIDTH, n, 3 * h), np.float32)
         for k in range(WIDTH - 1, -1, -1):
             t = k if way == 0 else WIDTH - 1 - k
             now, z, r, new, an = tape[way * WIDTH + k]
@@ -147,23 +148,48 @@ def backward(p: dict, fed_rows: int, index: np.ndarray, kept, d_logit: np.ndarra
             d_new = on * (1 - z) * (1 - new * new)
             d_z = on * (now - new) * z * (1 - z)
             d_r = d_new * an * r * (1 - r)
-            d_x = np.concatenate([d_z, d_r, d_new], axis=1)
+            steps[t] = np.concatenate([d_z, d_r, d_new], axis=1)
             d_a = np.concatenate([d_z, d_r, d_new * r], axis=1)
             g["turn"][way] += now.T @ d_a
-            np.add.at(d_fed[:, 3 * h * way : 3 * h * (way + 1)], index[:, t], d_x)
             carry = np.where(m, on * z, d) + d_a @ turn.T
+        for c in range(3 * h):
+            d_fed[:, 3 * h * way + c] = np.bincount(index.T.ravel(), steps[:, :, c].ravel(), fed_rows)
     return g, d_fed
 
 
-def log_odds(bucket: np.ndarray, doc: np.ndarray, y: np.ndarray, size: int, least: int = 4) -> np.ndarray:
-    """Smoothed class log-odds of buckets by the documents that hold them; 0 for those in few documents."""
-    pair = np.unique(bucket * len(y) + doc)
-    bucket, doc = pair // len(y), pair % len(y)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    d1 = np.bincount(bucket, y[doc], size)
-    d0 = np.bincount(bucket, minlength=size) - d1
-    odds = np.log((d1 + 0.5) / (n1 + 1)) - np.log((d0 + 0.5) / (n0 + 1))
-    return np.where(d1 + d0 >= least, np.clip(odds, -4, 4) / 2, 0).astype(np.float32)
+def log_odds(buckets, y: np.ndarray, size: int, least: int = 4) -> np.ndarray:
+    """Smoothed class log-odds of buckets by the documents that hold them (buckets: of each document in turn); 0 for
+    those in few documents."""
+    held = np.zeros((2, size), np.int64)
+    for b, c in zip(buckets, y.astype(int)):
+        held[c, np.unique(b)] += 1
+    odds = np.log((held[1] + 0.5) / (y.sum() + 1)) - np.log((held[0] + 0.5) / (len(y) - y.sum() + 1))
+    return np.where(held.sum(axis=0) >= least, np.clip(odds, -4, 4) / 2, 0).astype(np.float32)
+
+
+def spans(begin: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Positions begin .. begin + size of each entry in at, one after the other."""
+    n = size[at]
+    return np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def merged_tokens(texts: list) -> tuple:
+    """tokens() of all texts, chunk by chunk; owners come in order."""
+    parts, base = [], 0
+    for _, data in chunks(texts, 1 << 19):
+        part = tokens(data)
+        parts.append((part, base))
+        base += len(part[2])
+    hashes, first, to = np.unique(np.concatenate([p[2] for p, _ in parts]), return_index=True, return_inverse=True)
+    new = np.zeros(base, bool)
+    new[first] = True
+    index = np.concatenate([to[b + p[0]] for p, b in parts])
+    sizes = np.concatenate([np.diff(p[1]) for p, _ in parts])
+    mine = [new[b + p[4]] for p, b in parts]
+    grams = np.concatenate([p[3][m] for (p, _), m in zip(parts, mine)])
+    owners = np.concatenate([to[b + p[4][m]] for (p, b), m in zip(parts, mine)])
+    by = np.argsort(owners, kind="stable")
+    return index, np.r_[0, np.cumsum(sizes)], hashes, grams[by], owners[by]
 
 
 def _index(index: np.ndarray, first: np.ndarray, length: np.ndarray, empty: int) -> np.ndarray:
@@ -185,22 +211,17 @@ def logits(model: dict, data: list[bytes]) -> np.ndarray:
     return np.maximum.reduceat(out, np.searchsorted(doc, np.arange(len(data)))) if len(data) else out
 
 
-def train(texts: list[str], y: np.ndarray, steps: int = 240, batch: int = 256, rate: float = 0.01, seed: int = 5) -> dict:
+def train(texts: list[str], y: np.ndarray, steps: int = 240, batch: int = 256, rate: float = 0.01, seed: int = 5, odds: float | None = None) -> dict:
+    """odds: of label 1 among all labelled documents, where the texts over- or underdraw it."""
     y = np.asarray(y, np.float32)
     if not len(y) or y.min() == y.max():
         return {"share": float(y.mean()) if len(y) else 0.0}
     rng, p = np.random.default_rng(seed), start(seed)
-    index, at, hashes, grams, owners = tokens([(t or "").encode() for t in texts])
-    doc_of = np.repeat(np.arange(len(y)), np.diff(at))
-    pair = np.unique(index.astype(np.int64) * len(y) + doc_of)
-    word, held = pair // len(y), pair % len(y)
+    index, at, hashes, grams, owners = merged_tokens(texts)
     w, g = (hashes % np.uint64(WORDS)).astype(np.int64), (grams % np.uint64(GRAMS)).astype(np.int64)
-    by = np.argsort(owners, kind="stable")
-    g, owners, grams = g[by], owners[by], grams[by]
     n_grams = np.bincount(owners, minlength=len(hashes))
     begin = np.cumsum(n_grams) - n_grams
-    spread = np.repeat(begin[word], n_grams[word]) + np.arange(n_grams[word].sum()) - np.repeat(np.cumsum(n_grams[word]) - n_grams[word], n_grams[word])
-    prior = {"word": log_odds(w[word], held, y, WORDS), "gram": log_odds(g[spread], np.repeat(held, n_grams[word]), y, GRAMS)}
+    prior = {"word": log_odds((w[np.unique(index[a:b])] for a, b in zip(at[:-1], at[1:])), y, WORDS), "gram": log_odds((g[spans(begin, n_grams, np.unique(index[a:b]))] for a, b in zip(at[:-1], at[1:])), y, GRAMS)}
     first, length, doc = windows(at)
     every = _index(index, first, length, len(hashes))
     m = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
@@ -223,7 +244,7 @@ def train(texts: list[str], y: np.ndarray, steps: int = 240, batch: int = 256, r
             words, local = np.unique(every[mine], return_inverse=True)
             local = local.reshape(len(mine), WIDTH)
             real = words[words < len(hashes)]
-            take = np.repeat(begin[real], n_grams[real]) + np.arange(n_grams[real].sum()) - np.repeat(np.cumsum(n_grams[real]) - n_grams[real], n_grams[real])
+            take = spans(begin, n_grams, real)
             own = np.repeat(np.arange(len(real)), n_grams[real])
             x = inputs(p, prior, hashes[real], grams[take], own)
             fed = np.zeros((len(words), 6 * HIDDEN), np.float32)
@@ -241,10 +262,13 @@ def train(texts: list[str], y: np.ndarray, steps: int = 240, batch: int = 256, r
                 a += 0.1 * (gk - a)
                 b += 0.01 * (gk * gk - b)
                 p[k] -= now * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
-            np.add.at(p["word"], w[real], -5 * now * d_x[:, :WORD_DIM])
-            np.add.at(p["gram"], g[take], -5 * now * (d_x[:, WORD_DIM + 1 : WORD_DIM + 1 + GRAM_DIM] / np.maximum(n_grams[real], 1)[:, None])[own])
-        fed = np.concatenate([inputs(p, prior, hashes, grams, owners) @ p["in"] + p["bias"], np.zeros((1, 6 * HIDDEN), np.float32)]).astype(np.float32)
+            share = -5 * now * d_x / np.maximum(n_grams[real], 1)[:, None]
+            for c in range(WORD_DIM):
+                p["word"][:, c] -= np.bincount(w[real], 5 * now * d_x[:, c], WORDS).astype(np.float32)
+            for c in range(GRAM_DIM):
+                p["gram"][:, c] += np.bincount(g[take], share[own, WORD_DIM + 1 + c], GRAMS).astype(np.float32)
         if turn % 3 == 2 or turn == rounds - 1:
+            fed = np.concatenate([inputs(p, prior, hashes, grams, owners) @ p["in"] + p["bias"], np.zeros((1, 6 * HIDDEN), np.float32)]).astype(np.float32)
             for i in range(0, len(doc), 4096):
                 score[i : i + 4096] = forward(p, fed, every[i : i + 4096], length[i : i + 4096])
     most = np.maximum.reduceat(score, np.searchsorted(doc, np.arange(len(y)))).astype(float)
@@ -256,6 +280,8 @@ def train(texts: list[str], y: np.ndarray, steps: int = 240, batch: int = 256, r
         hess = np.array([[(s * most * most).sum() + 1e-3, (s * most).sum()], [(s * most).sum(), s.sum() + 1e-3]])
         delta = np.linalg.solve(hess, [((q - t) * most).sum(), (q - t).sum()])
         a, b = a - np.clip(delta[0], -1, 1), b - np.clip(delta[1], -1, 1)
+    if odds:
+        b += float(np.log(odds * (len(y) - y.sum()) / y.sum()))
     return {"p": {k: v.astype(np.float32) for k, v in p.items()}, "prior": prior, "a": float(max(a, 1e-3)), "b": float(b)}
 
 
@@ -263,14 +289,15 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 800, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
     """The model from `sample` labelled documents of each class at most, none of them held out."""
     known = labels.where(~held_out(id_col) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
     parts = [known.where(F.col("y") == c).orderBy(F.xxhash64("id"), "id").limit(sample) for c in (0, 1)]
     ids = parts[0].union(parts[1]).distinct()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").orderBy("id", F.xxhash64("text")).limit(4 * sample)
     got = rows.toPandas()
-    return train(got["text"].tolist(), got["y"].to_numpy())
+    n1, n0 = known.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
+    return train(got["text"].tolist(), got["y"].to_numpy(), odds=n1 / n0 if n1 and n0 else None)
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
