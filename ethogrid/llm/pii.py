@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, stored
+from .common import stored
 from .spans import PERSONAL, Kind, counted, located, sql_located, written
 
 TERM = r"\p{L}{3,}+"
@@ -47,9 +47,8 @@ def disclosure(context: DataFrame, base: DataFrame, texts: DataFrame, support: i
     """kind, term, disclosed for the terms with enough support."""
     near = context.select("id", "th", "kind", "term").distinct().groupBy("kind", "term").agg(F.count("*").alias("n")).where(F.col("n") >= support)
     near = stored(near, "near")
-    names = bounded_broadcast(near.select("term").distinct(), 1_000_000)
     said = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    counts = said.join(names, "term", "left_semi").groupBy("term").agg(F.count("*").alias("nt"))
+    counts = said.groupBy("term").agg(F.count("*").alias("nt"))
     total = texts.count()
     kinds = {r["kind"]: r["n"] for r in base.select("id", "th", "kind").distinct().groupBy("kind").agg(F.count("*").alias("n")).collect()}  # one row a kind
     nk = F.create_map(*[x for k, n in kinds.items() for x in (F.lit(k), F.lit(float(n)))]) if kinds else F.lit(None).cast("map<int,double>")
