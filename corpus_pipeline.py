@@ -24,8 +24,9 @@ from ethogrid.llm.spans import PERSONAL
 def _keep(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """docs without the rows whose id and text hash are in rejected."""
     rows = docs.withColumn("_th", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(rejected["id"]) & F.col("_th").eqNullSafe(rejected["th"])
-    return rows.join(rejected, same, "left_anti").select(*docs.columns)
+    gone = rejected.select(F.col("id").alias("_gone"), F.col("th").alias("_gone_th"))
+    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & F.col("_th").eqNullSafe(F.col("_gone_th"))
+    return rows.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +40,11 @@ def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pii.sanitise(docs).select("id", "th", "islands")
+    found = pii.sanitise(docs).select(F.col("id").alias("_id"), F.col("th").alias("_found"), F.col("islands").alias("_islands"))
     rows = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(found, F.col("doc_id").eqNullSafe(found["id"]) & (rows["_th"] == found["th"]), "left")
-    text = pii.replaced(F.col("text"), F.col("islands"), [k.name for k in PERSONAL])
-    return rows.withColumn("text", text).withColumn("n_chars", F.when(F.col("islands").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_found")), "left")
+    text = pii.replaced(F.col("text"), F.col("_islands"), [k.name for k in PERSONAL])
+    return rows.withColumn("text", text).withColumn("n_chars", F.when(F.col("_islands").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

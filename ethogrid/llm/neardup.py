@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(found)
     named = classes.select("s1", "s2", "n", F.col("id").alias("u")).join(roots, "u", "left").select("s1", "s2", "n", F.coalesce("v", "u").alias("root"))
     out = signed.drop("keys", "size").join(named, ["s1", "s2", "n"], "left")
-    component = F.coalesce("root", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     return out.select("id", "th", F.col("n").alias("n_shingles"), component.alias("component"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
