@@ -80,3 +80,18 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def normal_tail(z: Column) -> Column:
+    """2 * P(Z > z) of the normal distribution for z >= 0, by a rational approximation (error below 2e-7)."""
+    #: Coefficients of the approximation.
+    a = [0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429]
+    x = z / F.sqrt(F.lit(2.0))
+    t = 1 / (1 + 0.3275911 * x)
+    poly = t * (a[0] + t * (a[1] + t * (a[2] + t * (a[3] + t * a[4]))))
+    return poly * F.exp(-x * x)
+
+
+def clipped_confidence(severity: Column, sigma: float, low: float = 0.05) -> Column:
+    """exp(-severity / sigma), within [low, 1]."""
+    return F.greatest(F.lit(low), F.least(F.lit(1.0), F.exp(-severity / sigma)))

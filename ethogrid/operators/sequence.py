@@ -277,3 +277,45 @@ def tuned_thresholds(long: DataFrame, grid: tuple[float, ...], passes: int = 2,
         return pd.DataFrame({"lab_id": key[0], "cls": names, "t": t, "score": best})
 
     return long.select("lab_id", "window_id", "cls", "p", "y").groupBy("lab_id").applyInPandas(of, "lab_id long, cls int, t double, score double")
+
+
+# ---- shape-preserving fill -------------------------------------------------------------------------------------------
+
+
+def pchip(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Monotone cubic interpolation through (x, y), x rising; the end values beyond the ends."""
+    if len(x) == 1:
+        return np.full(len(at), y[0])
+    h, s = np.diff(x), np.diff(y) / np.diff(x)
+    d = np.zeros(len(x))
+    if len(x) == 2:
+        d[:] = s[0]
+    else:
+        w1, w2 = 2 * h[1:] + h[:-1], h[1:] + 2 * h[:-1]
+        same = s[1:] * s[:-1] > 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d[1:-1] = np.where(same, (w1 + w2) / (w1 / s[:-1] + w2 / s[1:]), 0)
+        for k, (h0, h1, s0, s1) in ((0, (h[0], h[1], s[0], s[1])), (-1, (h[-1], h[-2], s[-1], s[-2]))):
+            e = ((2 * h0 + h1) * s0 - h0 * s1) / (h0 + h1)
+            d[k] = 0 if e * s0 <= 0 else 3 * s0 if s0 * s1 <= 0 and abs(e) > 3 * abs(s0) else e
+    i = np.clip(np.searchsorted(x, at, side="right") - 1, 0, len(x) - 2)
+    t = (np.clip(at, x[0], x[-1]) - x[i]) / h[i]
+    return y[i] * (1 + 2 * t) * (1 - t) ** 2 + h[i] * d[i] * t * (1 - t) ** 2 + y[i + 1] * t**2 * (3 - 2 * t) + h[i] * d[i + 1] * t**2 * (t - 1)
+
+
+def spline_filled(wide: DataFrame, columns: list[str]) -> DataFrame:
+    """Gaps of each mouse's columns filled by monotone cubics; a column without any value stays empty."""
+    keys = ["video_id", "mouse_id", "video_frame"]
+
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("video_frame").reset_index(drop=True)
+        f = pdf["video_frame"].to_numpy(float)
+        for c in columns:
+            v = pdf[c].to_numpy(float)
+            ok = np.isfinite(v)
+            if ok.any() and not ok.all():
+                pdf[c] = np.where(ok, v, pchip(f[ok], v[ok], f))
+        return pdf
+
+    types = ", ".join(f"{c} {wide.schema[c].dataType.simpleString()}" for c in [*keys, *columns])
+    return wide.select(*keys, *columns).groupBy("video_id", "mouse_id").applyInPandas(of, types)

@@ -76,3 +76,41 @@ def transitions(df: DataFrame, keys: list[str], order: list[str], label: str) ->
     w = Window.partitionBy(*keys).orderBy(*order)
     n = df.withColumn("next", F.lead(label).over(w)).where("next IS NOT NULL").groupBy(label, "next").agg(F.count("*").alias("n"))
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(label)))
+
+
+def min_max(x: str, *by: str) -> Column:
+    """x scaled to [0, 1] within `by`; 0.5 where all are equal."""
+    w = Window.partitionBy(*by)
+    low, high = F.min(x).over(w), F.max(x).over(w)
+    return F.when(high > low, (F.col(x) - low) / (high - low)).otherwise(0.5)
+
+
+def edge_weights(lengths: DataFrame, low: float = 0.2, high: float = 5.0) -> DataFrame:
+    """Inverse-variance weights of edges over their median, clipped."""
+    v = lengths.groupBy("edge").agg(F.var_samp("length").alias("v")).where("v > 0").withColumn("inv", 1 / F.col("v"))
+    med = v.agg(F.percentile("inv", F.lit(0.5)).alias("m"))
+    return v.crossJoin(F.broadcast(med)).select("edge", F.least(F.lit(high), F.greatest(F.lit(low), F.col("inv") / F.col("m"))).alias("weight"))  # one row
+
+
+def on_grid(points: DataFrame, x: str, y: str, grid: list[float], *by: str) -> DataFrame:
+    """y at each grid value, linear between its neighbours, the nearest one beyond the ends."""
+    w = Window.partitionBy(*by).orderBy(x)
+    seg = points.select(*by, F.col(x).alias("x0"), F.col(y).alias("y0"), F.lead(x).over(w).alias("x1"), F.lead(y).over(w).alias("y1"), (F.row_number().over(w) == 1).alias("first"))
+    at = seg.withColumn("g", F.explode(F.array(*[F.lit(float(v)) for v in grid])))
+    inside = (F.col("g") >= F.col("x0")) & (F.col("x1").isNull() | (F.col("g") < F.col("x1")))
+    at = at.where(inside | (F.col("first") & (F.col("g") < F.col("x0"))))
+    value = F.when((F.col("g") <= F.col("x0")) | F.col("x1").isNull(), F.col("y0")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("g") - F.col("x0")) / (F.col("x1") - F.col("x0")))
+    return at.select(*by, "g", value.alias("y"))
+
+
+def vif(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Variance inflation of each column: the diagonal of the inverse correlation matrix, which one pass gives."""
+    import numpy as np
+
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    r = df.agg(*[F.corr(columns[i], columns[j]) for i, j in pairs]).first()
+    m = np.eye(len(columns))
+    for (i, j), v in zip(pairs, r):
+        m[i, j] = m[j, i] = 0.0 if v is None else v
+    d = np.diag(np.linalg.pinv(m, hermitian=True)) if np.linalg.cond(m) < 1e12 else np.diag(np.linalg.inv(m + 1e-9 * np.eye(len(m))))
+    return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(columns, d)], "column_name string, vif double")
