@@ -15,13 +15,14 @@ row once. Ties: smaller id, then smaller piece first. An empty table gives an em
 from __future__ import annotations
 
 import re
+import zlib
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_200_000
 LATIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: Byte-level models write the bytes that have no printable Latin-1 character as characters from 256 on.
 BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
@@ -69,8 +70,10 @@ def word_ids(path: str):
         # bytes: lower() and split() know ASCII only; the strings of special tokens are left as they are
         words = text.lower().split() if b"<|" not in text else [w if b"<|" in w else w.lower() for w in text.split()]
         got = list(map(cache.get, words))
-        if None not in got:
+        try:
             return b"".join(got)
+        except TypeError:  # some are new
+            pass
         if len(cache) > CACHE_WORDS:
             cache.clear()
         if len(stems) > CACHE_WORDS:
@@ -93,11 +96,11 @@ def word_ids(path: str):
     return of
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, path: str | None = None) -> DataFrame:
-    """id, piece, start, length, ids (little-endian unsigned 32-bit)."""
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, path: str | None = None, keep_ids: bool = True) -> DataFrame:
+    """id, piece, start, length, ids_crc32 and (keep_ids) ids, little-endian unsigned 32-bit."""
     path, end = path or tokenizer_path(), end_id.to_bytes(4, "little")
-    names = ["id", "piece", "start", "length", "ids"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def of(batches):
         import os
@@ -110,7 +113,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                 ids = ids_of((text or "").encode()) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((i, k, at // 4, len(part) // 4, part))
+                    rows.append((i, k, at // 4, len(part) // 4, zlib.crc32(part), part)[: len(names)])
                 held += len(ids)
                 if held > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
@@ -118,7 +121,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(of, "id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(of, "id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
 def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
@@ -178,10 +181,8 @@ def _packed(parts: DataFrame, capacity: int, groups: int) -> DataFrame:
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, group_rows: int = 20_000, keep_ids: bool = True, **tokens) -> DataFrame:
     """The pieces of docs in sequences; keep_ids: with their ids, else with the CRC-32 of the ids alone."""
-    parts = pieces(docs, id_col, text_col, capacity, **tokens)
-    parts = parts.withColumn("ids_crc32", F.crc32("ids"))
     groups = max(1, -(-docs.count() // group_rows))
-    return _packed(parts if keep_ids else parts.drop("ids"), capacity, groups)
+    return _packed(pieces(docs, id_col, text_col, capacity, keep_ids=keep_ids, **tokens), capacity, groups)
 
 
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:
