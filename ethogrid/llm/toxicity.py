@@ -175,21 +175,21 @@ def spans(begin: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def merged_tokens(texts: list) -> tuple:
     """tokens() of all texts, chunk by chunk; owners come in order."""
-    parts, base = [], 0
-    for _, data in chunks(texts, 1 << 19):
-        part = tokens(data)
-        parts.append((part, base))
-        base += len(part[2])
-    hashes, first, to = np.unique(np.concatenate([p[2] for p, _ in parts]), return_index=True, return_inverse=True)
-    new = np.zeros(base, bool)
-    new[first] = True
-    index = np.concatenate([to[b + p[0]] for p, b in parts])
-    sizes = np.concatenate([np.diff(p[1]) for p, _ in parts])
-    mine = [new[b + p[4]] for p, b in parts]
-    grams = np.concatenate([p[3][m] for (p, _), m in zip(parts, mine)])
-    owners = np.concatenate([to[b + p[4][m]] for (p, b), m in zip(parts, mine)])
-    by = np.argsort(owners, kind="stable")
-    return index, np.r_[0, np.cumsum(sizes)], hashes, grams[by], owners[by]
+    index, sizes, grams, owners, known = [], [], [], [], np.empty(0, np.uint64)
+    hashes = []  # of the words in order of their first chunk
+    for _, data in chunks(texts, 1 << 18):
+        i, at, h, g, o = tokens(data)
+        new = ~np.isin(h, known)
+        number = np.cumsum(new) - 1 + len(known)
+        mine = new[o]
+        grams.append(g[mine])
+        owners.append(number[o[mine]])
+        hashes.append(h[new])
+        known = np.concatenate([known, h[new]])
+        order = np.argsort(known, kind="stable")
+        index.append(order[np.searchsorted(known, h, sorter=order)][i].astype(np.int32))
+        sizes.append(np.diff(at))
+    return np.concatenate(index), np.r_[0, np.cumsum(np.concatenate(sizes))], np.concatenate(hashes), np.concatenate(grams), np.concatenate(owners)
 
 
 def _index(index: np.ndarray, first: np.ndarray, length: np.ndarray, empty: int) -> np.ndarray:
@@ -218,15 +218,23 @@ def train(texts: list[str], y: np.ndarray, steps: int = 240, batch: int = 256, r
         return {"share": float(y.mean()) if len(y) else 0.0}
     rng, p = np.random.default_rng(seed), start(seed)
     index, at, hashes, grams, owners = merged_tokens(texts)
-    w, g = (hashes % np.uint64(WORDS)).astype(np.int64), (grams % np.uint64(GRAMS)).astype(np.int64)
+    w, g = (hashes % np.uint64(WORDS)).astype(np.int64), (grams % np.uint64(GRAMS)).astype(np.int32)
     n_grams = np.bincount(owners, minlength=len(hashes))
     begin = np.cumsum(n_grams) - n_grams
     prior = {"word": log_odds((w[np.unique(index[a:b])] for a, b in zip(at[:-1], at[1:])), y, WORDS), "gram": log_odds((g[spans(begin, n_grams, np.unique(index[a:b]))] for a, b in zip(at[:-1], at[1:])), y, GRAMS)}
     first, length, doc = windows(at)
-    every = _index(index, first, length, len(hashes))
+    every = _index(index, first, length, len(hashes)).astype(np.int32)
     m = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
-    x0 = inputs(p, prior, hashes, grams, owners)
-    hint = np.append(x0[:, WORD_DIM] + x0[:, -1], 0)
+
+    def by_block(of, width: int) -> np.ndarray:
+        """of(inputs) of all words, some at a time, and a row of zeros."""
+        out = np.zeros((len(hashes) + 1, width), np.float32)
+        for i in range(0, len(hashes), 8192):
+            at = np.arange(i, min(i + 8192, len(hashes)))
+            out[at] = of(inputs(p, prior, hashes[at], grams[spans(begin, n_grams, at)], np.repeat(at, n_grams[at])))
+        return out
+
+    hint = by_block(lambda x: x[:, [WORD_DIM]] + x[:, [-1]], 1)[:, 0]
     score = hint[every].max(axis=1)
     toxic, step = y[doc] == 1, 0
     about = y.sum() + np.minimum(np.bincount(doc), 4)[y == 0].sum()
@@ -268,7 +276,7 @@ def train(texts: list[str], y: np.ndarray, steps: int = 240, batch: int = 256, r
             for c in range(GRAM_DIM):
                 p["gram"][:, c] += np.bincount(g[take], share[own, WORD_DIM + 1 + c], GRAMS).astype(np.float32)
         if turn % 3 == 2 or turn == rounds - 1:
-            fed = np.concatenate([inputs(p, prior, hashes, grams, owners) @ p["in"] + p["bias"], np.zeros((1, 6 * HIDDEN), np.float32)]).astype(np.float32)
+            fed = by_block(lambda x: x @ p["in"] + p["bias"], 6 * HIDDEN)
             for i in range(0, len(doc), 4096):
                 score[i : i + 4096] = forward(p, fed, every[i : i + 4096], length[i : i + 4096])
     most = np.maximum.reduceat(score, np.searchsorted(doc, np.arange(len(y)))).astype(float)
