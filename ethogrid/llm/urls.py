@@ -121,8 +121,11 @@ def prepared(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: st
 def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", sample: int = 20_000) -> DataFrame:
     """id, host, path, rule, score (of blocking), verdict."""
     rows = prepared(pages, rules, id_col, url_col)
-    labelled = rows.where(F.col("hit").isNotNull()).select("url", "host", "path", "suffix_n", "suffix_rate", (F.col("hit.verdict") == "block").cast("int").alias("y"))
-    train = labelled.orderBy(F.xxhash64("url"), "url").limit(sample).toPandas()
+    labelled = rows.where(F.col("hit").isNotNull()).select("id", "url", "host", "path", "suffix_n", "suffix_rate", (F.col("hit.verdict") == "block").cast("int").alias("y"))
+    # a share by hash first, so that about `sample` rows reach the driver from however many partitions
+    share = min(1.0, 1.5 * sample / max(labelled.count(), 1))
+    drawn = labelled.where(F.pmod(F.xxhash64("id", "url"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    train = drawn.orderBy(F.xxhash64("url", "id"), "url").limit(sample).toPandas()
     model = Trees().fit(features(train), train["y"].to_numpy(float))
 
     def score(batches):
