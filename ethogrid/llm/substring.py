@@ -4,8 +4,9 @@ maximal removal intervals.
 How it runs. One task hashes all windows of its documents. Among its own rows it keeps, for each hash, only the document
 with the smallest id and reports the others' windows at once, so a passage that a third of all rows share leaves a task
 once. What is left goes, as packed arrays, to a bucket chosen by the window's rarest inner 8-gram (its minimum hash), so
-that runs of windows stay together; a bucket finds the smallest document of each hash. The removed runs and the texts
-then meet by document.
+that runs of windows stay together; a bucket finds the smallest document of each hash. Buckets are counted before, in a
+pass of its own, and one that is too large is dealt to slots by the windows' hashes, so that a group stays bounded
+however many documents share a line. The removed runs and the texts then meet by document.
 
 Defined results. Null text: no words. Null id: such a row is kept whole and is no earlier document of any other. Rows
 with equal ids and equal texts get equal results, one row each; rows with equal ids and other texts are judged apart and
@@ -64,8 +65,21 @@ def _runs(doc: np.ndarray, th: np.ndarray, pos: np.ndarray):
         yield int(doc[a]), int(th[a]), pos[a:b].astype("<i4").tobytes()
 
 
-def _hash_windows(window: int, buckets: int):
-    """Batches of (id, text hash, text) to rows: bucket -1 holds starts that are known to go, others packed windows."""
+def _slots(bucket: np.ndarray, h: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The bucket itself, or, where it is hot, one of its slots by the window's hash. hot: (bucket, number of slots, first
+    slot) by rising bucket. Equal windows have equal buckets and hashes, so they still meet."""
+    slot = bucket.astype(np.int64)
+    if len(hot):
+        i = np.minimum(np.searchsorted(hot[:, 0], slot), len(hot) - 1)
+        hit = np.flatnonzero(hot[i, 0] == slot)
+        n, first = hot[i[hit], 1], hot[i[hit], 2]
+        slot[hit] = first + (h[hit] % n.astype(np.uint64)).astype(np.int64)
+    return slot
+
+
+def _hash_windows(window: int, buckets: int, hot: np.ndarray | None = None):
+    """Batches of (id, text hash, text) to rows: bucket -1 holds starts that are known to go, others packed windows.
+    Without hot: to (bucket, number of windows that would leave the task)."""
 
     def of(batches):
         held: list[tuple] = []
@@ -92,8 +106,13 @@ def _hash_windows(window: int, buckets: int):
     def flush(held):
         h, bucket, doc, th, pos = (np.concatenate(x) for x in zip(*held))
         gone = _firsts(h, doc)
-        rows = [(-1, d, t, s, None) for d, t, s in _runs(doc[gone], th[gone], pos[gone])]
         left = np.flatnonzero(~gone)
+        if hot is None:
+            b, n = np.unique(bucket[left], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(n)], names=["bucket", "n"])
+            return
+        rows = [(-1, d, t, s, None) for d, t, s in _runs(doc[gone], th[gone], pos[gone])]
+        bucket = _slots(bucket, h, hot)
         left = left[np.argsort(bucket[left].astype(np.uint32), kind="stable")]
         b = bucket[left]
         cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []
@@ -164,13 +183,22 @@ def _cut(window: int):
     return of
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, bucket_chars: int = 4 << 20, least_buckets: int = 256) -> DataFrame:
+def packed_windows(rows: DataFrame, window: int, buckets: int, hot_windows: int) -> DataFrame:
+    """bucket, id, th, packed, hashes of rows (id, th, text). Buckets are counted first; those of more than hot_windows
+    windows are dealt to slots by the windows' hashes. The driver gets one row per hot bucket."""
+    n = rows.mapInArrow(_hash_windows(window, buckets), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > hot_windows)
+    hot = np.array(sorted((r["bucket"], -(-r["n"] // hot_windows)) for r in n.collect()), np.int64).reshape(-1, 2)
+    hot = np.c_[hot, buckets + np.cumsum(hot[:, 1]) - hot[:, 1]]
+    return rows.mapInArrow(_hash_windows(window, buckets, hot), "bucket int, id long, th long, packed binary, hashes binary")
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, bucket_chars: int = 4 << 20, least_buckets: int = 256, hot_windows: int = 1 << 20) -> DataFrame:
     """One row per row of docs: id, n_words, n_removed, removed (maximal intervals of word positions), kept_text."""
     if window < INNER:
         raise ValueError(f"window must be {INNER} words at least")
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     buckets = max(least_buckets, input_chars(docs, text_col) // bucket_chars)
-    found = d.where(F.col("id").isNotNull() & F.col("text").isNotNull()).mapInArrow(_hash_windows(window, buckets), "bucket int, id long, th long, packed binary, hashes binary")
+    found = packed_windows(d.where(F.col("id").isNotNull() & F.col("text").isNotNull()), window, buckets, hot_windows)
     # what a task already knows rides along under a salt, so that no group holds it all
     group = F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(-1 - F.pmod(F.xxhash64("id", "th"), F.lit(buckets)))
 

@@ -59,6 +59,17 @@ def test_substring(spark, rows):
         substring.substring_dedup(table(spark, rows), window=3)
 
 
+def test_a_hot_bucket_is_dealt_out(spark):
+    """A line that all documents share, between words of their own: its windows have one smallest 8-gram."""
+    line = " ".join(f"w{i}" for i in range(8))
+    docs = [(i, " ".join(f"a{i}x{k}" for k in range(6)) + f" {line} " + " ".join(f"b{i}x{k}" for k in range(6))) for i in range(300)] + [(900, line + " and one more"), (901, line + " and one more")]
+    d = table(spark, docs).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text")
+    largest = [max(r.n for r in substring.packed_windows(d, 10, 4, hot).where("bucket >= 0").groupBy("bucket").agg((F.sum(F.length("hashes")) / 8).alias("n")).collect()) for hot in (1 << 20, 100)]
+    assert largest[0] > 600 and largest[1] < 160
+    got = [sorted(map(tuple, substring.substring_dedup(table(spark, docs), window=10, hot_windows=hot).collect())) for hot in (1 << 20, 5)]
+    assert got[0] == got[1] and sum(r[2] for r in got[0]) == 11
+
+
 def test_rolling_hash_sees_order():
     x = np.array([1, 2, 3, 1, 2, 3, 2, 1, 3], np.uint64)
     h = rolling(x, 3)
