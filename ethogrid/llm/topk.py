@@ -5,14 +5,19 @@ work. A block holds one list per dimension, sorted by value. A query reads the l
 the sign of its component, and keeps for each candidate the sum of what it has seen: the lower bound adds the least value
 of each list not yet seen there, the upper bound the value at which that list stands. Candidates whose upper bound is
 below the k-th lower bound are outsiders. When few are left, their final scores are resolved. Spark merges the blocks.
+Where sums could pass 64 bits, products in doubles and their error bound leave few, whose scores are Python integers.
 
-Defined results. Vectors that are null, empty, hold null or non-finite components or components beyond +-2**18, and rows
-with null ids take no part. Repeated rows (equal id and vector) count once; other rows with the query's id are not its
-candidates. Only vectors of the query's length are its candidates. Ties go to the smaller id. Fewer than k: all.
+Defined results. Vectors that are null or hold null or non-finite components, and rows with null ids take no part.
+Repeated rows (equal id and vector) count once; other rows with the query's id are not its candidates. Only vectors of
+the query's length are its candidates. Ties go to the smaller id. Fewer than k: all. A score that does not fit a long is
+null, its rank is by the exact score.
 """
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -29,7 +34,7 @@ def no_random_access(vectors: np.ndarray, lists: np.ndarray, queries: np.ndarray
     once: what they have read is a mask that depends on the sign alone, so sums and bounds are products of matrices.
     own: (queries, candidates) to leave out."""
     m, left = len(vectors), [np.flatnonzero(~o) for o in own]
-    if m <= FEW or float(abs(vectors).max()) * float(abs(queries).max()) * queries.shape[1] >= 2.0**52:
+    if m <= FEW or not queries.shape[1] or float(abs(vectors).max()) * float(abs(queries).max()) * queries.shape[1] >= 2.0**52:
         return left  # few, or too large for exact sums in doubles
     x, plus, minus = vectors.astype(float), np.maximum(queries, 0).astype(float), np.minimum(queries, 0).astype(float)
     rank = np.empty_like(lists)
@@ -54,20 +59,77 @@ def no_random_access(vectors: np.ndarray, lists: np.ndarray, queries: np.ndarray
     return [np.flatnonzero(a) for a in alive]
 
 
-def _search(k: int):
+def exact(vectors: np.ndarray, doubles: np.ndarray, query: list[int], k: int, own: np.ndarray):
+    """Indexes of candidates among which the k best (and all ties of the k-th) are, and their scores as Python integers.
+
+    doubles: the vectors as such, or None if they or the sums would not fit."""
+    left = np.flatnonzero(~own)
+    if doubles is not None and len(left) > k:
+        x, q = doubles[left], np.array([float(a) for a in query])
+        s, e = x @ q, (len(q) + 4) * 2.0**-52 * (abs(x) @ abs(q))
+        left = left[s + e >= np.partition(s - e, len(left) - k)[len(left) - k]]
+    return left, [sum(a * b for a, b in zip(v, query)) for v in vectors[left].tolist()]
+
+
+def _bits(vectors) -> int:
+    return max((abs(int(x)).bit_length() for v in vectors for x in v), default=0)
+
+
+def _ordered(score: int):
+    """score (if it fits a long), over (-1, 0, 1: below, in, above longs) and, beyond longs, bytes in order of the score."""
+    if -(2**63) <= score < 2**63:
+        return score, 0, None
+    size = abs(score).bit_length() // 8 + 1
+    key = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return (None, 1, key) if score > 0 else (None, -1, bytes(255 - b for b in key))
+
+
+def _search(k: int, scale: int):
+    def wide(v) -> list[int]:
+        return [math.floor(Fraction(float(x[1:])) * scale) if x[0] == "f" else int(x) for x in v]
+
     def of(key, pdf):
-        is_query = pdf["query"].to_numpy()
-        vectors, ids = np.stack(pdf["v"].to_numpy()).astype(np.int64), pdf["id"].to_numpy()
-        cand, cid, out = vectors[~is_query], ids[~is_query], []
-        asked, qids = vectors[is_query], ids[is_query]
+        d = int(key[0])
+        limit = math.isqrt(2**62 // max(1, d))  # sums of products of components up to this fit 64 bits
+        is_query, ids = pdf["query"].to_numpy(bool), pdf["id"].to_numpy()
+        fits = pdf["w"].isna().to_numpy()
+        small = np.stack(pdf["v"][fits].to_numpy()).astype(np.int64) if fits.any() else np.empty((0, d), np.int64)
+        plain = fits.copy()
+        plain[fits] = (abs(small) <= limit).all(axis=1)
+        ints = dict(zip(np.flatnonzero(fits), small))
+        large = {i: ints[i].tolist() if fits[i] else wide(pdf["w"].iat[i]) for i in np.flatnonzero(~plain)}
+
+        def taken(queries: bool):
+            """Of the candidates or queries: plain vectors and their ids, the others and theirs."""
+            p, o = np.flatnonzero(plain & (is_query == queries)), np.flatnonzero(~plain & (is_query == queries))
+            others = np.empty((len(o), d), object)
+            for j, i in enumerate(o):
+                others[j] = large[i]
+            return np.array([ints[i] for i in p], np.int64).reshape(len(p), d), ids[p], others, ids[o]
+
+        cand, cid, big, bid = taken(False)
+        asked, qids, huge, hids = taken(True)
+        found: dict[int, list] = {}  # by query: its row, and (-score, candidate)
         lists = np.argsort(cand, axis=0, kind="stable")
         for at in range(0, len(asked) if len(cand) else 0, QUERIES):
             q, qid = asked[at : at + QUERIES], qids[at : at + QUERIES]
-            for one, i, left in zip(q, qid, no_random_access(cand, lists, q, k, cid[None, :] == qid[:, None])):
+            for n, (one, i, left) in enumerate(zip(q, qid, no_random_access(cand, lists, q, k, cid[None, :] == qid[:, None]))):
                 score = cand[left] @ one
                 best = np.lexsort((cid[left], -score))[:k]
-                out += zip([i] * len(best), cid[left][best], score[best])
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+                found[at + n] = list(zip((-score[best]).tolist(), cid[left][best].tolist()))
+        most = max(_bits(asked.max(axis=0, keepdims=True)) if len(asked) else 0, _bits(-asked.min(axis=0, keepdims=True)) if len(asked) else 0, _bits(huge)) if len(big) or len(huge) else 0
+        for vectors, names, queries, first in ((big, bid, asked, 0), (big, bid, huge, len(asked)), (cand, cid, huge, len(asked))):
+            if len(vectors) and len(queries):
+                own_bits = _bits(vectors) if vectors is big else limit.bit_length()
+                doubles = vectors.astype(float) if own_bits + most + d.bit_length() < 1000 else None
+                for n, one in enumerate(queries.tolist()):
+                    i = (qids if queries is asked else hids)[n]
+                    left, score = exact(vectors, doubles, one, k, names == i)
+                    found[first + n] = sorted([*found.get(first + n, []), *zip([-x for x in score], names[left].tolist())])[:k]
+        every = np.r_[qids, hids]
+        query, best, score, over, beyond = [list(x) for x in zip(*[(every[n], c, *_ordered(-s)) for n, got in found.items() for s, c in got])] or [[]] * 5
+        score = pd.arrays.IntegerArray(np.array([x or 0 for x in score], np.int64), np.array(over, np.int64) != 0)
+        return pd.DataFrame({"query_id": np.array(query, np.int64), "vec_id": np.array(best, np.int64), "score": score, "over": np.array(over, np.int32), "key": pd.Series(beyond, dtype=object)})
 
     return of
 
@@ -76,20 +138,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     """query_id, rank, vec_id, score."""
 
     def ready(df: DataFrame) -> DataFrame:
+        """id, d (length) and the integers: v, or w as text where one is beyond longs ("f": still to be scaled)."""
         v = F.col(vector_col)
-        fit = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double")) <= 2.0**18), F.lit(False)))
-        d = df.where(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & fit)
-        return d.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale)).alias("v")).dropDuplicates(["id", "v"])
+        finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
+        fits = lambda x: F.abs(x.cast("double") * scale) < 2.0**62
+        whole = lambda x: F.floor(x.cast("double") * scale)
+        text = F.transform(v, lambda x: F.when(fits(x), whole(x).cast("string")).otherwise(F.concat(F.lit("f"), x.cast("double").cast("string"))))
+        all_fit = F.forall(v, fits)
+        d = df.where(F.col(id_col).isNotNull() & v.isNotNull() & finite)
+        return d.select(F.col(id_col).cast("long").alias("id"), F.size(v).alias("d"), F.when(all_fit, F.transform(v, whole)).alias("v"), F.when(~all_fit, text).alias("w")).dropDuplicates(["id", "v", "w"])
 
     def in_blocks(n: int, size: int) -> int:
         return max(1, -(-n // size))
 
     cand, ask = ready(vectors), ready(queries)
     cb, qb = in_blocks(vectors.count(), block), in_blocks(queries.count(), query_block)
-    cand = cand.select("id", "v", F.lit(False).alias("query"), F.pmod(F.xxhash64("id", "v"), F.lit(cb)).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qb - 1).cast("long"))).alias("q"))
-    ask = ask.select("id", "v", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cb - 1).cast("long"))).alias("c"), F.pmod(F.xxhash64("id", "v"), F.lit(qb)).alias("q"))
-    each = cand.unionByName(ask).withColumn("d", F.size("v")).groupBy("d", "c", "q").applyInPandas(_search(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    cand = cand.select("id", "d", "v", "w", F.lit(False).alias("query"), F.pmod(F.xxhash64("id", "v", "w"), F.lit(cb)).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qb - 1).cast("long"))).alias("q"))
+    ask = ask.select("id", "d", "v", "w", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cb - 1).cast("long"))).alias("c"), F.pmod(F.xxhash64("id", "v", "w"), F.lit(qb)).alias("q"))
+    each = cand.unionByName(ask).groupBy("d", "c", "q").applyInPandas(_search(k, scale), "query_id long, vec_id long, score long, over int, key binary")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("over"), F.desc("score"), F.desc("key"), "vec_id"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -245,6 +245,25 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("large", [3e5, 5e7, 1e20, 1e200, 1.7e308])
+def test_top_k_keeps_all_finite_vectors(spark, large):
+    """Large components among candidates and queries, near ties too; every score by Python integers."""
+    rng = np.random.default_rng(8)
+    vec = np.round(rng.normal(size=(700, 6)), 2)
+    vec[100:140] *= large / 8
+    vec[200, 3], vec[300, 2], vec[310, 2] = large, -large, -large
+    vec[150:158] = np.floor(large / 2**40) * rng.integers(1, 4, (8, 6))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vec)] + [(700, []), (701, []), (800, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.where("vec_id % 100 = 0"), block=200, query_block=4).collect()
+    ints = {i: [int(np.floor(x * 1024)) if abs(x) < 2**43 else int(x) * 1024 for x in v] for i, v in rows}
+    want = []
+    for i in range(0, 900, 100):
+        every = sorted((-sum(a * b for a, b in zip(v, ints[i])), j) for j, v in ints.items() if j != i and len(v) == len(ints[i])) if i in ints else []
+        want += [(i, k + 1, j, -s if -(2**63) <= -s < 2**63 else None) for k, (s, j) in enumerate(every[:10])]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_mixing(spark, rows):
     every = [(i, f"t{i}", "big" if i % 3 else "small") for i in range(600)] + [(700, None, None), (None, "x", "big"), (701, "", "rare")]
     docs = table(spark, every)
