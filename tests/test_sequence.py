@@ -1,5 +1,7 @@
 """Sequential operators against small references."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,9 +9,12 @@ from pyspark.sql import functions as F
 from ethogrid.functions import geometry as G
 from ethogrid.operators import sequence as S
 from ethogrid.operators import stats as T
+from ethogrid.plans import model_queries as Q
 from ethogrid.sources import readers as R
 from ethogrid.sources import sinks
 
+DATA = "/root/testdata/sf0.001"
+
 
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
@@ -119,3 +124,9 @@ def test_lists_and_keys(spark, tmp_path):
     bad = spark.createDataFrame([(0, 1, "1", "2", "a", 5, 5)], "row_id int, video_id int, agent_id string, target_id string, action string, start_frame int, stop_frame int")
     with pytest.raises(ValueError):
         sinks.write_submission(bad, f"{tmp_path}/s")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_boosted_trees_predict_every_fold(spark, monkeypatch):
+    monkeypatch.setattr(Q.M, "boosted", lambda rounds: Q.M.forest(2, 2))  # the folds count here, not the model
+    assert sum(r.support for r in Q.ml_boosted(spark, DATA).collect()) == Q._windows(spark, DATA).count()
