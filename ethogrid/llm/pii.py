@@ -99,7 +99,8 @@ def op3_pii_sanitise(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = sanitise(docs)
     names = [k.name for k in PERSONAL]
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).join(found.withColumnRenamed("id", "doc_id"), ["doc_id", "th"], "left")
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"))
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")), "left")
     spans = F.coalesce("spans", F.array().cast(SPANS))
     base = written(F.filter(spans, lambda s: s["kind"] < len(names)), names)
     return rows.select("doc_id", *counted(spans, names), F.sha2(base, 256).alias("base_sha256"), written(spans, [*names, "term"]).alias("spans"))

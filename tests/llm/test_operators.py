@@ -167,6 +167,12 @@ def test_personal_data(spark):
         assert [(s.start, s.kind, s.stop) for s in (found.spans if found else [])] == brute_spans(r.text), r.text and r.text[:40]
 
 
+def test_personal_data_of_rows_without_id(spark, tmp_path):
+    table(spark, [(None, "to a@b.co"), (None, "none here"), (None, None), (1, "at 1.2.3.4")]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id is None, r.n_email, r.n_ip, r.spans) for r in pii.op3_pii_sanitise(spark, str(tmp_path)).collect())
+    assert got == [(False, 0, 1, "ip:3:10"), (True, 0, 0, ""), (True, 0, 0, ""), (True, 1, 0, "email:3:9")]
+
+
 def test_disclosing_terms_go_and_clean_documents_stay(spark):
     every = [(i, f"the member Zorblatt mail u{i}@x.org today") for i in range(30)] + [(100 + i, f"the plain mail today number {i}") for i in range(60)]
     docs = table(spark, every)
