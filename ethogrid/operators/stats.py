@@ -20,6 +20,18 @@ def average_rank(x: str, w_by: list[str]) -> Column:
     return F.rank().over(Window.partitionBy(*w_by).orderBy(x)) + (ties - 1) / 2
 
 
+def ranks_by_range(df: DataFrame, x: str, step: float, rank: str) -> DataFrame:
+    """x, rank: each distinct value of x and its average rank among all rows, as average_rank has it. Values are counted
+    and dealt by ranges of width step, so no task sorts all rows. x must be bounded and rounded, so that ranges, and
+    the values of one, are few."""
+    n = df.groupBy(x).agg(F.count("*").alias("_n")).withColumn("_r", F.floor(F.col(x) / step))
+    sizes = n.groupBy("_r").agg(F.sum("_n").alias("_all"))
+    before = sizes.select(F.col("_r").alias("_s"), F.coalesce(F.sum("_all").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    up_to = F.sum("_n").over(Window.partitionBy("_r").orderBy(x))
+    dealt = n.join(F.broadcast(before), n["_r"].eqNullSafe(before["_s"]))  # one row per range
+    return dealt.select(x, (F.col("_before") + up_to - F.col("_n") + 1 + (F.col("_n") - 1) / 2).alias(rank))
+
+
 def wilcoxon(pairs: DataFrame, a: str, b: str, *by: str) -> DataFrame:
     """Signed-rank sums of a - b (zeros dropped), their smaller one, the normal z with tie correction, and the
     rank-biserial effect."""

@@ -253,8 +253,11 @@ def dc_fuse_models(spark, d):
 def dc_uncertainty_top(spark, d):
     """The 20 windows with most entropy, least margin and least confidence, by mean rank."""
     p = proba(spark, d).select("window_id", F.round(G.entropy(F.col("p")), 6).alias("entropy"), F.round(G.margin(F.col("p")), 6).alias("margin"), F.round(F.array_max("p"), 6).alias("top"))
-    p = p.withColumns({"a": -F.col("entropy"), "one": F.lit(1)})
-    r = p.select("window_id", "entropy", "margin", "top", ((T.average_rank("a", ["one"]) + T.average_rank("margin", ["one"]) + T.average_rank("top", ["one"])) / 3).alias("rank"))
+    p = p.withColumn("a", -F.col("entropy"))
+    for x in ("a", "margin", "top"):
+        k = T.ranks_by_range(p, x, 0.001, f"rank_{x}").withColumnRenamed(x, "k")
+        p = p.join(k, p[x].eqNullSafe(k["k"])).drop("k")
+    r = p.select("window_id", "entropy", "margin", "top", ((F.col("rank_a") + F.col("rank_margin") + F.col("rank_top")) / 3).alias("rank"))
     return _r6(r.orderBy("rank", "window_id").limit(20))
 
 

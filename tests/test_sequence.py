@@ -126,6 +126,13 @@ def test_lists_and_keys(spark, tmp_path):
         sinks.write_submission(bad, f"{tmp_path}/s")
 
 
+def test_ranks_by_range_are_average_ranks(spark):
+    x = np.random.default_rng(5).integers(-40, 40, 500) / 1000
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)] * 3, "x double")
+    want = {r.x: r.r for r in df.withColumn("one", F.lit(1)).select("x", T.average_rank("x", ["one"]).alias("r")).collect()}
+    assert {r.x: r.r for r in T.ranks_by_range(df, "x", 0.007, "r").collect()} == want
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_boosted_trees_predict_every_fold(spark, monkeypatch):
     monkeypatch.setattr(Q.M, "boosted", lambda rounds: Q.M.forest(2, 2))  # the folds count here, not the model
