@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,12 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named and driver and
+    executors are one local process (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = getattr(spark, "_ethogrid_shared", None) or tempfile.mkdtemp(prefix="spark-")
         spark._ethogrid_shared = path
         spark.sparkContext.setCheckpointDir(path)
@@ -28,7 +32,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: the lineage ends there and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over the cores if its scan keeps most of them idle (a table of few files), else df as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
+
+
+def released(df: DataFrame) -> None:
+    """Free the files of a stored table that nothing reads any more: an empty table takes their place."""
+    path = getattr(df, "_stored_at", None)
+    if path:
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:

@@ -1,18 +1,23 @@
 """PII: information-theoretic sanitisation, with DataFrame functions only.
 
-Patterns find the protected entities (e-mail, IP, card, phone). The corpus then says how strongly each term near them
-reveals the kind of entity: with N documents, n(k) that hold kind k, n(t) that hold term t and n(k, t) with t within
-`words` words of an entity of kind k, the term discloses
+Patterns find the protected entities (e-mail, IP, card, phone). The corpus then says how strongly each term reveals the
+kind of entity: with N documents, n(k) that hold kind k, n(t) that hold term t and n(k, t) that hold both, anywhere in
+their texts, the term discloses
 
     PMI(k; t) / IC(k) = log(N n(k, t) / (n(k) n(t))) / log(N / n(k))
 
-of the kind's information: 1 if t never stands anywhere else. Where such a term stands near an entity, it is generalised
-(from `generalise` on) or removed (from `remove` on), as are the entities themselves. Terms seen near a kind in fewer
-than `support` documents, and documents without entities, are left alone.
+of the kind's information: 1 if no document without the kind holds t. What a term discloses most, of any kind, counts.
+Terms are generalised (from `generalise` on) or removed (from `remove` on) wherever they stand, in all documents, as are
+the entities themselves. Terms that fewer than `support` documents of a kind hold are left alone.
 
-Defined results. Null text: empty. Null ids and repeated rows: one result row each (equal rows count once in n(k, t)).
-Overlapping spans are all reported and replaced once, under the first one's label. A kind that every document holds
-discloses nothing. Empty tables give empty results. Other columns are ignored.
+How it runs. One scan explodes the distinct terms of each document with its kinds; partial sums leave the tasks. A second
+scan joins the documents' terms with the told ones, which are counted and broadcast up to a million, and only documents
+that hold such terms are read again to place them.
+
+Defined results. Null text: empty. Null ids and repeated rows: one result row each (rows are documents in all counts).
+Overlapping entities are all reported and replaced once, under the first one's label; terms inside or across entities are
+no spans of their own. A kind that every document holds discloses nothing. Empty tables give empty results. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -20,55 +25,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
-from .spans import PERSONAL, Kind, counted, located, sql_located, written
+from .common import bounded_broadcast, spread, stored
+from .spans import PERSONAL, Kind, counted, located, present, sql_located, summed, written
 
 TERM = r"\p{L}{3,}+"
 SPANS = "array<struct<start:bigint,kind:int,stop:bigint,disclosed:double>>"
 
 
-def _terms(text: Column, offset: Column, around: int, words: int, before: bool) -> Column:
-    """The whole terms among the `words` nearest ones of a short context: term, start, stop."""
-    whole = F.length(text) < around
-    kind = "struct<at:bigint,out:array<struct<term:string,start:bigint,stop:bigint>>>"
-    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap"), F.length(m).alias("n")))
-
-    def add(acc, x):
-        start = acc["at"] + x["gap"]
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct((start + x["n"]).alias("at"), F.array_append(acc["out"], F.struct(F.lower(x["m"]).alias("term"), start.alias("start"), (start + x["n"]).alias("stop"))).alias("out")).cast(kind))
-
-    got = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind), add, lambda a: a["out"])
-    got = F.filter(got, lambda x: whole | ((x["start"] > 0) if before else (x["stop"] < around)))
-    got = F.slice(F.reverse(got), 1, words) if before else F.slice(got, 1, words)
-    return F.transform(got, lambda x: F.struct(x["term"].alias("term"), (offset + x["start"]).alias("start"), (offset + x["stop"]).alias("stop")))
-
-
-def disclosure(context: DataFrame, base: DataFrame, texts: DataFrame, support: int) -> DataFrame:
-    """kind, term, disclosed for the terms with enough support."""
-    near = context.select("id", "th", "kind", "term").distinct().groupBy("kind", "term").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    near = stored(near, "near")
-    said = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    counts = said.groupBy("term").agg(F.count("*").alias("nt"))
-    total = texts.count()
-    kinds = {r["kind"]: r["n"] for r in base.select("id", "th", "kind").distinct().groupBy("kind").agg(F.count("*").alias("n")).collect()}  # one row a kind
-    nk = F.create_map(*[x for k, n in kinds.items() for x in (F.lit(k), F.lit(float(n)))]) if kinds else F.lit(None).cast("map<int,double>")
-    k = F.try_element_at(nk, F.col("kind"))
-    part = F.try_divide(F.ln(F.lit(float(total)) * F.col("n") / (k * F.col("nt"))), F.ln(F.lit(float(total)) / k))
-    return near.join(counts, "term").select("kind", "term", part.alias("disclosed"))
-
-
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = PERSONAL, words: int = 3, around: int = 64, support: int = 20, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
+def placed_terms(texts: DataFrame, told: DataFrame) -> DataFrame:
+    """id, th, start, stop, disclosed of every told term (term, disclosed) in texts (id, th, text); equal rows count once.
+
+    A term is a whole run of letters, so the forms of told terms that a document holds make a pattern of its own."""
+    forms = texts.select("id", "th", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))).alias("form"))
+    held = forms.join(told.select("term"), F.lower("form") == F.col("term")).groupBy(F.col("id").alias("i"), F.col("th").alias("t")).agg(F.sort_array(F.collect_set("form")).alias("forms"))
+    rows = texts.join(stored(held, "holders"), F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("forms", "|"), F.lit(r")(?!\p{L})"))
+    found = rows.select("id", "th", F.regexp_extract_all("text", pattern, F.lit(0)).alias("m"), F.transform(F.split("text", pattern, -1), lambda g: F.length(g)).alias("g"))
+    parts = F.zip_with("m", "g", lambda m, g: F.when(m.isNotNull(), F.struct(g.alias("gap"), F.length(m).alias("n"), F.lower(m).alias("term"))))
+    at = summed(found.select("id", "th", F.posexplode(F.array_compact(parts)).alias("pos", "x")).select("id", "th", "pos", "x.*"), ["id", "th"], ["id", "th"])
+    return at.join(told, "term").select("id", "th", "start", "stop", "disclosed")
+
+
+def disclosure(texts: DataFrame, kinds: tuple[Kind, ...], support: int) -> DataFrame:
+    """term, disclosed of the terms that enough documents of a kind hold."""
+    held = [present(k, F.col("text")).alias(f"k{i}") for i, k in enumerate(kinds)]
+    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    # every document holds the empty term: its counts are N and n(k)
+    said = texts.select(*held, terms.alias("terms")).select(*[f"k{i}" for i in range(len(kinds))], F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
+    counts = said.groupBy("term").agg(F.count("*").alias("n"), *[F.count_if(f"k{i}").alias(f"n{i}") for i in range(len(kinds))])
+    counts = stored(counts.where((F.col("term") == "") | (F.greatest(*[f"n{i}" for i in range(len(kinds))], F.lit(0)) >= support)), "terms")
+    every = counts.where("term = ''").first()
+    if every is None:
+        return counts.select("term", F.lit(None).cast("double").alias("disclosed")).limit(0)
+    n, each = float(every["n"]), []
+    for i in range(len(kinds)):
+        if 0 < every[f"n{i}"] < n:
+            part = F.ln(F.lit(n) * F.col(f"n{i}") / (F.lit(float(every[f"n{i}"])) * F.col("n"))) / F.ln(F.lit(n / every[f"n{i}"]))
+            each.append(F.when(F.col(f"n{i}") >= support, part))
+    most = F.greatest(*each, F.lit(None).cast("double"), F.lit(None).cast("double")) if each else F.lit(None).cast("double")
+    return counts.where("term <> ''").select("term", most.alias("disclosed"))
+
+
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = PERSONAL, support: int = 20, generalise: float = 0.8) -> DataFrame:
     """id, th (hash of the text), spans (start, kind, stop, disclosed; kind len(kinds) is a term) and islands (merged
-    spans to replace) of the documents that hold entities."""
+    spans to replace) of the documents that hold entities or telling terms."""
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = stored(located(texts, ["id", "th"], kinds, around), "entities")
-    after = _terms(F.coalesce("after", F.lit("")), F.col("stop"), around, words, False)
-    before = _terms(F.coalesce("before", F.lit("")), F.col("start") - F.length("before"), around, words, True)
-    context = stored(base.select("id", "th", "kind", F.explode(F.concat(before, after)).alias("x")).select("id", "th", "kind", "x.*"), "context")
-    told = disclosure(context, base, texts, support).where(F.col("disclosed") >= generalise)
-    term = context.join(told, ["kind", "term"]).groupBy("id", "th", "start", "stop").agg(F.max("disclosed").alias("disclosed"))
+    told = bounded_broadcast(stored(disclosure(texts, kinds, support).where(F.col("disclosed") >= generalise), "told"), 1_000_000)
+    term = placed_terms(texts, told)
     none = F.lit(None).cast("double")
-    every = base.select("id", "th", "start", "kind", "stop", none.alias("disclosed")).unionByName(term.withColumn("kind", F.lit(len(kinds))))
+    base = located(texts, ["id", "th"], kinds).select("id", "th", "start", "kind", "stop", none.alias("disclosed"))
+    every = base.unionByName(term.withColumn("kind", F.lit(len(kinds))))
     doc = Window.partitionBy("id", "th").orderBy("start", "kind", "stop")
     entity = F.col("kind") < len(kinds)
     held = F.max(F.when(entity, F.col("stop"))).over(doc.rowsBetween(Window.unboundedPreceding, -1))
@@ -96,7 +102,7 @@ def replaced(text: Column, islands: Column, names: list[str], remove: float = 0.
 
 
 def op3_pii_sanitise(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     found = sanitise(docs)
     names = [k.name for k in PERSONAL]
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"))
@@ -118,18 +124,15 @@ def op3_sql() -> str:
     ]
     term = r"\p{L}{3,}"
     return f"""WITH {sql_located(kinds)},
-c AS (SELECT doc_id, k, start, start AS key, right(substr(t, coalesce(lag(p) OVER w, 0)::BIGINT + 1, (start - coalesce(lag(p) OVER w, 0))::BIGINT), 64) AS w, true AS b, ok FROM (SELECT doc_id, k, (stop - length(m))::BIGINT AS start, stop::BIGINT AS p, CASE k {" ".join(f"WHEN {i} THEN {x}" for i, (_, _, x) in enumerate(kinds))} END AS ok FROM placed) JOIN src USING (doc_id) WINDOW w AS (PARTITION BY doc_id, k ORDER BY p)
-  UNION ALL SELECT doc_id, k, start, p, left(substr(t, p + 1, (coalesce(lead(start) OVER w, length(t)) - p)::BIGINT), 64), false, ok FROM (SELECT doc_id, k, (stop - length(m))::BIGINT AS start, stop::BIGINT AS p, CASE k {" ".join(f"WHEN {i} THEN {x}" for i, (_, _, x) in enumerate(kinds))} END AS ok FROM placed) JOIN src USING (doc_id) WINDOW w AS (PARTITION BY doc_id, k ORDER BY p)),
-tok AS (SELECT doc_id, k, start, CASE WHEN b THEN key - length(w) ELSE key END AS off, b, w, unnest(regexp_extract_all(w, '{term}')) AS m, unnest(regexp_split_to_array(w, '{term}')[1 : len(regexp_extract_all(w, '{term}'))]) AS g, unnest(range(1, len(regexp_extract_all(w, '{term}')) + 1)) AS j FROM c WHERE ok),
-tp AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY doc_id, k, start, b ORDER BY j) AS e FROM tok),
-tw AS (SELECT *, e - length(m) AS s FROM tp WHERE length(w) < 64 OR (b AND e - length(m) > 0) OR (NOT b AND e < 64)),
-near AS (SELECT * FROM tw QUALIFY row_number() OVER (PARTITION BY doc_id, k, start, b ORDER BY CASE WHEN b THEN -j ELSE j END) <= 3),
-ctx AS (SELECT doc_id, k, lower(m) AS term, (off + s)::BIGINT AS ts, (off + e)::BIGINT AS te FROM near),
-nkt AS (SELECT k, term, count(DISTINCT doc_id) AS n FROM ctx GROUP BY ALL HAVING count(DISTINCT doc_id) >= 20),
-nt AS (SELECT term, count(*) AS nt FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(t), '{term}'))) AS term FROM src) WHERE term IN (SELECT term FROM nkt) GROUP BY term),
-nk AS (SELECT k, count(DISTINCT doc_id)::DOUBLE AS nk FROM found GROUP BY k),
-told AS (SELECT k, term, ln(big * n / (nk * nt)) / nullif(ln(big / nk), 0) AS d FROM nkt JOIN nt USING (term) JOIN nk USING (k), (SELECT count(*)::DOUBLE AS big FROM src)),
-ts AS (SELECT DISTINCT doc_id, ts, te FROM ctx JOIN told USING (k, term) WHERE d >= 0.8),
+own AS (SELECT doc_id, list_distinct(list(k)) AS ks FROM found GROUP BY doc_id),
+say AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(t), '{term}'))) AS term FROM src),
+nt AS (SELECT term, count(*) AS nt FROM say GROUP BY term),
+nkt AS (SELECT term, k, count(*) AS n FROM (SELECT doc_id, unnest(ks) AS k FROM own) JOIN say USING (doc_id) GROUP BY ALL HAVING count(*) >= 20),
+nk AS (SELECT k, count(*)::DOUBLE AS nk FROM (SELECT unnest(ks) AS k FROM own) GROUP BY k),
+told AS (SELECT DISTINCT term FROM nkt JOIN nt USING (term) JOIN nk USING (k), (SELECT count(*)::DOUBLE AS big FROM src) WHERE nk < big AND ln(big * n / (nk * nt)) / ln(big / nk) >= 0.8),
+tok AS (SELECT doc_id, unnest(regexp_extract_all(t, '{term}')) AS m, unnest(regexp_split_to_array(t, '{term}')[1 : len(regexp_extract_all(t, '{term}'))]) AS g, unnest(range(1, len(regexp_extract_all(t, '{term}')) + 1)) AS j FROM src),
+tp AS (SELECT doc_id, lower(m) AS term, length(m) AS n, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY j) AS e FROM tok),
+ts AS (SELECT doc_id, (e - n)::BIGINT AS ts, e::BIGINT AS te FROM tp JOIN told USING (term)),
 free AS (SELECT * FROM ts WHERE NOT EXISTS (SELECT 1 FROM found AS f WHERE f.doc_id = ts.doc_id AND f.start < ts.te AND ts.ts < f.stop)),
 al AS (SELECT doc_id, k, kind, start, stop FROM found UNION ALL SELECT doc_id, 4, 'term', ts, te FROM free),
 s AS (SELECT doc_id, count_if(k = 0) AS a, count_if(k = 1) AS b, count_if(k = 2) AS c, count_if(k = 3) AS d,

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, WORD, bounded_broadcast, stored
+from .common import GAP, WORD, bounded_broadcast, spread, stored
 
 SYMBOLS = "#*$%&|<>"
 
@@ -106,7 +106,7 @@ def _matched(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
-    r = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    r = quality_rules(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return r.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_boilerplate")
 
 

@@ -58,25 +58,34 @@ PERSONAL = (
 )
 
 
-def located(df: DataFrame, keys: list[str], kinds: tuple[Kind, ...], around: int = 0, unique: bool = False) -> DataFrame:
-    """keys, kind (its number), start, stop and up to `around` characters before and after, one row per match; df has
-    keys and text. Rows with equal keys must have equal texts; they count once. unique: there are none."""
+def present(kind: Kind, text: Column) -> Column:
+    """Whether the text holds a match of the kind."""
+    some = F.exists(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), kind.ok)
+    return F.when(text.contains(kind.hint) & text.rlike(kind.pattern), some).otherwise(F.lit(False))
+
+
+def located(df: DataFrame, keys: list[str], kinds: tuple[Kind, ...], unique: bool = False) -> DataFrame:
+    """keys, kind (its number), start, stop, one row per match; df has keys and text. Rows with equal keys must have equal
+    texts; they count once. unique: there are none."""
     some = [F.when(F.col("text").contains(k.hint) & F.col("text").rlike(k.pattern), F.struct(F.regexp_extract_all("text", F.lit(k.pattern), F.lit(0)).alias("m"), F.split("text", k.pattern, -1).alias("s"))).alias(f"_{i}") for i, k in enumerate(kinds)]
     hits = df.select(*keys, *some)
 
     def pieces(i: int, k: Kind) -> Column:
-        s = F.col(f"_{i}.s")
-        gaps = F.transform(s, lambda g, j: F.struct(F.length(g).alias("gap"), F.right(g, F.lit(around)).alias("before"), F.left(F.get(s, j + 1), F.lit(around)).alias("after")))
-        return F.zip_with(F.col(f"_{i}.m"), gaps, lambda m, g: F.when(m.isNotNull(), F.struct(F.lit(i).alias("kind"), g["gap"].alias("gap"), F.length(m).alias("n"), k.ok(m).alias("ok"), g["before"].alias("before"), g["after"].alias("after"))))
+        gaps = F.transform(F.col(f"_{i}.s"), lambda g: F.length(g))
+        return F.zip_with(F.col(f"_{i}.m"), gaps, lambda m, g: F.when(m.isNotNull(), F.struct(F.lit(i).alias("kind"), g.alias("gap"), F.length(m).alias("n"), k.ok(m).alias("ok"))))
 
     each = F.array_compact(F.flatten(F.array_compact(F.array(*[pieces(i, k) for i, k in enumerate(kinds)]))))
     rows = hits.select(*keys, F.posexplode(each).alias("pos", "x"))
+    return summed(rows.select(*keys, "pos", "x.*"), keys, [*keys, "kind"], unique).where("ok").select(*keys, "kind", "start", "stop")
+
+
+def summed(rows: DataFrame, keys: list[str], by: list[str], unique: bool = False) -> DataFrame:
+    """rows (keys, pos, gap before the match, its length n, others) with start and stop, by running sums in order of pos
+    within `by`; rows of equal keys and pos count once. unique: there are none."""
     if not unique:
         rows = rows.repartition(*keys).dropDuplicates([*keys, "pos"])
-    rows = rows.select(*keys, "pos", "x.*")
-    so_far = Window.partitionBy(*keys, "kind").orderBy("pos")
-    stop = F.sum(F.col("gap").cast("long") + F.col("n")).over(so_far)
-    return rows.withColumn("stop", stop).where("ok").select(*keys, "kind", (F.col("stop") - F.col("n")).alias("start"), "stop", "before", "after")
+    stop = F.sum(F.col("gap").cast("long") + F.col("n")).over(Window.partitionBy(*by).orderBy("pos"))
+    return rows.withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("n"))
 
 
 def counted(spans: Column, names: list[str]) -> list[Column]:

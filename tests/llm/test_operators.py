@@ -174,13 +174,15 @@ def test_personal_data_of_rows_without_id(spark, tmp_path):
 
 
 def test_disclosing_terms_go_and_clean_documents_stay(spark):
-    every = [(i, f"the member Zorblatt mail u{i}@x.org today") for i in range(30)] + [(100 + i, f"the plain mail today number {i}") for i in range(60)]
+    far = "plain today number " * 40
+    every = [(i, f"the member Zorblatt mail u{i}@x.org today {far}ZORBLATT {far}Gribkin") for i in range(30)] + [(100 + i, f"the plain mail today number {i}") for i in range(60)]
+    every += [(200, "gribkin, and Gribkins; GRIBKIN too"), (200, "gribkin, and Gribkins; GRIBKIN too"), (None, "gribkin"), (201, "")]
     docs = table(spark, every)
     found = pii.sanitise(docs, support=20).withColumnRenamed("id", "i").withColumnRenamed("th", "t")
-    joined = docs.withColumn("t0", F.xxhash64("text")).join(found, (F.col("doc_id") == F.col("i")) & (F.col("t0") == F.col("t")), "left")
+    joined = docs.withColumn("t0", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("t0") == F.col("t")), "left")
     out = {r.doc_id: r.clean for r in joined.select("doc_id", pii.replaced(F.col("text"), F.col("islands"), [k.name for k in PERSONAL]).alias("clean")).collect()}
-    assert out[3] == "the   mail [EMAIL] today"  # both words stand by an address only
-    assert all(out[i] == t for i, t in every if i >= 100)
+    assert out[3] == f"the   mail [EMAIL] today {far} {far}[TERM]"  # two words only where an address is; one in few others too
+    assert all(out[i] == t for i, t in every if i and 100 <= i < 200) and out[200] == "[TERM], and Gribkins; [TERM] too" and out[None] == "[TERM]"
     assert pii.sanitise(docs.limit(0)).count() == 0
 
 
