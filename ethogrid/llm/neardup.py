@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_words, chunks, mix, rolling, stored
+from .common import chunk_words, chunks, mix, released, rolling, spread, stored
 
 BLOCK_ROWS, BLOCK_BYTES = 2048, 16 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -159,6 +159,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     while True:
+        was = e
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -166,6 +167,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x")).select("x.u", F.col("x.m").alias("v")).where("u <> v").distinct()
         e = stored(small, "edges")
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        released(was)
         if now == mark:
             return e
         mark = now
@@ -183,10 +185,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = buckets.groupBy("members", "bytes", "x1", "x2").agg(F.min("key").alias("key"))
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES)).cast("int")
     members = stored(entries.select("id", "th", "key").join(buckets.select("key", blocks.alias("g")), "key"), "members")
-    texts = d.mapInArrow(_squeeze, "id long, th long, z binary")
-    # a document is in `bands` buckets at most; a merge join at every size, so that a small run costs what a large one does
+    # repeated rows would meet in every bucket of their document: one stays, the others don't leave their tasks
+    texts = d.mapInArrow(_squeeze, "id long, th long, z binary").groupBy("id", "th").agg(F.first("z").alias("z"))
+    # a document is in `bands` buckets at most
     wanted = members.groupBy("id", "th").agg(F.collect_list(F.struct("key", "g")).alias("keys"))
-    dealt = texts.join(wanted.hint("merge"), ["id", "th"]).select("id", "th", "z", F.explode("keys").alias("x")).select("id", "th", "z", "x.*")
+    dealt = texts.join(wanted, ["id", "th"]).select("id", "th", "z", F.explode("keys").alias("x")).select("id", "th", "z", "x.*")
     mine = F.pmod(F.xxhash64("id", "th"), F.col("g").cast("long")).cast("int")
     dealt = dealt.withColumn("b", mine)
     dealt = dealt.withColumn("o", F.explode(F.when(F.col("g") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("g") - 1), lambda k: k != F.col("b")))))
@@ -201,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op5_minhash_neardup(spark, sf_dir: str) -> DataFrame:
-    r = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, similarity=(85, 100))
+    r = near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), shingle=3, similarity=(85, 100))
     return r.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
