@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 CACHE_WORDS = 1_200_000
 LATIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: Byte-level models write the bytes that have no printable Latin-1 character as characters from 256 on.
@@ -96,9 +98,20 @@ def word_ids(path: str):
     return of
 
 
+def fitting_tokenizer(path: str) -> str:
+    """path, if word_ids gives that tokenizer's ids: it lowers texts, drops white space and splits as word_ids does."""
+    from tokenizers import Tokenizer
+
+    plain, ours = Tokenizer.from_file(path), word_ids(path)
+    for text in ("It's A Test, of words! don't", "\tTwo  spaces\r\n", "a.b #c d's 12.5 \u00c9t\u00e9 e\u0301 \u65e5\u672c", "x" * 40 + " !?.;: 'll", ""):
+        if ours(text.encode()) != b"".join(i.to_bytes(4, "little") for i in plain.encode(text, add_special_tokens=False).ids):
+            raise ValueError(f"{path}: a tokenizer that does not work word by word, in lower case")
+    return path
+
+
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, path: str | None = None, keep_ids: bool = True) -> DataFrame:
     """id, piece, start, length, ids_crc32 and (keep_ids) ids, little-endian unsigned 32-bit."""
-    path, end = path or tokenizer_path(), end_id.to_bytes(4, "little")
+    path, end = fitting_tokenizer(path or tokenizer_path()), end_id.to_bytes(4, "little")
     names = ["id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
@@ -163,7 +176,7 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
 
 def pack(parts: DataFrame, capacity: int = 4096, group_rows: int = 20_000) -> DataFrame:
     """parts' columns with sequence_id and offset; parts: id, piece, start, length of at most capacity, others."""
-    groups = max(1, -(-parts.select("id").count() // group_rows)) if not parts.isStreaming else 1
+    groups = max(1, -(-parts.select("id").count() // group_rows))
     return _packed(parts, capacity, groups)
 
 
@@ -181,10 +194,13 @@ def _packed(parts: DataFrame, capacity: int, groups: int) -> DataFrame:
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, group_rows: int = 20_000, keep_ids: bool = True, **tokens) -> DataFrame:
     """The pieces of docs in sequences; keep_ids: with their ids, else with the CRC-32 of the ids alone."""
-    groups = max(1, -(-docs.count() // group_rows))
+    docs = docs.select(id_col, text_col)
+    n = docs.agg(F.count("*").alias("docs"), F.sum(F.octet_length(text_col).cast("long")).alias("bytes")).first()
+    # about the number of pieces: a document has one, and one more per capacity of tokens
+    groups = max(1, -(-(n["docs"] + (n["bytes"] or 0) // (4 * capacity)) // group_rows))
     return _packed(pieces(docs, id_col, text_col, capacity, keep_ids=keep_ids, **tokens), capacity, groups)
 
 
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    r = pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_ids=False)
+    r = pack_documents(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), keep_ids=False)
     return r.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
