@@ -12,16 +12,20 @@ before the shuffle.
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spread, stored
 from .spans import SECRETS, Kind, counted, located, sql_located, written
 
 
 def rule_version(kinds: tuple[Kind, ...]) -> str:
-    return hashlib.sha256("\n".join(f"{k.name} {k.pattern} {k.ok.__code__.co_code.hex()}" for k in kinds).encode()).hexdigest()[:16]
+    """A hash of all that decides a match: names, patterns, and conditions as the expressions that Spark gets, constants
+    included (the numbers that Spark gives to lambda variables are left out)."""
+    rules = [f"{k.name} {k.pattern} {k.hint} " + re.sub(r"\b([a-z]+)_\d+\b", r"\1", str(k.ok(F.col("match")))) for k in kinds]
+    return hashlib.sha256("\n".join(rules).encode()).hexdigest()[:16]
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, kinds: tuple[Kind, ...] = SECRETS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -45,7 +49,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, kinds: tuple[Kind
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
-    found, _ = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found, _ = scan(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     names = [k.name for k in SECRETS]
     spans = written(F.col("spans"), names)
     counts = counted(F.col("spans"), names)
