@@ -1,23 +1,25 @@
 """URL filters: allow and block rules, and gradient-boosted trees on lexical features for what no rule fits.
 
 The trees are trained from labelled URLs, here those that the rules decide: on at most `sample` of them (the smallest
-hashes), while suffix statistics come from all rows. Training is a small numpy job on the driver; scoring runs in tasks.
+hashes), both verdicts weighing alike. Features are Spark columns: lengths, depth, digit ratio, entropy, counts of
+parameters and signs, and the suffix's statistics over all rows. A suffix's share of blocked labels, as a labelled row
+sees it, leaves out the labels of the row's own fold, so no row sees its own label. `learn` also fits without one fold
+and returns what that model scores there. Training is a small numpy job on the driver; URLs that no rule fits are scored
+in tasks.
 
 Defined results. Null url or no "://": empty host and path, judged by the model on its other features. Null and repeated
 ids: one result row each. If all labelled URLs have one verdict, that is the verdict of the rest; without any, allow.
+Very long URLs are judged whole. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, stored
+from .common import bounded_broadcast, spread, stored
 
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,18 +40,37 @@ def fitting_rule(host, path, rules=RULES):
     return F.coalesce(*fits)
 
 
-def features(pdf: pd.DataFrame) -> np.ndarray:
-    """Lexical features of url, host and path, and the suffix's share of rows and of blocked labels."""
-    out = np.empty((len(pdf), 16))
-    for i, (url, host, path, n, rate) in enumerate(zip(pdf["url"], pdf["host"], pdf["path"], pdf["suffix_n"], pdf["suffix_rate"])):
-        url = url or ""
-        size, counts = len(url), Counter(url)
-        entropy = -sum(c / size * math.log2(c / size) for c in counts.values()) if size else 0
-        digits = sum(c for x, c in counts.items() if x.isdigit())
-        labels = host.split(".")
-        query = url.partition("?")[2].partition("#")[0]
-        out[i] = (size, len(host), len(path), path.count("/"), digits / max(size, 1), entropy, query.count("&") + bool(query), query.count("="), len(labels), max(map(len, labels)), host.count("-"), sum(x.isdigit() for x in host), "#" in url, counts["%"] + counts["_"], math.log1p(n), rate)
-    return out
+FOLDS = 5
+FEATURES = "length host_length path_length depth digits entropy parameters assigned labels longest_label hyphens host_digits fragment signs suffix_n suffix_rate".split()
+
+
+def lexical(url, host, path) -> dict:
+    """The lexical features, as columns."""
+    u = F.coalesce(url, F.lit(""))
+    size = F.length(u)
+
+    def count(of, signs: str):
+        return F.length(of) - F.length(F.translate(of, signs, ""))
+
+    letters = F.filter(F.array_distinct(F.split(u, "")), lambda c: c != "")
+    share = F.transform(letters, lambda c: (size - F.length(F.replace(u, c))) / size)
+    query = F.regexp_extract(u, r"(?s)^[^?]*\?([^#]*)", 1)
+    return {
+        "length": size,
+        "host_length": F.length(host),
+        "path_length": F.length(path),
+        "depth": count(path, "/"),
+        "digits": count(u, "0123456789") / F.greatest(size, F.lit(1)),
+        "entropy": F.aggregate(share, F.lit(0.0), lambda t, p: t - p * F.log2(p)),
+        "parameters": count(query, "&") + (query != "").cast("int"),
+        "assigned": count(query, "="),
+        "labels": count(host, ".") + 1,
+        "longest_label": F.array_max(F.transform(F.split(host, "[.]"), F.length)),
+        "hyphens": count(host, "-"),
+        "host_digits": count(host, "0123456789"),
+        "fragment": u.contains("#").cast("int"),
+        "signs": count(u, "%_"),
+    }
 
 
 class Trees:
@@ -59,8 +80,9 @@ class Trees:
         self.rounds, self.depth, self.rate, self.bins, self.least = rounds, depth, rate, bins, least
         self.base, self.trees, self.edges = 0.0, [], []
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        share = y.mean() if len(y) else 0.0
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Trees:
+        weight = np.ones(len(y)) if weight is None else weight
+        share = np.average(y, weights=weight) if len(y) else 0.0
         self.base = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
         if not 0 < share < 1:
             return self
@@ -69,7 +91,7 @@ class Trees:
         score = np.full(len(y), self.base)
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-score))
-            grad, hess = p - y, p * (1 - p)
+            grad, hess = weight * (p - y), weight * p * (1 - p)
             node = np.zeros(len(y), np.int64)
             levels = []
             for level in range(self.depth):
@@ -109,34 +131,61 @@ class Trees:
 
 
 def prepared(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """id, url, host, path, hit (rule, verdict) and the suffix's statistics over all rows."""
+    """id, url, host, path, hit (rule, verdict) and the features; suffix_rate of labelled rows is out of their fold."""
     host, path = split_url(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
-    rows = rows.select("*", fitting_rule(F.col("host"), F.col("path"), rules).alias("hit"), F.regexp_extract("host", r"([^.:@]*)(?::\d*)?$", 1).alias("suffix"))
-    block, allow = (F.count_if(F.col("hit.verdict") == v) for v in ("block", "allow"))
-    stats = rows.groupBy("suffix").agg(F.count("*").alias("suffix_n"), ((block + 1) / (block + allow + 2)).alias("suffix_rate"))
-    return rows.join(bounded_broadcast(stored(stats, "suffixes"), 100_000), "suffix")
+    fold = F.pmod(F.xxhash64("url", "id"), F.lit(FOLDS)).cast("int")
+    rows = rows.select("*", fitting_rule(F.col("host"), F.col("path"), rules).alias("hit"), fold.alias("fold"), F.regexp_extract("host", r"([^.:@]*)(?::\d*)?$", 1).alias("suffix"))
+    count = {v: F.array(*[F.count_if((F.col("hit.verdict") == v) & (F.col("fold") == k)) for k in range(FOLDS)]).alias(v) for v in ("block", "allow")}
+    stats = rows.groupBy("suffix").agg(F.count("*").alias("n"), count["block"], count["allow"])
+    rows = rows.join(bounded_broadcast(stored(stats, "suffixes"), 100_000), "suffix")
 
+    def seen(v: str):
+        every = F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x)
+        return every - F.when(F.col("hit").isNotNull(), F.get(v, F.col("fold"))).otherwise(0)
 
-def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", sample: int = 20_000) -> DataFrame:
-    """id, host, path, rule, score (of blocking), verdict."""
-    rows = prepared(pages, rules, id_col, url_col)
-    labelled = rows.where(F.col("hit").isNotNull()).select("id", "url", "host", "path", "suffix_n", "suffix_rate", (F.col("hit.verdict") == "block").cast("int").alias("y"))
+    named = lexical(F.col("url"), F.col("host"), F.col("path")) | {"suffix_n": F.log1p("n"), "suffix_rate": (seen("block") + 1) / (seen("block") + seen("allow") + 2)}
+    return rows.select("id", "url", "host", "path", "hit", "fold", *[named[c].cast("double").alias(c) for c in FEATURES])
+
+
+def balanced(y: np.ndarray) -> np.ndarray:
+    """Weights by which both labels weigh alike."""
+    return np.where(y == 1, len(y) / max(2 * y.sum(), 1), len(y) / max(2 * (len(y) - y.sum()), 1))
+
+
+def learn(rows: DataFrame, sample: int = 20_000) -> tuple[Trees, dict]:
+    """Trees from the labelled rows of prepared(), and the figures of trees fitted without fold 0 on that fold: n,
+    balanced accuracy and the chance that a blocked URL scores above an allowed one (auc); none if it lacks a label."""
+    labelled = rows.where(F.col("hit").isNotNull()).withColumn("y", (F.col("hit.verdict") == "block").cast("int"))
     # a share by hash first, so that about `sample` rows reach the driver from however many partitions
     share = min(1.0, 1.5 * sample / max(labelled.count(), 1))
     drawn = labelled.where(F.pmod(F.xxhash64("id", "url"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    train = drawn.orderBy(F.xxhash64("url", "id"), "url").limit(sample).toPandas()
-    model = Trees().fit(features(train), train["y"].to_numpy(float))
+    train = drawn.orderBy(F.xxhash64("url", "id"), "url").limit(sample).select("fold", "y", *FEATURES).toPandas()
+    x, y, out = train[FEATURES].to_numpy(float), train["y"].to_numpy(float), train["fold"].to_numpy() == 0
+    figures = {}
+    if 0 < y[out].sum() < out.sum():
+        p, t = Trees().fit(x[~out], y[~out], balanced(y[~out])).predict(x[out]), y[out] == 1
+        rank = pd.Series(p).rank().to_numpy()
+        auc = (rank[t].sum() - t.sum() * (t.sum() + 1) / 2) / (t.sum() * (~t).sum())
+        figures = {"n": int(out.sum()), "balanced_accuracy": float(((p >= 0.5)[t].mean() + (p < 0.5)[~t].mean()) / 2), "auc": float(auc)}
+    return Trees().fit(x, y, balanced(y)), figures
+
+
+def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", sample: int = 20_000) -> DataFrame:
+    """id, host, path, rule, score (of blocking; null where a rule decides), verdict."""
+    rows = prepared(pages, rules, id_col, url_col)
+    model, _ = learn(rows, sample)
 
     def score(batches):
         for pdf in batches:
-            yield pdf[["id", "host", "path", "rule", "ruled"]].assign(score=model.predict(features(pdf)))
+            yield pdf[["id", "host", "path"]].assign(rule=None, score=model.predict(pdf[FEATURES].to_numpy(float)))
 
-    rows = rows.select("id", "url", "host", "path", "suffix_n", "suffix_rate", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("ruled"))
-    scored = rows.mapInPandas(score, "id long, host string, path string, rule string, ruled string, score double")
-    return scored.select("id", "host", "path", "rule", "score", F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"))
+    ruled = rows.where(F.col("hit").isNotNull()).select("id", "host", "path", F.col("hit.rule").alias("rule"), F.lit(None).cast("double").alias("score"), F.col("hit.verdict").alias("verdict"))
+    kind = rows.schema["id"].dataType.simpleString()
+    scored = rows.where(F.col("hit").isNull()).select("id", "host", "path", *FEATURES).mapInPandas(score, f"id {kind}, host string, path string, rule string, score double")
+    return ruled.unionByName(scored.withColumn("verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow")))
 
 
 def op4_url_filter(spark, sf_dir: str) -> DataFrame:
-    r = filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+    r = filter_urls(spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")))
     return r.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")

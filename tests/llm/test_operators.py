@@ -197,6 +197,12 @@ def test_secrets_and_ledger(spark):
     assert by[0] == [(0, 0, 27), (1, 29, 49)] == by[9]  # the closing quote is not part of a match
     assert by[1] == [] and by[2] == [(2, 0, 20)] and by[3] == by[4] == []
     assert by[5] == [(0, 0, 20)] and by[6] == [(2, 50000, 50016)]
+    tight = [secrets.Kind(k.name, k.pattern, (lambda m: F.length(m) >= 40) if k.name == "assign" else k.ok, k.hint) for k in secrets.SECRETS]
+    loose = [secrets.Kind(k.name, k.pattern, (lambda m: F.length(m) >= 4) if k.name == "assign" else k.ok, k.hint) for k in secrets.SECRETS]
+    assert len({secrets.rule_version(tuple(x)) for x in (secrets.SECRETS, tight, loose)}) == 3 and secrets.rule_version(tuple(tight)) == secrets.rule_version(tuple(tight))
+    assert secrets.rule_version(PERSONAL) == secrets.rule_version(PERSONAL)
+    rescanned, both = secrets.scan(docs, ledger=ledger, kinds=tuple(tight))  # a changed rule scans all again
+    assert both.count() == 12 and [len(r.spans) for r in rescanned.where("id = 5").collect()] == [0]
     more = table(spark, [*every, (20, "token: 0123456789abcdef01")])
     again, whole = secrets.scan(more, ledger=ledger)
     assert whole.count() == 7 and again.count() == len(every) + 1
@@ -226,6 +232,35 @@ def test_url_rules_and_model(spark):
     assert urls.filter_urls(spark.createDataFrame(every[-5:-3], kind)).select("verdict").distinct().collect()[0][0] == "allow"
 
 
+def test_url_features_and_held_out_figures(spark):
+    """Features against plain Python; labels that follow digits and parameters are learnt, whatever the class shares."""
+    import math
+
+    rng = random.Random(7)
+    every = []
+    for i in range(1500):
+        bad = rng.random() < 0.15
+        host = f"w{rng.randint(10**6, 10**7)}-x.com" if bad else rng.choice(["news", "blog", "shop"]) + ".com"
+        every.append((i, f"https://{host}/{'en' if bad else 'ok'}/{rng.randint(0, 9)}?a={i % 7}&b=2#t" if rng.random() < 0.9 else f"https://{host}/fr/{rng.randint(0, 9)}?a={i % 7}&b=2#t"))
+    every += [(2000, None), (2001, ""), (2002, "http://a.com/" + "x%20" * 20000), (2003, "http://é_É.com/?é=1"), (5, every[5][1])]
+    df = spark.createDataFrame(every, "page_id long, url string")
+    rows = urls.prepared(df, (("block", "com", "/en/"), ("allow", "com", "/ok/"))).collect()
+    assert len(rows) == len(every)
+    for r in rows:
+        u = r.url or ""
+        counts = {c: u.count(c) for c in u}
+        entropy = -sum(n / len(u) * math.log2(n / len(u)) for n in counts.values()) if u else 0
+        query = u.partition("?")[2].partition("#")[0]
+        assert abs(r.entropy - entropy) < 1e-9 and r.length == len(u) and r.parameters == query.count("&") + bool(query) and r.assigned == query.count("=")
+        assert r.longest_label == max(map(len, r.host.split("."))) and r.labels == r.host.count(".") + 1 and r.depth == r.path.count("/")
+        assert abs(r.digits - sum(c in "0123456789" for c in u) / max(len(u), 1)) < 1e-12 and r.signs == u.count("%") + u.count("_")
+    model, figures = urls.learn(urls.prepared(df, (("block", "com", "/en/"), ("allow", "com", "/ok/"))))
+    assert figures["n"] > 200 and figures["balanced_accuracy"] > 0.97 and figures["auc"] > 0.99
+    verdicts = {r.id: r.verdict for r in urls.filter_urls(df, (("block", "com", "/en/"), ("allow", "com", "/ok/"))).collect()}
+    rest = [(("w" in u.split("/")[2][:1]), verdicts[i]) for i, u in every[:1500] if "/fr/" in u]
+    assert np.mean([(v == "block") == b for b, v in rest]) > 0.9
+
+
 def test_trees_hold_out_accuracy():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(4000, 6))
@@ -346,6 +381,10 @@ def test_packing(spark, rows):
         assert at <= 256
     assert len(by) <= -(-sum(r.length for r in got) // 256) + 1
     assert packing.pack_documents(table(spark, []).limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        packing.pieces(table(spark, every), path=packing.tokenizer_path("byte_bpe_50k.json"))
+    long = packing.pack_documents(table(spark, [(1, "word " * 40000), (2, "word")]), capacity=64, group_rows=10)
+    assert long.select(F.shiftright("sequence_id", 32)).distinct().count() > 4  # groups follow pieces, not documents
 
 
 def test_quality(spark, rows):
