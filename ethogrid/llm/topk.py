@@ -4,8 +4,9 @@ Vectors become integers floor(scale * x). Candidates and queries are dealt in bl
 work. A block holds one list per dimension, sorted by value. A query reads the lists in step, from the end that suits
 the sign of its component, and keeps for each candidate the sum of what it has seen: the lower bound adds the least value
 of each list not yet seen there, the upper bound the value at which that list stands. Candidates whose upper bound is
-below the k-th lower bound are outsiders. When few are left, their final scores are resolved. Spark merges the blocks.
-Where sums could pass 64 bits, products in doubles and their error bound leave few, whose scores are Python integers.
+below the k-th lower bound are outsiders. When few are left, or the lists are read, their final scores are resolved.
+Spark merges the blocks. Where sums could pass 64 bits, products in doubles and their error bound leave few, whose scores
+are Python integers. A candidate is sent once per block of queries, which holds 16,384 of them.
 
 Defined results. Vectors that are null or hold null or non-finite components, and rows with null ids take no part.
 Repeated rows (equal id and vector) count once; other rows with the query's id are not its candidates. Only vectors of
@@ -23,7 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FEW, QUERIES = 256, 64
+from .common import spread
+
+QUERIES = 64
+#: Shares of the lists read before each look at the bounds; a query stops once RESOLVED * k candidates are left.
+LOOKS, RESOLVED = (1 / 32, 1 / 8, 3 / 8, 5 / 8, 7 / 8, 1), 4
 
 
 def no_random_access(vectors: np.ndarray, lists: np.ndarray, queries: np.ndarray, k: int, own: np.ndarray):
@@ -33,15 +38,16 @@ def no_random_access(vectors: np.ndarray, lists: np.ndarray, queries: np.ndarray
     positive, else from its bottom, all lists in step. The bounds are looked at after growing depths, for all queries at
     once: what they have read is a mask that depends on the sign alone, so sums and bounds are products of matrices.
     own: (queries, candidates) to leave out."""
-    m, left = len(vectors), [np.flatnonzero(~o) for o in own]
-    if m <= FEW or not queries.shape[1] or float(abs(vectors).max()) * float(abs(queries).max()) * queries.shape[1] >= 2.0**52:
-        return left  # few, or too large for exact sums in doubles
+    m, d = vectors.shape
+    if m <= k or not d:
+        return [np.flatnonzero(~o) for o in own]
     x, plus, minus = vectors.astype(float), np.maximum(queries, 0).astype(float), np.minimum(queries, 0).astype(float)
+    slack = (d + 4) * d * 2.0**-52 * float(abs(x).max()) * abs(queries.astype(float)).max(axis=1, keepdims=True)  # of sums in doubles
     rank = np.empty_like(lists)
     np.put_along_axis(rank, lists, np.arange(m)[:, None], axis=0)
     ordered = np.take_along_axis(vectors, lists, axis=0).astype(float)
     alive, wait = ~own, np.arange(len(queries))
-    for depth in (m // 4, m // 2, 3 * m // 4, 7 * m // 8, m):
+    for depth in sorted({max(1, int(m * share)) for share in LOOKS}):
         top, bottom = rank >= m - depth, rank < depth
         p, n = plus[wait], minus[wait]
         seen = p @ (x * top).T + n @ (x * bottom).T
@@ -51,9 +57,8 @@ def no_random_access(vectors: np.ndarray, lists: np.ndarray, queries: np.ndarray
         else:
             low = high = seen
         low = np.where(alive[wait], low, -np.inf)
-        alive[wait] &= high >= np.partition(low, m - k, axis=1)[:, m - k, None] if m > k else True
-        few = alive[wait].sum(axis=1) <= FEW
-        wait = wait[~few]
+        alive[wait] &= high + slack[wait] >= np.partition(low, m - k, axis=1)[:, m - k, None] - slack[wait]
+        wait = wait[alive[wait].sum(axis=1) > RESOLVED * k]
         if not len(wait):
             break
     return [np.flatnonzero(a) for a in alive]
@@ -134,7 +139,7 @@ def _search(k: int, scale: int):
     return of
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 8192, query_block: int = 512) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 8192, query_block: int = 16_384) -> DataFrame:
     """query_id, rank, vec_id, score."""
 
     def ready(df: DataFrame) -> DataFrame:
@@ -161,7 +166,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
 
 
 def op7_topk_nra(spark, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    e = spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
     return top_k(e, e.where(F.col("vec_id") % 100 == 0))
 
 
