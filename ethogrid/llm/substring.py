@@ -11,8 +11,9 @@ however many documents share a line. The removed runs and the texts then meet by
 Defined results. Null text: no words. Null id: such a row is kept whole and is no earlier document of any other. Rows
 with equal ids and equal texts get equal results, one row each; rows with equal ids and other texts are judged apart and
 never remove words of each other. Texts of fewer than `window` words are kept whole. Other columns are ignored. An empty
-table gives an empty result. Two different windows are taken as equal if their 64-bit hashes agree (about n*n / 2**65
-such pairs among n windows).
+table gives an empty result. Two different windows are taken as equal if their 64-bit hashes and their buckets agree,
+which follow from separate hashes: about n*n / 2**65 / buckets such pairs among n windows in as many buckets as 4 MB of
+text each make, that is below one pair in 100 TB.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, chunk_words, chunks, input_chars, mix, rolling, word_spans
+from .common import SPACE, chunk_words, chunks, input_chars, mix, rolling, spread, word_spans
 
 INNER = 8
 FLUSH = 1_000_000
@@ -192,12 +193,13 @@ def packed_windows(rows: DataFrame, window: int, buckets: int, hot_windows: int)
     return rows.mapInArrow(_hash_windows(window, buckets, hot), "bucket int, id long, th long, packed binary, hashes binary")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, bucket_chars: int = 4 << 20, least_buckets: int = 256, hot_windows: int = 1 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, bucket_chars: int = 4 << 20, least_buckets: int = 256, hot_windows: int = 1 << 20, part_chars: int = 8 << 20) -> DataFrame:
     """One row per row of docs: id, n_words, n_removed, removed (maximal intervals of word positions), kept_text."""
     if window < INNER:
         raise ValueError(f"window must be {INNER} words at least")
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    buckets = max(least_buckets, input_chars(docs, text_col) // bucket_chars)
+    size = input_chars(docs, text_col)
+    buckets = max(least_buckets, size // bucket_chars)
     found = packed_windows(d.where(F.col("id").isNotNull() & F.col("text").isNotNull()), window, buckets, hot_windows)
     # what a task already knows rides along under a salt, so that no group holds it all
     group = F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(-1 - F.pmod(F.xxhash64("id", "th"), F.lit(buckets)))
@@ -205,14 +207,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def repeats(key, pdf):
         return _repeats(key, pdf) if key[0] >= 0 else pdf[["id", "th", "packed"]].astype({"id": "int64", "th": "int64"})
 
-    gone = found.withColumn("g", group).groupBy("g").applyInPandas(repeats, "id long, th long, packed binary")
+    # shuffled in parts of about `part_chars` characters of text, however few partitions the session has set
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // part_chars, 100_000))
+    gone = found.withColumn("g", group).repartition(parts, "g").groupBy("g").applyInPandas(repeats, "id long, th long, packed binary")
     gone = gone.groupBy("id", "th").agg(F.collect_list("packed").alias("gone"))
     texts = d.mapInArrow(_squeeze, "id long, th long, z binary")
     return texts.join(gone, ["id", "th"], "left").select("id", "z", "gone").mapInArrow(_cut(window), "id long, n_words long, n_removed long, removed array<struct<first:int,stop:int>>, kept_text string")
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    r = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    r = substring_dedup(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     return r.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["first"], x["stop"])), ",").alias("removed"))
 
 
