@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, inverse, mix, powers, word_hashes, word_spans
+from .common import chunks, inverse, mix, powers, spread, word_hashes, word_spans
 
 WIDTH, HIDDEN = 32, 8
 WORDS, GRAMS = 1 << 16, 1 << 16
@@ -298,12 +298,13 @@ def held_out(id_col: str = "doc_id"):
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 800, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
-    """The model from `sample` labelled documents of each class at most, none of them held out."""
+    """The model from `sample` labelled rows of each class at most (the smallest hashes), none of them held out."""
     known = labels.where(~held_out(id_col) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
     parts = [known.where(F.col("y") == c).orderBy(F.xxhash64("id"), "id").limit(sample) for c in (0, 1)]
     ids = parts[0].union(parts[1]).distinct()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").orderBy("id", F.xxhash64("text")).limit(4 * sample)
-    got = rows.toPandas()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
+    drawn = [rows.where(F.col("y") == c).orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(sample) for c in (0, 1)]  # where ids repeat
+    got = drawn[0].union(drawn[1]).toPandas()
     n1, n0 = known.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
     return train(got["text"].tolist(), got["y"].to_numpy(), odds=n1 / n0 if n1 and n0 else None)
 
@@ -328,6 +329,6 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs, labels = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), spark.read.parquet(f"{sf_dir}/labels.parquet")
     r = score(docs, learn(docs, labels)).select(F.col("id").alias("doc_id"), "score")
     return r.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
