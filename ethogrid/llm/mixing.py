@@ -8,8 +8,8 @@ dealt by ranges of a hash of (id, copy) and sorted by it.
 Weights: given ones, or n ** temper (temper 1: as it is; 0: all sources alike). Sources without a given weight get 0.
 
 Defined results. A null source is a source. Null ids all draw the same number; rows with equal ids draw the same number
-too, each row being replicated. Null and empty texts count as documents. An empty table gives an empty result. Columns
-`copy` and `shuffle_key` are added; a column of such a name in the input is replaced.
+too, each row being replicated. Null and empty texts count as documents. An empty table gives an empty result. Two columns
+are added, `copy` and `shuffle_key` unless other names are given; a column of such a name in the input is replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, stored
+from .common import bounded_broadcast, spread, stored
 
 
 def _hash(*parts, digits: int):
@@ -46,23 +46,23 @@ def rates(docs: DataFrame, group_col: str, weights: dict | None, total: float |
     return steps.groupBy("group", "n", "rate").agg(F.sort_array(F.collect_list("cdf")).alias("cdf"))
 
 
-def mix(docs: DataFrame, weights: dict | None = None, total: float | None = None, temper: float = 0.5, seed: int = 17, id_col: str = "doc_id", group_col: str = "source") -> DataFrame:
-    """docs' columns with copy (from 1) and shuffle_key, one row per copy, in the order of shuffle_key."""
+def mix(docs: DataFrame, weights: dict | None = None, total: float | None = None, temper: float = 0.5, seed: int = 17, id_col: str = "doc_id", group_col: str = "source", added: tuple[str, str] = ("copy", "shuffle_key")) -> DataFrame:
+    """docs' columns with copy (from 1) and shuffle_key (or the names in added), one row per copy, by shuffle_key."""
     rate = bounded_broadcast(stored(rates(docs, group_col, weights, total, temper).select("group", "cdf"), "rates"), 100_000)
-    columns = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    columns = [c for c in docs.columns if c not in added]
     rows = docs.select(F.struct(*columns).alias("row"))
     rows = rows.join(rate, F.col(f"row.{group_col}").eqNullSafe(F.col("group")))
     u = _hash(F.lit(str(seed)), F.col(f"row.{id_col}").cast("string"), digits=13) / F.lit(2.0**52)
     rows = rows.select("row", "cdf", u.alias("u"))
     copies = rows.select("row", F.size(F.filter("cdf", lambda c: c <= F.col("u"))).alias("n")).where("n > 0")
-    copies = copies.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
-    key = _hash(F.lit(str(seed)), F.col(f"row.{id_col}").cast("string"), F.col("copy").cast("string"), digits=15)
-    copies = copies.select("row.*", "copy", key.alias("shuffle_key"))
-    return copies.repartitionByRange("shuffle_key", "copy").sortWithinPartitions("shuffle_key", "copy", id_col)
+    copies = copies.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_copy"))
+    key = _hash(F.lit(str(seed)), F.col(f"row.{id_col}").cast("string"), F.col("_copy").cast("string"), digits=15)
+    copies = copies.select("row.*", F.col("_copy").alias(added[0]), key.alias(added[1]))
+    return copies.repartitionByRange(added[1], added[0]).sortWithinPartitions(added[1], added[0], id_col)
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 def op8_sql() -> str:

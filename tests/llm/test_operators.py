@@ -332,6 +332,10 @@ def test_mixing(spark, rows):
     assert {r.source for r in got} == {"big", "small"} and got[0].__fields__ == [c for c in docs.columns if c != "copy"] + ["copy", "shuffle_key"]
     keys = [r.shuffle_key for r in mixing.mix(docs).collect()]
     assert keys == sorted(keys)
+    assert {r["copy"] for r in mixing.mix(docs, added=("c", "k")).select("copy").collect()} == {6}  # the column of the input
+    twice = mixing.mix(docs.union(docs), temper=1.0).groupBy("doc_id").count().collect()
+    once = {r.doc_id: r["count"] for r in mixing.mix(docs, temper=1.0).groupBy("doc_id").count().collect()}
+    assert {r.doc_id: r["count"] for r in twice} == {i: 2 * n for i, n in once.items()}  # repeated rows are replicated alike
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
@@ -498,6 +502,7 @@ def test_pipeline(spark, rows, tmp_path):
         seen[name] = df
         if k < 4:
             assert df.columns == docs.columns
+            assert {tuple(r) for r in df.select("id", "th", "row", "key", "copy", "score").distinct().collect()} == {("x", 1, "r", 2, 6, 0.5)}
     left = [(r.doc_id, r.text) for r in seen["toxicity"].collect()]
     want = components(left, 5, 80, 100)
     assert {r.doc_id for r in seen["near-dedup"].collect()} == {None} | {i for i, c in want.items() if i == c}
