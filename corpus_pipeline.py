@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ethogrid.llm import mixing, neardup, packing, pii, toxicity
-from ethogrid.llm.common import stored
+from ethogrid.llm.common import released, spread, stored
 from ethogrid.llm.spans import PERSONAL
 
 
@@ -48,7 +48,12 @@ def pii_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(*docs.columns)
+    added = []
+    for name in ("copy", "shuffle_key"):  # beside the columns of docs, whatever their names
+        while name in docs.columns:
+            name += "_"
+        added.append(name)
+    return mixing.mix(docs, added=tuple(added)).select(*docs.columns)
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +72,8 @@ ORACLE_SQL = None  # a trained network decides in the first stage
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        was, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        released(was)
     return STAGES[-1][1](spark, docs, sf_dir)
