@@ -28,9 +28,17 @@ def rule_version(kinds: tuple[Kind, ...]) -> str:
     return hashlib.sha256("\n".join(rules).encode()).hexdigest()[:16]
 
 
+NONE = "array<struct<start:bigint,kind:int,stop:bigint>>"
+
+
 def scan(versions: DataFrame, ledger: DataFrame | None = None, kinds: tuple[Kind, ...] = SECRETS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(findings of every path and version: id, blob, spans array<struct<start,kind,stop>>; the ledger with the rows of
     the newly scanned blobs: blob, rule_version, spans)."""
+    paths, whole = _scanned(versions, ledger, kinds, id_col, text_col)
+    return joined_back(paths, whole, kinds), whole
+
+
+def _scanned(versions: DataFrame, ledger: DataFrame | None, kinds: tuple[Kind, ...], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     version = rule_version(kinds)
     text = F.coalesce(F.col(text_col), F.lit(""))
     blob = F.unhex(F.sha2(text, 256)).alias("blob")
@@ -41,15 +49,29 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, kinds: tuple[Kind
         known = ledger.where(F.col("rule_version") == version).select("blob")
         unseen, texts = unseen.join(known, "blob", "left_anti"), texts.join(known, "blob", "left_anti")
     found = located(texts, ["blob"], kinds, unique=True).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "stop"))).alias("spans"))
-    none = F.array().cast("array<struct<start:bigint,kind:int,stop:bigint>>")
-    new = stored(unseen.join(found, "blob", "left").select("blob", F.lit(version).alias("rule_version"), F.coalesce("spans", none).alias("spans")), "ledger")
-    whole = new if ledger is None else ledger.select(*new.columns).unionByName(new)
-    current = whole.where((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans")
-    return paths.join(current, "blob", "left").select("id", "blob", F.coalesce("spans", none).alias("spans")), whole
+    new = stored(unseen.join(found, "blob", "left").select("blob", F.lit(version).alias("rule_version"), F.coalesce("spans", F.array().cast(NONE)).alias("spans")), "ledger")
+    return paths, new if ledger is None else ledger.select(*new.columns).unionByName(new)
+
+
+def joined_back(paths: DataFrame, ledger: DataFrame, kinds: tuple[Kind, ...] = SECRETS) -> DataFrame:
+    """id, blob, spans of all paths (id, blob), from the ledger's rows of the current rules."""
+    current = ledger.where((F.col("rule_version") == rule_version(kinds)) & (F.size("spans") > 0)).select("blob", "spans")
+    return paths.join(current, "blob", "left").select("id", "blob", F.coalesce("spans", F.array().cast(NONE)).alias("spans"))
+
+
+def scan_deliveries(versions: DataFrame, deliveries: int = 2, kinds: tuple[Kind, ...] = SECRETS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """As scan of all versions, which come in deliveries (by the hash of their id): each is scanned with the ledger of those
+    before, so a blob that came before is not scanned again, and the last ledger is joined back to the paths of all."""
+    part = F.pmod(F.xxhash64(id_col), F.lit(deliveries))
+    ledger, every = None, None
+    for k in range(deliveries):
+        paths, ledger = _scanned(versions.where(part == k), ledger, kinds, id_col, text_col)
+        every = paths if every is None else every.unionByName(paths)
+    return joined_back(every, ledger, kinds), ledger
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
-    found, _ = scan(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    found, _ = scan_deliveries(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     names = [k.name for k in SECRETS]
     spans = written(F.col("spans"), names)
     counts = counted(F.col("spans"), names)
