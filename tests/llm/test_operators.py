@@ -1,6 +1,7 @@
 """Operators against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables, odd columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -203,6 +204,9 @@ def test_secrets_and_ledger(spark):
     assert secrets.rule_version(PERSONAL) == secrets.rule_version(PERSONAL)
     rescanned, both = secrets.scan(docs, ledger=ledger, kinds=tuple(tight))  # a changed rule scans all again
     assert both.count() == 12 and [len(r.spans) for r in rescanned.where("id = 5").collect()] == [0]
+    parts, last = secrets.scan_deliveries(docs, 3)
+    assert last.count() == 6 and sorted(map(str, parts.collect())) == sorted(map(str, rows))  # no blob twice, all paths
+    assert secrets.scan_deliveries(docs.limit(0))[0].count() == 0
     more = table(spark, [*every, (20, "token: 0123456789abcdef01")])
     again, whole = secrets.scan(more, ledger=ledger)
     assert whole.count() == 7 and again.count() == len(every) + 1
@@ -489,6 +493,35 @@ def test_toxicity(spark):
     assert toxicity.learn(docs, lab.limit(0)) == {"share": 0.0}
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_network_beats_the_words_it_is_fed():
+    """On held-out documents: the network's rank of toxic over clean documents against the largest word log-odds alone,
+    and against the network without either log-odds."""
+    import pyarrow.parquet as pq
+
+    j = pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pandas().merge(pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).to_pandas(), on="doc_id")
+    held = np.array([zlib.crc32(str(i).encode()) % 3 == 1 for i in j["doc_id"]])
+    train, test = j[~held], j[held]
+    train = train[(train["toxic"] == 1) | (train["toxic"] == 0) & ((train["toxic"] == 0).cumsum() <= 800)]
+    model = toxicity.train(train["text"].fillna("").tolist(), train["toxic"].to_numpy())
+    data, y = [(t or "").encode() for t in test["text"]], test["toxic"].to_numpy() == 1
+
+    def area(score):
+        order = np.argsort(np.argsort(score, kind="stable"), kind="stable") + 1.0
+        for v in np.unique(score):
+            order[score == v] = order[score == v].mean()
+        return (order[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
+
+    def word_odds(text):
+        _, _, hashes, _, _ = toxicity.tokens([text])
+        return model["prior"]["word"][(hashes % np.uint64(toxicity.WORDS)).astype(int)].max() if len(hashes) else 0.0
+
+    full, words = area(toxicity.logits(model, data)), area(np.array([word_odds(t) for t in data]))
+    bare = area(toxicity.logits({**model, "prior": {k: 0 * v for k, v in model["prior"].items()}}, data))
+    assert full > 0.93 and full > words + 0.02, (full, words)  # a tenth of the toxic labels is noise: 0.95 is the ceiling
+    assert bare < full  # its inputs' log-odds carry most; README says so
+
+
 def test_pipeline(spark, rows, tmp_path):
     import corpus_pipeline
 
