@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import signal as S
 from ..sources.adapters import KEYPOINTS, XY
+from ..sources.readers import null_if_not_finite
 
 MOUSE = ["video_id", "mouse_id"]
 
@@ -42,19 +44,40 @@ def scaled(wide: DataFrame, body: Column | float, center: str = "none", keypoint
 
 
 def smoothed(wide: DataFrame, columns: list[str] = XY, width: int = 9, order: int = 3) -> DataFrame:
-    """Savitzky-Golay over each mouse's frames; gaps are filled linearly for it and stay gaps."""
-    w = by_mouse()
-    filled = wide.withColumns({f"_f_{c}": S.interpolate(c, F.row_number().over(w), w) for c in columns})
-    return filled.withColumns({c: F.when(F.col(c).isNotNull(), S.savgol(f"_f_{c}", w, width, order)) for c in columns}).drop(*[f"_f_{c}" for c in columns])
+    """Savitzky-Golay over each mouse's frames; gaps are filled linearly for it and stay gaps. All columns of a mouse are
+    smoothed at once in one grouped function: as window expressions each column takes a dozen frames of its own."""
+    weights, h = np.array(S.savgol_weights(width, order)), width // 2
+
+    def of(pdf):
+        pdf = pdf.sort_values("video_frame", ignore_index=True)
+        n = len(pdf)
+        if n < width:
+            return pdf
+        v = pdf[columns].to_numpy(float)
+        known = np.isfinite(v)
+        for k in np.flatnonzero(known.any(axis=0)):
+            v[:, k] = np.interp(np.arange(n), np.flatnonzero(known[:, k]), v[known[:, k], k])
+        v = np.pad(v, ((h, h), (0, 0)), mode="edge")
+        smooth = sum(w * v[k : k + n] for k, w in enumerate(weights))
+        pdf[columns] = np.where(known, smooth, np.nan)
+        return pdf
+
+    types = ", ".join(f"`{f.name}` {'double' if f.name in columns else f.dataType.simpleString()}" for f in wide.schema)
+    out = wide.groupBy(*MOUSE).applyInPandas(of, types)
+    return out.withColumns({c: null_if_not_finite(F.col(c)) for c in columns})
 
 
 def with_centroid(wide: DataFrame, keypoints: list[str] = KEYPOINTS) -> DataFrame:
     return wide.withColumns({f"centroid_{a}": G.mean_of(*[f"{k}_{a}" for k in keypoints]) for a in "xy"})
 
 
-def kinematics(wide: DataFrame, keypoints: list[str] = KEYPOINTS) -> DataFrame:
-    """Centroid and keypoint velocities, accelerations, jerk, body angle, its rate, and body length."""
+def kinematics(wide: DataFrame, keypoints: list[str] = KEYPOINTS, smooth: int = 9) -> DataFrame:
+    """Centroid and keypoint velocities, accelerations, jerk, body angle, its rate, and body length, of positions smoothed
+    over `smooth` frames (0: as they are)."""
     w = by_mouse()
+    if smooth:
+        xy = [f"{k}_{a}" for k in keypoints for a in "xy"]
+        wide = smoothed(wide.select(*MOUSE, "video_frame", *xy), xy, smooth)
     d = with_centroid(wide, keypoints)
     out = {f"centroid_v{a}": S.half_difference(f"centroid_{a}", w) for a in "xy"}
     out |= {f"centroid_a{a}": S.second_difference(f"centroid_{a}", w) for a in "xy"}

@@ -12,8 +12,9 @@ from ..functions import geometry as G
 from .decide import class_weights
 
 
-def assembled(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
-    filled = Imputer(inputCols=columns, outputCols=columns, strategy="mean").fit(df).transform(df)
+def assembled(df: DataFrame, columns: list[str], out: str = "features", train: DataFrame | None = None) -> DataFrame:
+    """df with a vector of the columns; gaps get the means of train (df itself without one)."""
+    filled = Imputer(inputCols=columns, outputCols=columns, strategy="mean").fit(df if train is None else train).transform(df)
     return VectorAssembler(inputCols=columns, outputCol=out, handleInvalid="keep").transform(filled)
 
 
@@ -30,10 +31,11 @@ def boosted(rounds: int = 20, seed: int = 1) -> OneVsRest:
     return OneVsRest(classifier=GBTClassifier(maxIter=rounds, seed=seed), labelCol="y", featuresCol="features", weightCol="weight")
 
 
-def left_out(df: DataFrame, fold: str, held, model) -> DataFrame:
-    """Predictions for the rows of fold `held` by a model of the others."""
-    fitted = model.fit(weighted(df.where(F.col(fold) != held)))
-    return fitted.transform(df.where(F.col(fold) == held))
+def left_out(df: DataFrame, columns: list[str], fold: str, held, model) -> DataFrame:
+    """Predictions for the rows of fold `held` by a model of the others, which alone give the means for gaps."""
+    train = df.where(F.col(fold) != held)
+    fitted = model.fit(weighted(assembled(train, columns)))
+    return fitted.transform(assembled(df.where(F.col(fold) == held), columns, train=train))
 
 
 def scaled(train: DataFrame, both: DataFrame, kind: str = "robust", features: str = "features") -> DataFrame:

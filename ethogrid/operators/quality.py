@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..session import written
+from ..sources.adapters import XY, to_long
+from .stats import exact_percentiles
 
 
 def edge_lengths(wide: DataFrame, *keys: str) -> DataFrame:
@@ -19,20 +22,26 @@ def edge_lengths(wide: DataFrame, *keys: str) -> DataFrame:
 def fit_skeleton(wide: DataFrame, *by: str, least: int = 10, q: float = 0.5) -> DataFrame:
     """Per edge (and `by`): the q-th percentile and sample std of length over body length; body length is the q-th
     percentile of nose-tail distances above 0. Edges with fewer than `least` positive lengths are left out."""
-    body = wide.select(*by, G.apart("nose", "tail_base").alias("l")).where("l > 0").groupBy(*by).agg(F.percentile("l", F.lit(q)).alias("l_body"))
+    wide = written(wide.select(*by, G.apart("nose", "tail_base").alias("_l"), *XY), "skeleton")
+    body = exact_percentiles(wide.where("_l > 0"), ["_l"], (q,), *by).select(*by, F.get("v", F.lit(0)).alias("l_body"))
     e = edge_lengths(wide, *by).where("length > 0")
     e = e.join(body, list(by)) if by else e.crossJoin(F.broadcast(body))  # one row
     e = e.withColumn("r", F.col("length") / F.col("l_body"))
-    return e.groupBy(*by, "edge").agg(F.percentile("r", F.lit(q)).alias("l_ref"), F.stddev_samp("r").alias("l_std"), F.count("*").alias("n")).where(F.col("n") >= least)
+    mid = exact_percentiles(e, ["r"], (q,), *by, "edge").select(*by, "edge", F.get("v", F.lit(0)).alias("l_ref"))
+    rest = e.groupBy(*by, "edge").agg(F.stddev_samp("r").alias("l_std"), F.count("*").alias("n")).where(F.col("n") >= least)
+    return mid.join(rest, [*by, "edge"]).select(*by, "edge", "l_ref", "l_std", "n")
 
 
 def violations(lengths: DataFrame, refs: DataFrame, threshold: float, *by: str) -> DataFrame:
     """Per edge: violation rate, mean relative error, and the deviation's mean, max and percentiles; lengths without a
     value count as no violation. refs: edge, l_ref in the lengths' unit (a small table)."""
-    d = lengths.join(refs.select("edge", "l_ref"), "edge").withColumn("dev", F.abs(F.col("length") - F.col("l_ref")))
+    d = written(lengths.join(refs.select("edge", "l_ref"), "edge").withColumn("dev", F.abs(F.col("length") - F.col("l_ref"))), "deviations")
     rel = F.col("dev") / F.col("l_ref")
-    p = F.percentile("dev", F.array(*map(F.lit, (0.5, 0.75, 0.95, 0.99))))
-    return d.groupBy(*by, "edge").agg(F.avg(F.coalesce((rel > threshold).cast("int"), F.lit(0))).alias("violation_rate"), F.avg(rel).alias("mean_rel_err"), F.avg("dev").alias("mean_dev"), F.max("dev").alias("max_dev"), F.get(p, F.lit(0)).alias("p50"), F.get(p, F.lit(1)).alias("p75"), F.get(p, F.lit(2)).alias("p95"), F.get(p, F.lit(3)).alias("p99"), F.stddev_pop("dev").alias("std_dev"))
+    p = F.col("_v")
+    q = exact_percentiles(d, ["dev"], (0.5, 0.75, 0.95, 0.99), *by, "edge").select(*[F.col(c).alias(f"_{c}") for c in (*by, "edge")], F.col("v").alias("_v"))
+    g = d.groupBy(*by, "edge").agg(F.avg(F.coalesce((rel > threshold).cast("int"), F.lit(0))).alias("violation_rate"), F.avg(rel).alias("mean_rel_err"), F.avg("dev").alias("mean_dev"), F.max("dev").alias("max_dev"), F.stddev_pop("dev").alias("std_dev"))
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, "edge")])
+    return g.join(q, on, "left").select(*by, "edge", "violation_rate", "mean_rel_err", "mean_dev", "max_dev", F.get(p, F.lit(0)).alias("p50"), F.get(p, F.lit(1)).alias("p75"), F.get(p, F.lit(2)).alias("p95"), F.get(p, F.lit(3)).alias("p99"), "std_dev")
 
 
 def keypoint_violations(per_edge: DataFrame) -> DataFrame:
@@ -50,7 +59,8 @@ def any_violation_rate(wide: DataFrame, refs: dict[str, float], threshold: float
 def adaptive_thresholds(residuals: DataFrame, k: float = 3.0, floor: float = 0.05, few: int = 5, *by: str) -> DataFrame:
     """Mean + k std of each edge's residuals up to their 75th percentile, at least floor; floor where there are few."""
     keys = [*by, "edge"]
-    cut = residuals.where("r IS NOT NULL").groupBy(*keys).agg(F.percentile("r", F.lit(0.75)).alias("q"), F.count("*").alias("n"))
+    residuals = written(residuals.select(*keys, "r").where("r IS NOT NULL"), "residuals")
+    cut = exact_percentiles(residuals, ["r"], (0.75,), *keys).select(*keys, F.get("v", F.lit(0)).alias("q"), "n")
     low = residuals.join(cut, keys).where("r <= q")
     return low.groupBy(*keys).agg(F.when(F.max("n") < few, F.lit(floor)).otherwise(F.greatest(F.lit(floor), F.avg("r") + k * F.stddev_pop("r"))).alias("tau"))
 
@@ -59,11 +69,11 @@ def reestimated(lengths: DataFrame, refs: DataFrame, *by: str) -> DataFrame:
     """Per edge: median of the half that deviates least from its reference, and IQR / 1.35 of it, within [.02, .2]."""
     keys = [*by, "edge"]
     d = lengths.where("length IS NOT NULL").join(refs.select("edge", "l_ref"), "edge").withColumn("dev", F.abs(F.col("length") - F.col("l_ref")))
-    half = d.groupBy(*keys).agg(F.percentile("dev", F.lit(0.5)).alias("m"))
-    d = d.join(half, keys).where("dev <= m")
-    q = F.percentile("length", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    spread = (F.get(q, F.lit(2)) - F.get(q, F.lit(0))) / 1.35 / F.get(q, F.lit(1))
-    return d.groupBy(*keys).agg(F.get(q, F.lit(1)).alias("l_ref"), F.least(F.lit(0.2), F.greatest(F.lit(0.02), spread)).alias("sigma"))
+    d = written(d.select(*keys, "length", "dev"), "lengths")
+    half = exact_percentiles(d, ["dev"], (0.5,), *keys).select(*keys, F.get("v", F.lit(0)).alias("m"))
+    q = exact_percentiles(d.join(half, keys).where("dev <= m"), ["length"], (0.25, 0.5, 0.75), *keys)
+    spread = (F.get("v", F.lit(2)) - F.get("v", F.lit(0))) / 1.35 / F.get("v", F.lit(1))
+    return q.select(*keys, F.get("v", F.lit(1)).alias("l_ref"), F.least(F.lit(0.2), F.greatest(F.lit(0.02), spread)).alias("sigma"))
 
 
 def robust_threshold(df: DataFrame, x: str, k: float, *by: str) -> DataFrame:
@@ -74,6 +84,23 @@ def robust_threshold(df: DataFrame, x: str, k: float, *by: str) -> DataFrame:
     return mad.withColumn("threshold", F.col("med") + k * 1.4826 * F.col("mad"))
 
 
+def outlier_rates(long: DataFrame, k: float, *by: str) -> DataFrame:
+    """Shares of speeds and accelerations above median + k * 1.4826 * MAD of their group. Speeds are written once; both
+    medians, then both MADs, come from one count of values each."""
+    names = ["speed", "accel"]
+    s = written(with_speeds(long).select(*by, *names), "speeds")
+
+    def joined(df: DataFrame, columns: list[str], out: list[str]) -> DataFrame:
+        p = exact_percentiles(df, columns, (0.5,), *by).groupBy(*by).pivot("column", columns).agg(F.first(F.get("v", F.lit(0))))
+        return s.join(F.broadcast(p.toDF(*by, *out)), list(by))  # one row per group
+
+    med = joined(s, names, ["m_speed", "m_accel"])
+    off = med.select(*by, *[F.abs(F.col(c) - F.col(f"m_{c}")).alias(c) for c in names])
+    p = exact_percentiles(off, names, (0.5,), *by).groupBy(*by).pivot("column", names).agg(F.first(F.get("v", F.lit(0)))).toDF(*by, "d_speed", "d_accel")
+    every = med.join(F.broadcast(p), list(by))
+    return every.groupBy(*by).agg(*[F.avg((F.col(c) > F.col(f"m_{c}") + k * 1.4826 * F.col(f"d_{c}")).cast("int")).alias(f"{c}_outliers") for c in names])
+
+
 def with_speeds(long: DataFrame) -> DataFrame:
     """Steps of each keypoint from row to row, and steps of those."""
     w = Window.partitionBy("video_id", "mouse_id", "bodypart").orderBy("video_frame")
@@ -89,6 +116,19 @@ def keypoint_report(long: DataFrame, *by: str) -> DataFrame:
     return d.groupBy(*by).agg(F.count_distinct("video_frame").alias("n_frames"), F.count_distinct("mouse_id").alias("n_mice"), F.avg(F.col("x").isNull().cast("int")).alias("missing"), F.avg((F.col("speed") > F.col("cut")).cast("int")).alias("speed_outliers"))
 
 
+def recording_report(wide: DataFrame, *by: str, sigma: float = 3.0, off: float = 0.25) -> DataFrame:
+    """Per recording: frames, mice, share of keypoints without place, of steps above the mean + sigma sample deviations of
+    the recording, and of body lengths further than `off` from the median of their mouse."""
+    steps = with_speeds(to_long(wide))
+    cut = steps.groupBy(*by).agg(F.count_distinct("video_frame").alias("n_frames"), F.count_distinct("mouse_id").alias("n_mice"), F.avg((F.col("x").isNull() | F.col("y").isNull()).cast("int")).alias("nan_rate"), F.avg("speed").alias("_m"), F.stddev_samp("speed").alias("_s"))
+    fast = steps.join(cut.select(*by, "_m", "_s"), list(by)).groupBy(*by).agg(F.avg(F.coalesce((F.col("_s") > 0) & (F.col("speed") > F.col("_m") + sigma * F.col("_s")), F.lit(False)).cast("int")).alias("speed_outlier_rate"))
+    keys = [*by, *(["mouse_id"] if "mouse_id" not in by else [])]
+    body = wide.select(*keys, G.apart("nose", "tail_base").alias("l"))
+    med = body.groupBy(*keys).agg(F.percentile("l", F.lit(0.5)).alias("m"))
+    bad = body.join(med, keys).groupBy(*by).agg(F.avg(F.coalesce(F.abs(F.col("l") - F.col("m")) / F.col("m") > off, F.lit(False)).cast("int")).alias("length_violation_rate"))
+    return cut.drop("_m", "_s").join(fast, list(by)).join(bad, list(by))
+
+
 def outliers(wide: DataFrame, keypoint: str, length_of: tuple[str, str], refs: dict[str, float], k: float = 1.5, threshold: float = 0.25) -> DataFrame:
     """Flags of one keypoint's frames: missing, speed and acceleration above q3 + k IQR of the mouse, an edge of wrong
     length, near zero; severity is their number, accelerations counting 0.75."""

@@ -35,10 +35,11 @@ def viterbi_path(emission: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return np.array(path[::-1])
 
 
-def viterbi(windows: DataFrame, trans: DataFrame, classes: int, weight: float = 1.0) -> DataFrame:
+def viterbi(windows: DataFrame, trans: DataFrame, classes: int, weight: float = 1.0, background: int = 0) -> DataFrame:
     """window_id and cls of the best path of each (video_id, agent), in order of core_start. windows: p and t (arrays of
-    probabilities and thresholds) and allowed (array of booleans). Emissions are log(p / t), classes that are not allowed
-    are out; transitions count with `weight`. trans is a table of classes * classes rows."""
+    probabilities and thresholds) and allowed (array of booleans). Emissions are log(p / t), and 0 for the background;
+    other classes that are not allowed are out; emissions count with `weight`. trans is a table of classes * classes rows.
+    With equal transitions each window gets what the ratio rule gives it."""
     lp = np.zeros((classes, classes))
     for r in trans.collect():
         lp[r.a, r.b] = r.lp
@@ -47,8 +48,11 @@ def viterbi(windows: DataFrame, trans: DataFrame, classes: int, weight: float =
         pdf = pdf.sort_values(["core_start", "window_id"])
         p, t = np.stack(pdf["p"]).astype(float), np.stack(pdf["t"]).astype(float)
         e = np.log(np.maximum(p, 1e-12)) - np.log(np.maximum(t, 1e-6))
-        e[~np.stack(pdf["allowed"]).astype(bool)] = -1e9
-        return pd.DataFrame({"window_id": pdf["window_id"], "cls": viterbi_path(e, weight * lp)})
+        e[:, background] = 0
+        out = ~np.stack(pdf["allowed"]).astype(bool)
+        out[:, background] = False
+        e[out] = -1e9
+        return pd.DataFrame({"window_id": pdf["window_id"], "cls": viterbi_path(weight * e, lp)})
 
     return windows.select("video_id", "agent", "window_id", "core_start", "p", "t", "allowed").groupBy("video_id", "agent").applyInPandas(of, "window_id long, cls int")
 

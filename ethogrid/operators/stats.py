@@ -14,6 +14,32 @@ def ks_statistic(df: DataFrame, x: str, side: str, *by: str) -> DataFrame:
     return n.withColumn("gap", gap).groupBy(*by).agg(F.max("gap").alias("ks"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
 
 
+def exact_percentiles(df: DataFrame, columns: list[str], qs: tuple[float, ...], *by: str) -> DataFrame:
+    """by, column, n, and array v of the exact percentiles (linear between ranks) of each column's values.
+
+    For few groups of very many rows: no task holds a group. Values are counted by narrow ranges (an eighth of a power of
+    two and less, so some thousand a group), the ranges that hold the wanted ranks are found from those counts, and only
+    their values are sorted. df is read twice; pass a written table if it is dear."""
+    long = df.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns]))).where("x IS NOT NULL")
+    size = F.log2(F.abs("x") + 2.0**-40) + 41
+    long = long.withColumn("range", F.when(F.col("x") == 0, 0).otherwise(F.signum("x") * (1 + F.floor(size * 128))).cast("int"))
+    keys = [*by, "column"]
+    n = long.groupBy(*keys, "range").agg(F.count("*").alias("n"))
+    w, every = Window.partitionBy(*keys).orderBy("range"), Window.partitionBy(*keys)
+    n = n.select(*keys, "range", "n", (F.sum("n").over(w) - F.col("n")).alias("before"), F.sum("n").over(every).alias("all"))
+    q = F.explode(F.array(*[F.struct(F.lit(i).alias("q"), F.lit(float(p)).alias("p"), F.lit(s).alias("side")) for i, p in enumerate(qs) for s in (0, 1)]))
+    rank = F.floor(F.col("p") * (F.col("all") - 1)) + F.when((F.col("side") == 1) & (F.col("p") * (F.col("all") - 1) > F.floor(F.col("p") * (F.col("all") - 1))), 1).otherwise(0)
+    asked = n.withColumn("q", q).select(*keys, "range", "before", "all", "n", "q.*").withColumn("rank", rank).where("rank >= before AND rank < before + n")
+    some = asked.select(*keys, "range").distinct()  # two rows at most for each group, column and percentile
+    values = long.join(F.broadcast(some), [*keys, "range"]).groupBy(*keys, "range", "x").agg(F.count("*").alias("m"))
+    up_to = F.sum("m").over(Window.partitionBy(*keys, "range").orderBy("x"))
+    values = values.withColumn("to", up_to)
+    got = asked.drop("n").join(values, [*keys, "range"]).where("rank >= before + to - m AND rank < before + to")
+    part = F.col("p") * (F.col("all") - 1) - F.floor(F.col("p") * (F.col("all") - 1))
+    one = got.groupBy(*keys, "all", "q").agg(F.max(F.when(F.col("side") == 0, F.col("x"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("x"))).alias("b"), F.first(part).alias("part"))
+    return one.groupBy(*keys, F.col("all").alias("n")).agg(F.transform(F.sort_array(F.collect_list(F.struct("q", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("v")))), lambda s: s["v"]).alias("v"))
+
+
 def average_rank(x: str, w_by: list[str]) -> Column:
     """Rank of x among w_by, ties sharing the mean of their ranks."""
     ties = F.count(F.lit(1)).over(Window.partitionBy(*w_by, x))

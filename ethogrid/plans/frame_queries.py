@@ -90,7 +90,7 @@ def fr_mean_impute(spark, d):
 
 
 def fr_circular_encode(spark, d):
-    k = P.kinematics(pose(spark, d)).select("video_id", "mouse_id", "video_frame", "body_angle")
+    k = P.kinematics(pose(spark, d), smooth=0).select("video_id", "mouse_id", "video_frame", "body_angle")
     return r4(Wn.circular(k, ["body_angle"]))
 
 
@@ -115,7 +115,7 @@ def fr_union_reindex(spark, d):
 
 
 def fr_behaviour_state(spark, d):
-    k = P.kinematics(pose(spark, d)).select("video_id", "mouse_id", "video_frame", "centroid_speed").join(P.implied_depth(pose(spark, d), 100.0).select("video_id", "mouse_id", "video_frame", "dz_sum"), ["video_id", "mouse_id", "video_frame"])
+    k = P.kinematics(pose(spark, d), smooth=0).select("video_id", "mouse_id", "video_frame", "centroid_speed").join(P.implied_depth(pose(spark, d), 100.0).select("video_id", "mouse_id", "video_frame", "dz_sum"), ["video_id", "mouse_id", "video_frame"])
     cut = k.groupBy("video_id").agg(F.percentile("dz_sum", F.lit(0.75)).alias("q"), F.percentile("centroid_speed", F.lit(0.9)).alias("s"))
     state = F.when(F.col("dz_sum") > F.col("q"), "rearing").when(F.col("centroid_speed") > F.col("s"), "locomotion").otherwise("static")
     return k.join(cut, "video_id").groupBy("video_id", state.alias("state")).agg(F.count("*").alias("n"))
@@ -143,7 +143,7 @@ def fr_body_length(spark, d):
 
 
 def fr_kinematics(spark, d):
-    k = P.kinematics(pose(spark, d))
+    k = P.kinematics(pose(spark, d))  # of smoothed positions
     return r4(k.select("video_id", "mouse_id", "video_frame", "centroid_x", "centroid_speed", "centroid_accel", "centroid_jerk", "nose_speed", "nose_accel", "hip_left_vx", "body_angle", "body_angle_vel", "body_length"), 8)
 
 
@@ -160,7 +160,7 @@ def fr_ordered_pairs(spark, d):
 
 
 def fr_relations(spark, d):
-    return r4(P.relations(pose(spark, d)).where("agent = 1"), 8)
+    return r4(P.relations(pose(spark, d)), 8)
 
 
 def fr_occlusion(spark, d):
@@ -330,6 +330,12 @@ _OCC = f"""{_PAIR}, o AS (SELECT video_id, agent, target, video_frame, {', '.joi
   [{', '.join(f"struct_pack(x := a_{k}_x, y := a_{k}_y)" for k in KEYPOINTS)}] AS pa, [{', '.join(f"struct_pack(x := b_{k}_x, y := b_{k}_y)" for k in KEYPOINTS)}] AS pb FROM pr),
 q AS (SELECT *, greatest(least(ax1, bx1) - greatest(ax0, bx0), 0) * greatest(least(ay1, by1) - greatest(ay0, by0), 0) AS inter, (ax1 - ax0) * (ay1 - ay0) AS sa, (bx1 - bx0) * (by1 - by0) AS sb, sqrt((ax1 - ax0) ** 2 + (ay1 - ay0) ** 2) AS da, sqrt((bx1 - bx0) ** 2 + (by1 - by0) ** 2) AS db, list_filter(pa, lambda p: p.x IS NOT NULL AND p.y IS NOT NULL) AS v FROM o)"""
 
+_SMOOTH = (
+    f"{POSE_SQL}, i0 AS (SELECT *, row_number() {W} AS rn, count(*) OVER (PARTITION BY video_id, mouse_id) AS tt FROM pose), "
+    + "i1 AS (SELECT *, " + ", ".join(f"{_interp_sql(c, 'rn')} AS f_{c}" for c in XY) + " FROM i0), "
+    + "i2 AS (SELECT *, " + ", ".join(f"first_value(f_{c}) {_ALL} AS f_{c}fst, last_value(f_{c}) {_ALL} AS f_{c}lst" for c in XY) + " FROM i1), "
+    + f"sm AS (SELECT {KEYS}, " + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN {_savgol_sql(f'f_{c}').replace('fst', f'f_{c}fst').replace('lst', f'f_{c}lst')} END AS {c}" for c in XY) + " FROM i2)"
+)
 SQL = {
     "fr_metadata": f"WITH {META_SQL} SELECT video_id, lab_id, array_to_string(body_parts, ';') AS parts, array_to_string(behaviors, ';') AS behaviors, len(body_parts)::INT AS n_body_parts, len(behaviors)::INT AS n_behaviors_labeled, n_mice::INT AS n_mice FROM meta",
     "fr_tracking_normalised": f"WITH {POSE_SQL}, {META_SQL} SELECT {KEYS}, 'nose' AS bodypart, {rs('nose_x / video_width_pix', 'x', 8)}, {rs('nose_y / video_height_pix', 'y', 8)} FROM pose LEFT JOIN meta USING (video_id)",
@@ -350,11 +356,11 @@ SQL = {
     "fr_behaviour_state": f"WITH {_CEN}, k AS (SELECT video_id, sqrt(({_HALF('cx')}) ** 2 + ({_HALF('cy')}) ** 2) AS s, {_DZSUM} AS z FROM cen), c AS (SELECT video_id, quantile_cont(z, 0.75) AS qz, quantile_cont(s, 0.9) AS qs FROM k GROUP BY video_id) SELECT video_id, CASE WHEN z > qz THEN 'rearing' WHEN s > qs THEN 'locomotion' ELSE 'static' END AS state, count(*) AS n FROM k JOIN c USING (video_id) GROUP BY ALL",
     "fr_best_frames": f"WITH {POSE_SQL}, t AS (SELECT {KEYS}, {' + '.join(f'({c} IS NOT NULL)::INT' for c in XY)} AS k, coalesce(round({_D('nose', 'tail_base')}, 4), -1) AS body FROM pose), u AS (SELECT {KEYS}, CASE WHEN k = 14 THEN 0 WHEN k >= 12 THEN 1 ELSE 2 END AS tier, body FROM t) SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY tier, body DESC, mouse_id, video_frame)::INT AS rn FROM u QUALIFY rn <= 3",
     "fr_body_length": f"WITH {POSE_SQL} SELECT {KEYS}, {rs(_D('nose', 'tail_base'), 'body_length', 8)} FROM pose",
-    "fr_kinematics": f"WITH {_CEN}, k AS (SELECT *, {_HALF('cx')} AS vx, {_HALF('cy')} AS vy, {_SEC('cx')} AS ax, {_SEC('cy')} AS ay FROM cen) SELECT {KEYS}, {rs('cx', 'centroid_x', 8)}, {rs('sqrt(vx ** 2 + vy ** 2)', 'centroid_speed', 8)}, {rs('sqrt(ax ** 2 + ay ** 2)', 'centroid_accel', 8)}, {rs(f'sqrt(({_HALF('ax')}) ** 2 + ({_HALF('ay')}) ** 2)', 'centroid_jerk', 8)}, {rs(f'sqrt(({_HALF('nose_x')}) ** 2 + ({_HALF('nose_y')}) ** 2)', 'nose_speed', 8)}, {rs(f'sqrt({_SEC('nose_x')} ** 2 + {_SEC('nose_y')} ** 2)', 'nose_accel', 8)}, {rs(_HALF('hip_left_x'), 'hip_left_vx', 8)}, {rs('ang', 'body_angle', 8)}, {rs(_WRAP(_HALF('ang')), 'body_angle_vel', 8)}, {rs(_D('nose', 'tail_base'), 'body_length', 8)} FROM k",
+    "fr_kinematics": f"WITH {_SMOOTH}, cen AS (SELECT *, {_C['x']} AS cx, {_C['y']} AS cy, atan2(tail_base_y - nose_y, tail_base_x - nose_x) AS ang FROM sm), k AS (SELECT *, {_HALF('cx')} AS vx, {_HALF('cy')} AS vy, {_SEC('cx')} AS ax, {_SEC('cy')} AS ay FROM cen) SELECT {KEYS}, {rs('cx', 'centroid_x', 8)}, {rs('sqrt(vx ** 2 + vy ** 2)', 'centroid_speed', 8)}, {rs('sqrt(ax ** 2 + ay ** 2)', 'centroid_accel', 8)}, {rs(f'sqrt(({_HALF('ax')}) ** 2 + ({_HALF('ay')}) ** 2)', 'centroid_jerk', 8)}, {rs(f'sqrt(({_HALF('nose_x')}) ** 2 + ({_HALF('nose_y')}) ** 2)', 'nose_speed', 8)}, {rs(f'sqrt({_SEC('nose_x')} ** 2 + {_SEC('nose_y')} ** 2)', 'nose_accel', 8)}, {rs(_HALF('hip_left_x'), 'hip_left_vx', 8)}, {rs('ang', 'body_angle', 8)}, {rs(_WRAP(_HALF('ang')), 'body_angle_vel', 8)}, {rs(_D('nose', 'tail_base'), 'body_length', 8)} FROM k",
     "fr_segment_angles": f"WITH {POSE_SQL}, h AS (SELECT *, {_MID('', 'hip', 'x')} AS hips_x, {_MID('', 'hip', 'y')} AS hips_y FROM pose) SELECT {KEYS}, {rs(_angle_sql('nose', 'neck', 'hips'), 'neck_spine')}, {rs(_angle_sql('neck', 'hip_left', 'tail_base'), 'hip_tail_left')}, {rs(_angle_sql('neck', 'hip_right', 'tail_base'), 'hip_tail_right')} FROM h",
     "fr_implied_depth": f"WITH {POSE_SQL} SELECT {KEYS}, {rs(_DZ[0], 'dz_nose_neck')}, {rs(_DZSUM, 'dz_sum')} FROM pose",
     "fr_ordered_pairs": f"WITH {POSE_SQL}, m AS (SELECT DISTINCT video_id, mouse_id FROM pose) SELECT a.video_id, a.mouse_id AS agent, b.mouse_id AS target FROM m AS a LEFT JOIN m AS b ON a.video_id = b.video_id AND a.mouse_id <> b.mouse_id",
-    "fr_relations": f"WITH {_REL} SELECT video_id, agent, target, video_frame, {', '.join(rs(c, c, 8) for c in _RELCOLS)}, {rs('-approach_rate', 'closing_speed', 8)} FROM rel WHERE agent = 1",
+    "fr_relations": f"WITH {_REL} SELECT video_id, agent, target, video_frame, {', '.join(rs(c, c, 8) for c in _RELCOLS)}, {rs('-approach_rate', 'closing_speed', 8)} FROM rel",
     "fr_occlusion": f"WITH {_OCC} SELECT video_id, agent, target, video_frame, {rs('CASE WHEN sa + sb - inter > 0 THEN inter / (sa + sb - inter) ELSE 0 END', 'bbox_iou')}, {rs('CASE WHEN sb > 0 THEN sa / sb END', 'area_ratio')}, {rs('CASE WHEN db > 0 THEN da / db END', 'body_len_ratio')}, {rs('len(list_filter(v, lambda p: p.x >= bx0 AND p.x <= bx1 AND p.y >= by0 AND p.y <= by1)) / nullif(len(v), 0)', 'frac_kp_inside')}, {rs('len(list_filter(v, lambda p: len(list_filter(pb, lambda b: (p.x - b.x) ** 2 + (p.y - b.y) ** 2 < 1)) > 0)) / nullif(len(v), 0)', 'frac_kp_close')} FROM q",
     "fr_cross_sine": f"WITH {POSE_SQL}, e AS (SELECT *, neck_x - tail_base_x AS ux, neck_y - tail_base_y AS uy, nose_x - tail_base_x AS vx, nose_y - tail_base_y AS vy FROM pose) SELECT {KEYS}, {rs('(ux * vy - uy * vx) / nullif(sqrt(ux ** 2 + uy ** 2) * sqrt(vx ** 2 + vy ** 2), 0)', 's')} FROM e",
     "fr_savgol": f"WITH {POSE_SQL}, i0 AS (SELECT *, row_number() {W} AS rn, count(*) OVER (PARTITION BY video_id, mouse_id) AS tt FROM pose), i1 AS (SELECT *, {_interp_sql('nose_x', 'rn')} AS nf, {_interp_sql('tail_base_x', 'rn')} AS tf FROM i0), i2 AS (SELECT *, first_value(nf) {_ALL} AS nfst, last_value(nf) {_ALL} AS nlst, first_value(tf) {_ALL} AS tfst, last_value(tf) {_ALL} AS tlst FROM i1), i3 AS (SELECT *, {_savgol_sql('nf').replace('fst', 'nfst').replace('lst', 'nlst')} AS a, {_savgol_sql('tf').replace('fst', 'tfst').replace('lst', 'tlst')} AS b FROM i2) SELECT {KEYS}, {rs('CASE WHEN nose_x IS NOT NULL THEN a END', 'nose_x')}, {rs('CASE WHEN tail_base_x IS NOT NULL THEN b END', 'tail_base_x')} FROM i3",

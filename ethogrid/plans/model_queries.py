@@ -15,11 +15,11 @@ from ..operators import models as M
 from ..operators import quality as Q
 from ..operators import sequence as S
 from ..operators import windows as Wn
-from ..session import shared_folder
+from ..session import shared_folder, written
 from ..sources.adapters import KEYPOINTS, PROBA_SQL, pose, proba, proba_long
 from ..streaming import online
 from .frame_queries import r4, rs
-from .quality_queries import _active, _thresholds
+from .quality_queries import _ACT, SQL as _RULES, _active, _thresholds
 
 UNIT = 40.0
 
@@ -79,22 +79,29 @@ def _windows(spark, d):
     return s.withColumn("y", y).withColumn("fold", (F.col("video_id") % 3).cast("int"))
 
 
+COLUMNS = ["nose_x_mean", "nose_x_std", "nose_y_mean", "nose_y_std", "tail_base_x_mean", "tail_base_x_iqr"]
+
+
 def _features(spark, d):
-    return M.assembled(_windows(spark, d), ["nose_x_mean", "nose_x_std", "nose_y_mean", "nose_y_std", "tail_base_x_mean", "tail_base_x_iqr"])
+    """Vectors; gaps get the means of the folds 1 and 2."""
+    w = _windows(spark, d)
+    return M.assembled(w, COLUMNS, train=w.where("fold <> 0"))
+
+
+def _left_out(spark, d, model):
+    w = written(_windows(spark, d), "windows")
+    rows = [M.left_out(w, COLUMNS, "fold", k, model).select(F.col("y").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred")) for k in range(3)]
+    return D.class_report(rows[0].unionByName(rows[1]).unionByName(rows[2]))
 
 
 def ml_forest_left_out(spark, d):
     """Report of forests that each predict the videos left out of them."""
-    f = _features(spark, d)
-    rows = [M.left_out(f, "fold", k, M.forest(20, 6)).select(F.col("y").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred")) for k in range(3)]
-    return r4(D.class_report(rows[0].unionByName(rows[1]).unionByName(rows[2])))
+    return r4(_left_out(spark, d, M.forest(20, 6)))
 
 
 def ml_boosted(spark, d):
     """Report of boosted trees that each predict the videos left out of them."""
-    f = _features(spark, d)
-    rows = [M.left_out(f, "fold", k, M.boosted(5)).select(F.col("y").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred")) for k in range(3)]
-    return r4(D.class_report(rows[0].unionByName(rows[1]).unionByName(rows[2])))
+    return r4(_left_out(spark, d, M.boosted(5)))
 
 
 def ml_scaled(spark, d):
@@ -156,7 +163,21 @@ def sm_sessions(spark, d):
 
 QUERIES = {k: v for k, v in globals().items() if k[:3] in ("sq_", "ml_", "sm_")}
 _ENT = "round(-list_sum(list_transform(p, lambda v: v * ln(v + 1e-12))), 6)"
+_LP = "n AS (SELECT y AS a, lead(y) OVER (PARTITION BY video_id, agent ORDER BY core_start, window_id) AS b FROM proba), c AS (SELECT a, b, count(*) AS n FROM n WHERE b IS NOT NULL GROUP BY ALL), g AS (SELECT x.a, y.b, coalesce(n, 0) + 1.0 AS n FROM (SELECT unnest(range(0, 10))::INT AS a) AS x, (SELECT unnest(range(0, 10))::INT AS b) AS y LEFT JOIN c ON c.a = x.a AND c.b = y.b), lp AS (SELECT b, list(lp ORDER BY a) AS row FROM (SELECT a, b, ln((n / sum(n) OVER (PARTITION BY a))::DOUBLE) AS lp FROM g) GROUP BY b), m AS (SELECT list(row ORDER BY b) AS m FROM lp)"
+_VITERBI = f"""WITH RECURSIVE {_ACT.removeprefix('WITH ')}, {_LP},
+em AS (SELECT al.video_id, al.agent, window_id, core_start, list(CASE WHEN al.cls = 0 THEN 0.0 WHEN NOT allowed THEN -1e9 ELSE ln(greatest(p, 1e-12)) - ln(greatest(t, 1e-6)) END ORDER BY al.cls) AS e FROM al JOIN thr ON thr.lab_id = al.lab_id AND thr.cls = al.cls GROUP BY ALL),
+es AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id, agent ORDER BY core_start, window_id) AS k FROM em),
+fw AS (SELECT video_id, agent, window_id, k, e AS s, []::INT[] AS back FROM es WHERE k = 1 UNION ALL
+  SELECT es.video_id, es.agent, es.window_id, es.k, list_transform(range(1, 11), lambda j: es.e[j] + list_max(list_transform(range(1, 11), lambda i: fw.s[i] + m.m[j][i]))),
+    list_transform(range(1, 11), lambda j: list_position(list_transform(range(1, 11), lambda i: fw.s[i] + m.m[j][i]), list_max(list_transform(range(1, 11), lambda i: fw.s[i] + m.m[j][i])))::INT)
+  FROM fw JOIN es ON es.video_id = fw.video_id AND es.agent = fw.agent AND es.k = fw.k + 1, m),
+fx AS MATERIALIZED (SELECT * FROM fw),
+bw AS (SELECT video_id, agent, window_id, k, list_position(s, list_max(s))::INT AS spot, back FROM fx WHERE (video_id, agent, k) IN (SELECT (video_id, agent, max(k)) FROM fx GROUP BY video_id, agent) UNION ALL
+  SELECT fx.video_id, fx.agent, fx.window_id, fx.k, bw.back[bw.spot], fx.back FROM bw JOIN fx ON fx.video_id = bw.video_id AND fx.agent = bw.agent AND fx.k = bw.k - 1)
+SELECT window_id, spot - 1 AS cls FROM bw"""
 SQL = {
+    "sq_viterbi": _VITERBI,
+    "sq_viterbi_uniform": _RULES["dc_ratio"],
     "sq_transition_log_probs": f"WITH {PROBA_SQL}, n AS (SELECT y AS a, lead(y) OVER (PARTITION BY video_id, agent ORDER BY core_start, window_id) AS b FROM proba), c AS (SELECT a, b, count(*) AS n FROM n WHERE b IS NOT NULL GROUP BY ALL), g AS (SELECT x.a, y.b, coalesce(n, 0) + 1.0 AS n FROM (SELECT unnest(range(0, 10))::INT AS a) AS x, (SELECT unnest(range(0, 10))::INT AS b) AS y LEFT JOIN c ON c.a = x.a AND c.b = y.b) SELECT a, b, {rs('ln((n / sum(n) OVER (PARTITION BY a))::DOUBLE)', 'lp', 6)} FROM g",
     "ml_query_entropy": f"WITH {PROBA_SQL} SELECT window_id, {_ENT} AS score FROM proba WHERE window_id % 5 <> 0 ORDER BY 2 DESC, 1 LIMIT 25",
     "ml_query_margin": f"WITH {PROBA_SQL} SELECT window_id, round(list_sort(p, 'DESC')[2] - list_sort(p, 'DESC')[1], 6) AS score FROM proba WHERE window_id % 5 <> 0 ORDER BY 2 DESC, 1 LIMIT 25",

@@ -27,6 +27,11 @@ def _r6(df):
     return r4(df, 6)
 
 
+def _lab(df):
+    """Videos are dealt to four labs."""
+    return df.withColumn("lab_id", F.col("video_id") % 4)
+
+
 # ---- tracking and annotation quality ----
 
 
@@ -90,16 +95,18 @@ def ql_transitions_roles(spark, d):
 
 
 def ql_missing_rate(spark, d):
-    g = to_long(pose(spark, d)).groupBy("bodypart").agg(*[F.avg(x.isNull().cast("int")).alias(n) for n, x in (("x", F.col("x")), ("y", F.col("y")), ("any", F.col("x") + F.col("y")))])
+    """Per lab and body part: missing x, y and either."""
+    g = _lab(to_long(pose(spark, d))).groupBy("lab_id", "bodypart").agg(*[F.avg(x.isNull().cast("int")).alias(n) for n, x in (("x", F.col("x")), ("y", F.col("y")), ("any", F.col("x") + F.col("y")))])
     return _r6(g)
 
 
 def ql_outlier_rates(spark, d):
-    """Shares of speeds and accelerations above median + 6 MAD, per body part."""
-    s = Q.with_speeds(to_long(pose(spark, d)))
-    cuts = [Q.robust_threshold(s.where(f"{c} IS NOT NULL"), c, 6.0, "bodypart").select("bodypart", F.col("threshold").alias(f"t_{c}")) for c in ("speed", "accel")]
-    j = s.join(cuts[0], "bodypart").join(cuts[1], "bodypart")
-    return _r6(j.groupBy("bodypart").agg(*[F.avg((F.col(c) > F.col(f"t_{c}")).cast("int")).alias(f"{c}_outliers") for c in ("speed", "accel")]))
+    """Shares of speeds and accelerations above median + 6 MAD, per lab and body part."""
+    return _r6(Q.outlier_rates(_lab(to_long(pose(spark, d))), 6.0, "lab_id", "bodypart"))
+
+
+def ql_recording_report(spark, d):
+    return _r6(Q.recording_report(pose(spark, d), "video_id"))
 
 
 def ql_length_and_jumps(spark, d):
@@ -265,7 +272,7 @@ def dc_uncertainty_top(spark, d):
 
 
 def _halves(spark, d):
-    k = P.kinematics(pose(spark, d)).select("video_id", "mouse_id", "video_frame", "centroid_speed", "body_angle", "body_length")
+    k = P.kinematics(pose(spark, d), smooth=0).select("video_id", "mouse_id", "video_frame", "centroid_speed", "body_angle", "body_length")
     return k.withColumn("early", F.col("video_frame") < 150)
 
 
@@ -293,8 +300,9 @@ def st_bootstrap(spark, d):
 
 
 def st_aulc(spark, d):
-    c = pose(spark, d).where("video_frame % 50 = 0").groupBy("mouse_id", "video_frame").agg(F.avg("nose_x").alias("x"))
-    return _r6(T.aulc(c, "video_frame", "x", "mouse_id"))
+    """Area under the curve of mean noses by spells of 25 frames, over all frames."""
+    c = pose(spark, d).groupBy("mouse_id", F.floor(F.col("video_frame") / 25).alias("spell")).agg(F.avg("nose_x").alias("x"))
+    return _r6(T.aulc(c, "spell", "x", "mouse_id"))
 
 
 def st_drift(spark, d):
@@ -346,7 +354,7 @@ def st_bone_variance(spark, d):
 def st_dz_by_action(spark, d):
     """Implied depth during annotated frames: per interval, then per action."""
     z = P.implied_depth(pose(spark, d), 100.0).select("video_id", F.col("mouse_id").alias("agent_id"), F.col("video_frame").cast("long").alias("video_frame"), "dz_sum")
-    f = I.frames_of(_clean(spark, d).where("start_frame < 400"), inclusive=True)
+    f = I.frames_of(_clean(spark, d), inclusive=True)
     one = f.join(z, ["video_id", "agent_id", "video_frame"]).groupBy("action", "event_id").agg(F.avg("dz_sum").alias("mean"), F.max("dz_sum").alias("most"), F.count("*").alias("n"))
     return _r6(one.groupBy("action").agg(F.avg("mean").alias("mean"), F.max("most").alias("most"), F.sum("n").alias("frames")))
 
@@ -380,8 +388,9 @@ SQL = {
     "ql_lab_action_pivot": f"WITH {CLEAN_SQL} SELECT video_id % 4 AS lab_id, " + ", ".join(r6(f"count_if(action = '{n}')::DOUBLE / count(*)", n) for n in ("click", "error", "purchase", "signup", "view")) + " FROM clean GROUP BY 1",
     "ql_transitions": f"WITH {CLEAN_SQL}, x AS (SELECT action, lead(action) OVER (PARTITION BY video_id ORDER BY start_frame, stop_frame, event_id) AS next FROM clean), n AS (SELECT action, next, count(*) AS n FROM x WHERE next IS NOT NULL GROUP BY ALL) SELECT action, next, n, {r6('n::DOUBLE / sum(n) OVER (PARTITION BY action)', 'share')} FROM n",
     "ql_transitions_roles": f"WITH x AS (SELECT role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role) AS next FROM (SELECT DISTINCT conv_id, turn, role FROM conversations WHERE conv_id IS NOT NULL AND role IS NOT NULL)), n AS (SELECT role, next, count(*) AS n FROM x WHERE next IS NOT NULL GROUP BY ALL) SELECT role, next, n, {r6('n::DOUBLE / sum(n) OVER (PARTITION BY role)', 'share')} FROM n",
-    "ql_missing_rate": f"WITH {LONG_SQL} SELECT bodypart, {r6('avg((x IS NULL)::INT)', 'x')}, {r6('avg((y IS NULL)::INT)', 'y')}, {r6('avg((x IS NULL OR y IS NULL)::INT)', '\"any\"')} FROM long GROUP BY bodypart",
-    "ql_outlier_rates": f"WITH {_SPEED}, m AS (SELECT bodypart, median(speed) AS ms, median(accel) AS ma FROM sp GROUP BY bodypart), d AS (SELECT bodypart, any_value(ms) + 6 * 1.4826 * median(abs(speed - ms)) AS ts, any_value(ma) + 6 * 1.4826 * median(abs(accel - ma)) AS ta FROM sp JOIN m USING (bodypart) GROUP BY bodypart) SELECT bodypart, {r6('avg((speed > ts)::INT)', 'speed_outliers')}, {r6('avg((accel > ta)::INT)', 'accel_outliers')} FROM sp JOIN d USING (bodypart) GROUP BY bodypart",
+    "ql_missing_rate": f"WITH {LONG_SQL} SELECT video_id % 4 AS lab_id, bodypart, {r6('avg((x IS NULL)::INT)', 'x')}, {r6('avg((y IS NULL)::INT)', 'y')}, {r6('avg((x IS NULL OR y IS NULL)::INT)', '\"any\"')} FROM long GROUP BY ALL",
+    "ql_outlier_rates": f"WITH {_SPEED}, sl AS (SELECT *, video_id % 4 AS lab_id FROM sp), m AS (SELECT lab_id, bodypart, median(speed) AS ms, median(accel) AS ma FROM sl GROUP BY ALL), d AS (SELECT lab_id, bodypart, any_value(ms) + 6 * 1.4826 * median(abs(speed - ms)) AS ts, any_value(ma) + 6 * 1.4826 * median(abs(accel - ma)) AS ta FROM sl JOIN m USING (lab_id, bodypart) GROUP BY ALL) SELECT lab_id, bodypart, {r6('avg((speed > ts)::INT)', 'speed_outliers')}, {r6('avg((accel > ta)::INT)', 'accel_outliers')} FROM sl JOIN d USING (lab_id, bodypart) GROUP BY ALL",
+    "ql_recording_report": f"WITH {_SPEED}, c AS (SELECT video_id, avg(speed) + 3 * stddev_samp(speed) AS cut FROM sp GROUP BY video_id), a AS (SELECT video_id, count(DISTINCT video_frame) AS n_frames, count(DISTINCT mouse_id) AS n_mice, avg((x IS NULL OR y IS NULL)::INT) AS nan_rate, avg(coalesce(speed > cut, false)::INT) AS so FROM sp JOIN c USING (video_id) GROUP BY video_id), l AS (SELECT video_id, mouse_id, {_D('nose', 'tail_base')} AS l FROM pose), m AS (SELECT video_id, mouse_id, median(l) AS m FROM l GROUP BY ALL), v AS (SELECT video_id, avg(coalesce(abs(l - m) / m > 0.25, false)::INT) AS lv FROM l JOIN m USING (video_id, mouse_id) GROUP BY video_id) SELECT video_id, n_frames, n_mice, {r6('nan_rate', 'nan_rate')}, {r6('so', 'speed_outlier_rate')}, {r6('lv', 'length_violation_rate')} FROM a JOIN v USING (video_id)",
     "ql_length_and_jumps": f"WITH {_CEN}, a AS (SELECT video_id, mouse_id, {_D('nose', 'tail_base')} AS l, ang - lag(ang) {W} AS s FROM cen), m AS (SELECT video_id, mouse_id, median(l) AS m FROM a GROUP BY ALL) SELECT video_id, {r6('avg((abs(l - m) / m > 0.25)::INT)', 'length_violations')}, {r6('avg((abs((s + pi()) - 2 * pi() * floor((s + pi()) / (2 * pi())) - pi()) > 1.5707963267948966)::INT)', 'angle_jumps')} FROM a JOIN m USING (video_id, mouse_id) GROUP BY video_id",
     "ql_fit_skeleton": _FIT(""),
     "ql_fit_skeleton_per_mouse": _FIT("mouse_id, "),
@@ -414,13 +423,13 @@ SQL = {
     "st_kl_speed": f"WITH {_HV}, n AS (SELECT least(floor(v / 60 * 50), 49) AS b, count_if(early)::DOUBLE AS a, count_if(NOT early)::DOUBLE AS c FROM k WHERE v BETWEEN 0 AND 60 GROUP BY 1), t AS (SELECT sum(a) AS ta, sum(c) AS tc FROM n) SELECT {r6('sum((a / ta + 1e-10) * ln((a / ta + 1e-10) / (c / tc + 1e-10)))', 'kl')} FROM n, t",
     "st_wilcoxon": f"WITH {POSE_SQL}, m AS (SELECT video_id % 3 AS lab_id, round(avg(nose_x) FILTER (WHERE mouse_id = 1), 2) - round(avg(nose_x) FILTER (WHERE mouse_id = 2), 2) AS d FROM pose GROUP BY video_id), z AS (SELECT *, abs(d) AS a FROM m WHERE d <> 0), k AS (SELECT *, rank() OVER (PARTITION BY lab_id ORDER BY a) + (count(*) OVER (PARTITION BY lab_id, a) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY lab_id, a) AS t FROM z), g AS (SELECT lab_id, count(*) AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0)::DOUBLE AS wp, coalesce(sum(r) FILTER (WHERE d < 0), 0)::DOUBLE AS wm, sum(t * t - 1)::DOUBLE AS tie FROM k GROUP BY lab_id) SELECT lab_id, n, {r6('wp', 'w_plus')}, {r6('wm', 'w_minus')}, {r6('least(wp, wm)', 'w')}, {r6('(least(wp, wm) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tie / 48)', 'z')}, {r6('1 - 2 * least(wp, wm) / (n * (n + 1))', 'effect')} FROM g",
     "st_bootstrap": None,
-    "st_aulc": f"WITH {POSE_SQL}, c AS (SELECT mouse_id, video_frame AS n, avg(nose_x) AS x FROM pose WHERE video_frame % 50 = 0 GROUP BY ALL), p AS (SELECT *, (n - lag(n) OVER w) * (x + lag(x) OVER w) / 2 AS a FROM c WINDOW w AS (PARTITION BY mouse_id ORDER BY n)) SELECT mouse_id, {r6('sum(a) / nullif(max(n) - min(n), 0)', 'aulc')} FROM p GROUP BY mouse_id",
+    "st_aulc": f"WITH {POSE_SQL}, c AS (SELECT mouse_id, video_frame // 25 AS n, avg(nose_x) AS x FROM pose GROUP BY ALL), p AS (SELECT *, (n - lag(n) OVER w) * (x + lag(x) OVER w) / 2 AS a FROM c WINDOW w AS (PARTITION BY mouse_id ORDER BY n)) SELECT mouse_id, {r6('sum(a) / nullif(max(n) - min(n), 0)', 'aulc')} FROM p GROUP BY mouse_id",
     "st_drift": f"WITH {POSE_SQL}, g AS (SELECT " + ", ".join(f"avg({c}) AS {c}_m, var_pop({c}) AS {c}_v" for c in ("nose_x", "nose_y", "tail_base_x")) + " FROM pose GROUP BY video_id) SELECT " + ", ".join(r6(f"var_pop({c}_m) / avg({c}_v)", c) for c in ("nose_x", "nose_y", "tail_base_x")) + " FROM g",
     "st_correlations": f"WITH {POSE_SQL} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {r6(f'corr({a}, {b})', 'r')} FROM pose" for i, a in enumerate(("nose_x", "neck_x", "tail_base_x", "tail_base_y")) for b in ("nose_x", "neck_x", "tail_base_x", "tail_base_y")[i + 1 :]),
     "st_jerk": f"WITH {POSE_SQL}, j AS (SELECT video_id, mouse_id, sqrt(" + " + ".join(f"(nose_{a} - 3 * lag(nose_{a}) {W} + 3 * lag(nose_{a}, 2) {W} - lag(nose_{a}, 3) {W}) ** 2" for a in "xy") + f") AS j FROM pose) SELECT video_id, mouse_id, {r6('avg(j)', 'mean_jerk')}, {r6('quantile_cont(j, 0.95)', 'p95_jerk')}, {r6('avg(j * j)', 'energy')} FROM j GROUP BY ALL",
     "st_turning": f"WITH {POSE_SQL}, s AS (SELECT *, nose_x - lag(nose_x) {W} AS dx, nose_y - lag(nose_y) {W} AS dy FROM pose), n AS (SELECT *, sqrt(dx ** 2 + dy ** 2) AS n, atan2(dy, dx) AS a FROM s), t AS (SELECT video_id, CASE WHEN n > 0.5 AND lag(n) {W} > 0.5 THEN a - lag(a) {W} + pi() END AS t FROM n) SELECT video_id, count(t) AS n, {r6('avg(abs(t - 2 * pi() * floor(t / (2 * pi())) - pi()))', 'mean')}, {r6('max(abs(t - 2 * pi() * floor(t / (2 * pi())) - pi()))', 'largest')} FROM t GROUP BY video_id",
     "st_alignment": f"WITH {POSE_SQL}, e AS (SELECT video_id, neck_x - tail_base_x AS ux, neck_y - tail_base_y AS uy, nose_x - tail_base_x AS vx, nose_y - tail_base_y AS vy FROM pose) SELECT video_id, {r6('avg(abs((ux * vy - uy * vx) / nullif(sqrt(ux ** 2 + uy ** 2) * sqrt(vx ** 2 + vy ** 2), 0)))', 'score')} FROM e GROUP BY video_id",
     "st_bone_variance": f"WITH {_EDGE} SELECT mouse_id, edge, {r6('stddev_samp(length) / avg(length)', 'cv')} FROM edge GROUP BY ALL",
-    "st_dz_by_action": f"WITH {POSE_SQL}, {CLEAN_SQL}, z AS (SELECT video_id, mouse_id, video_frame, {_DZSUM} AS dz FROM pose), o AS (SELECT action, event_id, avg(dz) AS m, max(dz) AS x, count(*) AS n FROM clean JOIN z ON z.video_id = clean.video_id AND mouse_id = agent_id AND video_frame >= start_frame AND video_frame <= stop_frame WHERE start_frame < 400 GROUP BY ALL) SELECT action, {r6('avg(m)', 'mean')}, {r6('max(x)', 'most')}, sum(n)::BIGINT AS frames FROM o GROUP BY action",
+    "st_dz_by_action": f"WITH {POSE_SQL}, {CLEAN_SQL}, z AS (SELECT video_id, mouse_id, video_frame, {_DZSUM} AS dz FROM pose), o AS (SELECT action, event_id, avg(dz) AS m, max(dz) AS x, count(*) AS n FROM clean JOIN z ON z.video_id = clean.video_id AND mouse_id = agent_id AND video_frame >= start_frame AND video_frame <= stop_frame GROUP BY ALL) SELECT action, {r6('avg(m)', 'mean')}, {r6('max(x)', 'most')}, sum(n)::BIGINT AS frames FROM o GROUP BY action",
 }
 SQL = {k: v for k, v in SQL.items() if v}

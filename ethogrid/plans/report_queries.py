@@ -88,8 +88,9 @@ def fn_confidence(spark, d):
 
 
 def fn_interp_grid(spark, d):
-    c = pose(spark, d).where("video_frame % 50 = 10").groupBy("mouse_id", "video_frame").agg(F.avg("nose_x").alias("x"))
-    return r4(T.on_grid(c, "video_frame", "x", [0, 25, 60, 100, 133, 1e6], "mouse_id"), 6)
+    """Mean noses by spells of 25 frames, over all frames, read off at a grid."""
+    c = pose(spark, d).groupBy("mouse_id", F.floor(F.col("video_frame") / 25).alias("spell")).agg(F.avg("nose_x").alias("x"))
+    return r4(T.on_grid(c, "spell", "x", [0, 0.5, 1.25, 3, 4.75, 1e6], "mouse_id"), 6)
 
 
 def fn_curvature(spark, d):
@@ -165,7 +166,7 @@ SQL = {
     "rp_irreducible_floor": f"WITH {_EDGE}, s AS (SELECT edge, stddev_samp(length) / avg(length) AS sigma FROM edge GROUP BY edge), x AS (SELECT *, 0.25 / sigma / sqrt(2.0) AS x FROM s), t AS (SELECT *, 1 / (1 + 0.3275911 * x) AS t FROM x) SELECT edge, {r6('sigma', 'sigma')}, {r6('t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x)', 'floor')} FROM t",
     "fn_edge_weights": f"WITH {_EDGE}, v AS (SELECT edge, 1 / var_samp(length) AS inv FROM edge GROUP BY edge HAVING var_samp(length) > 0) SELECT edge, {r6('least(5.0, greatest(0.2, inv / (SELECT median(inv) FROM v)))', 'weight')} FROM v",
     "fn_min_max": f"WITH {POSE_SQL}, m AS (SELECT video_id, mouse_id, avg(nose_x) AS x FROM pose GROUP BY ALL) SELECT video_id, mouse_id, {r6('CASE WHEN max(x) OVER w > min(x) OVER w THEN (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) ELSE 0.5 END', 'x')} FROM m WINDOW w AS (PARTITION BY mouse_id)",
-    "fn_interp_grid": f"WITH {POSE_SQL}, c AS (SELECT mouse_id, video_frame AS f, avg(nose_x) AS x FROM pose WHERE video_frame % 50 = 10 GROUP BY ALL), q AS (SELECT m.mouse_id, g, (SELECT max(f) FROM c WHERE c.mouse_id = m.mouse_id AND f <= g) AS f0, (SELECT min(f) FROM c WHERE c.mouse_id = m.mouse_id AND f > g) AS f1 FROM (SELECT DISTINCT mouse_id FROM c) AS m, (SELECT unnest([0, 25, 60, 100, 133, 1e6])::DOUBLE AS g)) SELECT q.mouse_id, g, {r6('CASE WHEN a.x IS NULL THEN b.x WHEN b.x IS NULL THEN a.x ELSE a.x + (b.x - a.x) * (g - f0) / (f1 - f0) END', 'y')} FROM q LEFT JOIN c AS a ON a.mouse_id = q.mouse_id AND a.f = f0 LEFT JOIN c AS b ON b.mouse_id = q.mouse_id AND b.f = f1",
+    "fn_interp_grid": f"WITH {POSE_SQL}, c AS (SELECT mouse_id, video_frame // 25 AS f, avg(nose_x) AS x FROM pose GROUP BY ALL), q AS (SELECT m.mouse_id, g, (SELECT max(f) FROM c WHERE c.mouse_id = m.mouse_id AND f <= g) AS f0, (SELECT min(f) FROM c WHERE c.mouse_id = m.mouse_id AND f > g) AS f1 FROM (SELECT DISTINCT mouse_id FROM c) AS m, (SELECT unnest([0, 0.5, 1.25, 3, 4.75, 1e6])::DOUBLE AS g)) SELECT q.mouse_id, g, {r6('CASE WHEN a.x IS NULL THEN b.x WHEN b.x IS NULL THEN a.x ELSE a.x + (b.x - a.x) * (g - f0) / (f1 - f0) END', 'y')} FROM q LEFT JOIN c AS a ON a.mouse_id = q.mouse_id AND a.f = f0 LEFT JOIN c AS b ON b.mouse_id = q.mouse_id AND b.f = f1",
     "fn_curvature": f"WITH {POSE_SQL}, v AS (SELECT video_id, mouse_id, {_H('nose_x')} AS vx, {_H('nose_y')} AS vy, {_S2('nose_x')} AS ax, {_S2('nose_y')} AS ay FROM pose), k AS (SELECT video_id, mouse_id, abs(vx * ay - vy * ax) / nullif(pow(vx * vx + vy * vy, 1.5), 0) AS k FROM v) SELECT video_id, mouse_id, count(k) AS n, {r6('quantile_cont(k, 0.5)', 'median')} FROM k GROUP BY ALL",
     "fn_identity_runs": f"WITH {POSE_SQL}, p AS (SELECT a.video_id, a.video_frame, a.neck_x AS x1, a.neck_y AS y1, b.neck_x AS x2, b.neck_y AS y2 FROM pose AS a JOIN pose AS b ON a.video_id = b.video_id AND a.video_frame = b.video_frame AND a.mouse_id = 1 AND b.mouse_id = 2), c AS (SELECT video_id, video_frame, coalesce(sqrt((x1 - lag(x1) OVER w) ** 2 + (y1 - lag(y1) OVER w) ** 2) + sqrt((x2 - lag(x2) OVER w) ** 2 + (y2 - lag(y2) OVER w) ** 2) > sqrt((x1 - lag(x2) OVER w) ** 2 + (y1 - lag(y2) OVER w) ** 2) + sqrt((x2 - lag(x1) OVER w) ** 2 + (y2 - lag(y1) OVER w) ** 2), false) AS c FROM p WINDOW w AS (PARTITION BY video_id ORDER BY video_frame)), g AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY video_frame) - row_number() OVER (PARTITION BY video_id, c ORDER BY video_frame) AS k FROM c), r AS (SELECT video_id, k, count(*) AS n FROM g WHERE c GROUP BY ALL HAVING count(*) >= 2) SELECT video_id, count(*) AS runs, max(n) AS longest FROM r GROUP BY video_id",
     "fn_recovery": f"WITH {POSE_SQL}, t AS (SELECT video_id, tail_base_x AS x, min(CASE WHEN tail_base_x IS NOT NULL THEN video_frame END) OVER (PARTITION BY video_id, mouse_id ORDER BY video_frame ROWS BETWEEN 1 FOLLOWING AND 50 FOLLOWING) - video_frame AS lag FROM pose) SELECT video_id, count(*) AS gaps, {r6('avg(lag)', 'mean_lag')}, {r6('avg((lag IS NOT NULL)::INT)', 'recovered')} FROM t WHERE x IS NULL GROUP BY video_id",

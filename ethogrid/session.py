@@ -1,10 +1,12 @@
-"""A session with the settings that the operators expect."""
+"""A session with the settings that the operators expect, and tables kept in the folder that a cluster shares."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "ethogrid", **conf: str) -> SparkSession:
@@ -15,10 +17,20 @@ def session(name: str = "ethogrid", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named and driver and
+    executors are one local process (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = getattr(spark, "_ethogrid_shared", None) or tempfile.mkdtemp(prefix="spark-")
         spark._ethogrid_shared = path
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, for what several passes use."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

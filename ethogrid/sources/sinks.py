@@ -5,9 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 SUBMISSION = ["row_id", "video_id", "agent_id", "target_id", "action", "start_frame", "stop_frame"]
 
 
@@ -25,19 +28,31 @@ def fingerprint(tracking: DataFrame) -> DataFrame:
     return tracking.agg(F.count("*").alias("n_rows"), F.count_distinct("video_frame").alias("n_frames"), F.min("video_frame").alias("f_min"), F.max("video_frame").alias("f_max"))
 
 
-def kept(df_of, path: str, spark, **parameters) -> DataFrame:
-    """The table under path/<hash>, made by df_of() if it isn't there. Spark's commit makes it appear whole."""
-    where = f"{path}/{parameter_hash(**parameters)}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        df_of().write.mode("overwrite").parquet(where)
-    return spark.read.parquet(where)
+def kept(df_of, path: str, spark, version: int = 1, source: DataFrame | None = None, **parameters) -> DataFrame:
+    """The table under path/<hash>, made by df_of() if it isn't there. The hash covers the parameters, the version of the
+    algorithm and the fingerprint of source. A marker is written after the table, so that half a table is made again."""
+    seen = source and list(fingerprint(source).first())
+    where = f"{path}/{parameter_hash(_version=version, _source=seen, **parameters)}"
+    if not _there(spark, f"{where}/done"):
+        df_of().write.mode("overwrite").parquet(f"{where}/rows")
+        spark.range(1).write.mode("overwrite").parquet(f"{where}/done")
+    return spark.read.parquet(f"{where}/rows")
+
+
+def _there(spark, path: str) -> bool:
+    try:
+        return spark.read.schema("id long").parquet(path).count() == 1
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
 
 
 def with_row_ids(submission: DataFrame) -> DataFrame:
-    """Gapless row ids in the order of the key. Ids within a partition are counted there; only partition sizes meet."""
+    """Gapless row ids in the order of the key. Ids within a partition are counted there; only partition sizes meet. The
+    ranged rows are written first, so that both branches see the same partitions, whatever is retried or coalesced."""
     order = ["video_id", "agent_id", "target_id", "start_frame", "stop_frame", "action"]
-    ranged = submission.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    ranged = written(submission.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranged")
     within = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     sizes = within.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
