@@ -156,6 +156,15 @@ def relations(wide: DataFrame, keypoints: list[str] = KEYPOINTS) -> DataFrame:
     return d.withColumns(more).select("video_id", "agent", "target", "video_frame", *names)
 
 
+def features(wide: DataFrame, smooth: int = 9, unit: float = 1.0, keypoints: list[str] = KEYPOINTS) -> DataFrame:
+    """All features of each mouse's frames towards each other mouse (a lone mouse: towards none): its kinematics, segment
+    angles and implied depths, and the relations, which are empty on frames that the other mouse lacks."""
+    keys = [*MOUSE, "video_frame"]
+    own = kinematics(wide, keypoints, smooth).join(segment_angles(wide), keys).join(implied_depth(wide, unit), keys)
+    own = own.withColumnRenamed("mouse_id", "agent").join(ordered_pairs(wide), ["video_id", "agent"])
+    return own.join(relations(wide, keypoints), ["video_id", "agent", "target", "video_frame"], "left")
+
+
 def occlusion(wide: DataFrame, near: float = 0.25, keypoints: list[str] = KEYPOINTS) -> DataFrame:
     """Box overlap of each ordered pair, and the shares of the agent's keypoints inside the other's box and near it."""
     d = aligned(wide)
