@@ -95,3 +95,11 @@ def normal_tail(z: Column) -> Column:
 def clipped_confidence(severity: Column, sigma: float, low: float = 0.05) -> Column:
     """exp(-severity / sigma), within [low, 1]."""
     return F.greatest(F.lit(low), F.least(F.lit(1.0), F.exp(-severity / sigma)))
+
+
+def probit(p: Column) -> Column:
+    """The normal quantile of p in (0, 1): Hastings' rational form, right to 4.5e-4."""
+    q = F.least(p, 1 - p)
+    t = F.sqrt(-2 * F.ln(q))
+    z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
+    return F.when(p < 0.5, -z).otherwise(z)

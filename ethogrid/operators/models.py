@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PCA, Imputer, RobustScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..session import written
 from .decide import class_weights
+from .stats import exact_percentiles
 
 
 def assembled(df: DataFrame, columns: list[str], out: str = "features", train: DataFrame | None = None) -> DataFrame:
@@ -44,6 +47,83 @@ def scaled(train: DataFrame, both: DataFrame, kind: str = "robust", features: st
     return s.fit(train).transform(both)
 
 
+def quantile_scaled(train: DataFrame, both: DataFrame, columns: list[str], parts: int = 100) -> DataFrame:
+    """both with each column turned into a normal score by the quantiles of train (linear between `parts` of them)."""
+    q = exact_percentiles(train, columns, tuple(i / parts for i in range(parts + 1))).select("column", "v").collect()  # one row a column
+    marks = {r["column"]: r["v"] for r in q}
+
+    def score(c: str) -> Column:
+        v = F.array(*[F.lit(float(x)) for x in marks[c]])
+        below = F.size(F.filter(v, lambda m: m <= F.col(c)))
+        low, high = F.get(v, below - 1), F.get(v, below)
+        part = F.when(below == 0, 0.0).when(below > parts, 1.0).otherwise((below - 1 + F.coalesce(F.try_divide(F.col(c) - low, high - low), F.lit(0.0))) / parts)
+        return F.when(F.col(c).isNotNull(), G.probit(F.least(F.lit(1 - 1e-7), F.greatest(F.lit(1e-7), part))))
+
+    return both.withColumns({c: score(c) for c in columns})
+
+
+def calibrated_svm(train: DataFrame, test: DataFrame, columns: list[str], classes: list[float], fold: Column) -> DataFrame:
+    """test with prediction and p (an array): one linear machine a class, its margins turned into probabilities by isotonic
+    regression on the part of train where fold is true, which the machine does not see; p sums to 1."""
+    fit, rest = train.where(~fold), train.where(fold)
+    fit, rest, out = assembled(fit, columns), assembled(rest, columns, train=fit), assembled(test, columns, train=fit)
+    margin = lambda m, df: m.transform(df).withColumn("_m", F.get(vector_to_array("rawPrediction"), F.lit(1))).drop("rawPrediction", "prediction")
+    for k, c in enumerate(classes):
+        machine = LinearSVC(labelCol="_y", featuresCol="features", maxIter=20).fit(fit.withColumn("_y", (F.col("y") == c).cast("double")))
+        curve = IsotonicRegression(labelCol="_y", featuresCol="_m", predictionCol="_p").fit(margin(machine, rest.withColumn("_y", (F.col("y") == c).cast("double"))))
+        out = curve.transform(margin(machine, out)).withColumnRenamed("_p", f"_p{k}").drop("_m")
+    p = F.array(*[F.greatest(F.col(f"_p{k}"), F.lit(1e-6)) for k in range(len(classes))])
+    out = out.withColumn("p", p).withColumn("_t", F.aggregate("p", F.lit(0.0), lambda a, x: a + x)).withColumn("p", F.transform("p", lambda x: x / F.col("_t")))
+    best = F.get(F.array(*map(F.lit, classes)), F.array_position("p", F.array_max("p")).cast("int") - 1)
+    return out.withColumn("prediction", best).drop("_t", *[f"_p{k}" for k in range(len(classes))])
+
+
+def per_group(df: DataFrame, columns: list[str], group: str, fold: str, model, least: int = 20) -> DataFrame:
+    """Predictions for each row by a model of its group, fitted on the other folds; groups that have fewer than `least`
+    rows of some class that they hold, or one class alone, get the model of all groups. One fit a group and fold."""
+    df = written(df, "grouped")
+    n = df.groupBy(group, "y").agg(F.count("*").alias("n")).groupBy(group).agg(F.min("n").alias("least"), F.count("*").alias("classes"))
+    plan, folds = n.collect(), [r[0] for r in df.select(fold).distinct().collect()]  # one row a group, one a fold
+    small = [r[group] for r in plan if r["least"] < least or r["classes"] < 2]
+    out = []
+    for k in folds:
+        for g in [r[group] for r in plan if r[group] not in small]:
+            out.append(left_out(df.where(F.col(group) == g), columns, fold, k, model).withColumn("fallback", F.lit(False)))
+        if small:
+            out.append(left_out(df, columns, fold, k, model).where(F.col(group).isin(small)).withColumn("fallback", F.lit(True)))
+    keep = [*df.columns, "prediction", "fallback"]
+    result = out[0].select(*keep)
+    for o in out[1:]:
+        result = result.unionByName(o.select(*keep))
+    return result
+
+
+def importances(df: DataFrame, columns: list[str], model) -> DataFrame:
+    """feature, importance: the impurity importances of a fitted forest."""
+    fitted = model.fit(weighted(assembled(df, columns)))
+    return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(columns, fitted.featureImportances.toArray())], "feature string, importance double")
+
+
+def permuted_importances(df: DataFrame, columns: list[str], held: Column, model, seed: int = 0) -> DataFrame:
+    """feature, loss: what accuracy on the held rows loses if a column takes another held row's value, by a rotation of the
+    rows in hash order of one place."""
+    train, test = df.where(~held), written(df.where(held), "held")
+    fitted = model.fit(weighted(assembled(train, columns)))
+    right = lambda d: fitted.transform(assembled(d, columns, train=train)).agg(F.avg((F.col("prediction") == F.col("y")).cast("int"))).first()[0]
+    base, rows = right(test), []
+    order = Window.partitionBy(F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(64))).orderBy(F.xxhash64(F.lit(seed + 1), *columns))
+    for c in columns:
+        rows.append((c, float(base - right(test.withColumn(c, F.coalesce(F.lag(c).over(order), F.last(c).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))))))
+    return df.sparkSession.createDataFrame(rows, "feature string, loss double")
+
+
+def resampled(df: DataFrame, weight: str, identity: str, seed: int = 0) -> DataFrame:
+    """Rows repeated floor(weight) times, and once more with the chance of what is left, by the hash of the id."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(identity).cast("string"))), 1, 8), 16, 10).cast("double") / 2.0**32
+    n = (F.floor(weight) + (u < F.col(weight) - F.floor(weight)).cast("long")).cast("int")
+    return df.withColumn("_n", n).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
+
+
 def projected(df: DataFrame, k: int = 2, features: str = "features") -> DataFrame:
     """First k principal components as an array."""
     p = PCA(k=k, inputCol=features, outputCol="_pca").fit(df).transform(df)
@@ -73,14 +153,16 @@ def k_center(pool: DataFrame, n: int, vector: str, identity: str, first) -> Data
     """n rows, each the farthest from those chosen so far (core-set). One pass per choice, only the chosen vector is sent
     to the tasks; distances stay with the rows."""
     chosen = [pool.where(F.col(identity) == first).select(identity, vector).first()]
-    d = pool.select(identity, vector)
+    d = pool.select(identity, vector).withColumn("_d", F.lit(None).cast("double"))
 
     def far(v) -> Column:
         return F.sqrt(F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(x)) for x in v]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
 
     while len(chosen) < n:
-        near = F.least(*[far(c[1]) for c in chosen]) if len(chosen) > 1 else far(chosen[0][1])
-        chosen.append(d.withColumn("_d", near).orderBy(F.desc("_d"), identity).select(identity, vector).first())
+        d = d.withColumn("_d", F.least("_d", far(chosen[-1][1])))
+        if len(chosen) % 8 == 0:  # the least distance is kept, so that the expression stays short
+            d = written(d, "distances")
+        chosen.append(d.orderBy(F.desc("_d"), identity).select(identity, vector).first())
     return pool.sparkSession.createDataFrame([(k, c[0]) for k, c in enumerate(chosen)], f"step int, {identity} long")
 
 

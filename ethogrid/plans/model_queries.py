@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators import active as A
 from ..operators import decide as D
 from ..operators import frames as P
 from ..operators import models as M
@@ -68,7 +69,7 @@ def sq_corrected(spark, d):
 
 
 def sq_tuned_thresholds(spark, d):
-    return r4(S.tuned_thresholds(proba_long(proba(spark, d)), (0.05, 0.1, 0.15, 0.2, 0.3)))
+    return r4(S.tuned_thresholds(proba_long(proba(spark, d))))
 
 
 def _windows(spark, d):
@@ -104,6 +105,78 @@ def ml_boosted(spark, d):
     return r4(_left_out(spark, d, M.boosted(5)))
 
 
+def ml_svm(spark, d):
+    """Report of calibrated linear machines on the videos of fold 0, which they do not see."""
+    w = written(_windows(spark, d), "windows")
+    p = M.calibrated_svm(w.where("fold <> 0"), w.where("fold = 0"), COLUMNS, [0.0, 1.0, 2.0], F.col("fold") == 1)
+    return r4(D.class_report(p.select(F.col("y").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"))))
+
+
+def ml_feature_sets(spark, d):
+    """Macro F1 over left-out videos with all columns and with those of the nose."""
+    w = written(_windows(spark, d), "windows")
+    out = None
+    for name, columns in (("all", COLUMNS), ("nose", COLUMNS[:4])):
+        rows = [M.left_out(w, columns, "fold", k, M.forest(8, 4)).select(F.col("y").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred")) for k in range(3)]
+        s = D.summary(D.class_report(rows[0].unionByName(rows[1]).unionByName(rows[2]))).withColumn("columns", F.lit(name))
+        out = s if out is None else out.unionByName(s)
+    return r4(out)
+
+
+def ml_per_lab(spark, d):
+    """Reports of models fitted per lab; labs with too few rows of a class use the model of all."""
+    w = _windows(spark, d).withColumn("lab_id", F.col("video_id") % 2)
+    return M.per_group(w, COLUMNS, "lab_id", "fold", M.forest(5, 4)).groupBy("lab_id", "fallback").agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("y")).alias("right"))
+
+
+def ml_importances(spark, d):
+    return r4(M.importances(_windows(spark, d), COLUMNS, M.forest(10, 5)), 6)
+
+
+def ml_permuted(spark, d):
+    return r4(M.permuted_importances(_windows(spark, d), COLUMNS, F.col("fold") == 0, M.forest(5, 4)), 6)
+
+
+def ml_resampled(spark, d):
+    """Windows drawn by the balanced weight of their class."""
+    p = proba(spark, d).select("window_id", "y")
+    return M.resampled(p.join(F.broadcast(D.class_weights(p).select("y", "balanced")), "y"), "balanced", "window_id").groupBy("y").agg(F.count("*").alias("n"))  # one row a class
+
+
+def ml_quantile_scaled(spark, d):
+    w = _windows(spark, d).select("video_id", "mouse_id", "win", "fold", "nose_x_mean", "nose_y_mean")
+    return r4(M.quantile_scaled(w.where("fold <> 0"), w, ["nose_x_mean", "nose_y_mean"]).drop("fold"), 3)
+
+
+def ml_random_batch(spark, d):
+    p = proba(spark, d)
+    return A.random_batch(p, p.where("array_max(p) > 0.3"), 25)
+
+
+def ml_combined_batch(spark, d):
+    p = proba(spark, d)
+    counts = p.groupBy(F.col("y").alias("cls")).agg(F.count("*").alias("n"))
+    return r4(A.combined_batch(p, p.where("array_max(p) > 0.3"), counts, 25, F.get("p", F.lit(0)) < 0.1), 6)
+
+
+def ml_hybrid_batch(spark, d):
+    p = proba(spark, d)
+    return A.hybrid_batch(p, p.where("array_max(p) > 0.3"), 10, "p")
+
+
+def ml_gradient_batch(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("window_id"), F.slice("embedding", 1, 8).alias("h"))
+    p = proba(spark, d).join(e, "window_id")
+    return A.gradient_batch(p, p.where("array_max(p) > 0.3"), 6, "h")
+
+
+def ml_oracle(spark, d):
+    """An oracle's answers to the 25 least sure windows, 10 at most."""
+    p = proba(spark, d)
+    known = p.where("array_max(p) > 0.3")
+    return A.revealed(p.select("window_id", "y"), M.query_batch(p, known, 25, "entropy"), known, 10)
+
+
 def ml_scaled(spark, d):
     f = _features(spark, d)
     s = M.scaled(f.where("fold <> 0"), f)
@@ -181,6 +254,10 @@ SQL = {
     "sq_transition_log_probs": f"WITH {PROBA_SQL}, n AS (SELECT y AS a, lead(y) OVER (PARTITION BY video_id, agent ORDER BY core_start, window_id) AS b FROM proba), c AS (SELECT a, b, count(*) AS n FROM n WHERE b IS NOT NULL GROUP BY ALL), g AS (SELECT x.a, y.b, coalesce(n, 0) + 1.0 AS n FROM (SELECT unnest(range(0, 10))::INT AS a) AS x, (SELECT unnest(range(0, 10))::INT AS b) AS y LEFT JOIN c ON c.a = x.a AND c.b = y.b) SELECT a, b, {rs('ln((n / sum(n) OVER (PARTITION BY a))::DOUBLE)', 'lp', 6)} FROM g",
     "ml_query_entropy": f"WITH {PROBA_SQL} SELECT window_id, {_ENT} AS score FROM proba WHERE window_id % 5 <> 0 ORDER BY 2 DESC, 1 LIMIT 25",
     "ml_query_margin": f"WITH {PROBA_SQL} SELECT window_id, round(list_sort(p, 'DESC')[2] - list_sort(p, 'DESC')[1], 6) AS score FROM proba WHERE window_id % 5 <> 0 ORDER BY 2 DESC, 1 LIMIT 25",
+    "ml_resampled": f"WITH {PROBA_SQL}, n AS (SELECT y, count(*) AS n FROM proba GROUP BY y), b AS (SELECT window_id, y, (SELECT sum(n) FROM n)::DOUBLE / ((SELECT count(*) FROM n) * n) AS w FROM proba JOIN n USING (y)) SELECT y, sum(floor(w) + (('0x' || substr(md5('0|' || window_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < w - floor(w))::INT)::BIGINT AS n FROM b GROUP BY y HAVING sum(floor(w) + (('0x' || substr(md5('0|' || window_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < w - floor(w))::INT) > 0",
+    "ml_random_batch": f"WITH {PROBA_SQL} SELECT window_id FROM proba WHERE list_max(p) <= 0.3 ORDER BY md5('0|' || window_id), window_id LIMIT 25",
+    "ml_combined_batch": f"WITH {PROBA_SQL}, i AS (SELECT y AS cls, 1.0::DOUBLE / count(*) AS i FROM proba GROUP BY y), u AS (SELECT window_id, -round(-list_sum(list_transform(p, lambda v: v * ln(v + 1e-12))), 6) AS a, -coalesce((SELECT round(i / (SELECT avg(i) FROM i), 6) FROM i WHERE cls = list_position(p, list_max(p)) - 1), 1.0) AS b, -(p[1] < 0.1)::INT AS c FROM proba WHERE list_max(p) <= 0.3), k AS (SELECT window_id, " + ", ".join(f"rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0 AS r{x}" for x in "abc") + f", count(*) OVER () AS n FROM u) SELECT window_id, {rs('round((0.5 * ra + 0.3 * rb + 0.2 * rc) / n, 9)', 'score', 6)} FROM k ORDER BY round((0.5 * ra + 0.3 * rb + 0.2 * rc) / n, 9) DESC, window_id LIMIT 25",
+    "ml_oracle": f"WITH {PROBA_SQL}, q AS (SELECT window_id, y FROM proba WHERE list_max(p) <= 0.3 ORDER BY {_ENT} DESC, window_id LIMIT 25) SELECT window_id, y FROM q ORDER BY window_id LIMIT 10",
     "ml_bald": f"WITH {PROBA_SQL}, m AS (SELECT window_id, p FROM proba UNION ALL SELECT window_id, list_transform(p, lambda v: (v + 0.1) / 2.0) FROM proba UNION ALL SELECT window_id, list_transform(p, lambda v: (v + 0.5) / 6.0) FROM proba), e AS (SELECT window_id, avg(-list_sum(list_transform(p, lambda v: v * ln(v + 1e-12)))) AS mean FROM m GROUP BY window_id), u AS (SELECT window_id, unnest(range(0, 10)) AS c, unnest(p) AS v FROM m), t AS (SELECT window_id, sum(-v * ln(v + 1e-12)) AS h FROM (SELECT window_id, c, avg(v) AS v FROM u GROUP BY ALL) GROUP BY window_id) SELECT window_id, {rs('h - mean', 'bald', 6)} FROM t JOIN e USING (window_id)",
     "ml_seed_set": f"WITH {PROBA_SQL} SELECT window_id, y FROM proba QUALIFY row_number() OVER (PARTITION BY y ORDER BY md5('0|' || window_id), window_id) <= 5",
     "sm_hourly_rates": f"WITH b AS (SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, value FROM events), g AS (SELECT start, event_type, count(*) AS n, avg(value) AS m FROM b GROUP BY start, event_type) SELECT start, start + INTERVAL 1 hour AS stop, event_type, n, {rs('m', 'mean')} FROM g WHERE start + INTERVAL 1 hour <= (SELECT max(ts) - INTERVAL 2 hour FROM events)",

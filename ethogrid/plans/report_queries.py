@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import signal as Sg
+from ..operators import active as A
 from ..operators import frames as P
 from ..operators import intervals as I
 from ..operators import models as M
@@ -20,7 +21,7 @@ from ..session import shared_folder
 from ..sources.adapters import POSE_SQL, PROBA_LONG_SQL, PROBA_SQL, pose, proba, proba_long
 from .frame_queries import W, r4, rs
 from .interval_queries import SCORE_SQL, _active, _solution, _submission
-from .model_queries import _features
+from .model_queries import COLUMNS, _features, _windows
 from .quality_queries import _EDGE, REFS
 
 r6 = lambda e, n: rs(e, n, 6)
@@ -141,15 +142,11 @@ def ml_bundle(spark, d):
 
 
 def ml_learning_cycle(spark, d):
-    """Three rounds of asking an oracle for the most uncertain windows: labelled rows, and the share of each class known."""
-    pool = proba(spark, d)
-    known = M.seed_set(pool, 2).select("window_id")
-    out = []
-    for step, kind in enumerate(("entropy", "margin", "confidence")):
-        asked = M.query_batch(pool, known, 20, kind).select("window_id")
-        known = known.unionByName(asked)
-        out.append(pool.join(known, "window_id", "left_semi").groupBy("y").agg(F.count("*").alias("n")).withColumn("step", F.lit(step)))
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    """Three rounds of a forest that asks for the windows it is least sure of, and one that asks at random; both are fitted
+    anew each round and scored on the videos of fold 0."""
+    w = _windows(spark, d).withColumn("id", F.xxhash64("video_id", "mouse_id", "win"))
+    runs = [A.cycle(w, COLUMNS, "y", F.col("fold") == 0, 10, 20, 3, k, M.forest(5, 4), "id", 0.0).withColumn("strategy", F.lit(k)) for k in ("margin", "random")]
+    return r4(runs[0].unionByName(runs[1]), 6)
 
 
 QUERIES = {k: v for k, v in globals().items() if k[:3] in ("rp_", "fn_") or k in ("ml_bundle", "ml_learning_cycle")}
