@@ -246,7 +246,8 @@ def corrected(wide: DataFrame, keypoints: list[str], unit: float, edge_weight: f
 # ---- thresholds ------------------------------------------------------------------------------------------------------
 
 
-GRID = tuple(round(0.02 + 0.36 * (i / 26) ** 1.5, 4) for i in range(27))
+#: 0.02 to 0.28 by 0.02, and 0.30 to 0.90 by 0.05.
+GRID = (*(round(0.02 * i, 2) for i in range(1, 15)), *(round(0.30 + 0.05 * i, 2) for i in range(13)))
 
 
 def tuned_thresholds(long: DataFrame, grid: tuple[float, ...] = GRID, passes: int = 2, background: int = 0, start: float = 0.5) -> DataFrame:

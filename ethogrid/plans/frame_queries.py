@@ -326,9 +326,10 @@ g AS (SELECT *, sqrt((a_cx - b_cx) ** 2 + (a_cy - b_cy) ** 2) AS dist_centroid,
 rel AS (SELECT *, (dist_nose_a_tail_b - dist_nose_a_neck_b) / (dist_nose_a_tail_b + dist_nose_a_neck_b + 1e-6) AS sniff_site_ratio, {_WRAP('a_ang - b_ang')} AS angle_relative, {_HALF('dist_centroid', _PW)} AS approach_rate, cos({_WRAP('a_ang - atan2(b_cy - a_cy, b_cx - a_cx)')}) AS facing_b, speed_a - speed_b AS speed_relative, gaps[1] AS min_kp_dist, CASE WHEN len(gaps) >= 3 THEN (gaps[1] + gaps[2] + gaps[3]) / 3 END AS mean_k3_kp_dist,
   cos(ha) * (b_cx - a_cx) + sin(ha) * (b_cy - a_cy) AS rel_fwd, -sin(ha) * (b_cx - a_cx) + cos(ha) * (b_cy - a_cy) AS rel_lat, cos(hb) * (a_nose_x - b_cx) + sin(hb) * (a_nose_y - b_cy) AS nose_a_in_b_fwd, -sin(hb) * (a_nose_x - b_cx) + cos(hb) * (a_nose_y - b_cy) AS nose_a_in_b_lat FROM g)"""
 _RELCOLS = "dist_centroid dist_nose_nose dist_nose_a_tail_b dist_nose_b_tail_a dist_nose_a_neck_b dist_nose_a_ear_b dist_nose_a_hip_b speed_a speed_b sniff_site_ratio angle_relative approach_rate facing_b speed_relative min_kp_dist mean_k3_kp_dist rel_fwd rel_lat nose_a_in_b_fwd nose_a_in_b_lat".split()
-_OCC = f"""{_PAIR}, o AS (SELECT video_id, agent, target, video_frame, {', '.join(f"list_{'min' if e == 0 else 'max'}([{', '.join(f'{s}_{k}_{x}' for k in KEYPOINTS)}]) AS {s}{x}{e}" for s in 'ab' for x in 'xy' for e in (0, 1))},
-  [{', '.join(f"struct_pack(x := a_{k}_x, y := a_{k}_y)" for k in KEYPOINTS)}] AS pa, [{', '.join(f"struct_pack(x := b_{k}_x, y := b_{k}_y)" for k in KEYPOINTS)}] AS pb FROM pr),
-q AS (SELECT *, greatest(least(ax1, bx1) - greatest(ax0, bx0), 0) * greatest(least(ay1, by1) - greatest(ay0, by0), 0) AS inter, (ax1 - ax0) * (ay1 - ay0) AS sa, (bx1 - bx0) * (by1 - by0) AS sb, sqrt((ax1 - ax0) ** 2 + (ay1 - ay0) ** 2) AS da, sqrt((bx1 - bx0) ** 2 + (by1 - by0) ** 2) AS db, list_filter(pa, lambda p: p.x IS NOT NULL AND p.y IS NOT NULL) AS v FROM o)"""
+_KNOWN = {k: f"(a_{k}_x IS NOT NULL AND a_{k}_y IS NOT NULL)" for k in KEYPOINTS}
+_OCC = f"""{_PAIR}, o AS (SELECT *, {', '.join(f"{'least' if e == 0 else 'greatest'}({', '.join(f'{s}_{k}_{x}' for k in KEYPOINTS)}) AS {s}{x}{e}" for s in 'ab' for x in 'xy' for e in (0, 1))},
+  {' + '.join(f'{v}::INT' for v in _KNOWN.values())} AS nv, {' + '.join(f"({v} AND (" + ' OR '.join(f"coalesce((a_{k}_x - b_{j}_x) ** 2 + (a_{k}_y - b_{j}_y) ** 2 < 1, false)" for j in KEYPOINTS) + "))::INT" for k, v in _KNOWN.items())} AS nc FROM pr),
+q AS (SELECT *, {' + '.join(f"coalesce({v} AND a_{k}_x BETWEEN bx0 AND bx1 AND a_{k}_y BETWEEN by0 AND by1, false)::INT" for k, v in _KNOWN.items())} AS ni, greatest(least(ax1, bx1) - greatest(ax0, bx0), 0) * greatest(least(ay1, by1) - greatest(ay0, by0), 0) AS inter, (ax1 - ax0) * (ay1 - ay0) AS sa, (bx1 - bx0) * (by1 - by0) AS sb, sqrt((ax1 - ax0) ** 2 + (ay1 - ay0) ** 2) AS da, sqrt((bx1 - bx0) ** 2 + (by1 - by0) ** 2) AS db FROM o)"""
 
 _SMOOTH = (
     f"{POSE_SQL}, i0 AS (SELECT *, row_number() {W} AS rn, count(*) OVER (PARTITION BY video_id, mouse_id) AS tt FROM pose), "
@@ -361,7 +362,7 @@ SQL = {
     "fr_implied_depth": f"WITH {POSE_SQL} SELECT {KEYS}, {rs(_DZ[0], 'dz_nose_neck')}, {rs(_DZSUM, 'dz_sum')} FROM pose",
     "fr_ordered_pairs": f"WITH {POSE_SQL}, m AS (SELECT DISTINCT video_id, mouse_id FROM pose) SELECT a.video_id, a.mouse_id AS agent, b.mouse_id AS target FROM m AS a LEFT JOIN m AS b ON a.video_id = b.video_id AND a.mouse_id <> b.mouse_id",
     "fr_relations": f"WITH {_REL} SELECT video_id, agent, target, video_frame, {', '.join(rs(c, c, 8) for c in _RELCOLS)}, {rs('-approach_rate', 'closing_speed', 8)} FROM rel",
-    "fr_occlusion": f"WITH {_OCC} SELECT video_id, agent, target, video_frame, {rs('CASE WHEN sa + sb - inter > 0 THEN inter / (sa + sb - inter) ELSE 0 END', 'bbox_iou')}, {rs('CASE WHEN sb > 0 THEN sa / sb END', 'area_ratio')}, {rs('CASE WHEN db > 0 THEN da / db END', 'body_len_ratio')}, {rs('len(list_filter(v, lambda p: p.x >= bx0 AND p.x <= bx1 AND p.y >= by0 AND p.y <= by1)) / nullif(len(v), 0)', 'frac_kp_inside')}, {rs('len(list_filter(v, lambda p: len(list_filter(pb, lambda b: (p.x - b.x) ** 2 + (p.y - b.y) ** 2 < 1)) > 0)) / nullif(len(v), 0)', 'frac_kp_close')} FROM q",
+    "fr_occlusion": f"WITH {_OCC} SELECT video_id, agent, target, video_frame, {rs('CASE WHEN sa + sb - inter > 0 THEN inter / (sa + sb - inter) ELSE 0 END', 'bbox_iou')}, {rs('CASE WHEN sb > 0 THEN sa / sb END', 'area_ratio')}, {rs('CASE WHEN db > 0 THEN da / db END', 'body_len_ratio')}, {rs('ni / nullif(nv, 0)', 'frac_kp_inside')}, {rs('nc / nullif(nv, 0)', 'frac_kp_close')} FROM q",
     "fr_cross_sine": f"WITH {POSE_SQL}, e AS (SELECT *, neck_x - tail_base_x AS ux, neck_y - tail_base_y AS uy, nose_x - tail_base_x AS vx, nose_y - tail_base_y AS vy FROM pose) SELECT {KEYS}, {rs('(ux * vy - uy * vx) / nullif(sqrt(ux ** 2 + uy ** 2) * sqrt(vx ** 2 + vy ** 2), 0)', 's')} FROM e",
     "fr_savgol": f"WITH {POSE_SQL}, i0 AS (SELECT *, row_number() {W} AS rn, count(*) OVER (PARTITION BY video_id, mouse_id) AS tt FROM pose), i1 AS (SELECT *, {_interp_sql('nose_x', 'rn')} AS nf, {_interp_sql('tail_base_x', 'rn')} AS tf FROM i0), i2 AS (SELECT *, first_value(nf) {_ALL} AS nfst, last_value(nf) {_ALL} AS nlst, first_value(tf) {_ALL} AS tfst, last_value(tf) {_ALL} AS tlst FROM i1), i3 AS (SELECT *, {_savgol_sql('nf').replace('fst', 'nfst').replace('lst', 'nlst')} AS a, {_savgol_sql('tf').replace('fst', 'tfst').replace('lst', 'tlst')} AS b FROM i2) SELECT {KEYS}, {rs('CASE WHEN nose_x IS NOT NULL THEN a END', 'nose_x')}, {rs('CASE WHEN tail_base_x IS NOT NULL THEN b END', 'tail_base_x')} FROM i3",
     "fr_hampel": f"WITH {POSE_SQL}, h AS (SELECT {KEYS}, tail_base_y AS y, list_filter(list(tail_base_y) OVER (PARTITION BY video_id, mouse_id ORDER BY video_frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), lambda v: v IS NOT NULL) AS l, lag(1, 3) {W} IS NOT NULL AND lead(1, 3) {W} IS NOT NULL AS w FROM pose), m AS (SELECT *, list_median(l) AS med FROM h), d AS (SELECT *, list_median(list_transform(l, lambda v: abs(v - med))) AS mad FROM m) SELECT {KEYS}, {rs('CASE WHEN w AND y IS NOT NULL AND len(l) >= 3 AND mad > 0 AND abs(y - med) > 2.0 * 1.4826 * mad THEN med ELSE y END', 'y')} FROM d",

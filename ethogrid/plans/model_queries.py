@@ -254,6 +254,7 @@ SQL = {
     "sq_transition_log_probs": f"WITH {PROBA_SQL}, n AS (SELECT y AS a, lead(y) OVER (PARTITION BY video_id, agent ORDER BY core_start, window_id) AS b FROM proba), c AS (SELECT a, b, count(*) AS n FROM n WHERE b IS NOT NULL GROUP BY ALL), g AS (SELECT x.a, y.b, coalesce(n, 0) + 1.0 AS n FROM (SELECT unnest(range(0, 10))::INT AS a) AS x, (SELECT unnest(range(0, 10))::INT AS b) AS y LEFT JOIN c ON c.a = x.a AND c.b = y.b) SELECT a, b, {rs('ln((n / sum(n) OVER (PARTITION BY a))::DOUBLE)', 'lp', 6)} FROM g",
     "ml_query_entropy": f"WITH {PROBA_SQL} SELECT window_id, {_ENT} AS score FROM proba WHERE window_id % 5 <> 0 ORDER BY 2 DESC, 1 LIMIT 25",
     "ml_query_margin": f"WITH {PROBA_SQL} SELECT window_id, round(list_sort(p, 'DESC')[2] - list_sort(p, 'DESC')[1], 6) AS score FROM proba WHERE window_id % 5 <> 0 ORDER BY 2 DESC, 1 LIMIT 25",
+    "ml_k_center": f"WITH RECURSIVE {PROBA_SQL}, r AS (SELECT 0 AS step, window_id, p, list_distance(p, (SELECT p FROM proba WHERE window_id = 0)) AS d, 0::BIGINT AS c FROM proba UNION ALL SELECT step + 1, r.window_id, r.p, least(r.d, list_distance(r.p, n.p)), n.window_id FROM r, (SELECT window_id, p FROM r ORDER BY d DESC, window_id LIMIT 1) AS n WHERE step < 5) SELECT DISTINCT step, c AS window_id FROM r",
     "ml_resampled": f"WITH {PROBA_SQL}, n AS (SELECT y, count(*) AS n FROM proba GROUP BY y), b AS (SELECT window_id, y, (SELECT sum(n) FROM n)::DOUBLE / ((SELECT count(*) FROM n) * n) AS w FROM proba JOIN n USING (y)) SELECT y, sum(floor(w) + (('0x' || substr(md5('0|' || window_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < w - floor(w))::INT)::BIGINT AS n FROM b GROUP BY y HAVING sum(floor(w) + (('0x' || substr(md5('0|' || window_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < w - floor(w))::INT) > 0",
     "ml_random_batch": f"WITH {PROBA_SQL} SELECT window_id FROM proba WHERE list_max(p) <= 0.3 ORDER BY md5('0|' || window_id), window_id LIMIT 25",
     "ml_combined_batch": f"WITH {PROBA_SQL}, i AS (SELECT y AS cls, 1.0::DOUBLE / count(*) AS i FROM proba GROUP BY y), u AS (SELECT window_id, -round(-list_sum(list_transform(p, lambda v: v * ln(v + 1e-12))), 6) AS a, -coalesce((SELECT round(i / (SELECT avg(i) FROM i), 6) FROM i WHERE cls = list_position(p, list_max(p)) - 1), 1.0) AS b, -(p[1] < 0.1)::INT AS c FROM proba WHERE list_max(p) <= 0.3), k AS (SELECT window_id, " + ", ".join(f"rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0 AS r{x}" for x in "abc") + f", count(*) OVER () AS n FROM u) SELECT window_id, {rs('round((0.5 * ra + 0.3 * rb + 0.2 * rc) / n, 9)', 'score', 6)} FROM k ORDER BY round((0.5 * ra + 0.3 * rb + 0.2 * rc) / n, 9) DESC, window_id LIMIT 25",

@@ -13,7 +13,7 @@ from ..operators import quality as Q
 from ..operators import stats as T
 from ..operators import windows as Wn
 from ..sources.adapters import ANN_SQL, LONG_SQL, META_SQL, POSE_SQL, PROBA_LONG_SQL, PROBA_SQL, XY, ann, meta_raw, pose, proba, proba_long, to_long
-from .frame_queries import _C, _CEN, _D, _DZSUM, _HALF, W, r4, rs
+from .frame_queries import _C, _CEN, _D, _DZSUM, _HALF, _SMOOTH, _savgol_sql, W, r4, rs
 from .interval_queries import CLEAN_SQL, _clean
 
 REFS = {f"{a}→{b}": n * 100 for (a, b), n in zip(G.EDGES, G.DEFAULT_LENGTHS)}
@@ -376,7 +376,10 @@ al AS (SELECT pl.*, EXISTS (SELECT 1 FROM act AS a WHERE a.video_id = pl.video_i
 _DEC = lambda m: f"{_ACT}, dd AS (SELECT al.*, t, row_number() OVER (PARTITION BY window_id ORDER BY (CASE WHEN allowed AND al.cls <> 0 THEN {m} END) DESC NULLS LAST, al.cls) AS rn FROM al JOIN thr ON thr.lab_id = al.lab_id AND thr.cls = al.cls), dec AS (SELECT window_id, lab_id, video_id, agent, target, core_start, core_stop, CASE WHEN allowed AND cls <> 0 AND p > t THEN cls ELSE 0 END AS cls FROM dd WHERE rn = 1)"
 _AM = f"{PROBA_SQL}, am AS (SELECT window_id, video_id, y, list_position(p, list_max(p))::INT - 1 AS pred, list_max(p) AS p FROM proba), cf AS (SELECT y, pred, count(*) AS n FROM am GROUP BY ALL), cls AS (SELECT cls, coalesce(sum(CASE WHEN y = cls AND pred = cls THEN n END), 0) AS tp, coalesce(sum(CASE WHEN y = cls THEN n END), 0) AS t, coalesce(sum(CASE WHEN pred = cls THEN n END), 0) AS pp FROM (SELECT y AS cls FROM cf UNION SELECT pred FROM cf), cf GROUP BY cls), rep AS (SELECT cls, coalesce(tp / nullif(pp, 0), 0)::DOUBLE AS precision, coalesce(tp / nullif(t, 0), 0)::DOUBLE AS recall, coalesce(2 * tp / nullif(t + pp, 0), 0)::DOUBLE AS f1, t::BIGINT AS support FROM cls)"
 _HV = f"{_CEN}, k AS (SELECT video_id, mouse_id, video_frame, sqrt(({_HALF('cx')}) ** 2 + ({_HALF('cy')}) ** 2) AS v, video_frame < 150 AS early FROM cen)"
-_SG = None
+_FLAGS = f"{POSE_SQL}, s AS (SELECT *, sqrt((tail_base_x - lag(tail_base_x) {W}) ** 2 + (tail_base_y - lag(tail_base_y) {W}) ** 2) AS s FROM pose), a AS (SELECT *, abs(s - lag(s) {W}) AS a FROM s), q AS (SELECT video_id, mouse_id, quantile_cont(s, 0.25) AS s1, quantile_cont(s, 0.75) AS s3, quantile_cont(a, 0.25) AS a1, quantile_cont(a, 0.75) AS a3 FROM a GROUP BY ALL), f2 AS (SELECT video_id, tail_base_x IS NULL OR tail_base_y IS NULL AS missing, coalesce(s > s3 + 1.5 * (s3 - s1), false) AS speed, coalesce(a > a3 + 1.5 * (a3 - a1), false) AS accel, coalesce(abs({_D('hip_left', 'tail_base')} - {0.3 * 100!r}) / {0.3 * 100!r} > 0.25, false) AS length, coalesce(abs(tail_base_x) < 2 AND abs(tail_base_y) < 2, false) AS near_zero FROM a JOIN q USING (video_id, mouse_id))"
+_SEVERITY = "missing::INT + speed::INT + 0.75::DOUBLE * accel::INT + length::INT + near_zero::INT"
+_PS = f"{PROBA_LONG_SQL}, ps AS (SELECT video_id, agent, cls, video_id AS v, agent * 10 + cls AS mouse, core_start, window_id, p, row_number() OVER g AS rn, count(*) OVER (PARTITION BY video_id, agent, cls) AS tt, first_value(p) OVER f AS fst, last_value(p) OVER f AS lst FROM pl WINDOW g AS (PARTITION BY video_id, agent, cls ORDER BY core_start, window_id), f AS (PARTITION BY video_id, agent, cls ORDER BY core_start, window_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+_WEIGHT = " + ".join(f"(u >= {c})::INT" for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183))
 
 SQL = {
     "ql_keypoint_report": f"WITH {_SPEED}, c AS (SELECT avg(speed) + 3 * stddev_samp(speed) AS cut FROM sp) SELECT bodypart, count(DISTINCT video_frame) AS n_frames, count(DISTINCT mouse_id) AS n_mice, {r6('avg((x IS NULL)::INT)', 'missing')}, {r6('avg((speed > cut)::INT)', 'speed_outliers')} FROM sp, c GROUP BY bodypart",
@@ -399,7 +402,7 @@ SQL = {
     "ql_any_violation_rate": f"WITH {POSE_SQL} SELECT video_id, {r6('avg((' + ' OR '.join(f'coalesce(abs({_D(a, b)} - {n * 100!r}) / {n * 100!r} > 0.95, false)' for (a, b), n in zip(G.EDGES, G.DEFAULT_LENGTHS)) + ')::INT)', 'rate')} FROM pose GROUP BY video_id",
     "ql_adaptive_thresholds": f"WITH {_EDGE}, r AS (SELECT edge, abs(length - l_ref) / l_ref AS r FROM edge WHERE length IS NOT NULL), q AS (SELECT edge, quantile_cont(r, 0.75) AS q FROM r GROUP BY edge) SELECT edge, {r6('greatest(0.05, avg(r) + 3 * stddev_pop(r))', 'tau')} FROM r JOIN q USING (edge) WHERE r <= q GROUP BY edge",
     "ql_reestimated": f"WITH {_EDGE}, r AS (SELECT edge, length, abs(length - l_ref) AS dev FROM edge WHERE length IS NOT NULL), q AS (SELECT edge, quantile_cont(dev, 0.5) AS m FROM r GROUP BY edge), h AS (SELECT edge, quantile_cont(length, 0.25) AS a, quantile_cont(length, 0.5) AS b, quantile_cont(length, 0.75) AS c FROM r JOIN q USING (edge) WHERE dev <= m GROUP BY edge) SELECT edge, {r6('b', 'l_ref')}, {r6('least(0.2, greatest(0.02, (c - a) / 1.35 / b))', 'sigma')} FROM h",
-    "ql_outlier_flags": f"WITH {POSE_SQL}, s AS (SELECT *, sqrt((tail_base_x - lag(tail_base_x) {W}) ** 2 + (tail_base_y - lag(tail_base_y) {W}) ** 2) AS s FROM pose), a AS (SELECT *, abs(s - lag(s) {W}) AS a FROM s), q AS (SELECT video_id, mouse_id, quantile_cont(s, 0.25) AS s1, quantile_cont(s, 0.75) AS s3, quantile_cont(a, 0.25) AS a1, quantile_cont(a, 0.75) AS a3 FROM a GROUP BY ALL), f2 AS (SELECT video_id, tail_base_x IS NULL OR tail_base_y IS NULL AS missing, coalesce(s > s3 + 1.5 * (s3 - s1), false) AS speed, coalesce(a > a3 + 1.5 * (a3 - a1), false) AS accel, coalesce(abs({_D('hip_left', 'tail_base')} - {0.3 * 100!r}) / {0.3 * 100!r} > 0.25, false) AS length, coalesce(abs(tail_base_x) < 2 AND abs(tail_base_y) < 2, false) AS near_zero FROM a JOIN q USING (video_id, mouse_id)) SELECT video_id, {', '.join(f'count_if({c})::BIGINT AS {c}' for c in ('missing', 'speed', 'accel', 'length', 'near_zero'))}, {r6('sum(missing::INT + speed::INT + 0.75::DOUBLE * accel::INT + length::INT + near_zero::INT)', 'severity')} FROM f2 GROUP BY video_id",
+    "ql_outlier_flags": f"WITH {_FLAGS} SELECT video_id, {', '.join(f'count_if({c})::BIGINT AS {c}' for c in ('missing', 'speed', 'accel', 'length', 'near_zero'))}, {r6(f'sum({_SEVERITY})', 'severity')} FROM f2 GROUP BY video_id",
     "ql_speed_spikes": f"WITH {POSE_SQL}, s AS (SELECT *, sqrt((nose_x - lag(nose_x) {W}) ** 2 + (nose_y - lag(nose_y) {W}) ** 2) AS s FROM pose), m AS (SELECT video_id, mouse_id, median(s) AS m FROM s GROUP BY ALL), t AS (SELECT video_id, mouse_id, any_value(m) + 2.0 / 0.6745 * median(abs(s - m)) AS t FROM s JOIN m USING (video_id, mouse_id) GROUP BY ALL) SELECT video_id, count(nose_x) FILTER (WHERE coalesce(s <= t, true)) AS kept, {r6('sum(nose_x) FILTER (WHERE coalesce(s <= t, true))', 's')} FROM s JOIN t USING (video_id, mouse_id) GROUP BY video_id",
     "ql_overlap_mask": f"WITH {_CEN} SELECT video_id, count_if(o)::BIGINT AS n FROM (SELECT a.video_id, a.video_frame, bool_or(coalesce(sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2), 0) < 5) AS o FROM cen AS a JOIN cen AS b ON a.video_id = b.video_id AND a.video_frame = b.video_frame AND a.mouse_id < b.mouse_id GROUP BY ALL) GROUP BY video_id",
     "ql_corrupted": f"WITH {POSE_SQL}, u AS (SELECT video_id, nose_x, ('0x' || substr(md5(concat_ws('|', '0dropnose_x', video_id, mouse_id, video_frame)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS a, ('0x' || substr(md5(concat_ws('|', '0noisenose_x', video_id, mouse_id, video_frame)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS b FROM pose), c AS (SELECT *, CASE WHEN a < 0.05 THEN 0 ELSE nose_x + 5.0 * (2 * b - 1) END AS z FROM u) SELECT video_id, count_if(z = 0)::BIGINT AS dropped, {r6('sqrt(avg((z - nose_x) ** 2))', 'rmse')} FROM c GROUP BY video_id",
@@ -422,7 +425,9 @@ SQL = {
     "st_cohens_d": f"WITH {_HV}, g AS (SELECT mouse_id, avg(v) FILTER (WHERE early) AS ma, avg(v) FILTER (WHERE NOT early) AS mb, var_pop(v) FILTER (WHERE early) AS va, var_pop(v) FILTER (WHERE NOT early) AS vb, count(v) FILTER (WHERE early) AS na, count(v) FILTER (WHERE NOT early) AS nb FROM k GROUP BY mouse_id), e AS (SELECT mouse_id, (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) AS d FROM g) SELECT mouse_id, {r6('d', 'd')}, CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS size FROM e",
     "st_kl_speed": f"WITH {_HV}, n AS (SELECT least(floor(v / 60 * 50), 49) AS b, count_if(early)::DOUBLE AS a, count_if(NOT early)::DOUBLE AS c FROM k WHERE v BETWEEN 0 AND 60 GROUP BY 1), t AS (SELECT sum(a) AS ta, sum(c) AS tc FROM n) SELECT {r6('sum((a / ta + 1e-10) * ln((a / ta + 1e-10) / (c / tc + 1e-10)))', 'kl')} FROM n, t",
     "st_wilcoxon": f"WITH {POSE_SQL}, m AS (SELECT video_id % 3 AS lab_id, round(avg(nose_x) FILTER (WHERE mouse_id = 1), 2) - round(avg(nose_x) FILTER (WHERE mouse_id = 2), 2) AS d FROM pose GROUP BY video_id), z AS (SELECT *, abs(d) AS a FROM m WHERE d <> 0), k AS (SELECT *, rank() OVER (PARTITION BY lab_id ORDER BY a) + (count(*) OVER (PARTITION BY lab_id, a) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY lab_id, a) AS t FROM z), g AS (SELECT lab_id, count(*) AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0)::DOUBLE AS wp, coalesce(sum(r) FILTER (WHERE d < 0), 0)::DOUBLE AS wm, sum(t * t - 1)::DOUBLE AS tie FROM k GROUP BY lab_id) SELECT lab_id, n, {r6('wp', 'w_plus')}, {r6('wm', 'w_minus')}, {r6('least(wp, wm)', 'w')}, {r6('(least(wp, wm) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tie / 48)', 'z')}, {r6('1 - 2 * least(wp, wm) / (n * (n + 1))', 'effect')} FROM g",
-    "st_bootstrap": None,
+    "st_bootstrap": f"WITH {POSE_SQL}, m AS (SELECT video_id, avg(nose_x) AS x FROM pose GROUP BY video_id), u AS (SELECT x, b, ('0x' || substr(md5(concat_ws('|', '0', video_id, b)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM m, (SELECT unnest(range(0, 50)) AS b)), w AS (SELECT b, sum(x * ({_WEIGHT})) / nullif(sum({_WEIGHT}), 0) AS m FROM u GROUP BY b) SELECT {r6('(SELECT avg(x) FROM m)', 'mean')}, {r6('quantile_cont(m, 0.025)', 'low')}, {r6('quantile_cont(m, 0.975)', 'high')} FROM w",
+    "st_displacement": f"WITH {_SMOOTH}, e AS (SELECT a.mouse_id, sqrt((a.nose_x - b.nose_x) ** 2 + (a.nose_y - b.nose_y) ** 2) AS e FROM pose AS a JOIN sm AS b USING (video_id, mouse_id, video_frame)) SELECT mouse_id, {r6('avg(e)', 'mean')}, {r6('quantile_cont(e, 0.95)', 'p95')}, {r6('max(e)', 'max')}, {r6('avg((e > 5)::INT)', 'above_5')}, {r6('sqrt(avg(e * e))', 'rmse')} FROM e GROUP BY mouse_id",
+    "dc_smoothed": f"WITH {_PS}, sv AS (SELECT video_id, agent, cls, {_savgol_sql('p', 9, 2).replace(W, 'OVER (PARTITION BY video_id, agent, cls ORDER BY core_start, window_id)')} AS p FROM ps) SELECT video_id, agent, cls, {r6('sum(coalesce(p, 0))', 's')}, {r6('max(coalesce(p, 0))', 'm')} FROM sv GROUP BY ALL",
     "st_aulc": f"WITH {POSE_SQL}, c AS (SELECT mouse_id, video_frame // 25 AS n, avg(nose_x) AS x FROM pose GROUP BY ALL), p AS (SELECT *, (n - lag(n) OVER w) * (x + lag(x) OVER w) / 2 AS a FROM c WINDOW w AS (PARTITION BY mouse_id ORDER BY n)) SELECT mouse_id, {r6('sum(a) / nullif(max(n) - min(n), 0)', 'aulc')} FROM p GROUP BY mouse_id",
     "st_drift": f"WITH {POSE_SQL}, g AS (SELECT " + ", ".join(f"avg({c}) AS {c}_m, var_pop({c}) AS {c}_v" for c in ("nose_x", "nose_y", "tail_base_x")) + " FROM pose GROUP BY video_id) SELECT " + ", ".join(r6(f"var_pop({c}_m) / avg({c}_v)", c) for c in ("nose_x", "nose_y", "tail_base_x")) + " FROM g",
     "st_correlations": f"WITH {POSE_SQL} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {r6(f'corr({a}, {b})', 'r')} FROM pose" for i, a in enumerate(("nose_x", "neck_x", "tail_base_x", "tail_base_y")) for b in ("nose_x", "neck_x", "tail_base_x", "tail_base_y")[i + 1 :]),

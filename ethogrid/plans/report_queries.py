@@ -22,7 +22,7 @@ from ..sources.adapters import POSE_SQL, PROBA_LONG_SQL, PROBA_SQL, pose, proba,
 from .frame_queries import W, r4, rs
 from .interval_queries import SCORE_SQL, _active, _solution, _submission
 from .model_queries import COLUMNS, _features, _windows
-from .quality_queries import _EDGE, REFS
+from .quality_queries import _EDGE, _FLAGS, _SEVERITY, REFS
 
 r6 = lambda e, n: rs(e, n, 6)
 
@@ -154,6 +154,19 @@ QUERIES = {k: v for k, v in globals().items() if k[:3] in ("rp_", "fn_") or k in
 _ARM = lambda cond, run: f"SELECT lab_id, {run} AS run, avg(coalesce(2.0 * tp / nullif(2 * tp + fn + fp, 0), 0)) AS s FROM (SELECT lab_id, action, count_if(a IS NOT NULL AND b IS NOT NULL) AS tp, count_if(b IS NULL) AS fn, count_if(a IS NULL) AS fp FROM (SELECT coalesce(l.lab_id, p.lab_id) AS lab_id, coalesce(l.action, p.action) AS action, l.fr AS a, p.fr AS b FROM lf AS l FULL JOIN (SELECT DISTINCT lab_id, video_id, agent_id, target_id, action, unnest(range(start_frame, stop_frame)) AS fr FROM (SELECT * FROM sub WHERE {cond}) SEMI JOIN active USING (video_id, agent_id, target_id, action) JOIN (SELECT DISTINCT lab_id, video_id FROM sol) USING (video_id)) AS p ON l.lab_id = p.lab_id AND l.video_id = p.video_id AND l.agent_id = p.agent_id AND l.target_id = p.target_id AND l.action = p.action AND l.fr = p.fr) SEMI JOIN sol USING (lab_id, action) GROUP BY ALL) GROUP BY lab_id"
 _H = lambda c: f"(lead({c}) {W} - lag({c}) {W}) / 2"
 _S2 = lambda c: f"(lead({c}) {W} - 2 * {c} + lag({c}) {W})"
+_V4 = ("nose_x", "nose_y", "tail_base_x", "tail_base_y")
+
+
+def _det(at: tuple[int, ...], columns: tuple[int, ...] | None = None) -> str:
+    """The determinant of the correlations r<i><j> at these rows and columns, by its first row."""
+    columns = at if columns is None else columns
+    cell = lambda i, j: "1.0::DOUBLE" if i == j else f"r{min(i, j)}{max(i, j)}"
+    if len(at) == 1:
+        return cell(at[0], columns[0])
+    parts = [f"{'-' if k % 2 else '+'} {cell(at[0], j)} * ({_det(at[1:], columns[:k] + columns[k + 1 :])})" for k, j in enumerate(columns)]
+    return "(" + " ".join(parts).removeprefix("+ ") + ")"
+
+
 SQL = {
     "rp_lab_condition_pivot": f"WITH {SCORE_SQL}, w AS ({_ARM('true', 0)}), h AS ({_ARM('start_frame % 2 = 0', 1)}) SELECT lab_id, {r6('w.s', 'whole')}, {r6('h.s', 'half')}, {r6('abs(w.s - h.s)', 'spread')} FROM w JOIN h USING (lab_id)",
     "rp_best_arm": f"WITH {SCORE_SQL}, u AS ({_ARM('true', 0)} UNION ALL {_ARM('start_frame % 2 = 0', 1)} UNION ALL {_ARM(chr(97) + 'ction <> ' + chr(39) + 'view' + chr(39), 2)}) SELECT lab_id, run, round(s, 6) AS score FROM u QUALIFY row_number() OVER (PARTITION BY lab_id ORDER BY round(s, 6) DESC, run) = 1",
@@ -161,6 +174,8 @@ SQL = {
     "rp_coverage": f"WITH {PROBA_SQL} SELECT lab_id, count(*) AS windows, count(DISTINCT video_id) AS videos, max(core_stop) AS coverage FROM proba GROUP BY lab_id",
     "rp_prevalence_thresholds": f"WITH {PROBA_LONG_SQL}, g AS (SELECT lab_id, cls, t, count_if(p > t) AS pred, count_if(y = cls) AS \"true\" FROM pl, (SELECT unnest([0.05, 0.08, 0.1, 0.12, 0.15, 0.2])::DOUBLE AS t) GROUP BY ALL) SELECT lab_id, cls, t, pred::BIGINT AS pred, \"true\"::BIGINT AS \"true\" FROM g QUALIFY row_number() OVER (PARTITION BY lab_id, cls ORDER BY round(abs(ln(1 + pred) - ln(1 + \"true\")), 9), t) = 1",
     "rp_irreducible_floor": f"WITH {_EDGE}, s AS (SELECT edge, stddev_samp(length) / avg(length) AS sigma FROM edge GROUP BY edge), x AS (SELECT *, 0.25 / sigma / sqrt(2.0) AS x FROM s), t AS (SELECT *, 1 / (1 + 0.3275911 * x) AS t FROM x) SELECT edge, {r6('sigma', 'sigma')}, {r6('t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x)', 'floor')} FROM t",
+    "fn_confidence": f"WITH {_FLAGS} SELECT video_id, {r6(f'avg(greatest(0.05, least(1.0, exp(-({_SEVERITY})))))', 'confidence')} FROM f2 GROUP BY video_id",
+    "fn_vif": f"WITH {POSE_SQL}, r AS (SELECT " + ", ".join(f"coalesce(corr({_V4[i]}, {_V4[j]}), 0) AS r{i}{j}" for i in range(4) for j in range(i + 1, 4)) + " FROM pose), d AS (SELECT *, " + f"{_det((0, 1, 2, 3))} AS d FROM r) " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, {rs(_det(tuple(k for k in range(4) if k != i)) + ' / d', 'vif')} FROM d" for i, c in enumerate(_V4)),
     "fn_edge_weights": f"WITH {_EDGE}, v AS (SELECT edge, 1 / var_samp(length) AS inv FROM edge GROUP BY edge HAVING var_samp(length) > 0) SELECT edge, {r6('least(5.0, greatest(0.2, inv / (SELECT median(inv) FROM v)))', 'weight')} FROM v",
     "fn_min_max": f"WITH {POSE_SQL}, m AS (SELECT video_id, mouse_id, avg(nose_x) AS x FROM pose GROUP BY ALL) SELECT video_id, mouse_id, {r6('CASE WHEN max(x) OVER w > min(x) OVER w THEN (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) ELSE 0.5 END', 'x')} FROM m WINDOW w AS (PARTITION BY mouse_id)",
     "fn_interp_grid": f"WITH {POSE_SQL}, c AS (SELECT mouse_id, video_frame // 25 AS f, avg(nose_x) AS x FROM pose GROUP BY ALL), q AS (SELECT m.mouse_id, g, (SELECT max(f) FROM c WHERE c.mouse_id = m.mouse_id AND f <= g) AS f0, (SELECT min(f) FROM c WHERE c.mouse_id = m.mouse_id AND f > g) AS f1 FROM (SELECT DISTINCT mouse_id FROM c) AS m, (SELECT unnest([0, 0.5, 1.25, 3, 4.75, 1e6])::DOUBLE AS g)) SELECT q.mouse_id, g, {r6('CASE WHEN a.x IS NULL THEN b.x WHEN b.x IS NULL THEN a.x ELSE a.x + (b.x - a.x) * (g - f0) / (f1 - f0) END', 'y')} FROM q LEFT JOIN c AS a ON a.mouse_id = q.mouse_id AND a.f = f0 LEFT JOIN c AS b ON b.mouse_id = q.mouse_id AND b.f = f1",
