@@ -44,6 +44,44 @@ def violations(lengths: DataFrame, refs: DataFrame, threshold: float, *by: str)
     return g.join(q, on, "left").select(*by, "edge", "violation_rate", "mean_rel_err", "mean_dev", "max_dev", F.get(p, F.lit(0)).alias("p50"), F.get(p, F.lit(1)).alias("p75"), F.get(p, F.lit(2)).alias("p95"), F.get(p, F.lit(3)).alias("p99"), "std_dev")
 
 
+def residuals(lengths: DataFrame, refs: DataFrame, *by: str) -> DataFrame:
+    """Per edge: mean, deviation, percentiles and largest relative error of its length."""
+    keys = [*by, "edge"]
+    d = lengths.join(refs.select("edge", "l_ref"), "edge").select(*keys, (F.abs(F.col("length") - F.col("l_ref")) / F.col("l_ref")).alias("r")).where("r IS NOT NULL")
+    d = written(d, "residuals")
+    q = exact_percentiles(d, ["r"], (0.5, 0.9, 0.95, 0.99), *keys).select(*keys, *[F.get("v", F.lit(i)).alias(n) for i, n in enumerate(("p50", "p90", "p95", "p99"))])
+    return d.groupBy(*keys).agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("std"), F.max("r").alias("most")).join(q, keys)
+
+
+def violation_magnitudes(lengths: DataFrame, refs: DataFrame, threshold: float, *by: str) -> DataFrame:
+    """Per edge: violations, and how far beyond the threshold they are on average and at most."""
+    d = lengths.join(refs.select("edge", "l_ref"), "edge").withColumn("_r", F.abs(F.col("length") - F.col("l_ref")) / F.col("l_ref"))
+    over = F.when(F.col("_r") > threshold, F.col("_r") - threshold)
+    return d.groupBy(*by, "edge").agg(F.count(over).alias("violations"), F.avg(over).alias("mean_excess"), F.max(over).alias("max_excess"))
+
+
+def orientation_flips(wide: DataFrame, most: float = 1.0) -> DataFrame:
+    """Frames whose heading (tail to nose) turns by more than `most` radians against the frame before and turns back by as
+    much in the next."""
+    w = Window.partitionBy("video_id", "mouse_id").orderBy("video_frame")
+    d = wide.select("video_id", "mouse_id", "video_frame", G.heading("tail_base_x", "tail_base_y", "nose_x", "nose_y").alias("a"))
+    turn = lambda x, y: F.abs(G.wrap(x - y))
+    flip = (turn(F.col("a"), F.lag("a").over(w)) > most) & (turn(F.lead("a").over(w), F.col("a")) > most)
+    return d.select("video_id", "mouse_id", "video_frame", F.coalesce(flip, F.lit(False)).alias("flip"))
+
+
+def every_outlier(wide: DataFrame, refs: dict[str, float], ends: dict[str, tuple[str, str]], k: float = 1.5, threshold: float = 0.25) -> DataFrame:
+    """Flags and severity of all keypoints in `ends` (each with an edge that it ends), orientation flips counting 1 for the
+    whole frame: video_id, mouse_id, video_frame, keypoint, flags, severity."""
+    flips = orientation_flips(wide)
+    out = None
+    for point, edge in ends.items():
+        o = outliers(wide, point, edge, refs, k, threshold).withColumn("keypoint", F.lit(point))
+        out = o if out is None else out.unionByName(o)
+    d = out.join(flips, ["video_id", "mouse_id", "video_frame"])
+    return d.withColumn("severity", F.col("severity") + F.col("flip").cast("int"))
+
+
 def keypoint_violations(per_edge: DataFrame) -> DataFrame:
     """Worst edge of each keypoint: its rate and mean relative error."""
     ends = per_edge.withColumn("keypoint", F.explode(F.split("edge", "→")))

@@ -14,6 +14,26 @@ def ks_statistic(df: DataFrame, x: str, side: str, *by: str) -> DataFrame:
     return n.withColumn("gap", gap).groupBy(*by).agg(F.max("gap").alias("ks"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
 
 
+def ks_p(ks: Column, n_a: Column, n_b: Column, terms: int = 20) -> Column:
+    """The chance of a larger gap under one distribution, by Kolmogorov's series."""
+    x = ks * F.sqrt(n_a * n_b / (n_a + n_b))
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * x * x))
+    return F.when(x < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * total)))
+
+
+def bootstrap_delta(pairs: DataFrame, a: str, b: str, identity: str, rounds: int = 100, seed: int = 0) -> DataFrame:
+    """Mean of a - b with its 2.5 and 97.5 percentiles; both sides of a pair are drawn together."""
+    return bootstrap_mean(pairs.withColumn("_delta", F.col(a) - F.col(b)), "_delta", identity, rounds, seed)
+
+
+def subsampled(df: DataFrame, x: str, identity: str, share: float = 0.32, rounds: int = 100, seed: int = 0) -> DataFrame:
+    """Mean of x and the 2.5 and 97.5 percentiles of its means over subsamples without replacement, by hashes."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(identity).cast("string"), F.col("_b").cast("string"))), 1, 8), 16, 10).cast("double") / 2.0**32
+    d = df.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).where(u < share)
+    m = d.groupBy("_b").agg(F.avg(x).alias("m"))
+    return m.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+
+
 def exact_percentiles(df: DataFrame, columns: list[str], qs: tuple[float, ...], *by: str) -> DataFrame:
     """by, column, n, and array v of the exact percentiles (linear between ranks) of each column's values.
 

@@ -13,11 +13,12 @@ from ..operators import motion as Mo
 from ..operators import quality as Q
 from ..operators import selection as Se
 from ..operators import stats as T
+from ..sources import readers as R
 from ..sources import sinks
 from ..sources.adapters import KEYPOINTS, META_SQL, POSE_SQL, PROBA_LONG_SQL, PROBA_SQL, meta_raw, pose, proba, proba_long, to_long
 from .frame_queries import _CEN, _D, _DZSUM, _HALF, _REL, _SMOOTH, _angle_sql, _MID, W, r4, rs
 from .interval_queries import CLEAN_SQL, SCORE_SQL, _active as _annotated, _clean, _solution, _submission
-from .quality_queries import _AM, _DEC, _EDGE, SQL as _RULES, _active, _argmax, _decided, _lab, _thresholds
+from .quality_queries import _AM, _DEC, _EDGE, REFS, SQL as _RULES, _active, _argmax, _decided, _lab, _refs, _thresholds
 
 r6 = lambda e, n: rs(e, n, 6)
 CLASSES = ["click", "purchase", "view"]
@@ -136,6 +137,74 @@ def ev_best_setting(spark, d):
     return _r6(E.best_setting(_grid(spark, d)))
 
 
+def ev_ks_p(spark, d):
+    """Gap between early and late noses of a video, and its chance."""
+    p = pose(spark, d).select("video_id", F.round("nose_x", 3).alias("v"), (F.col("video_frame") < 150).alias("early"))
+    k = T.ks_statistic(p, "v", "early", "video_id")
+    return _r6(k.select("video_id", "ks", T.ks_p(F.col("ks"), F.col("n_a"), F.col("n_b")).alias("p")))
+
+
+def ev_bootstrap_delta(spark, d):
+    m = pose(spark, d).groupBy("video_id").agg(F.avg("nose_x").alias("a"), F.avg("neck_x").alias("b"))
+    return _r6(T.bootstrap_delta(m, "a", "b", "video_id", 40))
+
+
+def ev_subsampled(spark, d):
+    m = pose(spark, d).groupBy("video_id").agg(F.avg("nose_x").alias("a"))
+    return _r6(T.subsampled(m, "a", "video_id", 0.5, 40))
+
+
+def ev_residuals(spark, d):
+    return _r6(Q.residuals(Q.edge_lengths(pose(spark, d), "mouse_id"), _refs(spark), "mouse_id"))
+
+
+def ev_violation_magnitudes(spark, d):
+    return _r6(Q.violation_magnitudes(Q.edge_lengths(pose(spark, d), "mouse_id"), _refs(spark), 0.5, "mouse_id"))
+
+
+def ev_orientation_flips(spark, d):
+    return Q.orientation_flips(pose(spark, d)).groupBy("video_id").agg(F.count_if("flip").alias("flips"))
+
+
+def ev_every_outlier(spark, d):
+    """Severity of two keypoints, flips included."""
+    o = Q.every_outlier(pose(spark, d), REFS, {"tail_base": ("hip_left", "tail_base"), "nose": ("nose", "neck")})
+    return _r6(o.groupBy("keypoint").agg(F.count("*").alias("n"), F.sum("severity").alias("severity"), F.count_if("flip").alias("flips")))
+
+
+def ev_existence(spark, d):
+    """Which of the customers' videos have tracking."""
+    asked = meta_raw(spark, d).select("video_id")
+    return R.existence(asked, to_long(pose(spark, d)), "video_id")
+
+
+def ev_lab_videos(spark, d):
+    m = meta_raw(spark, d).select("video_id", "tracking_method")
+    return R.lab_videos(_lab(to_long(pose(spark, d))), m)
+
+
+def ev_context_scales(spark, d):
+    """Means of 2, 5 and 10 frames before and after, less the frame."""
+    w = P.by_mouse()
+    cols = [c.alias(f"{n}{k}") for k in (2, 5, 10) for n, c in zip(("past", "coming"), Sg.context_means("nose_x", w, k))]
+    return _r6(pose(spark, d).select("video_id", "mouse_id", "video_frame", *cols))
+
+
+def ev_interval_depths(spark, d):
+    """Implied depth of each annotated interval: mean, largest, deviation, median."""
+    z = P.implied_depth(pose(spark, d), 100.0).select("video_id", F.col("mouse_id").alias("agent_id"), F.col("video_frame").cast("long").alias("video_frame"), "dz_sum")
+    f = I.frames_of(_clean(spark, d), inclusive=True)
+    g = f.join(z, ["video_id", "agent_id", "video_frame"]).groupBy("event_id").agg(F.avg("dz_sum").alias("mean"), F.max("dz_sum").alias("most"), F.stddev_pop("dz_sum").alias("std"), F.percentile("dz_sum", F.lit(0.5)).alias("median"))
+    return _r6(g)
+
+
+def ev_grid_over_seeds(spark, d):
+    """Curves of the mice of a lab read off at a grid: mean and deviation over them."""
+    c = _lab(pose(spark, d)).groupBy("lab_id", "mouse_id", F.floor(F.col("video_frame") / 25).alias("spell")).agg(F.avg("nose_x").alias("x"))
+    g = T.on_grid(c, "spell", "x", [0, 0.5, 2.25, 5], "lab_id", "mouse_id")
+    return _r6(g.groupBy("lab_id", "g").agg(F.avg("y").alias("mean"), F.stddev_pop("y").alias("std")))
+
+
 # ---- prediction ----
 
 
@@ -289,7 +358,23 @@ _SETTINGS = [(m, s, k) for m in ("residual", "ratio") for s in (0.8, 1.0, 1.25)
 _GRID = "WITH " + _DEC("p - t") + ", dg AS (" + " UNION ALL ".join(f"SELECT window_id, al.lab_id, y, '{m}' AS mode, {s}::DOUBLE AS scale, {k} AS mask, coalesce(arg_max(al.cls, ({_MIX(m, s)}, -al.cls)) FILTER (WHERE al.cls <> 0 AND p > {s} * t{' AND allowed' if k else ''}), 0) AS pred FROM al JOIN thr ON thr.lab_id = al.lab_id AND thr.cls = al.cls GROUP BY window_id, al.lab_id, y" for m, s, k in _SETTINGS) + "), gs AS (SELECT lab_id, mode, scale, mask, avg(f1) AS score FROM (SELECT lab_id, mode, scale, mask, cls, 2.0 * sum(tp) / count(*) AS f1 FROM (SELECT lab_id, mode, scale, mask, y AS cls, (y = pred)::INT AS tp FROM dg UNION ALL SELECT lab_id, mode, scale, mask, pred, 0 FROM dg) WHERE cls <> 0 GROUP BY ALL) GROUP BY ALL)"
 _COLS = _columns()
 
+_REL_ERR = f"{_EDGE}, r AS (SELECT mouse_id, edge, abs(length - l_ref) / l_ref AS r FROM edge WHERE length IS NOT NULL)"
+_FLIP = f"h AS (SELECT video_id, mouse_id, video_frame, atan2(nose_y - tail_base_y, nose_x - tail_base_x) AS a FROM pose), fl AS (SELECT video_id, mouse_id, video_frame, coalesce(abs(a - lag(a) {W} - 2 * pi() * floor((a - lag(a) {W} + pi()) / (2 * pi()))) > 1 AND abs(lead(a) {W} - a - 2 * pi() * floor((lead(a) {W} - a + pi()) / (2 * pi()))) > 1, false) AS flip FROM h)"
+_BOOT = " + ".join(f"(u >= {c})::INT" for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183))
+_UB = "('0x' || substr(md5(concat_ws('|', '0', video_id, b)), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+_CTX = lambda k, way: f"coalesce(avg(nose_x) OVER (PARTITION BY video_id, mouse_id ORDER BY video_frame ROWS BETWEEN {way.format(k)}) - nose_x, 0)"
 SQL = {
+    "ev_ks_p": f"WITH {POSE_SQL}, n AS (SELECT video_id, round(nose_x, 3) AS v, count_if(video_frame < 150) AS a, count_if(video_frame >= 150) AS b FROM pose GROUP BY ALL), g AS (SELECT video_id, a, b, abs(sum(a) OVER w::DOUBLE / nullif(sum(a) OVER p, 0) - sum(b) OVER w::DOUBLE / nullif(sum(b) OVER p, 0)) AS gap FROM n WINDOW w AS (PARTITION BY video_id ORDER BY v), p AS (PARTITION BY video_id)), k AS (SELECT video_id, max(gap) AS ks, sum(a) AS na, sum(b) AS nb FROM g GROUP BY video_id), x AS (SELECT video_id, ks, ks * sqrt((na * nb)::DOUBLE / (na + nb)) AS x FROM k) SELECT video_id, {r6('ks', 'ks')}, {r6('CASE WHEN x < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 21), lambda i: (CASE WHEN i % 2 = 1 THEN 1.0 ELSE -1.0 END)::DOUBLE * exp(-2.0 * i * i * x * x))))) END', 'p')} FROM x",
+    "ev_bootstrap_delta": f"WITH {POSE_SQL}, m AS (SELECT video_id, avg(nose_x) - avg(neck_x) AS x FROM pose GROUP BY video_id), u AS (SELECT x, b, {_UB} AS u FROM m, (SELECT unnest(range(0, 40)) AS b)), w AS (SELECT b, sum(x * ({_BOOT})) / nullif(sum({_BOOT}), 0) AS m FROM u GROUP BY b) SELECT {r6('(SELECT avg(x) FROM m)', 'mean')}, {r6('quantile_cont(m, 0.025)', 'low')}, {r6('quantile_cont(m, 0.975)', 'high')} FROM w",
+    "ev_subsampled": f"WITH {POSE_SQL}, m AS (SELECT video_id, avg(nose_x) AS x FROM pose GROUP BY video_id), u AS (SELECT x, b, {_UB} AS u FROM m, (SELECT unnest(range(0, 40)) AS b)), w AS (SELECT b, avg(x) AS m FROM u WHERE u < 0.5 GROUP BY b) SELECT {r6('avg(m)', 'mean')}, {r6('quantile_cont(m, 0.025)', 'low')}, {r6('quantile_cont(m, 0.975)', 'high')} FROM w",
+    "ev_residuals": f"WITH {_REL_ERR} SELECT mouse_id, edge, {r6('avg(r)', 'mean')}, {r6('stddev_pop(r)', 'std')}, {r6('max(r)', 'most')}, {', '.join(r6(f'quantile_cont(r, {q})', n) for q, n in ((0.5, 'p50'), (0.9, 'p90'), (0.95, 'p95'), (0.99, 'p99')))} FROM r GROUP BY ALL",
+    "ev_violation_magnitudes": f"WITH {_EDGE}, r AS (SELECT mouse_id, edge, CASE WHEN abs(length - l_ref) / l_ref > 0.5 THEN abs(length - l_ref) / l_ref - 0.5 END AS o FROM edge) SELECT mouse_id, edge, count(o) AS violations, {r6('avg(o)', 'mean_excess')}, {r6('max(o)', 'max_excess')} FROM r GROUP BY ALL",
+    "ev_orientation_flips": f"WITH {POSE_SQL}, {_FLIP} SELECT video_id, count_if(flip)::BIGINT AS flips FROM fl GROUP BY video_id",
+    "ev_existence": f"WITH {POSE_SQL}, {META_SQL}, n AS (SELECT video_id, count(*) * 7 AS n FROM pose GROUP BY video_id) SELECT meta.video_id, coalesce(n, 0)::BIGINT AS rows, CASE WHEN n IS NULL THEN 'missing' ELSE 'ok' END AS status FROM meta LEFT JOIN n ON n.video_id = meta.video_id",
+    "ev_lab_videos": f"WITH {POSE_SQL}, {META_SQL}, n AS (SELECT video_id % 4 AS lab_id, video_id, count(*) * 7 AS n_rows, max(video_frame) + 1 AS n_frames FROM pose GROUP BY ALL) SELECT n.lab_id, n.video_id::VARCHAR AS video_id, n_rows, n_frames, tracking_method FROM n LEFT JOIN meta ON meta.video_id = n.video_id",
+    "ev_context_scales": f"WITH {POSE_SQL} SELECT video_id, mouse_id, video_frame, " + ", ".join(rs(_CTX(k, way), f"{n}{k}", 6) for k in (2, 5, 10) for n, way in (("past", "{} PRECEDING AND 1 PRECEDING"), ("coming", "1 FOLLOWING AND {} FOLLOWING"))) + " FROM pose",
+    "ev_interval_depths": f"WITH {POSE_SQL}, {CLEAN_SQL}, z AS (SELECT video_id, mouse_id, video_frame, {_DZSUM} AS dz FROM pose) SELECT event_id, {r6('avg(dz)', 'mean')}, {r6('max(dz)', 'most')}, {r6('stddev_pop(dz)', 'std')}, {r6('quantile_cont(dz, 0.5)', 'median')} FROM clean JOIN z ON z.video_id = clean.video_id AND mouse_id = agent_id AND video_frame >= start_frame AND video_frame <= stop_frame GROUP BY event_id",
+    "ev_grid_over_seeds": f"WITH {POSE_SQL}, c AS (SELECT video_id % 4 AS lab_id, mouse_id, video_frame // 25 AS f, avg(nose_x) AS x FROM pose GROUP BY ALL), q AS (SELECT k.lab_id, k.mouse_id, g, (SELECT max(f) FROM c WHERE c.lab_id = k.lab_id AND c.mouse_id = k.mouse_id AND f <= g) AS f0, (SELECT min(f) FROM c WHERE c.lab_id = k.lab_id AND c.mouse_id = k.mouse_id AND f > g) AS f1 FROM (SELECT DISTINCT lab_id, mouse_id FROM c) AS k, (SELECT unnest([0, 0.5, 2.25, 5])::DOUBLE AS g)), y AS (SELECT q.lab_id, q.g, CASE WHEN a.x IS NULL THEN b.x WHEN b.x IS NULL THEN a.x ELSE a.x + (b.x - a.x) * (g - f0) / (f1 - f0) END AS y FROM q LEFT JOIN c AS a ON a.lab_id = q.lab_id AND a.mouse_id = q.mouse_id AND a.f = f0 LEFT JOIN c AS b ON b.lab_id = q.lab_id AND b.mouse_id = q.mouse_id AND b.f = f1) SELECT lab_id, g, {r6('avg(y)', 'mean')}, {r6('stddev_pop(y)', 'std')} FROM y GROUP BY ALL",
     "ev_label_codes": f"WITH {CLEAN_SQL}, c AS (SELECT action, coalesce(list_position({CLASSES!r}, action), 0)::INT - 1 AS code FROM clean) SELECT action, code, CASE WHEN code >= 0 THEN {CLASSES!r}[code + 1] ELSE 'background' END AS label, count(*) AS n FROM c GROUP BY ALL",
     "ev_vocabulary": f"WITH {CLEAN_SQL} SELECT DISTINCT action FROM clean WHERE start_frame < 100",
     "ev_paired_windows": f"WITH {PROBA_SQL} SELECT video_id, agent, core_start, y, {r6('list_max(p) - list_max(p) / 2', 'gap')} FROM proba WHERE list_max(p) > 0.15",

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,8 +54,68 @@ def normalised(tracking: DataFrame, meta: DataFrame, *keys: str) -> DataFrame:
     return out.withColumns({"x": F.try_divide("x", "video_width_pix"), "y": F.try_divide("y", "video_height_pix")}).drop("video_width_pix", "video_height_pix")
 
 
+def or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table at path; an empty one of that schema if nothing is there."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def load_annotations(spark: SparkSession, path: str) -> DataFrame:
-    return with_duration(spark.read.schema(ANNOTATION).parquet(path))
+    """Intervals with their durations; a missing path gives none."""
+    return with_duration(or_empty(spark, path, ANNOTATION))
+
+
+def lab_videos(tracking: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """The videos of each lab with their rows and frames, with metadata where there is some (video ids as text)."""
+    v = tracking.groupBy("lab_id", F.col("video_id").cast("string").alias("video_id")).agg(F.count("*").alias("n_rows"), (F.max("video_frame") + 1).alias("n_frames"))
+    if meta is None:
+        return v
+    m = meta.withColumn("video_id", F.col("video_id").cast("string"))
+    return v.join(m.drop(*[c for c in m.columns if c in v.columns and c != "video_id"]), "video_id", "left")
+
+
+def existence(asked: DataFrame, tracking: DataFrame, *keys: str) -> DataFrame:
+    """asked with `rows` found and a status: ok, missing, or broken (rows, but no place in any of them). One broken video
+    stops no other."""
+    n = tracking.groupBy(*keys).agg(F.count("*").alias("rows"), F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("_known"))
+    status = F.when(F.col("rows").isNull(), "missing").when(F.col("_known") == 0, "broken").otherwise("ok")
+    return asked.select(*keys).distinct().join(n, list(keys), "left").select(*keys, F.coalesce("rows", F.lit(0)).alias("rows"), status.alias("status"))
+
+
+def load_windows(spark: SparkSession, path: str, lab: str | None = None) -> DataFrame:
+    """What write_windows wrote; lab prunes partitions."""
+    df = spark.read.parquet(path)
+    return df if lab is None else df.where(F.col("lab_id") == lab)
+
+
+def load_pool(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """What write_pool wrote: windows and the facts about them."""
+    facts = spark.read.text(f"{path}/facts").first()[0]
+    return spark.read.parquet(f"{path}/windows"), json.loads(facts)
+
+
+def load_config(path: str, section: str | None = None) -> dict:
+    """A JSON file of settings, or one section of it."""
+    with open(path, encoding="utf-8") as f:
+        config = json.load(f)
+    return config if section is None else config.get(section, {})
+
+
+def keyword_arguments(config: dict, names: dict[str, str], defaults: dict | None = None) -> dict:
+    """Settings as keyword arguments: names maps dotted paths to arguments; settings that are missing or null take the
+    default, if there is one, and are left out otherwise."""
+    out = dict(defaults or {})
+    for path, name in names.items():
+        value = config
+        for part in path.split("."):
+            value = value.get(part) if isinstance(value, dict) else None
+        if value is not None:
+            out[name] = value
+    return out
 
 
 def with_duration(ann: DataFrame) -> DataFrame:

@@ -18,6 +18,50 @@ def write_windows(windows: DataFrame, path: str) -> None:
     windows.write.mode("overwrite").partitionBy("lab_id").parquet(path)
 
 
+def write_pool(windows: DataFrame, path: str, **facts) -> None:
+    """Windows, and facts about them (classes, columns, versions) as one line of JSON."""
+    windows.write.mode("overwrite").parquet(f"{path}/windows")
+    windows.sparkSession.createDataFrame([(json.dumps(facts, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report as CSV, JSON and Parquet, below path."""
+    report = written(report, "report")
+    report.coalesce(1).write.mode("overwrite").csv(f"{path}/csv", header=True)
+    report.coalesce(1).write.mode("overwrite").json(f"{path}/json")
+    report.write.mode("overwrite").parquet(f"{path}/parquet")
+
+
+def markdown(report: DataFrame, rows: int = 100, digits: int = 3) -> str:
+    """A small report as a Markdown table; more than `rows` rows are an error."""
+    got = report.limit(rows + 1).collect()
+    if len(got) > rows:
+        raise ValueError(f"more than {rows} rows")
+    text = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("|", "/")
+    lines = [report.columns, ["-"] * len(report.columns), *[[text(v) for v in r] for r in got]]
+    return "\n".join("| " + " | ".join(x) + " |" for x in lines)
+
+
+def write_bundle(model, thresholds: DataFrame, path: str, **facts) -> None:
+    """A fitted model with its thresholds (lab_id, cls, t) and facts."""
+    model.write().overwrite().save(f"{path}/model")
+    write_pool(thresholds, f"{path}/rules", **facts)
+
+
+def patched(thresholds: DataFrame, changes: DataFrame) -> DataFrame:
+    """Thresholds with those of changes in their place; new (lab_id, cls) are added."""
+    return thresholds.join(changes, ["lab_id", "cls"], "left_anti").unionByName(changes.select(*thresholds.columns))
+
+
+def composed(parts: dict[str, DataFrame], choice: DataFrame) -> DataFrame:
+    """The thresholds of several bundles put together: each lab's from the bundle that choice (lab_id, bundle) names."""
+    every = None
+    for name, t in parts.items():
+        t = t.withColumn("bundle", F.lit(name))
+        every = t if every is None else every.unionByName(t)
+    return every.join(choice, ["lab_id", "bundle"], "left_semi")
+
+
 def parameter_hash(**parameters) -> str:
     """Ten hexadecimal digits that change with any parameter."""
     return hashlib.sha1(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()[:10]
