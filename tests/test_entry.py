@@ -10,7 +10,9 @@ import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-OWN = sorted(k for k in entry.oracle_sql() if k[:3] in ("iv_", "fr_", "ql_", "dc_", "st_", "sq_", "ml_"))
+LLM = {k for k in entry.queries() if k == "pipeline" or k.startswith("op") and k[2].isdigit()}  # tested in tests/llm
+OWN = sorted(set(entry.oracle_sql()) - LLM)
+OTHERS = sorted(set(entry.queries()) - set(entry.oracle_sql()) - LLM)
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +42,12 @@ def test_query_agrees_with_sql(spark, db, name):
     assert sorted((tuple(plain(r[c]) for c in cols) for r in got.collect()), key=repr) == want
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", OTHERS)
+def test_query_without_sql_runs(spark, name):
+    assert entry.queries()[name](spark, DATA).count() > 0
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
