@@ -3,6 +3,8 @@ group of rows (a video and an agent or mouse) as a grouped pandas function; grou
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -175,62 +177,86 @@ def lbfgs(fun, x: np.ndarray, rounds: int = 60, memory: int = 8, gtol: float = 1
     return x
 
 
-def correction_cost(x: np.ndarray, seen: np.ndarray, weight: np.ndarray, edges: np.ndarray, lengths: np.ndarray, edge_weight: float, smooth: tuple[float, float], body: float):
-    """Cost and gradient of poses x (frames, keypoints, 2): Huber adhesion to what was seen, Huber relative edge length,
-    and pseudo-Huber velocity and acceleration."""
+#: Body lengths at which adhesion turns linear, relative length at which an edge's error does, what is added
+#: under the roots of velocity, acceleration and jerk, and the weights of the terms.
+ADHESION_TURN, EDGE_TURN, UNDER_ROOTS = 0.5, 0.3, (0.05, 0.02, 0.01)
+EDGE_WEIGHT, SMOOTH_WEIGHTS, ANGLE_WEIGHT = 6.5, (1.8, 0.6, 0.35), 4.0
+#: Joints (a, b, c) that resist bending at b.
+JOINTS = (
+    ("nose", "neck", "tail_base"), ("ear_left", "neck", "ear_right"), ("hip_left", "tail_base", "hip_right"),
+    ("nose", "neck", "hip_left"), ("nose", "neck", "hip_right"), ("neck", "hip_left", "tail_base"), ("neck", "hip_right", "tail_base"),
+    ("nose", "neck", "ear_left"), ("nose", "neck", "ear_right"), ("hip_left", "neck", "hip_right"),
+)
+
+
+def correction_cost(x: np.ndarray, seen: np.ndarray, weight: np.ndarray, edges: np.ndarray, lengths: np.ndarray, edge_weight: float, smooth: tuple[float, ...], body: float, joints: np.ndarray | None = None, angle_weight: float = 0.0):
+    """Cost and gradient of poses x (frames, keypoints, 2): Huber adhesion to what was seen (weight: per frame and
+    keypoint), Huber relative edge lengths, roots of squared velocity, acceleration and jerk, and squared areas at joints."""
     g = np.zeros_like(x)
-    delta = body / 2
-    r = np.where(np.isfinite(seen), x - seen, 0)
-    n = np.sqrt((r**2).sum(-1))
-    far = n > delta
-    w = weight * np.isfinite(seen).all(-1)
-    cost = (w * np.where(far, delta * (n - delta / 2), n**2 / 2)).sum() / body**2
-    g += (w * np.where(far, delta / np.maximum(n, 1e-12), 1))[..., None] * r / body**2
+    square = body**2
+    ok = np.isfinite(seen).all(-1)
+    r = np.where(ok[..., None], x - np.where(ok[..., None], seen, 0), 0)
+    n, turn = np.sqrt((r**2).sum(-1)), ADHESION_TURN * body
+    w = weight * ok
+    cost = (w * np.where(n > turn, turn * (2 * n - turn), n**2)).sum() / square
+    g += 2 * (w * np.where(n > turn, turn / np.maximum(n, 1e-12), 1))[..., None] * r / square
     v = x[:, edges[:, 0]] - x[:, edges[:, 1]]
     d = np.sqrt((v**2).sum(-1) + 1e-12)
     e = d / lengths - 1
-    far = np.abs(e) > 0.3
-    cost += edge_weight * np.where(far, 0.3 * (np.abs(e) - 0.15), e**2 / 2).sum()
-    push = (edge_weight * np.where(far, 0.3 * np.sign(e), e) / (lengths * d))[..., None] * v
+    far = np.abs(e) > EDGE_TURN
+    cost += edge_weight * np.where(far, EDGE_TURN * (2 * np.abs(e) - EDGE_TURN), e**2).sum()
+    push = 2 * (edge_weight * np.where(far, EDGE_TURN * np.sign(e), e) / (lengths * d))[..., None] * v
     for k, (a, b) in enumerate(edges):
         g[:, a] += push[:, k]
         g[:, b] -= push[:, k]
-    for order, (lam, eps) in enumerate(zip(smooth, (0.05, 0.02)), 1):
-        if len(x) <= order:
+    if joints is not None and len(joints) and angle_weight:
+        a, b, c = joints.T
+        u, v = x[:, a] - x[:, b], x[:, c] - x[:, b]
+        area = (u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]) / square
+        cost += angle_weight * (area**2).sum()
+        pull = (2 * angle_weight / square * area)[..., None]
+        to_u, to_v = pull * np.stack([v[..., 1], -v[..., 0]], -1), pull * np.stack([-u[..., 1], u[..., 0]], -1)
+        for k in range(len(joints)):
+            g[:, a[k]] += to_u[:, k]
+            g[:, c[k]] += to_v[:, k]
+            g[:, b[k]] -= to_u[:, k] + to_v[:, k]
+    for order, (lam, eps) in enumerate(zip(smooth, UNDER_ROOTS), 1):
+        if len(x) <= order or not lam:
             continue
-        z = np.diff(x, order, axis=0) / body
-        root = np.sqrt((z**2).sum(-1) + eps**2)
-        cost += lam * (root - eps).sum()
-        h = lam * z / root[..., None] / body
-        if order == 1:
-            g[1:] += h
-            g[:-1] -= h
-        else:
-            g[2:] += h
-            g[1:-1] -= 2 * h
-            g[:-2] += h
+        z = np.diff(x, order, axis=0)
+        root = np.sqrt((z**2).sum(-1) + eps)
+        cost += lam * root.sum() / square
+        h = lam * z / root[..., None] / square
+        for k in range(order + 1):
+            g[k : len(x) - order + k] += (-1) ** (order - k) * comb(order, k) * h
     return cost, g
 
 
-def corrected(wide: DataFrame, keypoints: list[str], unit: float, edge_weight: float = 1.0, smooth: tuple[float, float] = (0.5, 0.5), window: int = 64, reach: float = 1.0) -> DataFrame:
+def corrected(wide: DataFrame, keypoints: list[str], unit: float, edge_weight: float = EDGE_WEIGHT, smooth: tuple[float, ...] = SMOOTH_WEIGHTS, angle_weight: float = ANGLE_WEIGHT, window: int = 64, reach: float = 1.0) -> DataFrame:
     """Keypoints of each mouse moved to the least cost, window by window; gaps are filled on the way. A point moves at
-    most reach * unit from where it was seen. Same columns as wide's keys and keypoints."""
+    most reach * unit from where it was seen. Same columns as wide's keys and keypoints. Columns <keypoint>_w, where wide has
+    them, weigh how far a point is to stay where it was seen (1 where not given)."""
     at = {k: i for i, k in enumerate(keypoints)}
     pairs = [(at[a], at[b], n * unit) for (a, b), n in zip(G.EDGES, G.DEFAULT_LENGTHS) if a in at and b in at]
     edges, lengths = np.array([p[:2] for p in pairs]).reshape(-1, 2), np.array([p[2] for p in pairs])
+    joints = np.array([[at[k] for k in j] for j in JOINTS if all(k in at for k in j)]).reshape(-1, 3)
     cols = [f"{k}_{a}" for k in keypoints for a in "xy"]
+    given = [f"{k}_w" for k in keypoints if f"{k}_w" in wide.columns]
     keys = ["video_id", "mouse_id", "video_frame"]
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("video_frame").reset_index(drop=True)
         seen = pdf[cols].to_numpy(float)
+        weight = np.ones((len(pdf), len(keypoints)))
+        for c in given:
+            weight[:, at[c[:-2]]] = pdf[c].fillna(1.0)
         start = pd.DataFrame(seen).interpolate(limit_direction="both").fillna(0.0).to_numpy()
         out = np.empty_like(start)
         for i in range(0, len(pdf), window):
             s, x0 = seen[i : i + window].reshape(-1, len(keypoints), 2), start[i : i + window].reshape(-1, len(keypoints), 2)
 
-            def fun(v, s=s, x0=x0):
-                c, g = correction_cost(v.reshape(x0.shape), s, np.ones(x0.shape[:2]), edges, lengths, edge_weight, smooth, unit)
+            def fun(v, s=s, x0=x0, w=weight[i : i + window]):
+                c, g = correction_cost(v.reshape(x0.shape), s, w, edges, lengths, edge_weight, smooth, unit, joints, angle_weight)
                 return c, g.ravel()
 
             x = lbfgs(fun, x0.ravel()).reshape(x0.shape)
@@ -240,7 +266,7 @@ def corrected(wide: DataFrame, keypoints: list[str], unit: float, edge_weight: f
         return pd.concat([pdf[keys], pd.DataFrame(out, columns=cols)], axis=1)
 
     types = ", ".join(f"{k} {wide.schema[k].dataType.simpleString()}" for k in keys)
-    return wide.select(*keys, *cols).groupBy("video_id", "mouse_id").applyInPandas(of, types + ", " + ", ".join(f"{c} double" for c in cols))
+    return wide.select(*keys, *cols, *given).groupBy("video_id", "mouse_id").applyInPandas(of, types + ", " + ", ".join(f"{c} double" for c in cols))
 
 
 # ---- thresholds ------------------------------------------------------------------------------------------------------

@@ -41,7 +41,7 @@ def test_correction_gradient_and_descent():
     x = np.nan_to_num(seen) + rng.normal(size=seen.shape) * 0.1
 
     def fun(v):
-        c, g = S.correction_cost(v.reshape(x.shape), seen, np.ones(x.shape[:2]), edges, lengths, 0.7, (0.3, 0.2), 5.0)
+        c, g = S.correction_cost(v.reshape(x.shape), seen, np.ones(x.shape[:2]), edges, lengths, 0.7, (0.3, 0.2, 0.1), 5.0, np.array([[0, 1, 2], [1, 2, 3]]), 0.4)
         return c, g.ravel()
 
     c, g = fun(x.ravel())
@@ -66,6 +66,15 @@ def test_correction_lowers_violations_and_fills_gaps(spark):
     assert wrong(out) < wrong(df.toPandas()) and not out.isna().any().any()
 
 
+def test_points_of_little_weight_give_way(spark):
+    """A jump of one frame: with a small weight of its own it is smoothed away, with a full one less so."""
+    rows = [(1, 1, f, 0.0, 40.0 if f == 15 else 0.0, 22.0, 0.0, w) for f in range(30) for w in [0.05 if f == 15 else 1.0]]
+    names = "video_id long, mouse_id int, video_frame int, nose_x double, nose_y double, neck_x double, neck_y double, nose_w double"
+    df = spark.createDataFrame(rows, names)
+    at = [S.corrected(d, ["nose", "neck"], 100.0).where("video_frame = 15").first().nose_y for d in (df, df.drop("nose_w"))]
+    assert at[0] < at[1] < 40 and at[0] < 25
+
+
 def test_swaps_are_found_and_undone(spark):
     rows = []
     for f in range(60):
