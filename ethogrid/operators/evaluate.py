@@ -153,3 +153,37 @@ def best_setting(grid: DataFrame) -> DataFrame:
     """The best setting of each lab; ties to the first mode by name, the smaller scale, the mask."""
     w = Window.partitionBy("lab_id").orderBy(F.desc(F.round("score", 9)), "mode", "scale", F.desc("mask"))
     return grid.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def weighted_ensemble(members: DataFrame, weights: DataFrame) -> DataFrame:
+    """window_id, cls, p: mean of the members' probabilities by their weights. members: window_id, member, cls, p; weights:
+    member, w (a row per member)."""
+    d = members.join(F.broadcast(weights), "member")
+    return d.groupBy("window_id", "cls").agg((F.sum(F.col("p") * F.col("w")) / F.sum("w")).alias("p"))
+
+
+def blend_sweep(pairs: DataFrame, shares: tuple[float, ...], y: str = "y") -> DataFrame:
+    """share, accuracy of share * p + (1 - share) * q for rows with arrays p and q, all shares in one pass; of equal
+    probabilities the first class counts."""
+
+    def right(s: float):
+        mix = F.zip_with("p", "q", lambda a, b: F.round(a * s + b * (1 - s), 9))
+        return F.avg((F.array_position(mix, F.array_max(mix)) - 1 == F.col(y)).cast("int"))
+
+    one = pairs.agg(*[right(s).alias(f"_{i}") for i, s in enumerate(shares)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(float(s)).alias("share"), F.col(f"_{i}").alias("accuracy")) for i, s in enumerate(shares)])))
+
+
+def detector_grid(steps: DataFrame, ks: tuple[float, ...], keys: list[str]) -> DataFrame:
+    """k, caught, false: share of the frames known to be bad whose step exceeds q3 + k IQR of its mouse, and of the others.
+    steps: keys, step, bad. All k in one pass over the rows."""
+    q = steps.groupBy(*keys).agg(F.percentile("step", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    d = steps.join(q, keys).withColumn("_over", (F.col("step") - F.get("_q", F.lit(1))) / (F.get("_q", F.lit(1)) - F.get("_q", F.lit(0))))
+    share = lambda k, on: F.avg(F.when(on, F.coalesce(F.col("_over") > k, F.lit(False)).cast("int")))
+    one = d.agg(*[x for i, k in enumerate(ks) for x in (share(k, F.col("bad")).alias(f"c{i}"), share(k, ~F.col("bad")).alias(f"f{i}"))])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(float(k)).alias("k"), F.col(f"c{i}").alias("caught"), F.col(f"f{i}").alias("false")) for i, k in enumerate(ks)])))
+
+
+def calibrated_detector(grid: DataFrame, most_false: float) -> DataFrame:
+    """The setting that catches most with at most most_false false alarms; of equal ones the largest k."""
+    return grid.where(F.col("false") <= most_false).orderBy(F.desc(F.round("caught", 9)), F.desc("k")).limit(1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..functions import signal as Sg
 from ..operators import decide as D
 from ..operators import evaluate as E
@@ -205,6 +206,42 @@ def ev_grid_over_seeds(spark, d):
     return _r6(g.groupBy("lab_id", "g").agg(F.avg("y").alias("mean"), F.stddev_pop("y").alias("std")))
 
 
+def _members(spark, d):
+    """Three members: the probabilities, and two softened forms of them."""
+    p = proba_long(proba(spark, d)).select("window_id", "y", "cls", "p")
+    soft = lambda m, k: p.select("window_id", "y", F.lit(m).alias("member"), "cls", ((F.col("p") + k * (F.col("cls") % 3)) / (1 + 9 * k)).alias("p"))
+    return soft(0, 0.0).unionByName(soft(1, 0.02)).unionByName(soft(2, 0.2))
+
+
+def ev_weighted_ensemble(spark, d):
+    """Members weighted by the mean probability that they give the true class."""
+    m = _members(spark, d)
+    w = m.where("cls = y").groupBy("member").agg(F.avg("p").alias("w"))
+    return _r6(E.weighted_ensemble(m, w))
+
+
+def ev_blend_sweep(spark, d):
+    q = F.transform("p", lambda x, i: F.when(i % 2 == 0, x * 1.1).otherwise(x * 0.9))
+    return _r6(E.blend_sweep(proba(spark, d).select("y", "p", q.alias("q")), (0.0, 0.25, 0.5, 0.75, 1.0)))
+
+
+def _detector(spark, d):
+    """Steps of noses, some of which jump."""
+    p = Mo.spiked(pose(spark, d), "nose", 0.03)
+    w = P.by_mouse()
+    step = G.distance("nose_x", "nose_y", F.lag("nose_x").over(w), F.lag("nose_y").over(w))
+    bad = Mo.uniform("0spikenose", "video_id", "mouse_id", "video_frame") < 0.03
+    return E.detector_grid(p.select("video_id", "mouse_id", step.alias("step"), bad.alias("bad")).where("step IS NOT NULL"), (0.5, 1.0, 1.5, 2.0, 3.0, 5.0), ["video_id", "mouse_id"])
+
+
+def ev_detector_grid(spark, d):
+    return _r6(_detector(spark, d))
+
+
+def ev_detector(spark, d):
+    return _r6(E.calibrated_detector(_detector(spark, d), 0.1))
+
+
 # ---- prediction ----
 
 
@@ -363,7 +400,15 @@ _FLIP = f"h AS (SELECT video_id, mouse_id, video_frame, atan2(nose_y - tail_base
 _BOOT = " + ".join(f"(u >= {c})::INT" for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183))
 _UB = "('0x' || substr(md5(concat_ws('|', '0', video_id, b)), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 _CTX = lambda k, way: f"coalesce(avg(nose_x) OVER (PARTITION BY video_id, mouse_id ORDER BY video_frame ROWS BETWEEN {way.format(k)}) - nose_x, 0)"
+_MEM = f"WITH {PROBA_LONG_SQL}, mb AS (" + " UNION ALL ".join(f"SELECT window_id, y, {m} AS member, cls, (p + {k}::DOUBLE * (cls % 3)) / {1 + 9 * k!r}::DOUBLE AS p FROM pl" for m, k in ((0, 0.0), (1, 0.02), (2, 0.2))) + ")"
+_KS = (0.5, 1.0, 1.5, 2.0, 3.0, 5.0)
+_DET = f"WITH {POSE_SQL}, c AS (SELECT *, {_U('0spikenose')} < 0.03 AS bad, " + ", ".join(f"CASE WHEN {_U('0spikenose')} < 0.03 THEN nose_{a} + 60.0 * {f}(2 * pi() * {_U('0turnnose')}) ELSE nose_{a} END AS c{a}" for a, f in (("x", "cos"), ("y", "sin"))) + f" FROM pose), s AS (SELECT video_id, mouse_id, bad, sqrt((cx - lag(cx) {W}) ** 2 + (cy - lag(cy) {W}) ** 2) AS step FROM c), q AS (SELECT video_id, mouse_id, quantile_cont(step, 0.25) AS q1, quantile_cont(step, 0.75) AS q3 FROM s WHERE step IS NOT NULL GROUP BY ALL), o AS (SELECT bad, (step - q3) / nullif(q3 - q1, 0) AS o FROM s JOIN q USING (video_id, mouse_id) WHERE step IS NOT NULL), dt AS (" + " UNION ALL ".join(f"SELECT {k}::DOUBLE AS k, avg(coalesce(o > {k}, false)::INT) FILTER (WHERE bad) AS caught, avg(coalesce(o > {k}, false)::INT) FILTER (WHERE NOT bad) AS \"false\" FROM o" for k in _KS) + ")"
+_MIXED = lambda s: f"list_transform(range(1, 11), lambda i: round(p[i] * {s}::DOUBLE + p[i] * (CASE WHEN i % 2 = 1 THEN 1.1 ELSE 0.9 END)::DOUBLE * {1 - s}::DOUBLE, 9))"
 SQL = {
+    "ev_weighted_ensemble": f"{_MEM}, w AS (SELECT member, avg(p) AS w FROM mb WHERE cls = y GROUP BY member) SELECT window_id, cls, {r6('sum(p * w) / sum(w)', 'p')} FROM mb JOIN w USING (member) GROUP BY ALL",
+    "ev_blend_sweep": f"WITH {PROBA_SQL} " + " UNION ALL ".join(f"SELECT {s}::DOUBLE AS share, {r6(f'avg((list_position({_MIXED(s)}, list_max({_MIXED(s)})) - 1 = y)::INT)', 'accuracy')} FROM proba" for s in (0.0, 0.25, 0.5, 0.75, 1.0)),
+    "ev_detector_grid": f"{_DET} SELECT k, {r6('caught', 'caught')}, {r6('\"false\"', '\"false\"')} FROM dt",
+    "ev_detector": f"{_DET} SELECT k, {r6('caught', 'caught')}, {r6('\"false\"', '\"false\"')} FROM dt WHERE \"false\" <= 0.1 ORDER BY round(caught, 9) DESC, k DESC LIMIT 1",
     "ev_ks_p": f"WITH {POSE_SQL}, n AS (SELECT video_id, round(nose_x, 3) AS v, count_if(video_frame < 150) AS a, count_if(video_frame >= 150) AS b FROM pose GROUP BY ALL), g AS (SELECT video_id, a, b, abs(sum(a) OVER w::DOUBLE / nullif(sum(a) OVER p, 0) - sum(b) OVER w::DOUBLE / nullif(sum(b) OVER p, 0)) AS gap FROM n WINDOW w AS (PARTITION BY video_id ORDER BY v), p AS (PARTITION BY video_id)), k AS (SELECT video_id, max(gap) AS ks, sum(a) AS na, sum(b) AS nb FROM g GROUP BY video_id), x AS (SELECT video_id, ks, ks * sqrt((na * nb)::DOUBLE / (na + nb)) AS x FROM k) SELECT video_id, {r6('ks', 'ks')}, {r6('CASE WHEN x < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 21), lambda i: (CASE WHEN i % 2 = 1 THEN 1.0 ELSE -1.0 END)::DOUBLE * exp(-2.0 * i * i * x * x))))) END', 'p')} FROM x",
     "ev_bootstrap_delta": f"WITH {POSE_SQL}, m AS (SELECT video_id, avg(nose_x) - avg(neck_x) AS x FROM pose GROUP BY video_id), u AS (SELECT x, b, {_UB} AS u FROM m, (SELECT unnest(range(0, 40)) AS b)), w AS (SELECT b, sum(x * ({_BOOT})) / nullif(sum({_BOOT}), 0) AS m FROM u GROUP BY b) SELECT {r6('(SELECT avg(x) FROM m)', 'mean')}, {r6('quantile_cont(m, 0.025)', 'low')}, {r6('quantile_cont(m, 0.975)', 'high')} FROM w",
     "ev_subsampled": f"WITH {POSE_SQL}, m AS (SELECT video_id, avg(nose_x) AS x FROM pose GROUP BY video_id), u AS (SELECT x, b, {_UB} AS u FROM m, (SELECT unnest(range(0, 40)) AS b)), w AS (SELECT b, avg(x) AS m FROM u WHERE u < 0.5 GROUP BY b) SELECT {r6('avg(m)', 'mean')}, {r6('quantile_cont(m, 0.025)', 'low')}, {r6('quantile_cont(m, 0.975)', 'high')} FROM w",
