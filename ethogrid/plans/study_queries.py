@@ -12,6 +12,7 @@ from ..operators import frames as P
 from ..operators import intervals as I
 from ..operators import motion as Mo
 from ..operators import quality as Q
+from ..operators import repair as Re
 from ..operators import selection as Se
 from ..operators import stats as T
 from ..sources import readers as R
@@ -315,6 +316,14 @@ def mo_recovery(spark, d):
     return _r6(Mo.recovery(p, c, fixed, ["nose"], "video_id"))
 
 
+def mo_similar_filled(spark, d):
+    """Missing tails from the five frames of the mouse whose noses are nearest."""
+    p = pose(spark, d).select("video_id", "mouse_id", "video_frame", "nose_x", "nose_y", "tail_base_x")
+    gap = F.col("tail_base_x").isNull()
+    f = Re.similar_filled(p.withColumn("gap", gap), ["nose_x", "nose_y", "tail_base_x"])
+    return _r6(f.where("gap").select("video_id", "mouse_id", "video_frame", "tail_base_x"))
+
+
 # ---- identity ----
 
 
@@ -445,6 +454,7 @@ SQL = {
     "mo_fidelity": f"WITH {POSE_SQL}, fi AS ({_FID('pose', 30.0)}) SELECT video_id, {', '.join(r6(c, c) for c in _FNAMES)} FROM fi",
     "mo_preservation": f"WITH {_SMOOTH}, b AS ({_FID('pose', 1.0)}), a AS ({_FID('sm', 1.0)}), l AS (" + " UNION ALL ".join(f"SELECT b.video_id, '{c}' AS metric, b.{c} AS before, a.{c} AS after FROM b JOIN a USING (video_id)" for c in _FNAMES) + f") SELECT video_id, metric, {r6('before', 'before')}, {r6('after', 'after')}, {r6('after / nullif(before, 0)', 'ratio')} FROM l",
     "mo_displaced": f"WITH {_SMOOTH}, l AS (" + " UNION ALL ".join(f"SELECT a.mouse_id, '{k}' AS keypoint, sqrt((a.{k}_x - b.{k}_x) ** 2 + (a.{k}_y - b.{k}_y) ** 2) AS e, a.{k}_x IS NULL AS was, b.{k}_x IS NULL AS gone FROM pose AS a JOIN sm AS b USING (video_id, mouse_id, video_frame)" for k in ("nose", "tail_base")) + f") SELECT mouse_id, keypoint, count(e) AS n, {r6('avg(e)', 'mean')}, {r6('max(e)', 'largest')}, {r6('avg((e > 5)::INT)', 'far')}, count_if(was AND NOT gone)::BIGINT AS filled, count_if(NOT was AND gone)::BIGINT AS lost FROM l GROUP BY ALL",
+    "mo_similar_filled": f"WITH {POSE_SQL}, j AS (SELECT a.video_id, a.mouse_id, a.video_frame, b.video_frame AS other, b.tail_base_x AS t, round((a.nose_x ** 2 + a.nose_y ** 2 + (b.nose_x ** 2 + b.nose_y ** 2) - 2 * (a.nose_x * b.nose_x + a.nose_y * b.nose_y)) * 3 / 2, 6) AS far FROM pose AS a JOIN pose AS b ON a.video_id = b.video_id AND a.mouse_id = b.mouse_id WHERE a.tail_base_x IS NULL AND b.tail_base_x IS NOT NULL), k AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY video_id, mouse_id, video_frame ORDER BY greatest(far, 0), other) <= 5) SELECT video_id, mouse_id, video_frame, {r6('avg(t)', 'tail_base_x')} FROM k GROUP BY ALL",
     "mo_corruptions": f"WITH {POSE_SQL}, {_BURST} " + " UNION ALL ".join(f"SELECT '{k}' AS kind, count_if(n <> nose_x OR e <> ear_left_x)::BIGINT AS moved, {r6('avg(abs(n - nose_x))', 'nose')}, {r6('avg(abs(e - ear_left_x))', 'ear')} FROM (SELECT nose_x, ear_left_x, {a} AS n, {b} AS e FROM q)" for k, (a, b) in _HITS.items()),
     "mo_recovery": f"WITH {POSE_SQL}, c AS (SELECT *, " + ", ".join(f"CASE WHEN {_U('0spikenose')} < 0.03 THEN nose_{a} + 60.0 * {f}(2 * pi() * {_U('0turnnose')}) ELSE nose_{a} END AS c{a}" for a, f in (("x", "cos"), ("y", "sin"))) + " FROM pose), m AS (SELECT *, " + ", ".join(f"median(c{a}) OVER (PARTITION BY video_id, mouse_id ORDER BY video_frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m{a}" for a in "xy") + f" FROM c), g AS (SELECT video_id, sqrt(avg((nose_x - cx) ** 2 + (nose_y - cy) ** 2)) AS b, sqrt(avg((nose_x - mx) ** 2 + (nose_y - my) ** 2)) AS a FROM m GROUP BY video_id) SELECT video_id, 'nose' AS keypoint, {r6('b', 'before')}, {r6('a', 'after')}, {r6('1 - a / nullif(b, 0)', 'recovered')} FROM g",
     "id_huddles": f"WITH {POSE_SQL}, c AS (SELECT video_id, video_frame, mouse_id, {_MID('', 'neck_tail', 'x').replace('neck_tail_left', 'neck').replace('neck_tail_right', 'tail_base')} AS x, {_MID('', 'neck_tail', 'y').replace('neck_tail_left', 'neck').replace('neck_tail_right', 'tail_base')} AS y FROM pose), w AS (SELECT video_id, video_frame, " + ", ".join(f"any_value({a}) FILTER (WHERE mouse_id = {i}) AS {a}{i}" for i in (1, 2) for a in "xy") + " FROM c GROUP BY ALL), m AS (SELECT *, " + ", ".join(f"{_MED(c, '12 PRECEDING', '1 PRECEDING')} AS b{c}, {_MED(c, '1 FOLLOWING', '12 FOLLOWING')} AS a{c}" for c in _FOUR) + ", coalesce(sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2) < 6, false) AS h FROM w), r AS (SELECT *, h <> lag(h) OVER (PARTITION BY video_id ORDER BY video_frame) AS ch FROM m), n AS (SELECT *, sum(coalesce(ch, true)::INT) OVER (PARTITION BY video_id ORDER BY video_frame) AS run FROM r), g AS (SELECT video_id, run, min(video_frame) AS first, max(video_frame) AS last, " + ", ".join(f"arg_min_null(b{c}, video_frame) AS b{c}, arg_max_null(a{c}, video_frame) AS a{c}" for c in _FOUR) + f" FROM n WHERE h GROUP BY video_id, run HAVING count(*) <= 60), z AS (SELECT video_id, first, last, sqrt((bx1 - ax1) ** 2 + (by1 - ay1) ** 2) + sqrt((bx2 - ax2) ** 2 + (by2 - ay2) ** 2) AS stay, sqrt((bx1 - ax2) ** 2 + (by1 - ay2) ** 2) + sqrt((bx2 - ax1) ** 2 + (by2 - ay1) ** 2) AS \"cross\" FROM g) SELECT video_id, first, last, {r6('stay', 'stay')}, {r6('\"cross\"', '\"cross\"')}, coalesce(stay > 1.15 * \"cross\", false) AS inverted FROM z",

@@ -8,12 +8,14 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from ethogrid.functions import geometry as G
 from ethogrid.operators import active as A
 from ethogrid.operators import decide as D
 from ethogrid.operators import evaluate as E
 from ethogrid.operators import frames as P
 from ethogrid.operators import models as M
 from ethogrid.operators import motion as Mo
+from ethogrid.operators import repair as Re
 from ethogrid.operators import selection as Se
 from ethogrid.operators import sequence as S
 from ethogrid.operators import stats as T
@@ -142,6 +144,34 @@ def test_smoothing_keeps_lines_and_gaps(spark):
     assert all(by[(1, 1, t)] == pytest.approx(2 * t + 1) for t in range(4, 26) if t not in (5, 6))
 
 
+@needs_data
+def test_the_chain_of_repairs_lowers_violations(spark):
+    rng = np.random.default_rng(8)
+    place = {"nose": (0, 0), "neck": (0, 22), "ear_left": (-9, 11), "ear_right": (9, 11), "hip_left": (-20, 72), "hip_right": (20, 72), "tail_base": (0, 92)}
+    rows = []
+    for t in range(50):
+        for m in (1, 2):
+            at = {k: np.array(xy) + [t * 0.5 + 300 * m, 10 * m] + rng.normal(size=2) * 4 for k, xy in place.items()}
+            if t == 30 and m == 1:
+                at["nose"] = at["nose"] + [80, 0]
+            rows.append((1, m, t, *[None if t == 12 and c[:4] == "nose" else float(at[c.rsplit("_", 1)[0]]["xy".index(c[-1])]) for c in XY]))
+    df = spark.createDataFrame(rows, "video_id int, mouse_id int, video_frame int, " + ", ".join(f"{c} double" for c in XY))
+    refs = {f"{a}→{b}": n * 100 for (a, b), n in zip(G.EDGES, G.DEFAULT_LENGTHS)}
+    got = Re.repaired(df, refs, 100.0).orderBy("mouse_id", "video_frame").collect()
+    assert len(got) == 100 and all(r[c] is not None for r in got for c in XY)
+    wrong = lambda rs: np.nanmean([abs(np.hypot(r[f"{a}_x"] - r[f"{b}_x"], r[f"{a}_y"] - r[f"{b}_y"]) / (n * 100) - 1) for r in rs if r["nose_x"] is not None for (a, b), n in zip(G.EDGES, G.DEFAULT_LENGTHS)])
+    assert wrong(got) < wrong(df.collect())
+    jump = [r for r in got if r.mouse_id == 1 and r.video_frame == 30][0]
+    assert abs(jump.nose_x - (300 + 15)) < 40  # it was seen 80 away
+
+
+def test_gaps_take_the_nearest_frames(spark):
+    rows = [(1, 1, t, float(t), None if t == 10 else float(t * 2)) for t in range(20)] + [(1, 2, t, float(t), None) for t in range(3)]
+    df = spark.createDataFrame(rows, "video_id int, mouse_id int, video_frame int, a double, b double")
+    got = {(r.mouse_id, r.video_frame): r.b for r in Re.similar_filled(df, ["a", "b"], 2).collect()}
+    assert got[(1, 10)] == 20.0 and got[(2, 0)] is None
+
+
 def test_viterbi_with_equal_transitions_is_the_ratio_rule():
     rng = np.random.default_rng(4)
     e = np.log(rng.random((40, 5)))
