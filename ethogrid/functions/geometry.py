@@ -82,6 +82,11 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def euclidean_distance(a: Column, b: Column) -> Column:
+    """Of two arrays."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, v: s + v))
+
+
 def normal_tail(z: Column) -> Column:
     """2 * P(Z > z) of the normal distribution for z >= 0, by a rational approximation (error below 2e-7)."""
     #: Coefficients of the approximation.

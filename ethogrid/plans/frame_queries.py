@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from math import pi
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -213,7 +213,7 @@ def fr_missing_runs(spark, d):
 
 
 def fr_autocorrelation(spark, d):
-    return r4(Wn.autocorrelation(pose(spark, d), "nose_x", ["video_id", "mouse_id"], "video_frame", (1, 5, 10)))
+    return r4(Wn.autocorrelation(pose(spark, d), "nose_x", ["video_id", "mouse_id"], "video_frame", (1, 5, 10, 20)))
 
 
 def fr_halves(spark, d):
@@ -371,7 +371,7 @@ SQL = {
     "fr_context": f"WITH {POSE_SQL} SELECT {KEYS}, {rs('coalesce(avg(nose_x) OVER (PARTITION BY video_id, mouse_id ORDER BY video_frame ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) - nose_x, 0)', 'past')}, {rs('coalesce(avg(nose_x) OVER (PARTITION BY video_id, mouse_id ORDER BY video_frame ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) - nose_x, 0)', 'coming')} FROM pose",
     "fr_moving_average": f"WITH {POSE_SQL} SELECT {KEYS}, {rs('sum(nose_x) OVER (PARTITION BY video_id, mouse_id ORDER BY video_frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5', 'm')} FROM pose",
     "fr_missing_runs": f"WITH {POSE_SQL}, g AS (SELECT *, tail_base_x IS NULL AS gap, row_number() {W} - row_number() OVER (PARTITION BY video_id, mouse_id, tail_base_x IS NULL ORDER BY video_frame) AS k FROM pose), r AS (SELECT video_id, mouse_id, k, count(*) AS n FROM g WHERE gap GROUP BY ALL) SELECT video_id, max(n) AS longest, count(*) AS runs FROM r GROUP BY video_id",
-    "fr_autocorrelation": f"WITH {POSE_SQL}, l AS (SELECT *, lag(nose_x, 1) {W} AS l1, lag(nose_x, 5) {W} AS l5, lag(nose_x, 10) {W} AS l10 FROM pose) SELECT video_id, mouse_id, {rs('corr(nose_x, l1)', 'lag_1')}, {rs('corr(nose_x, l5)', 'lag_5')}, {rs('corr(nose_x, l10)', 'lag_10')} FROM l GROUP BY ALL",
+    "fr_autocorrelation": f"WITH {POSE_SQL}, l AS (SELECT *, lag(nose_x, 1) {W} AS l1, lag(nose_x, 5) {W} AS l5, lag(nose_x, 10) {W} AS l10, lag(nose_x, 20) {W} AS l20 FROM pose) SELECT video_id, mouse_id, {rs('corr(nose_x, l1)', 'lag_1')}, {rs('corr(nose_x, l5)', 'lag_5')}, {rs('corr(nose_x, l10)', 'lag_10')}, {rs('corr(nose_x, l20)', 'lag_20')} FROM l GROUP BY ALL",
     "fr_halves": f"WITH {POSE_SQL}, h AS (SELECT *, row_number() {W} AS rn, count(*) OVER (PARTITION BY video_id, mouse_id) AS n FROM pose) SELECT video_id, mouse_id, {rs('avg(nose_x) FILTER (WHERE rn <= n // 5)', 'first')}, {rs('avg(nose_x) FILTER (WHERE rn > n - n // 5)', 'last')} FROM h GROUP BY ALL",
     "fr_group_windows": f"WITH {POSE_SQL}, e AS (SELECT video_id, mouse_id, max(video_frame) AS ed FROM pose GROUP BY ALL), o AS (SELECT *, coalesce(video_frame - lag(video_frame) {W} > 4, true) AS b FROM pose WHERE nose_x > 48), i AS (SELECT *, sum(b::INT) {W} AS k FROM o) SELECT video_id, mouse_id, greatest(min(video_frame) - 12, 0)::BIGINT AS first, least(max(video_frame) + 13, any_value(ed) + 1)::BIGINT AS stop FROM i JOIN e USING (video_id, mouse_id) GROUP BY video_id, mouse_id, k",
     "fr_windows": f"WITH {_MEM(16, 8, '1 AS one')} SELECT video_id, mouse_id, win, min(video_frame)::INT AS start_frame, max(video_frame)::INT + 1 AS stop_frame, min(video_frame)::INT + 6 AS core_start, min(video_frame)::INT + 10 AS core_stop FROM win GROUP BY video_id, mouse_id, win",

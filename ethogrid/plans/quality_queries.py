@@ -11,9 +11,8 @@ from ..operators import frames as P
 from ..operators import intervals as I
 from ..operators import quality as Q
 from ..operators import stats as T
-from ..operators import windows as Wn
-from ..sources.adapters import ANN_SQL, LONG_SQL, META_SQL, POSE_SQL, PROBA_LONG_SQL, PROBA_SQL, XY, ann, meta_raw, pose, proba, proba_long, to_long
-from .frame_queries import _C, _CEN, _D, _DZSUM, _HALF, _SMOOTH, _savgol_sql, W, r4, rs
+from ..sources.adapters import LONG_SQL, META_SQL, POSE_SQL, PROBA_LONG_SQL, PROBA_SQL, meta_raw, pose, proba, proba_long, to_long
+from .frame_queries import _CEN, _D, _DZSUM, _HALF, _SMOOTH, _savgol_sql, W, r4, rs
 from .interval_queries import CLEAN_SQL, _clean
 
 REFS = {f"{a}→{b}": n * 100 for (a, b), n in zip(G.EDGES, G.DEFAULT_LENGTHS)}

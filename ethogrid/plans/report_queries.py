@@ -123,6 +123,14 @@ def fn_recovery(spark, d):
     return r4(g.groupBy("video_id").agg(F.count("*").alias("gaps"), F.avg("lag").alias("mean_lag"), F.avg(F.col("lag").isNotNull().cast("int")).alias("recovered")), 6)
 
 
+def fn_vector_distances(spark, d):
+    """Cosine and Euclidean distances of probabilities to those of the first window of their video."""
+    p = proba(spark, d).select("video_id", "window_id", "p")
+    first = p.groupBy("video_id").agg(F.min_by("p", "window_id").alias("q"))
+    j = p.join(first, "video_id")
+    return r4(j.select("window_id", G.cosine_distance(F.col("p"), F.col("q")).alias("cosine"), G.euclidean_distance(F.col("p"), F.col("q")).alias("euclidean")), 6)
+
+
 def fn_vif(spark, d):
     return r4(T.vif(pose(spark, d), ["nose_x", "nose_y", "tail_base_x", "tail_base_y"]), 4)
 
@@ -175,6 +183,7 @@ SQL = {
     "rp_prevalence_thresholds": f"WITH {PROBA_LONG_SQL}, g AS (SELECT lab_id, cls, t, count_if(p > t) AS pred, count_if(y = cls) AS \"true\" FROM pl, (SELECT unnest([0.05, 0.08, 0.1, 0.12, 0.15, 0.2])::DOUBLE AS t) GROUP BY ALL) SELECT lab_id, cls, t, pred::BIGINT AS pred, \"true\"::BIGINT AS \"true\" FROM g QUALIFY row_number() OVER (PARTITION BY lab_id, cls ORDER BY round(abs(ln(1 + pred) - ln(1 + \"true\")), 9), t) = 1",
     "rp_irreducible_floor": f"WITH {_EDGE}, s AS (SELECT edge, stddev_samp(length) / avg(length) AS sigma FROM edge GROUP BY edge), x AS (SELECT *, 0.25 / sigma / sqrt(2.0) AS x FROM s), t AS (SELECT *, 1 / (1 + 0.3275911 * x) AS t FROM x) SELECT edge, {r6('sigma', 'sigma')}, {r6('t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x)', 'floor')} FROM t",
     "fn_confidence": f"WITH {_FLAGS} SELECT video_id, {r6(f'avg(greatest(0.05, least(1.0, exp(-({_SEVERITY})))))', 'confidence')} FROM f2 GROUP BY video_id",
+    "fn_vector_distances": f"WITH {PROBA_SQL}, q AS (SELECT video_id, arg_min(p, window_id) AS q FROM proba GROUP BY video_id) SELECT window_id, {r6('1 - list_sum(list_transform(range(1, 11), lambda i: p[i] * q[i])) / (sqrt(list_sum(list_transform(p, lambda x: x * x))) * sqrt(list_sum(list_transform(q, lambda x: x * x))))', 'cosine')}, {r6('sqrt(list_sum(list_transform(range(1, 11), lambda i: (p[i] - q[i]) * (p[i] - q[i]))))', 'euclidean')} FROM proba JOIN q USING (video_id)",
     "fn_vif": f"WITH {POSE_SQL}, r AS (SELECT " + ", ".join(f"coalesce(corr({_V4[i]}, {_V4[j]}), 0) AS r{i}{j}" for i in range(4) for j in range(i + 1, 4)) + " FROM pose), d AS (SELECT *, " + f"{_det((0, 1, 2, 3))} AS d FROM r) " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, {rs(_det(tuple(k for k in range(4) if k != i)) + ' / d', 'vif')} FROM d" for i, c in enumerate(_V4)),
     "fn_edge_weights": f"WITH {_EDGE}, v AS (SELECT edge, 1 / var_samp(length) AS inv FROM edge GROUP BY edge HAVING var_samp(length) > 0) SELECT edge, {r6('least(5.0, greatest(0.2, inv / (SELECT median(inv) FROM v)))', 'weight')} FROM v",
     "fn_min_max": f"WITH {POSE_SQL}, m AS (SELECT video_id, mouse_id, avg(nose_x) AS x FROM pose GROUP BY ALL) SELECT video_id, mouse_id, {r6('CASE WHEN max(x) OVER w > min(x) OVER w THEN (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) ELSE 0.5 END', 'x')} FROM m WINDOW w AS (PARTITION BY mouse_id)",

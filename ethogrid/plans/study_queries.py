@@ -18,7 +18,7 @@ from ..operators import stats as T
 from ..sources import readers as R
 from ..sources import sinks
 from ..sources.adapters import KEYPOINTS, META_SQL, POSE_SQL, PROBA_LONG_SQL, PROBA_SQL, meta_raw, pose, proba, proba_long, to_long
-from .frame_queries import _CEN, _D, _DZSUM, _HALF, _REL, _SMOOTH, _angle_sql, _MID, W, r4, rs
+from .frame_queries import _DZSUM, _HALF, _REL, _SMOOTH, _angle_sql, _MID, W, r4, rs
 from .interval_queries import CLEAN_SQL, SCORE_SQL, _active as _annotated, _clean, _solution, _submission
 from .quality_queries import _AM, _DEC, _EDGE, REFS, SQL as _RULES, _active, _argmax, _decided, _lab, _refs, _thresholds
 
