@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 import zlib
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, chunk_words, chunks, input_chars, mix, rolling, spread, word_spans
+from .common import chunk_words, chunks, input_chars, mix, rolling, spread, word_spans
 
 INNER = 8
 FLUSH = 1_000_000

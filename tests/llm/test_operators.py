@@ -447,9 +447,6 @@ def test_gradients():
     index = np.where(np.arange(toxicity.WIDTH) < length[:, None], rng.integers(0, 20, (4, toxicity.WIDTH)), 20)
     d = rng.normal(size=4)
 
-    class Exact(np.ndarray):
-        pass
-
     logit, kept = toxicity.forward(p, fed, index, length, keep=True)
     g, d_fed = toxicity.backward(p, 21, index, kept, d)
     for k in ("out", "look", "turn", "level"):
