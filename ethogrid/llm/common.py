@@ -38,9 +38,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt over the cores if its scan keeps most of them idle (a table of few files), else df as it is."""
+    """df dealt over the cores if its scan has fewer partitions than those, and 64 at most (a table of few files, whose
+    row groups may even leave some of them empty; some gigabytes to shuffle); else df as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 65) else df
 
 
 def released(df: DataFrame) -> None:
