@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, packing, pii, quality, secrets, substring, topk, toxicity, urls
+from . import audit, merkle, mixing, neardup, packing, pii, quality, secrets, substring, tokens, topk, toxicity, urls
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_token_counts": tokens.op11_token_counts,
+    "op12_filter_audit": audit.op12_filter_audit,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 SQL = {
     "op1_substring_dedup": substring.op1_sql(),
@@ -24,4 +27,6 @@ SQL = {
     "op7_topk_nra": topk.op7_sql(),
     "op8_mix_sources": mixing.op8_sql(),
     "op10_quality_rules": quality.op10_sql(),
+    "op12_filter_audit": audit.op12_sql(),
+    "op13_merkle_manifest": merkle.op13_sql(),
 }
