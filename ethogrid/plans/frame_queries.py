@@ -327,9 +327,9 @@ rel AS (SELECT *, (dist_nose_a_tail_b - dist_nose_a_neck_b) / (dist_nose_a_tail_
   cos(ha) * (b_cx - a_cx) + sin(ha) * (b_cy - a_cy) AS rel_fwd, -sin(ha) * (b_cx - a_cx) + cos(ha) * (b_cy - a_cy) AS rel_lat, cos(hb) * (a_nose_x - b_cx) + sin(hb) * (a_nose_y - b_cy) AS nose_a_in_b_fwd, -sin(hb) * (a_nose_x - b_cx) + cos(hb) * (a_nose_y - b_cy) AS nose_a_in_b_lat FROM g)"""
 _RELCOLS = "dist_centroid dist_nose_nose dist_nose_a_tail_b dist_nose_b_tail_a dist_nose_a_neck_b dist_nose_a_ear_b dist_nose_a_hip_b speed_a speed_b sniff_site_ratio angle_relative approach_rate facing_b speed_relative min_kp_dist mean_k3_kp_dist rel_fwd rel_lat nose_a_in_b_fwd nose_a_in_b_lat".split()
 _KNOWN = {k: f"(a_{k}_x IS NOT NULL AND a_{k}_y IS NOT NULL)" for k in KEYPOINTS}
-_OCC = f"""{_PAIR}, o AS (SELECT *, {', '.join(f"{'least' if e == 0 else 'greatest'}({', '.join(f'{s}_{k}_{x}' for k in KEYPOINTS)}) AS {s}{x}{e}" for s in 'ab' for x in 'xy' for e in (0, 1))},
+_OCC = f"""{_PAIR}, o AS MATERIALIZED (SELECT *, {', '.join(f"{'least' if e == 0 else 'greatest'}({', '.join(f'{s}_{k}_{x}' for k in KEYPOINTS)}) AS {s}{x}{e}" for s in 'ab' for x in 'xy' for e in (0, 1))},
   {' + '.join(f'{v}::INT' for v in _KNOWN.values())} AS nv, {' + '.join(f"({v} AND (" + ' OR '.join(f"coalesce((a_{k}_x - b_{j}_x) ** 2 + (a_{k}_y - b_{j}_y) ** 2 < 1, false)" for j in KEYPOINTS) + "))::INT" for k, v in _KNOWN.items())} AS nc FROM pr),
-q AS (SELECT *, {' + '.join(f"coalesce({v} AND a_{k}_x BETWEEN bx0 AND bx1 AND a_{k}_y BETWEEN by0 AND by1, false)::INT" for k, v in _KNOWN.items())} AS ni, greatest(least(ax1, bx1) - greatest(ax0, bx0), 0) * greatest(least(ay1, by1) - greatest(ay0, by0), 0) AS inter, (ax1 - ax0) * (ay1 - ay0) AS sa, (bx1 - bx0) * (by1 - by0) AS sb, sqrt((ax1 - ax0) ** 2 + (ay1 - ay0) ** 2) AS da, sqrt((bx1 - bx0) ** 2 + (by1 - by0) ** 2) AS db FROM o)"""
+q AS MATERIALIZED (SELECT *, {' + '.join(f"coalesce({v} AND a_{k}_x BETWEEN bx0 AND bx1 AND a_{k}_y BETWEEN by0 AND by1, false)::INT" for k, v in _KNOWN.items())} AS ni, greatest(least(ax1, bx1) - greatest(ax0, bx0), 0) * greatest(least(ay1, by1) - greatest(ay0, by0), 0) AS inter, (ax1 - ax0) * (ay1 - ay0) AS sa, (bx1 - bx0) * (by1 - by0) AS sb, sqrt((ax1 - ax0) ** 2 + (ay1 - ay0) ** 2) AS da, sqrt((bx1 - bx0) ** 2 + (by1 - by0) ** 2) AS db FROM o)"""
 
 _SMOOTH = (
     f"{POSE_SQL}, i0 AS (SELECT *, row_number() {W} AS rn, count(*) OVER (PARTITION BY video_id, mouse_id) AS tt FROM pose), "

@@ -263,7 +263,7 @@ def pr_predicted(spark, d):
 def pr_features(spark, d):
     """All features of each frame and pair; frames that the other mouse lacks have none of the relations."""
     f = P.features(pose(spark, d), smooth=0, unit=100.0)
-    return _r6(f.select("video_id", "agent", "target", "video_frame", "centroid_speed", "neck_spine", "dz_sum", "dist_centroid", "min_kp_dist"))
+    return r4(f.select("video_id", "agent", "target", "video_frame", "centroid_speed", "neck_spine", "dz_sum", "dist_centroid", "min_kp_dist"), 8)
 
 
 def pr_nodes(spark, d):
@@ -448,7 +448,7 @@ SQL = {
     "ev_best_setting": f"{_GRID} SELECT lab_id, mode, scale, mask, {r6('score', 'score')} FROM gs QUALIFY row_number() OVER (PARTITION BY lab_id ORDER BY round(score, 9) DESC, mode, scale, mask DESC) = 1",
     "pr_routed": f"WITH {_RT} SELECT window_id, target AS target_id FROM rt",
     "pr_predicted": "WITH iv AS (" + _RULES["dc_intervals"].replace(_DEC("p - t"), _RT).replace(" FROM dec WINDOW", " FROM rt WINDOW") + ") SELECT *, row_number() OVER (ORDER BY video_id, agent_id, target_id, start_frame, stop_frame, action) - 1 AS row_id FROM iv",
-    "pr_features": f"WITH {_REL}, po AS (SELECT *, {_MID('', 'hip', 'x')} AS hips_x, {_MID('', 'hip', 'y')} AS hips_y FROM pose), ce AS (SELECT video_id, mouse_id, video_frame, sqrt(({_HALF('cx')}) ** 2 + ({_HALF('cy')}) ** 2) AS v FROM cen), mm AS (SELECT DISTINCT video_id, mouse_id FROM pose) SELECT ce.video_id, ce.mouse_id AS agent, o.mouse_id AS target, ce.video_frame, {r6('v', 'centroid_speed')}, {r6(_angle_sql('nose', 'neck', 'hips'), 'neck_spine')}, {r6(_DZSUM, 'dz_sum')}, {r6('dist_centroid', 'dist_centroid')}, {r6('min_kp_dist', 'min_kp_dist')} FROM ce JOIN po USING (video_id, mouse_id, video_frame) LEFT JOIN mm AS o ON o.video_id = ce.video_id AND o.mouse_id <> ce.mouse_id LEFT JOIN rel ON rel.video_id = ce.video_id AND rel.agent = ce.mouse_id AND rel.target = o.mouse_id AND rel.video_frame = ce.video_frame",
+    "pr_features": f"WITH {_REL}, po AS (SELECT *, {_MID('', 'hip', 'x')} AS hips_x, {_MID('', 'hip', 'y')} AS hips_y FROM pose), ce AS (SELECT video_id, mouse_id, video_frame, sqrt(({_HALF('cx')}) ** 2 + ({_HALF('cy')}) ** 2) AS v FROM cen), mm AS (SELECT DISTINCT video_id, mouse_id FROM pose) SELECT ce.video_id, ce.mouse_id AS agent, o.mouse_id AS target, ce.video_frame, {rs('v', 'centroid_speed', 8)}, {rs(_angle_sql('nose', 'neck', 'hips'), 'neck_spine', 8)}, {rs(_DZSUM, 'dz_sum', 8)}, {rs('dist_centroid', 'dist_centroid', 8)}, {rs('min_kp_dist', 'min_kp_dist', 8)} FROM ce JOIN po USING (video_id, mouse_id, video_frame) LEFT JOIN mm AS o ON o.video_id = ce.video_id AND o.mouse_id <> ce.mouse_id LEFT JOIN rel ON rel.video_id = ce.video_id AND rel.agent = ce.mouse_id AND rel.target = o.mouse_id AND rel.video_frame = ce.video_frame",
     "pr_nodes": f"WITH {POSE_SQL}, v AS (SELECT video_id, mouse_id, video_frame, " + ", ".join(f"({_HALF(f'{k}_{a}')}) AS {k}_v{a}, ({_D2(f'{k}_{a}')}) AS {k}_a{a}" for k in KEYPOINTS for a in "xy") + " FROM pose) SELECT video_id, mouse_id, video_frame, 7::INT AS rows, 4::INT AS columns, " + rs(" + ".join(f"coalesce({k}_vx, 0) + coalesce({k}_vy, 0) + coalesce(sqrt({k}_vx ** 2 + {k}_vy ** 2), 0) + coalesce(sqrt({k}_ax ** 2 + {k}_ay ** 2), 0)" for k in KEYPOINTS), "total") + " FROM v",
     "mo_normalised_speeds": f"WITH {POSE_SQL}, s AS (SELECT video_id, {_NORM(_D1)} * 30 / 100 AS v FROM pose) SELECT video_id, count(v) AS n, {r6('avg(v)', 'mean')}, {r6('max(v)', 'most')} FROM s GROUP BY video_id",
     "mo_fidelity": f"WITH {POSE_SQL}, fi AS ({_FID('pose', 30.0)}) SELECT video_id, {', '.join(r6(c, c) for c in _FNAMES)} FROM fi",
