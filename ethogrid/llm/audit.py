@@ -52,7 +52,9 @@ def masks(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     digest = F.unhex(F.sha2(F.coalesce(text_col, F.lit("")), 256))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(part_col), F.lit("")).alias("part"), digest.alias("digest"), failures(F.col(text_col), least_words).alias("mask"))
     rows = stored(rows, "masks")
+    # as a table, so that a text of many rows can be split where they join
     first = rows.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("digest", "first")
+    first = stored(first, "first")
     marks = labels.groupBy(F.col("doc_id").alias("id")).agg(*[F.max(F.when(F.col(c) == 1, 1).otherwise(0)).alias(to) for c, to in (("quality", "good"), ("toxic", "toxic"))])
     repeat = F.when(F.col("id") > F.col("first"), 1 << FILTERS.index("E")).otherwise(0)
     rows = rows.join(first, "digest", "left").select("id", "part", (F.col("mask") + repeat).alias("mask"))

@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder as shared_dir
+
 #: Java and Spark SQL form of the word pattern `[^\x20\x09-\x0D]+`, and of its complement.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named and driver and
-    executors are one local process (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = getattr(spark, "_ethogrid_shared", None) or tempfile.mkdtemp(prefix="spark-")
-        spark._ethogrid_shared = path
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: the lineage ends there and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -45,10 +32,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def released(df: DataFrame) -> None:
-    """Free the files of a stored table that nothing reads any more: an empty table takes their place."""
+    """Delete the files of a stored table that nothing reads any more; a later read fails."""
     path = getattr(df, "_stored_at", None)
     if path:
-        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
+        context = df.sparkSession.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:

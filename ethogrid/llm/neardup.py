@@ -196,9 +196,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = dealt.select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "id", "z")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     found = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_links(shingle, num, den), "u long, v long")
-    roots = components(found)
+    # rows that share an id are one document, whatever classes they fall into
+    own = signed.where("id IS NOT NULL").select("id", "s1", "s2", "n")
+    several = own.groupBy("id").agg(F.min(F.struct("s1", "s2", "n")).alias("a"), F.max(F.struct("s1", "s2", "n")).alias("b")).where("a <> b").select("id")
+    shared = own.where("n > 0").join(several, "id", "left_semi").join(classes.select("s1", "s2", "n", F.col("id").alias("v")), ["s1", "s2", "n"])
+    roots = components(found.unionByName(shared.select(F.col("id").alias("u"), "v")))
     named = classes.select("s1", "s2", "n", F.col("id").alias("u")).join(roots, "u", "left").select("s1", "s2", "n", F.coalesce("v", "u").alias("root"))
-    out = signed.drop("keys", "size").join(named, ["s1", "s2", "n"], "left")
+    out = signed.where("n > 0").drop("keys", "size").join(named, ["s1", "s2", "n"], "left").select("id", "th", "n", "root")
+    empty = signed.where("n = 0").select("id", "th", "n").join(roots.toDF("u", "root"), F.col("id") == F.col("u"), "left").select("id", "th", "n", "root")
+    out = out.unionByName(empty)
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     return out.select("id", "th", F.col("n").alias("n_shingles"), component.alias("component"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +54,36 @@ def _scanned(versions: DataFrame, ledger: DataFrame | None, kinds: tuple[Kind, .
     return paths, new if ledger is None else ledger.select(*new.columns).unionByName(new)
 
 
+class Ledger:
+    """A stored ledger: a Parquet table in a folder that driver and executors share, partitioned by rule version."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+
+    def rows(self) -> DataFrame | None:
+        """blob, rule_version, spans; None while nothing has been stored. A row a blob and version, as an append that was
+        killed half-way may have left some behind."""
+        try:
+            held = self.spark.read.schema(f"blob binary, spans {NONE}, rule_version string").parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        return held.dropDuplicates(["blob", "rule_version"]).select("blob", "rule_version", "spans")
+
+    def append(self, new: DataFrame) -> None:
+        new.select("blob", "spans", "rule_version").write.mode("append").partitionBy("rule_version").parquet(self.path)
+
+
+def scan_stored(versions: DataFrame, ledger: Ledger, kinds: tuple[Kind, ...] = SECRETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """scan's findings; blobs that the stored ledger holds under these rules are not scanned, and the others are appended."""
+    known = ledger.rows()
+    paths, whole = _scanned(versions, known, kinds, id_col, text_col)
+    new = whole if known is None else whole.join(known.select("blob", "rule_version"), ["blob", "rule_version"], "left_anti")
+    ledger.append(new)
+    return joined_back(paths, stored(ledger.rows(), "ledger"), kinds)
+
+
 def joined_back(paths: DataFrame, ledger: DataFrame, kinds: tuple[Kind, ...] = SECRETS) -> DataFrame:
     """id, blob, spans of all paths (id, blob), from the ledger's rows of the current rules."""
     current = ledger.where((F.col("rule_version") == rule_version(kinds)) & (F.size("spans") > 0)).select("blob", "spans")

@@ -143,7 +143,8 @@ def _remembered(docs: DataFrame, cache: Cache, path: str, id_col: str, text_col:
 
 
 def _counted(rows: DataFrame, cache: Cache, path: str) -> DataFrame:
-    return rows.join(cache.counts(tokenizer_version(path)), "content").select("id", "n_bytes", "n_tokens")
+    counts = stored(cache.counts(tokenizer_version(path)), "counts")  # as a table, so that a content of many rows can be split
+    return rows.join(counts, "content").select("id", "n_bytes", "n_tokens")
 
 
 def count_deliveries(docs: DataFrame, cache: Cache, deliveries: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
