@@ -534,6 +534,21 @@ def test_network_beats_the_words_it_is_fed():
     assert bare < full  # its inputs' log-odds carry most; README says so
 
 
+def test_pipeline_keeps_columns_of_any_name(spark, rows, tmp_path):
+    """Columns named as the stages' own come through with their values; mixing may repeat or drop whole rows."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(i, 1, int(i % 2)) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    odd = ["_th", "_gone", "_gone_th", "_id", "_found", "_islands", "gone_id", "gone_th", "found_id", "found_th", "islands", "clean", "id", "th", "row", "copy", "shuffle_key", "_copy", "u", "cdf", "score", "text2"]
+    docs = table(spark, rows + [(300, "write to me at someone@mail.org please " + " ".join(f"w{k}" for k in range(40)))]).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in odd])
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/odd{k}")
+        docs = spark.read.parquet(f"{tmp_path}/odd{k}")
+        for r in docs.collect():
+            assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for c in odd), name
+
+
 def test_pipeline(spark, rows, tmp_path):
     import corpus_pipeline
 
