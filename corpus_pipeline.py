@@ -21,12 +21,17 @@ from ethogrid.llm.common import released, spread, stored
 from ethogrid.llm.spans import PERSONAL
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs, whatever their names), id and th (hash of the text)."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.select("row", F.col("row.doc_id").alias("id"), F.xxhash64(F.col("row.text")).alias("th"))
+
+
 def _keep(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """docs without the rows whose id and text hash are in rejected."""
-    rows = docs.withColumn("_th", F.xxhash64("text"))
-    gone = rejected.select(F.col("id").alias("_gone"), F.col("th").alias("_gone_th"))
-    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & F.col("_th").eqNullSafe(F.col("_gone_th"))
-    return rows.join(gone, same, "left_anti").select(*docs.columns)
+    gone = rejected.select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th"))
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & F.col("th").eqNullSafe(F.col("gone_th"))
+    return _rows(docs).join(gone, same, "left_anti").select("row.*")
 
 
 def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +45,14 @@ def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pii.sanitise(docs).select(F.col("id").alias("_id"), F.col("th").alias("_found"), F.col("islands").alias("_islands"))
-    rows = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_found")), "left")
-    text = pii.replaced(F.col("text"), F.col("_islands"), [k.name for k in PERSONAL])
-    return rows.withColumn("text", text).withColumn("n_chars", F.when(F.col("_islands").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    found = pii.sanitise(docs).select(F.col("id").alias("found_id"), F.col("th").alias("found_th"), "islands")
+    rows = _rows(docs).withColumn("th", F.xxhash64(F.coalesce("row.text", F.lit(""))))  # as sanitise counts a null text
+    rows = rows.join(found, F.col("id").eqNullSafe(F.col("found_id")) & (F.col("th") == F.col("found_th")), "left")
+    text = pii.replaced(F.col("row.text"), F.col("islands"), [k.name for k in PERSONAL])
+    rows = rows.select("row", "islands", text.alias("clean"))
+    chars = F.when(F.col("islands").isNull(), F.col("row.n_chars")).otherwise(F.length("clean").cast("long"))
+    new = {"text": F.col("clean"), "n_chars": chars}
+    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
