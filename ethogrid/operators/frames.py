@@ -120,6 +120,15 @@ def ordered_pairs(mice: DataFrame) -> DataFrame:
     return pairs.unionByName(alone.select("video_id", "agent", F.lit(None).cast("int").alias("target")))
 
 
+def paired(wide: DataFrame, columns: list[str]) -> DataFrame:
+    """video_id, a, b, video_frame, and each column of both (a_*, b_*; null where one lacks the frame): a row for each pair of a
+    video's mice (a < b) and each frame that either has."""
+    mice = wide.select(*MOUSE).distinct()
+    pairs = mice.withColumnRenamed("mouse_id", "a").join(mice.withColumnRenamed("mouse_id", "b"), "video_id").where("a < b")  # of one video
+    d = wide.select(*MOUSE, "video_frame", *columns).join(pairs, "video_id").where("mouse_id = a OR mouse_id = b")
+    return d.groupBy("video_id", "a", "b", "video_frame").agg(*[F.max(F.when(F.col("mouse_id") == F.col(s), F.col(c))).alias(f"{s}_{c}") for s in "ab" for c in columns])
+
+
 def aligned(wide: DataFrame) -> DataFrame:
     """Frames that both mice of an ordered pair have: a_* and b_* columns."""
     keep = [c for c in wide.columns if c not in (*MOUSE, "video_frame")]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import signal as S
-from .frames import MOUSE, by_mouse
+from .frames import MOUSE, by_mouse, paired
 
 GROUPS = {"head": ("nose", "ear_left", "ear_right"), "torso": ("neck",), "pelvis": ("hip_left", "hip_right", "tail_base")}
 
@@ -162,21 +162,21 @@ def symmetric_swaps(wide: DataFrame, back: int = 3, pairs: tuple[str, ...] = ("e
 
 
 def identity_check(wide: DataFrame, near: float, around: int = 12, ratio: float = 1.15, most: int = 60) -> DataFrame:
-    """Spells in which two mice are nearer than `near` (huddles) of at most `most` frames, after which the crossed
+    """Spells in which two mice of a video (each pair, a < b) are nearer than `near` (huddles) of at most `most` frames, after which the crossed
     assignment fits better: with median places in the `around` frames before and after, staying costs more than `ratio`
-    times crossing. One row per huddle: video_id, first, last, stay, cross, inverted."""
-    w = Window.partitionBy("video_id").orderBy("video_frame")
+    times crossing. One row per huddle: video_id, a, b, first, last, stay, cross, inverted."""
+    pair = ["video_id", "a", "b"]
+    w = Window.partitionBy(*pair).orderBy("video_frame")
     mid = lambda a: G.mean_of("neck_" + a, "tail_base_" + a)
-    d = wide.select("video_id", "video_frame", "mouse_id", mid("x").alias("x"), mid("y").alias("y")).where("mouse_id IN (1, 2)")
-    d = d.groupBy("video_id", "video_frame").pivot("mouse_id", [1, 2]).agg(F.first("x").alias("x"), F.first("y").alias("y"))
-    d = d.toDF("video_id", "video_frame", "x1", "y1", "x2", "y2")
+    d = paired(wide.select("video_id", "video_frame", "mouse_id", mid("x").alias("x"), mid("y").alias("y")), ["x", "y"])
+    d = d.toDF(*pair, "video_frame", "x1", "y1", "x2", "y2")
     med = lambda c, a, b: S.array_median(F.collect_list(c).over(w.rowsBetween(a, b)))
     d = d.withColumns({f"b{c}": med(c, -around, -1) for c in ("x1", "y1", "x2", "y2")} | {f"a{c}": med(c, 1, around) for c in ("x1", "y1", "x2", "y2")})
     d = d.withColumn("huddle", F.coalesce(G.distance("x1", "y1", "x2", "y2") < near, F.lit(False)))
     d = d.withColumn("run", S.run_id(F.col("huddle") != F.lag("huddle").over(w), w)).where("huddle")
     first, last = F.min_by, F.max_by
-    g = d.groupBy("video_id", "run").agg(F.min("video_frame").alias("first"), F.max("video_frame").alias("last"), F.count("*").alias("n"), *[first(f"b{c}", "video_frame").alias(f"b{c}") for c in ("x1", "y1", "x2", "y2")], *[last(f"a{c}", "video_frame").alias(f"a{c}") for c in ("x1", "y1", "x2", "y2")])
+    g = d.groupBy(*pair, "run").agg(F.min("video_frame").alias("first"), F.max("video_frame").alias("last"), F.count("*").alias("n"), *[first(f"b{c}", "video_frame").alias(f"b{c}") for c in ("x1", "y1", "x2", "y2")], *[last(f"a{c}", "video_frame").alias(f"a{c}") for c in ("x1", "y1", "x2", "y2")])
     cost = lambda p, q: G.distance(f"bx{p}", f"by{p}", f"ax{q}", f"ay{q}")
     g = g.where(F.col("n") <= most).withColumns({"stay": cost(1, 1) + cost(2, 2), "cross": cost(1, 2) + cost(2, 1)})
-    return g.select("video_id", "first", "last", "stay", "cross", F.coalesce(F.col("stay") > ratio * F.col("cross"), F.lit(False)).alias("inverted"))
+    return g.select(*pair, "first", "last", "stay", "cross", F.coalesce(F.col("stay") > ratio * F.col("cross"), F.lit(False)).alias("inverted"))
 

@@ -78,7 +78,8 @@ def every_outlier(wide: DataFrame, refs: dict[str, float], ends: dict[str, tuple
     for point, edge in ends.items():
         o = outliers(wide, point, edge, refs, k, threshold).withColumn("keypoint", F.lit(point))
         out = o if out is None else out.unionByName(o)
-    d = out.join(flips, ["video_id", "mouse_id", "video_frame"])
+    # as a table: the union's branches are partitioned alike, which a join above it would take for one partitioning
+    d = written(out, "outliers").join(flips, ["video_id", "mouse_id", "video_frame"])
     return d.withColumn("severity", F.col("severity") + F.col("flip").cast("int"))
 
 

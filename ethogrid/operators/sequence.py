@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..session import written
+from .frames import paired
+from .identity import exchanged
 
 # ---- Viterbi ---------------------------------------------------------------------------------------------------------
 
@@ -64,16 +66,17 @@ def viterbi(windows: DataFrame, trans: DataFrame, classes: int, weight: float =
 
 
 def swap_flags(wide: DataFrame, keypoint: str = "neck", alpha: float = 0.4, vote: int = 7) -> DataFrame:
-    """video_id, video_frame, swapped: whether the two mice of a video seem to carry each other's identity.
+    """video_id, a, b, video_frame, swapped: whether two mice of a video (each pair, a < b) seem to carry each other's
+    identity, by one keypoint's places alone (identity.pair_scores has more cues).
 
-    Each mouse's place is predicted by an exponential mean of its steps (recursive, so per video in one task); a frame
-    that fits the crossed assignment better flips the state; a centred vote of `vote` frames smooths it."""
-    x, y = f"{keypoint}_x", f"{keypoint}_y"
-    d = wide.where(F.col("mouse_id").isin(1, 2)).groupBy("video_id", "video_frame").pivot("mouse_id", [1, 2]).agg(F.first(x).alias("x"), F.first(y).alias("y"))
+    Each mouse's place is predicted by an exponential mean of its steps (recursive, so per video and pair in one task); a
+    frame that fits the crossed assignment better flips the state; a centred vote of `vote` frames smooths it."""
+    places = [f"{s}_{keypoint}_{x}" for s in "ab" for x in "xy"]
+    d = paired(wide, [f"{keypoint}_x", f"{keypoint}_y"])
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("video_frame")
-        at = pdf[["1_x", "1_y", "2_x", "2_y"]].to_numpy(float).reshape(-1, 2, 2)
+        at = pdf[places].to_numpy(float).reshape(-1, 2, 2)
         last, speed, state, out = None, np.zeros((2, 2)), False, []
         for now in at:
             if not np.isfinite(now).all():
@@ -95,16 +98,15 @@ def swap_flags(wide: DataFrame, keypoint: str = "neck", alpha: float = 0.4, vote
         total = np.cumsum(np.r_[0, flags])
         n = len(flags)
         lo, hi = np.maximum(np.arange(n) - h, 0), np.minimum(np.arange(n) + h + 1, n)
-        return pd.DataFrame({"video_id": pdf["video_id"], "video_frame": pdf["video_frame"], "swapped": (total[hi] - total[lo]) * 2 > hi - lo})
+        return pdf[["video_id", "a", "b", "video_frame"]].assign(swapped=(total[hi] - total[lo]) * 2 > hi - lo)
 
-    return d.groupBy("video_id").applyInPandas(of, "video_id long, video_frame long, swapped boolean")
+    mouse = wide.schema["mouse_id"].dataType.simpleString()
+    return d.groupBy("video_id", "a", "b").applyInPandas(of, f"video_id long, a {mouse}, b {mouse}, video_frame long, swapped boolean")
 
 
 def unswapped(wide: DataFrame, flags: DataFrame) -> DataFrame:
-    """wide with mouse_id exchanged on flagged frames."""
-    f = flags.where("swapped").select("video_id", "video_frame", "swapped")
-    j = wide.join(f, ["video_id", "video_frame"], "left")
-    return j.withColumn("mouse_id", F.when(F.col("swapped") & F.col("mouse_id").isin(1, 2), 3 - F.col("mouse_id")).otherwise(F.col("mouse_id"))).select(*wide.columns)
+    """wide with the mice of a pair exchanged on its flagged frames; several pairs of a frame in their order."""
+    return exchanged(wide, flags.where("swapped").select("video_id", "video_frame", "a", "b", F.struct("a", "b").alias("order")))
 
 
 # ---- spectra ---------------------------------------------------------------------------------------------------------

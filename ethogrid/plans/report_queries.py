@@ -103,14 +103,16 @@ def fn_curvature(spark, d):
 
 
 def fn_identity_runs(spark, d):
-    """Runs of two frames or more in which the crossed assignment of the two mice is nearer to their last places."""
-    x = pose(spark, d).select("video_id", "mouse_id", "video_frame", "neck_x", "neck_y").groupBy("video_id", "video_frame").pivot("mouse_id", [1, 2]).agg(F.first("neck_x").alias("x"), F.first("neck_y").alias("y"))
+    """Runs of two frames or more in which the crossed assignment of two mice is nearer to their last places, of all pairs
+    of a video's mice."""
+    pair = ["video_id", "a", "b"]
+    x = P.paired(pose(spark, d), ["neck_x", "neck_y"]).toDF(*pair, "video_frame", "1_x", "1_y", "2_x", "2_y")
     x = x.where("`1_x` IS NOT NULL AND `2_x` IS NOT NULL")
-    w = Window.partitionBy("video_id").orderBy("video_frame")
+    w = Window.partitionBy(*pair).orderBy("video_frame")
     far = lambda a, b: G.distance(f"{a}_x", f"{a}_y", F.lag(f"{b}_x").over(w), F.lag(f"{b}_y").over(w))
     x = x.withColumn("crossed", F.coalesce(far(1, 1) + far(2, 2) > far(1, 2) + far(2, 1), F.lit(False)))
     x = x.withColumn("run", Sg.run_id(F.col("crossed") != F.lag("crossed").over(w), w))
-    runs = x.where("crossed").groupBy("video_id", "run").agg(F.count("*").alias("n")).where("n >= 2")
+    runs = x.where("crossed").groupBy(*pair, "run").agg(F.count("*").alias("n")).where("n >= 2")
     return runs.groupBy("video_id").agg(F.count("*").alias("runs"), F.max("n").alias("longest"))
 
 
