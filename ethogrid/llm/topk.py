@@ -2,9 +2,10 @@
 
 Vectors become integers floor(scale * x). Candidates and queries are dealt in blocks; each pair of blocks is one unit of
 work. A block holds one list per dimension, sorted by value. A query reads the lists in step, from the end that suits
-the sign of its component, and keeps for each candidate the sum of what it has seen: the lower bound adds the least value
-of each list not yet seen there, the upper bound the value at which that list stands. Candidates whose upper bound is
-below the k-th lower bound are outsiders. When few are left, or the lists are read, their final scores are resolved.
+the sign of its component, slice after slice, and keeps running bounds and the lists seen of each candidate: the lower
+bound adds the least value of each list not yet seen there, the upper bound the value at which that list stands.
+Candidates whose upper bound is below the k-th lower bound are outsiders and are dropped. When few are left, or the lists
+are read, their final scores are resolved.
 Spark merges the blocks. Where sums could pass 64 bits, products in doubles and their error bound leave few, whose scores
 are Python integers. A candidate is sent once per block of queries, which holds 16,384 of them.
 
@@ -26,42 +27,52 @@ from pyspark.sql import functions as F
 
 from .common import spread
 
-QUERIES = 64
-#: Shares of the lists read before each look at the bounds; a query stops once RESOLVED * k candidates are left.
-LOOKS, RESOLVED = (1 / 32, 1 / 8, 3 / 8, 5 / 8, 7 / 8, 1), 4
-
-
-def no_random_access(vectors: np.ndarray, lists: np.ndarray, queries: np.ndarray, k: int, own: np.ndarray):
-    """For each query, indexes of candidates among which its k best (and all ties of the k-th) are.
-
-    lists: per dimension, the candidates by rising value. A query reads a list from its top where its component is
-    positive, else from its bottom, all lists in step. The bounds are looked at after growing depths, for all queries at
-    once: what they have read is a mask that depends on the sign alone, so sums and bounds are products of matrices.
-    own: (queries, candidates) to leave out."""
-    m, d = vectors.shape
-    if m <= k or not d:
-        return [np.flatnonzero(~o) for o in own]
-    x, plus, minus = vectors.astype(float), np.maximum(queries, 0).astype(float), np.minimum(queries, 0).astype(float)
-    slack = (d + 4) * d * 2.0**-52 * float(abs(x).max()) * abs(queries.astype(float)).max(axis=1, keepdims=True)  # of sums in doubles
-    rank = np.empty_like(lists)
-    np.put_along_axis(rank, lists, np.arange(m)[:, None], axis=0)
-    ordered = np.take_along_axis(vectors, lists, axis=0).astype(float)
-    alive, wait = ~own, np.arange(len(queries))
-    for depth in sorted({max(1, int(m * share)) for share in LOOKS}):
-        top, bottom = rank >= m - depth, rank < depth
-        p, n = plus[wait], minus[wait]
-        seen = p @ (x * top).T + n @ (x * bottom).T
-        if depth < m:
-            low = seen + (p * ordered[0]) @ (~top).T + (n * ordered[-1]) @ (~bottom).T
-            high = seen + (p * ordered[m - depth]) @ (~top).T + (n * ordered[depth - 1]) @ (~bottom).T
-        else:
-            low = high = seen
-        low = np.where(alive[wait], low, -np.inf)
-        alive[wait] &= high + slack[wait] >= np.partition(low, m - k, axis=1)[:, m - k, None] - slack[wait]
-        wait = wait[alive[wait].sum(axis=1) > RESOLVED * k]
-        if not len(wait):
+#: Share of the lists read before the first look at the bounds (then twice as much before each next one); a query stops
+#: once RESOLVED * k candidates are left.
+FIRST, RESOLVED = 1 / 64, 4
+
+
+def no_random_access(lists: np.ndarray, ordered: np.ndarray, query: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, int]:
+    """Indexes of candidates among which the query's k best (and all ties of the k-th) are, and the list entries read.
+
+    lists, ordered: per dimension, the candidates by rising value, and those values. A list is read from its top where the
+    query's component is positive, from its bottom where it is negative, and not at all where it is 0. An entry is read
+    once: it raises its candidate's lower bound from the list's least product to its own, and marks the list as seen there.
+    The upper bound takes the product at which a list stands for each list not yet seen. Candidates whose upper bound is
+    below the k-th lower bound are dropped, and entries of theirs are passed over. own: candidates to leave out."""
+    m = len(lists)
+    alive = np.flatnonzero(~own)
+    dims = np.flatnonzero(query)
+    if len(alive) <= RESOLVED * k or not len(dims):
+        return alive, 0
+    q, up = query[dims].astype(float), query[dims] > 0
+    who, value = lists[:, dims], ordered[:, dims]
+    who, value = np.where(up, who[::-1], who), np.where(up, value[::-1], value)  # each from its best entry on
+    product = value * q
+    least = product[-1]
+    slack = (len(dims) + 4) * len(dims) * 2.0**-52 * abs(product[[0, -1]]).max()  # of sums in doubles
+    place = np.full(m, -1)
+    place[alive] = np.arange(len(alive))
+    low, unseen = np.full(len(alive), least.sum()), np.ones((len(alive), len(dims)))
+    column = np.arange(len(dims))
+    depth, read = 0, 0
+    while depth < m:
+        until = min(m, max(2 * depth, int(m * FIRST), k))
+        at = place[who[depth:until]]
+        read += at.size
+        row, col = np.nonzero(at >= 0)
+        at = at[row, col]
+        low += np.bincount(at, product[depth + row, col] - least[col], len(low))
+        unseen[at, column[col]] = 0
+        depth = until
+        high = low + (unseen @ (product[depth] - least) if depth < m else 0)
+        keep = high + slack >= np.partition(low, len(low) - k)[len(low) - k] - slack
+        alive, low, unseen = alive[keep], low[keep], unseen[keep]
+        if len(alive) <= RESOLVED * k:
             break
-    return [np.flatnonzero(a) for a in alive]
+        place[:] = -1
+        place[alive] = np.arange(len(alive))
+    return alive, read
 
 
 def exact(vectors: np.ndarray, doubles: np.ndarray, query: list[int], k: int, own: np.ndarray):
@@ -116,12 +127,12 @@ def _search(k: int, scale: int):
         asked, qids, huge, hids = taken(True)
         found: dict[int, list] = {}  # by query: its row, and (-score, candidate)
         lists = np.argsort(cand, axis=0, kind="stable")
-        for at in range(0, len(asked) if len(cand) else 0, QUERIES):
-            q, qid = asked[at : at + QUERIES], qids[at : at + QUERIES]
-            for n, (one, i, left) in enumerate(zip(q, qid, no_random_access(cand, lists, q, k, cid[None, :] == qid[:, None]))):
-                score = cand[left] @ one
-                best = np.lexsort((cid[left], -score))[:k]
-                found[at + n] = list(zip((-score[best]).tolist(), cid[left][best].tolist()))
+        ordered = np.take_along_axis(cand, lists, axis=0).astype(float) if len(cand) else cand
+        for n, (one, i) in enumerate(zip(asked, qids) if len(cand) else ()):
+            left, _ = no_random_access(lists, ordered, one, k, cid == i)
+            score = cand[left] @ one
+            best = np.lexsort((cid[left], -score))[:k]
+            found[n] = list(zip((-score[best]).tolist(), cid[left][best].tolist()))
         most = max(_bits(asked.max(axis=0, keepdims=True)) if len(asked) else 0, _bits(-asked.min(axis=0, keepdims=True)) if len(asked) else 0, _bits(huge)) if len(big) or len(huge) else 0
         for vectors, names, queries, first in ((big, bid, asked, 0), (big, bid, huge, len(asked)), (cand, cid, huge, len(asked))):
             if len(vectors) and len(queries):

@@ -307,6 +307,37 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shape", ["noise", "clusters", "skewed", "ties"])
+def test_sorted_lists_are_read_as_far_as_needed(shape):
+    """All of the k best are left, whatever the vectors; where few dimensions or places decide, most entries stay unread."""
+    rng = np.random.default_rng(11)
+    m, d, k = 3000, 24, 10
+    x = rng.normal(size=(m, d)) * 100
+    if shape == "clusters":
+        x = rng.normal(size=(40, d))[rng.integers(0, 40, m)] * 300 + rng.normal(size=(m, d))
+    elif shape == "skewed":
+        x *= 4.0 ** -np.arange(d)[None, :] * 1000
+    elif shape == "ties":
+        x = rng.integers(-1, 2, (m, d)).astype(float)
+    v = np.floor(x).astype(np.int64)
+    lists = np.argsort(v, axis=0, kind="stable")
+    ordered = np.take_along_axis(v, lists, axis=0).astype(float)
+    reads = []
+    for i in range(0, m, 300):
+        q = v[i].copy()
+        q[i % d] = 0
+        own = np.arange(m) == i
+        left, read = topk.no_random_access(lists, ordered, q, k, own)
+        score = np.where(own, -(2**62), v @ q)
+        assert set(np.flatnonzero(score >= np.sort(score)[-k])) <= set(left.tolist()) and i not in left
+        reads.append(read)
+    assert max(reads) <= m * d
+    if shape == "skewed":
+        assert np.mean(reads) < 0.5 * m * d
+    elif shape == "clusters":
+        assert np.mean(reads) < 0.85 * m * d
+
+
 @pytest.mark.parametrize("large", [3e5, 5e7, 1e20, 1e200, 1.7e308])
 def test_top_k_keeps_all_finite_vectors(spark, large):
     """Large components among candidates and queries, near ties too; every score by Python integers."""
