@@ -81,15 +81,21 @@ def duration_stats(ann: DataFrame, *keys: str) -> DataFrame:
 
 def robustify(sub: DataFrame) -> DataFrame:
     """Non-empty intervals of each video, agent and target, greedily kept in order if they start at or after the last
-    kept stop: a fold over each key's sorted intervals."""
+    kept stop: a fold over sorted intervals. It starts afresh wherever an interval starts at or after all stops before it,
+    so each such island is folded for itself, and arrays stay as short as overlaps are."""
     item = "array<struct<start_frame:bigint,stop_frame:bigint,action:string>>"
     one = F.struct(F.col("start_frame").cast("long").alias("start_frame"), F.col("stop_frame").cast("long").alias("stop_frame"), "action")
-    g = sub.where("start_frame < stop_frame").groupBy(*KEY).agg(F.array_sort(F.collect_list(one)).alias("rows"))
+    w = Window.partitionBy(*KEY).orderBy("start_frame", "stop_frame", "action")
+    reach = F.max("stop_frame").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = sub.where("start_frame < stop_frame").withColumn("_new", F.coalesce(F.col("start_frame") >= reach, F.lit(True)).cast("int"))
+    d = d.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    g = d.groupBy(*KEY, "_island").agg(F.array_sort(F.collect_list(one)).alias("rows"))
 
     def step(acc, x):
         fits = x["start_frame"] >= acc["last"]
         return F.struct(F.when(fits, x["stop_frame"]).otherwise(acc["last"]).alias("last"), F.when(fits, F.array_append(acc["kept"], x)).otherwise(acc["kept"]).alias("kept"))
 
+    # -1: intervals that start below 0 are not kept, as before the first stop
     kept = F.aggregate("rows", F.struct(F.lit(-1).cast("long").alias("last"), F.array().cast(item).alias("kept")), step, lambda a: a["kept"])
     return g.select(*KEY, F.inline(kept))
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import frames as P
+from ..operators import search as Se
 from ..operators import studies as St
+from ..session import written
 from ..sources.adapters import POSE_SQL, pose
 from .frame_queries import W, r4, rs
 
@@ -63,6 +65,17 @@ def sd_agreement(spark, d):
     return r4(St.agreement(p.withColumn("later", F.lag("nose_x", 3).over(P.by_mouse())), "nose_x", "later", 30.0))
 
 
+def sd_search(spark, d):
+    """Thresholds of two cues that flag a third of all frames by each, found by search over counts of the frames."""
+    c = written(_cues(spark, d).groupBy(F.round("step", 1).alias("step"), F.round("length", 2).alias("length")).agg(F.count("*").alias("n")), "cues")
+
+    def objective(p):
+        part = lambda x, t: F.abs(F.sum(F.when(F.col(x) > t, F.col("n")).otherwise(0)) / F.sum("n") - 1 / 3)
+        return -(c.agg((part("step", p["step"]) + part("length", p["length"])).alias("x")).first()["x"] or 0.0)
+
+    return r4(Se.searched(spark, {"step": (0.0, 60.0), "length": (0.01, 10.0, "log")}, objective, trials=20, first=6).select("trial", "score", "best"), 6)
+
+
 QUERIES = {k: v for k, v in globals().items() if k[:3] == "sd_"}
 
 # ---- SQL ----

@@ -6,6 +6,7 @@ from itertools import combinations, product
 import numpy as np
 import pytest
 
+from ethogrid.operators import search as Se
 from ethogrid.operators import studies as St
 
 
@@ -78,3 +79,24 @@ def test_lag_and_coherence(spark):
     rows = [(1, 1, t, float(x[t]), float(x[t - 3]) if t >= 3 else None) for t in range(100)]
     r = St.agreement(spark.createDataFrame(rows, "video_id int, mouse_id int, video_frame int, a double, b double"), "a", "b", 30.0).first()
     assert r.lag == 3
+
+
+def test_search_beats_even_draws_and_repeats_itself(spark):
+    space = {"a": (0.0, 1.0), "b": (0.001, 1000.0, "log"), "c": ["x", "y", "z"]}
+
+    def planted(p):
+        return -((p["a"] - 0.7) ** 2) * 4 - (np.log10(p["b"]) - 1) ** 2 / 4 - 0.5 * (p["c"] != "y")
+
+    def best(trials, first, seed):
+        history = []
+        for t in range(trials):
+            p = Se.proposed(history, space, t, seed, first)
+            assert 0 <= p["a"] <= 1 and 0.001 <= p["b"] <= 1000.0001 and p["c"] in "xyz"
+            history.append((p, planted(p)))
+        return max(h[1] for h in history)
+
+    found, even = ([best(40, first, seed) for seed in range(12)] for first in (8, 40))
+    assert np.mean(found) > np.mean(even) and sum(f > e for f, e in zip(found, even)) >= 8
+    one, two = (Se.searched(spark, space, planted, trials=12, seed=3).collect() for _ in range(2))
+    assert one == two and one[-1].best == max(r.score for r in one) and len(one) == 12
+    assert Se.searched(spark, space, lambda p: float("nan"), trials=3).count() == 3
