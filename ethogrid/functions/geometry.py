@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .signal import _c
 
+#: The edges of the skeleton.
 EDGES = [("nose", "neck"), ("neck", "ear_left"), ("neck", "ear_right"), ("neck", "hip_left"), ("neck", "hip_right"), ("hip_left", "tail_base"), ("hip_right", "tail_base")]
 #: Default edge lengths, in body lengths, in the order of EDGES.
 DEFAULT_LENGTHS = [0.22, 0.14, 0.14, 0.55, 0.55, 0.30, 0.30]
