@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 LLM = {k for k in entry.queries() if k == "pipeline" or k.startswith("op") and k[2].isdigit()}  # tested in tests/llm
 OWN = sorted(set(entry.oracle_sql()) - LLM)
-OWN_TESTS = {"sq_corrected", "ml_learning_cycle", "ml_boosted", "sq_tuned_thresholds", "co_ablated", "tn_thresholds", "tn_viterbi_arms"}  # slow, their operators have tests
+OWN_TESTS = {"sq_corrected", "ml_learning_cycle", "ml_boosted", "sq_tuned_thresholds", "co_ablated", "co_repaired", "tn_thresholds", "tn_viterbi_arms"}  # slow, their operators have tests
 OTHERS = sorted(set(entry.queries()) - set(entry.oracle_sql()) - LLM - OWN_TESTS)
 
 
