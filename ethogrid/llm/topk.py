@@ -30,49 +30,59 @@ from .common import spread
 #: Share of the lists read before the first look at the bounds (then twice as much before each next one); a query stops
 #: once RESOLVED * k candidates are left.
 FIRST, RESOLVED = 1 / 64, 4
-
-
-def no_random_access(lists: np.ndarray, ordered: np.ndarray, query: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, int]:
-    """Indexes of candidates among which the query's k best (and all ties of the k-th) are, and the list entries read.
-
-    lists, ordered: per dimension, the candidates by rising value, and those values. A list is read from its top where the
-    query's component is positive, from its bottom where it is negative, and not at all where it is 0. An entry is read
-    once: it raises its candidate's lower bound from the list's least product to its own, and marks the list as seen there.
-    The upper bound takes the product at which a list stands for each list not yet seen. Candidates whose upper bound is
-    below the k-th lower bound are dropped, and entries of theirs are passed over. own: candidates to leave out."""
-    m = len(lists)
-    alive = np.flatnonzero(~own)
-    dims = np.flatnonzero(query)
-    if len(alive) <= RESOLVED * k or not len(dims):
-        return alive, 0
-    q, up = query[dims].astype(float), query[dims] > 0
-    who, value = lists[:, dims], ordered[:, dims]
-    who, value = np.where(up, who[::-1], who), np.where(up, value[::-1], value)  # each from its best entry on
-    product = value * q
-    least = product[-1]
-    slack = (len(dims) + 4) * len(dims) * 2.0**-52 * abs(product[[0, -1]]).max()  # of sums in doubles
-    place = np.full(m, -1)
-    place[alive] = np.arange(len(alive))
-    low, unseen = np.full(len(alive), least.sum()), np.ones((len(alive), len(dims)))
-    column = np.arange(len(dims))
-    depth, read = 0, 0
-    while depth < m:
+QUERIES = 64  # that read together
+
+
+def no_random_access(lists: np.ndarray, ordered: np.ndarray, queries: np.ndarray, k: int, own: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each query: indexes of candidates among which its k best (and all ties of the k-th) are, and the list entries read.
+
+    lists, ordered: per dimension, the candidates by rising value, and those values. A query reads a list from its top
+    where its component is positive, from its bottom where it is negative, and not at all where it is 0; queries of a batch
+    read in step, so an entry is fetched once for all of them. It raises its candidate's lower bound from the list's least
+    product to its own, and marks the list as seen there. The upper bound takes the product at which a list stands for each
+    list not yet seen. Candidates whose upper bound is below the k-th lower bound are dead; those dead for all queries that
+    still read leave the arrays. own: (queries, candidates) to leave out."""
+    m, d = lists.shape
+    found: list = [np.flatnonzero(~o) for o in own]
+    read = np.zeros(len(queries), np.int64)
+    if m <= RESOLVED * k or not d:
+        return found, read
+    plus, minus = np.maximum(queries, 0).T.astype(float), np.minimum(queries, 0).T.astype(float)
+    bottom, top = ordered[0][:, None], ordered[-1][:, None]
+    slack = (d + 4) * d * 2.0**-52 * abs(ordered[[0, -1]]).max() * abs(queries.astype(float)).max(axis=1)  # of sums in doubles
+    lowest = (plus * bottom + minus * top).sum(axis=0)
+    cols, rows, place = np.arange(len(queries)), np.arange(m), np.arange(m)
+    low, alive = np.tile(lowest, (m, 1)), ~own.T
+    unseen = np.ones((2, m, d))
+    depth = 0
+    while depth < m and len(cols):
         until = min(m, max(2 * depth, int(m * FIRST), k))
-        at = place[who[depth:until]]
-        read += at.size
-        row, col = np.nonzero(at >= 0)
-        at = at[row, col]
-        low += np.bincount(at, product[depth + row, col] - least[col], len(low))
-        unseen[at, column[col]] = 0
+        read[cols] += (until - depth) * np.count_nonzero(queries[cols], axis=1)
+        for way, at, least, weight in ((0, slice(m - until, m - depth), bottom, plus), (1, slice(depth, until), top, minus)):
+            c, col = place[lists[at]], np.broadcast_to(np.arange(d), lists[at].shape)
+            ok = c >= 0
+            c, col = c[ok], col[ok]
+            fresh = np.zeros((len(low), d))  # what these entries add to their candidates, dimension by dimension
+            fresh[c, col] = (ordered[at] - least.T)[ok]
+            unseen[way, c, col] = 0
+            touched = np.flatnonzero(np.bincount(c, minlength=len(low)))
+            low[touched] += fresh[touched] @ weight
         depth = until
-        high = low + (unseen @ (product[depth] - least) if depth < m else 0)
-        keep = high + slack >= np.partition(low, len(low) - k)[len(low) - k] - slack
-        alive, low, unseen = alive[keep], low[keep], unseen[keep]
-        if len(alive) <= RESOLVED * k:
-            break
-        place[:] = -1
-        place[alive] = np.arange(len(alive))
-    return alive, read
+        high = low
+        if depth < m:
+            high = low + unseen[0] @ ((ordered[m - 1 - depth][:, None] - bottom) * plus) + unseen[1] @ ((ordered[depth][:, None] - top) * minus)
+        kth = np.partition(np.where(alive, low, -np.inf).T.copy(), len(low) - k, axis=1)[:, len(low) - k]
+        alive &= high + slack[cols] >= kth - slack[cols]
+        done = (alive.sum(axis=0) <= RESOLVED * k) | (depth == m)
+        for j in np.flatnonzero(done):
+            found[cols[j]] = rows[alive[:, j]]
+        cols, plus, minus, low, alive = cols[~done], plus[:, ~done], minus[:, ~done], low[:, ~done], alive[:, ~done]
+        keep = alive.any(axis=1)
+        if keep.sum() < 0.9 * len(keep):
+            rows, low, alive, unseen = rows[keep], low[keep], alive[keep], unseen[:, keep]
+            place = np.full(m, -1)
+            place[rows] = np.arange(len(rows))
+    return found, read
 
 
 def exact(vectors: np.ndarray, doubles: np.ndarray, query: list[int], k: int, own: np.ndarray):
@@ -128,11 +138,13 @@ def _search(k: int, scale: int):
         found: dict[int, list] = {}  # by query: its row, and (-score, candidate)
         lists = np.argsort(cand, axis=0, kind="stable")
         ordered = np.take_along_axis(cand, lists, axis=0).astype(float) if len(cand) else cand
-        for n, (one, i) in enumerate(zip(asked, qids) if len(cand) else ()):
-            left, _ = no_random_access(lists, ordered, one, k, cid == i)
-            score = cand[left] @ one
-            best = np.lexsort((cid[left], -score))[:k]
-            found[n] = list(zip((-score[best]).tolist(), cid[left][best].tolist()))
+        for start in range(0, len(asked) if len(cand) else 0, QUERIES):
+            q, qid = asked[start : start + QUERIES], qids[start : start + QUERIES]
+            some, _ = no_random_access(lists, ordered, q, k, cid[None, :] == qid[:, None])
+            for n, (one, left) in enumerate(zip(q, some)):
+                score = cand[left] @ one
+                best = np.lexsort((cid[left], -score))[:k]
+                found[start + n] = list(zip((-score[best]).tolist(), cid[left][best].tolist()))
         most = max(_bits(asked.max(axis=0, keepdims=True)) if len(asked) else 0, _bits(-asked.min(axis=0, keepdims=True)) if len(asked) else 0, _bits(huge)) if len(big) or len(huge) else 0
         for vectors, names, queries, first in ((big, bid, asked, 0), (big, bid, huge, len(asked)), (cand, cid, huge, len(asked))):
             if len(vectors) and len(queries):

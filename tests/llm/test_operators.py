@@ -322,15 +322,16 @@ def test_sorted_lists_are_read_as_far_as_needed(shape):
     v = np.floor(x).astype(np.int64)
     lists = np.argsort(v, axis=0, kind="stable")
     ordered = np.take_along_axis(v, lists, axis=0).astype(float)
-    reads = []
-    for i in range(0, m, 300):
-        q = v[i].copy()
-        q[i % d] = 0
-        own = np.arange(m) == i
-        left, read = topk.no_random_access(lists, ordered, q, k, own)
-        score = np.where(own, -(2**62), v @ q)
-        assert set(np.flatnonzero(score >= np.sort(score)[-k])) <= set(left.tolist()) and i not in left
-        reads.append(read)
+    who = np.arange(0, m, 300)
+    q = v[who].copy()
+    q[np.arange(len(who)), who % d] = 0
+    own = np.arange(m)[None, :] == who[:, None]
+    found, reads = topk.no_random_access(lists, ordered, q, k, own)
+    for one, mine, left in zip(q, own, found):
+        score = np.where(mine, -(2**62), v @ one)
+        assert set(np.flatnonzero(score >= np.sort(score)[-k])) <= set(left.tolist()) and not mine[left].any()
+    alone = [topk.no_random_access(lists, ordered, q[i : i + 1], k, own[i : i + 1]) for i in range(len(q))]
+    assert [x[1][0] for x in alone] == reads.tolist() and all((x[0][0] == f).all() for x, f in zip(alone, found))
     assert max(reads) <= m * d
     if shape == "skewed":
         assert np.mean(reads) < 0.5 * m * d
