@@ -151,9 +151,9 @@ def relations(wide: DataFrame, keypoints: list[str] = KEYPOINTS) -> DataFrame:
         head[f"_head_{s}"] = G.heading(f"{s}_tail_base_x", f"{s}_tail_base_y", f"{s}_nose_x", f"{s}_nose_y")
         vx, vy = (S.half_difference(f"{s}_centroid_{x}", w) for x in "xy")
         head[f"speed_{s}"] = F.sqrt(vx * vx + vy * vy)
-    points = lambda s: F.array(*[F.struct(F.col(f"{s}_{k}_x").alias("x"), F.col(f"{s}_{k}_y").alias("y")) for k in keypoints])
-    gaps = F.flatten(F.transform(points("a"), lambda p: F.transform(points("b"), lambda q: F.sqrt((p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"])))))
-    head["_gaps"] = F.array_sort(F.array_compact(gaps))
+    # written out and sorted without a comparator, so that all of it is compiled
+    apart = [G.distance(f"a_{p}_x", f"a_{p}_y", f"b_{q}_x", f"b_{q}_y") for p in keypoints for q in keypoints]
+    head["_gaps"] = F.sort_array(F.array_compact(F.array(*apart)))
     d = d.withColumns(head)
     facing = F.col("_ang_a") - G.heading("a_centroid_x", "a_centroid_y", "b_centroid_x", "b_centroid_y")
     fwd, lat = G.to_frame(F.col("_head_a"), F.col("b_centroid_x") - F.col("a_centroid_x"), F.col("b_centroid_y") - F.col("a_centroid_y"))
