@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -50,10 +51,12 @@ def hybrid_batch(pool: DataFrame, labelled: DataFrame, n: int, vector: str, shar
     return top.unionByName(rest)
 
 
-def gradient_batch(pool: DataFrame, labelled: DataFrame, n: int, vector: str, seed: int = 0, identity: str = "window_id") -> DataFrame:
+def gradient_batch(pool: DataFrame, labelled: DataFrame, n: int, vector: str, seed: int = 0, identity: str = "window_id", near: int = 256) -> DataFrame:
     """n rows by k-means++ on loss gradients: a row's gradient towards its predicted class is (p - one-hot) times its
     vector, so a squared distance needs both factors alone. A draw weighted by the squared distance is the largest
-    ln(distance) + Gumbel number from a hash; the first row has the longest gradient."""
+    ln(distance) + Gumbel number from a hash; the first row has the longest gradient. A pass brings the `near` best rows of
+    each of the next 16 draws to the driver; distances only fall, so a draw is decided there while its best row stands
+    above the first one left behind."""
     top = F.array_position("p", F.array_max("p")).cast("int") - 1
     left = F.transform("p", lambda v, i: v - (i == top).cast("double"))
     d = written(unlabelled(pool, labelled, identity).select(identity, left.alias("g"), F.transform(vector, lambda v: v.cast("double")).alias("h")), "gradients")
@@ -62,19 +65,39 @@ def gradient_batch(pool: DataFrame, labelled: DataFrame, n: int, vector: str, se
         return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
     own = dot("g", "g") * dot("h", "h")
-    literal = lambda v: F.array(*[F.lit(float(x)) for x in v])
     first = d.orderBy(F.desc(own), identity).first()
-    chosen, d = [first], d.withColumn("_d", F.lit(None).cast("double"))
+    chosen, new, d = [first[identity]], [first], d.withColumn("_d", F.lit(float("inf")))
+    key = lambda step: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), step, F.col(identity).cast("string"))), 1, 12), 16, 10).cast("double")
     while len(chosen) < n:
-        g, h = literal(chosen[-1]["g"]), literal(chosen[-1]["h"])
-        away = own + dot(g, g) * dot(h, h) - 2 * dot("g", g) * dot("h", h)
-        d = d.withColumn("_d", F.least("_d", F.greatest(away, F.lit(0.0))))
-        if len(chosen) % 8 == 0:  # the expression stays short
-            d = written(d, "gradients")
-        u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}|{len(chosen)}"), F.col(identity).cast("string"))), 1, 12), 16, 10).cast("double") + 0.5) / 2.0**48
-        taken = [c[identity] for c in chosen]
-        chosen.append(d.where(~F.col(identity).isin(taken)).orderBy(F.desc(F.ln("_d") - F.ln(-F.ln(u))), identity).first())
-    return pool.sparkSession.createDataFrame([(k, c[identity]) for k, c in enumerate(chosen)], f"step int, {identity} long")
+        marks = F.array(*[F.struct(*[F.array(*[F.lit(float(x)) for x in c[k]]).alias(k) for k in "gh"]) for c in new])
+        gone = F.array(*[F.lit(c[identity]) for c in new])  # earlier ones are out of d already
+        away = lambda c: F.greatest(own + dot(c["g"], c["g"]) * dot(c["h"], c["h"]) - 2 * dot("g", c["g"]) * dot("h", c["h"]), F.lit(0.0))
+        d = written(d.where(~F.array_contains(gone, F.col(identity))).withColumn("_d", F.least("_d", F.array_min(F.transform(marks, away)))), "gradients")
+        steps = range(len(chosen), min(n, len(chosen) + 16))
+        draws = d.withColumn("_s", F.explode(F.array(*map(F.lit, steps)))).withColumn("_u", (key(F.col("_s").cast("string")) + 0.5) / 2.0**48)
+        draws = draws.withColumn("_v", F.ln("_d") - F.ln(-F.ln("_u")))
+        top = draws.withColumn("_rn", F.row_number().over(Window.partitionBy("_s").orderBy(F.desc("_v"), identity))).where(F.col("_rn") <= near + 1).collect()
+        new = []
+        for step in steps:
+            mine = sorted((r for r in top if r["_s"] == step), key=lambda r: r["_rn"])
+            rest, mine = (mine[near]["_v"] if len(mine) > near else -np.inf), [r for r in mine[:near] if r[identity] not in chosen]
+            best = max(((_drawn(r, new), -r[identity], r) for r in mine), default=None, key=lambda x: x[:2])
+            if best is None or best[0] <= rest and rest > -np.inf:
+                break
+            chosen.append(best[2][identity])
+            new.append(best[2])
+        if not new:
+            break  # fewer rows than n
+    return pool.sparkSession.createDataFrame(list(enumerate(chosen)), f"step int, {identity} long")
+
+
+def _drawn(r, new: list) -> float:
+    """The row's number in a draw once the rows in new are chosen as well."""
+    g, h, d = np.array(r["g"]), np.array(r["h"]), r["_d"]
+    for c in new:
+        a, b = np.array(c["g"]), np.array(c["h"])
+        d = min(d, max((g @ g) * (h @ h) + (a @ a) * (b @ b) - 2 * (g @ a) * (h @ b), 0.0))
+    return np.log(d) - np.log(-np.log(r["_u"])) if d > 0 else -np.inf
 
 
 def revealed(truth: DataFrame, asked: DataFrame, known: DataFrame, budget: int, identity: str = "window_id") -> DataFrame:

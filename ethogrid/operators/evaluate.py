@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import bounded_broadcast
 from .stats import average_rank
 
 
@@ -100,6 +101,19 @@ def first_reaching(curves: DataFrame, strategy: str, n: str, score: str, share:
     return curves.join(best, strategy).where(F.col(score) >= share * F.col("best")).groupBy(strategy, "best").agg(F.min(n).alias("labels"))
 
 
+def shares_above(rows: DataFrame, group: str, x: str, cuts: DataFrame) -> DataFrame:
+    """train, test, score: the share of group test's rows whose x exceeds train's cut. Each row counts the cuts below it,
+    once; the rest is running sums over groups times cuts. cuts: train, cut (a row a group)."""
+    one = cuts.agg(F.sort_array(F.collect_list(F.struct("cut", "train"))).alias("_cuts"))
+    below = F.size(F.filter("_cuts", lambda c: c["cut"] < F.col(x)))
+    n = rows.crossJoin(F.broadcast(one)).groupBy(F.col(group).alias("test"), (below - 1).alias("pos")).agg(F.count("*").alias("n"), F.first("_cuts").alias("_cuts"))  # one row
+    places = n.groupBy("test").agg(F.first("_cuts").alias("_cuts")).select("test", F.posexplode("_cuts").alias("pos", "c"))
+    both = n.select("test", "pos", "n", F.lit(None).alias("train")).unionByName(places.select("test", "pos", F.lit(0).alias("n"), "c.train"))
+    w = Window.partitionBy("test").orderBy(F.desc("pos"))
+    above = both.withColumns({"a": F.sum("n").over(w), "all": F.sum("n").over(Window.partitionBy("test"))})
+    return above.where("train IS NOT NULL").select("train", "test", (F.col("a") / F.col("all")).alias("score"))
+
+
 def cross_mean(matrix: DataFrame, train: str, test: str, score: str) -> DataFrame:
     """Mean score on the own lab and on the others, and the gap."""
     own = F.avg(F.when(F.col(train) == F.col(test), F.col(score)))
@@ -158,7 +172,7 @@ def best_setting(grid: DataFrame) -> DataFrame:
 def weighted_ensemble(members: DataFrame, weights: DataFrame) -> DataFrame:
     """window_id, cls, p: mean of the members' probabilities by their weights. members: window_id, member, cls, p; weights:
     member, w (a row per member)."""
-    d = members.join(F.broadcast(weights), "member")
+    d = members.join(bounded_broadcast(weights), "member")
     return d.groupBy("window_id", "cls").agg((F.sum(F.col("p") * F.col("w")) / F.sum("w")).alias("p"))
 
 

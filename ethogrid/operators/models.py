@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.ml.classification import GBTClassifier, LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PCA, Imputer, RobustScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -10,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..session import written
+from ..session import shared_folder, written
 from .decide import class_weights
 from .stats import exact_percentiles
 
@@ -80,22 +83,19 @@ def calibrated_svm(train: DataFrame, test: DataFrame, columns: list[str], classe
 
 def per_group(df: DataFrame, columns: list[str], group: str, fold: str, model, least: int = 20) -> DataFrame:
     """Predictions for each row by a model of its group, fitted on the other folds; groups that have fewer than `least`
-    rows of some class that they hold, or one class alone, get the model of all groups. One fit a group and fold."""
+    rows of some class that they hold, or one class alone, get the model of all groups. One fit a group and fold; each
+    one's predictions are written at once, so that no plan grows with the groups."""
     df = written(df, "grouped")
     n = df.groupBy(group, "y").agg(F.count("*").alias("n")).groupBy(group).agg(F.min("n").alias("least"), F.count("*").alias("classes"))
     plan, folds = n.collect(), [r[0] for r in df.select(fold).distinct().collect()]  # one row a group, one a fold
     small = [r[group] for r in plan if r["least"] < least or r["classes"] < 2]
-    out = []
+    keep, path = [*df.columns, "prediction", "fallback"], f"{shared_folder(df.sparkSession)}/predicted-{uuid.uuid4().hex}"
     for k in folds:
         for g in [r[group] for r in plan if r[group] not in small]:
-            out.append(left_out(df.where(F.col(group) == g), columns, fold, k, model).withColumn("fallback", F.lit(False)))
+            left_out(df.where(F.col(group) == g), columns, fold, k, model).withColumn("fallback", F.lit(False)).select(keep).write.mode("append").parquet(path)
         if small:
-            out.append(left_out(df, columns, fold, k, model).where(F.col(group).isin(small)).withColumn("fallback", F.lit(True)))
-    keep = [*df.columns, "prediction", "fallback"]
-    result = out[0].select(*keep)
-    for o in out[1:]:
-        result = result.unionByName(o.select(*keep))
-    return result
+            left_out(df, columns, fold, k, model).where(F.col(group).isin(small)).withColumn("fallback", F.lit(True)).select(keep).write.mode("append").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def importances(df: DataFrame, columns: list[str], model) -> DataFrame:
@@ -104,17 +104,21 @@ def importances(df: DataFrame, columns: list[str], model) -> DataFrame:
     return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(columns, fitted.featureImportances.toArray())], "feature string, importance double")
 
 
-def permuted_importances(df: DataFrame, columns: list[str], held: Column, model, seed: int = 0) -> DataFrame:
+def permuted_importances(df: DataFrame, columns: list[str], held: Column, model, seed: int = 0, rows: int = 65536) -> DataFrame:
     """feature, loss: what accuracy on the held rows loses if a column takes another held row's value, by a rotation of the
-    rows in hash order of one place."""
+    rows in hash order of one place. Held rows are dealt by hash to groups of about `rows`, whose number follows from
+    their count; each row is predicted as it is and with each column exchanged, all in one job."""
     train, test = df.where(~held), written(df.where(held), "held")
     fitted = model.fit(weighted(assembled(train, columns)))
-    right = lambda d: fitted.transform(assembled(d, columns, train=train)).agg(F.avg((F.col("prediction") == F.col("y")).cast("int"))).first()[0]
-    base, rows = right(test), []
-    order = Window.partitionBy(F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(64))).orderBy(F.xxhash64(F.lit(seed + 1), *columns))
-    for c in columns:
-        rows.append((c, float(base - right(test.withColumn(c, F.coalesce(F.lag(c).over(order), F.last(c).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))))))
-    return df.sparkSession.createDataFrame(rows, "feature string, loss double")
+    groups = max(1, -(-test.count() // rows))
+    order = Window.partitionBy(F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(groups))).orderBy(F.xxhash64(F.lit(seed + 1), *columns))
+    mine = F.struct(*columns)
+    d = test.select("y", mine.alias("m"), F.coalesce(F.lag(mine).over(order), F.last(mine).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("o"))
+    one = lambda name: F.struct(F.lit(name).alias("feature"), *[F.col(f"{'o' if c == name else 'm'}.{c}").cast("double").alias(c) for c in columns])
+    long = d.select("y", F.inline(F.array(*[one(c) for c in ["", *columns]])))
+    right = fitted.transform(assembled(long, columns, train=train)).groupBy("feature").agg(F.avg((F.col("prediction") == F.col("y")).cast("int")).alias("a"))
+    base = right.where("feature = ''").select(F.col("a").alias("base"))
+    return right.where("feature <> ''").crossJoin(F.broadcast(base)).select("feature", (F.col("base") - F.col("a")).alias("loss"))  # one row
 
 
 def resampled(df: DataFrame, weight: str, identity: str, seed: int = 0) -> DataFrame:
@@ -149,21 +153,36 @@ def query_batch(pool: DataFrame, labelled: DataFrame, n: int, kind: str, identit
     return left.withColumn("score", F.round(uncertainty(F.col("p"), kind), 6)).orderBy(F.desc("score"), identity).limit(n).select(identity, "score")
 
 
-def k_center(pool: DataFrame, n: int, vector: str, identity: str, first) -> DataFrame:
-    """n rows, each the farthest from those chosen so far (core-set). One pass per choice, only the chosen vector is sent
-    to the tasks; distances stay with the rows."""
-    chosen = [pool.where(F.col(identity) == first).select(identity, vector).first()]
-    d = pool.select(identity, vector).withColumn("_d", F.lit(None).cast("double"))
+def k_center(pool: DataFrame, n: int, vector: str, identity: str, first, near: int = 512) -> DataFrame:
+    """n rows, each the farthest from those chosen so far (core-set), ties to the smaller id. Distances stay with the rows.
+    Each pass brings the `near` farthest rows to the driver. Distances only fall, so their best one is the farthest row of
+    all as long as it stands before the last row brought; many are chosen in a pass, and the result is that of one pass
+    per choice."""
+    start = pool.where(F.col(identity) == first).select(identity, vector).first()
+    chosen, new = [start[0]], [[float(x) for x in start[1]]]
+    d = pool.select(identity, F.transform(vector, lambda x: x.cast("double")).alias("_v"), F.lit(float("inf")).alias("_d"))
 
-    def far(v) -> Column:
-        return F.sqrt(F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(x)) for x in v]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    def away(v) -> Column:
+        return F.sqrt(F.aggregate(F.zip_with("_v", v, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
 
     while len(chosen) < n:
-        d = d.withColumn("_d", F.least("_d", far(chosen[-1][1])))
-        if len(chosen) % 8 == 0:  # the least distance is kept, so that the expression stays short
-            d = written(d, "distances")
-        chosen.append(d.orderBy(F.desc("_d"), identity).select(identity, vector).first())
-    return pool.sparkSession.createDataFrame([(k, c[0]) for k, c in enumerate(chosen)], f"step int, {identity} long")
+        marks = F.array(*[F.array(*[F.lit(x) for x in v]) for v in new])
+        d = written(d.withColumn("_d", F.least("_d", F.array_min(F.transform(marks, away)))), "distances")
+        top = d.orderBy(F.desc("_d"), identity).limit(near + 1).collect()
+        last = (-top[near]["_d"], top[near][identity]) if len(top) > near else (np.inf, 0)
+        ids, far, v = [r[identity] for r in top[:near]], np.array([r["_d"] for r in top[:near]]), np.array([r["_v"] for r in top[:near]])
+        new = []
+        while len(chosen) < n:
+            k = min(range(len(ids)), key=lambda i: (-far[i], ids[i]))
+            if (-far[k], ids[k]) >= last:
+                break
+            chosen.append(ids[k])
+            new.append(v[k].tolist())
+            total = np.zeros(len(ids))
+            for c in range(v.shape[1]):  # in the order of the rows' own sums
+                total = total + (v[:, c] - v[k, c]) * (v[:, c] - v[k, c])
+            far = np.minimum(far, np.sqrt(total))
+    return pool.sparkSession.createDataFrame(list(enumerate(chosen)), f"step int, {identity} long")
 
 
 def seed_set(pool: DataFrame, per_class: int, y: str = "y", identity: str = "window_id", seed: int = 0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..session import written
+from ..session import bounded_broadcast, written
 from ..sources.adapters import XY, to_long
 from .stats import exact_percentiles
 
@@ -131,12 +131,12 @@ def outlier_rates(long: DataFrame, k: float, *by: str) -> DataFrame:
 
     def joined(df: DataFrame, columns: list[str], out: list[str]) -> DataFrame:
         p = exact_percentiles(df, columns, (0.5,), *by).groupBy(*by).pivot("column", columns).agg(F.first(F.get("v", F.lit(0))))
-        return s.join(F.broadcast(p.toDF(*by, *out)), list(by))  # one row per group
+        return s.join(bounded_broadcast(written(p.toDF(*by, *out), "middles")), list(by))  # one row per group
 
     med = joined(s, names, ["m_speed", "m_accel"])
     off = med.select(*by, *[F.abs(F.col(c) - F.col(f"m_{c}")).alias(c) for c in names])
     p = exact_percentiles(off, names, (0.5,), *by).groupBy(*by).pivot("column", names).agg(F.first(F.get("v", F.lit(0)))).toDF(*by, "d_speed", "d_accel")
-    every = med.join(F.broadcast(p), list(by))
+    every = med.join(bounded_broadcast(written(p, "spreads")), list(by))
     return every.groupBy(*by).agg(*[F.avg((F.col(c) > F.col(f"m_{c}") + k * 1.4826 * F.col(f"d_{c}")).cast("int")).alias(f"{c}_outliers") for c in names])
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import bounded_broadcast, written
+
 
 def ks_statistic(df: DataFrame, x: str, side: str, *by: str) -> DataFrame:
     """Largest gap between the two empirical distributions of x; side: boolean. Ties are counted once, after them."""
@@ -50,11 +52,12 @@ def exact_percentiles(df: DataFrame, columns: list[str], qs: tuple[float, ...],
     q = F.explode(F.array(*[F.struct(F.lit(i).alias("q"), F.lit(float(p)).alias("p"), F.lit(s).alias("side")) for i, p in enumerate(qs) for s in (0, 1)]))
     rank = F.floor(F.col("p") * (F.col("all") - 1)) + F.when((F.col("side") == 1) & (F.col("p") * (F.col("all") - 1) > F.floor(F.col("p") * (F.col("all") - 1))), 1).otherwise(0)
     asked = n.withColumn("q", q).select(*keys, "range", "before", "all", "n", "q.*").withColumn("rank", rank).where("rank >= before AND rank < before + n")
-    some = asked.select(*keys, "range").distinct()  # two rows at most for each group, column and percentile
-    values = long.join(F.broadcast(some), [*keys, "range"]).groupBy(*keys, "range", "x").agg(F.count("*").alias("m"))
+    asked = written(asked.drop("n"), "ranks")  # two rows at most for each group, column and percentile
+    some = bounded_broadcast(asked.select(*keys, "range").distinct())
+    values = long.join(some, [*keys, "range"]).groupBy(*keys, "range", "x").agg(F.count("*").alias("m"))
     up_to = F.sum("m").over(Window.partitionBy(*keys, "range").orderBy("x"))
     values = values.withColumn("to", up_to)
-    got = asked.drop("n").join(values, [*keys, "range"]).where("rank >= before + to - m AND rank < before + to")
+    got = asked.join(values, [*keys, "range"]).where("rank >= before + to - m AND rank < before + to")
     part = F.col("p") * (F.col("all") - 1) - F.floor(F.col("p") * (F.col("all") - 1))
     one = got.groupBy(*keys, "all", "q").agg(F.max(F.when(F.col("side") == 0, F.col("x"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("x"))).alias("b"), F.first(part).alias("part"))
     return one.groupBy(*keys, F.col("all").alias("n")).agg(F.transform(F.sort_array(F.collect_list(F.struct("q", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("v")))), lambda s: s["v"]).alias("v"))
@@ -73,8 +76,9 @@ def ranks_by_range(df: DataFrame, x: str, step: float, rank: str) -> DataFrame:
     n = df.groupBy(x).agg(F.count("*").alias("_n")).withColumn("_r", F.floor(F.col(x) / step))
     sizes = n.groupBy("_r").agg(F.sum("_n").alias("_all"))
     before = sizes.select(F.col("_r").alias("_s"), F.coalesce(F.sum("_all").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    before = bounded_broadcast(written(before, "ranges"))  # a row a range
     up_to = F.sum("_n").over(Window.partitionBy("_r").orderBy(x))
-    dealt = n.join(F.broadcast(before), n["_r"].eqNullSafe(before["_s"]))  # one row per range
+    dealt = n.join(before, n["_r"].eqNullSafe(before["_s"]))
     return dealt.select(x, (F.col("_before") + up_to - F.col("_n") + 1 + (F.col("_n") - 1) / 2).alias(rank))
 
 
@@ -113,7 +117,7 @@ def bootstrap_mean(df: DataFrame, x: str, identity: str, rounds: int = 100, seed
     """Mean, and the 2.5 and 97.5 percentiles of Poisson bootstrap means; weights come from hashes, in one pass."""
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(identity).cast("string"), F.col("_b").cast("string"))), 1, 8), 16, 10).cast("double") / 2.0**32
     cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))  # the draws of 7 and more, one in 12,000, count as 6
     d = df.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_w", weight)
     m = d.groupBy(*by, "_b").agg(F.try_divide(F.sum(F.col(x) * F.col("_w")), F.sum("_w")).alias("m"))
     ci = m.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import bounded_broadcast, written
+
 
 def _hash(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
@@ -101,11 +103,23 @@ def temporal_split(rows: DataFrame, keys: list[str], order: str, val: float, tes
 
 
 def stratified(rows: DataFrame, cls: str, identity: list[str], share: float, seed: int = 0) -> DataFrame:
-    """Rows of each class and how many a stratified split of `share` holds out."""
-    w = Window.partitionBy(cls).orderBy(_hash(seed, *identity), *identity)
-    n = F.count(F.lit(1)).over(Window.partitionBy(cls))
-    d = rows.withColumn("_held", F.row_number().over(w) <= F.bround(n * F.lit(share)))
-    return d.groupBy(cls).agg(F.count("*").alias("n"), F.count_if("_held").alias("held"))
+    """rows with held: of each class the bround(share * n) rows with the smallest hashes of their identity, which is
+    unique. Hashes are counted by 65,536 ranges; only the range of each class in which the cut falls is sorted, and rows
+    meet one threshold per class, so that no class is sorted and no row is shuffled."""
+    h = _hash(seed, *identity)
+    d = rows.withColumn("_h", F.struct(h.alias("h"), *identity)).withColumn("_r", F.conv(F.substring("_h.h", 1, 4), 16, 10).cast("int"))
+    n = d.groupBy(cls, "_r").agg(F.count("*").alias("_n"))
+    up_to = F.sum("_n").over(Window.partitionBy(cls).orderBy("_r"))
+    n = n.withColumns({"_to": up_to, "_want": F.bround(F.sum("_n").over(Window.partitionBy(cls)) * F.lit(share))})
+    over = F.col("_to") > F.col("_want")  # from the range on in which the cut falls
+    cuts = n.groupBy(cls).agg(F.min(F.when(over, F.struct("_r", (F.col("_want") - F.col("_to") + F.col("_n")).alias("left")))).alias("_c")).select(F.col(cls).alias("_cls"), "_c.*")
+    cuts = bounded_broadcast(written(cuts.withColumnRenamed("_r", "_cut"), "cuts"))  # a row a class
+    inside = d.join(cuts, d[cls].eqNullSafe(cuts["_cls"]) & (d["_r"] == cuts["_cut"]))
+    inside = inside.withColumn("_rn", F.row_number().over(Window.partitionBy(cls).orderBy("_h"))).where("_rn <= left")
+    last = inside.groupBy(F.col("_cls").alias("_k")).agg(F.max("_h").alias("_last"))
+    ends = bounded_broadcast(written(cuts.join(last, F.col("_cls").eqNullSafe(F.col("_k")), "left").select("_cls", "_cut", "_last"), "ends"))
+    held = F.coalesce(F.col("_r") < F.col("_cut"), F.lit(True)) | F.coalesce((F.col("_r") == F.col("_cut")) & (F.col("_h") <= F.col("_last")), F.lit(False))
+    return d.join(ends, d[cls].eqNullSafe(ends["_cls"]), "left").select(*[d[c] for c in rows.columns], held.alias("held"))
 
 
 def autocorrelation(rows: DataFrame, x: str, keys: list[str], order: str, lags: tuple[int, ...]) -> DataFrame:

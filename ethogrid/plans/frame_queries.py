@@ -278,7 +278,7 @@ def fr_temporal_split(spark, d):
 
 def fr_stratified_split(spark, d):
     p = pose(spark, d).select("video_id", "mouse_id", "video_frame", (F.floor("nose_x").cast("int") % 4).alias("cls"))
-    return Wn.stratified(p, "cls", ["video_id", "mouse_id", "video_frame"], 0.3)
+    return Wn.stratified(p, "cls", ["video_id", "mouse_id", "video_frame"], 0.3).groupBy("cls").agg(F.count("*").alias("n"), F.count_if("held").alias("held"))
 
 
 QUERIES = {k: v for k, v in globals().items() if k.startswith("fr_")}

@@ -11,6 +11,7 @@ from ..operators import frames as P
 from ..operators import intervals as I
 from ..operators import quality as Q
 from ..operators import stats as T
+from ..session import written
 from ..sources.adapters import LONG_SQL, META_SQL, POSE_SQL, PROBA_LONG_SQL, PROBA_SQL, meta_raw, pose, proba, proba_long, to_long
 from .frame_queries import _CEN, _D, _DZSUM, _HALF, _SMOOTH, _savgol_sql, W, r4, rs
 from .interval_queries import CLEAN_SQL, _clean
@@ -175,7 +176,7 @@ def _active(spark, d):
 
 
 def _thresholds(spark, d):
-    return proba_long(proba(spark, d)).groupBy("lab_id", "cls").agg(F.percentile("p", F.lit(0.6)).alias("t"))
+    return T.exact_percentiles(proba_long(proba(spark, d)), ["p"], (0.6,), "lab_id", "cls").select("lab_id", "cls", F.get("v", F.lit(0)).alias("t"))
 
 
 def _decided(spark, d, mode):
@@ -319,8 +320,9 @@ def st_displacement(spark, d):
     """Distance of smoothed from raw noses: mean, percentile, share above 5."""
     p = pose(spark, d).select("video_id", "mouse_id", "video_frame", "nose_x", "nose_y")
     s = P.smoothed(p, ["nose_x", "nose_y"]).toDF("video_id", "mouse_id", "video_frame", "sx", "sy")
-    j = p.join(s, ["video_id", "mouse_id", "video_frame"]).withColumn("e", G.distance("nose_x", "nose_y", "sx", "sy"))
-    return _r6(j.groupBy("mouse_id").agg(F.avg("e").alias("mean"), F.percentile("e", F.lit(0.95)).alias("p95"), F.max("e").alias("max"), F.avg((F.col("e") > 5).cast("int")).alias("above_5"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse")))
+    j = written(p.join(s, ["video_id", "mouse_id", "video_frame"]).select("mouse_id", G.distance("nose_x", "nose_y", "sx", "sy").alias("e")), "displacement")
+    p95 = T.exact_percentiles(j, ["e"], (0.95,), "mouse_id").select("mouse_id", F.get("v", F.lit(0)).alias("p95"))
+    return _r6(p95.join(j.groupBy("mouse_id").agg(F.avg("e").alias("mean"), F.max("e").alias("max"), F.avg((F.col("e") > 5).cast("int")).alias("above_5"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse")), "mouse_id"))
 
 
 def st_jerk(spark, d):

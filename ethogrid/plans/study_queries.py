@@ -100,8 +100,7 @@ def _curve(spark, d):
 
 def ev_against_random(spark, d):
     c = _curve(spark, d).groupBy("lab_id", "agent").agg(F.avg("score").alias("score"))
-    b = c.where("lab_id = 0").agg(F.min("lab_id")).first()[0]
-    return _r6(E.against_random(c, "lab_id", "agent", "score", b))
+    return _r6(E.against_random(c, "lab_id", "agent", "score", 0))
 
 
 def ev_first_reaching(spark, d):
@@ -112,8 +111,7 @@ def ev_first_reaching(spark, d):
 def ev_cross_labs(spark, d):
     """Share of a lab's windows above the mean top probability of another lab."""
     p = proba(spark, d).select("lab_id", F.array_max("p").alias("top"))
-    cut = p.groupBy(F.col("lab_id").alias("train")).agg(F.avg("top").alias("cut"))
-    m = p.join(F.broadcast(cut)).groupBy("train", F.col("lab_id").alias("test")).agg(F.avg((F.col("top") > F.col("cut")).cast("int")).alias("score"))  # one row a lab
+    m = E.shares_above(p, "lab_id", "top", p.groupBy(F.col("lab_id").alias("train")).agg(F.avg("top").alias("cut")))
     return _r6(E.cross_mean(m, "train", "test", "score"))
 
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(name: str = "ethogrid", **conf: str) -> SparkSession:
@@ -34,3 +35,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """A stored (or short) df with the hint of a broadcast if it has at most max_rows rows; else the join shuffles."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
