@@ -75,6 +75,22 @@ def out_of_fold(train: DataFrame, columns: list[str], classes: int, fold: str =
     return written(out, "out_of_fold")
 
 
+def cross_scored(rows: DataFrame, columns: list[str], bundles: DataFrame) -> DataFrame:
+    """rows with p by every lab's own bundle in turn: train is the bundle's lab, test the row's. A row per row and lab."""
+    labs = [r[0] for r in bundles.where("lab_id IS NOT NULL").select("lab_id").distinct().collect()]  # a row a lab
+    each = rows.withColumn("test", F.col("lab_id")).withColumn("lab_id", F.explode(F.array(*[F.lit(k) for k in sorted(labs)])))
+    return scored(each, columns, bundles).withColumnRenamed("lab_id", "train")
+
+
+def cross_accuracy(rows: DataFrame, columns: list[str], classes: int, held: str, few: int = 50) -> DataFrame:
+    """train, test, n, score: how often a model fitted on one lab's rows that are not held is right on the held rows of
+    another, for all pairs of labs in one job after the fits; a lab's score on itself is on its own held rows."""
+    bundles = lab_bundles(rows.where(f"NOT ({held})"), columns, classes, few)
+    p = cross_scored(rows.where(held), columns, bundles)
+    right = F.array_position("p", F.array_max("p")) - 1 == F.col("y")
+    return p.groupBy("train", "test").agg(F.count("*").alias("n"), F.avg(right.cast("int")).alias("score"))
+
+
 def submission(windows: DataFrame, columns: list[str], bundles: DataFrame, active: DataFrame, names: list[str], stats: DataFrame | None = None) -> DataFrame:
     """lab_id, KEY, action, start_frame, stop_frame: what the windows' bundles predict: probabilities, masks, the bundle's
     thresholds (column t, array by class), routing, merging, and the duration filter of the lab where stats has one.

@@ -119,7 +119,7 @@ def recovery(clean: DataFrame, corrupt: DataFrame, repaired: DataFrame, keypoint
     """Root mean square distance to the clean places before and after a repair, and the share of the error that went."""
     keys = [*MOUSE, "video_frame"]
     cols = [f"{k}_{a}" for k in keypoints for a in "xy"]
-    j = clean.select(*keys, *cols)
+    j = clean.select(*keys, *[c for c in by if c not in keys], *cols)
     for df, n in ((corrupt, "c"), (repaired, "r")):
         j = j.join(df.select(*keys, *[F.col(c).alias(f"{n}_{c}") for c in cols]), keys)
     parts = F.array(*[F.struct(F.lit(k).alias("keypoint"), *[G.distance(f"{k}_x", f"{k}_y", f"{n}_{k}_x", f"{n}_{k}_y").alias(n) for n in "cr"]) for k in keypoints])

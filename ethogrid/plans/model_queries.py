@@ -12,12 +12,13 @@ from ..functions import geometry as G
 from ..operators import active as A
 from ..operators import decide as D
 from ..operators import frames as P
+from ..operators import intervals as I
 from ..operators import models as M
 from ..operators import quality as Q
 from ..operators import sequence as S
 from ..operators import windows as Wn
 from ..session import shared_folder, written
-from ..sources.adapters import KEYPOINTS, PROBA_SQL, pose, proba, proba_long
+from ..sources.adapters import KEYPOINTS, PROBA_SQL, ann, pose, proba, proba_long
 from ..streaming import online
 from .frame_queries import r4, rs
 from .quality_queries import _ACT, SQL as _RULES, _active, _thresholds
@@ -73,11 +74,16 @@ def sq_tuned_thresholds(spark, d):
 
 
 def _windows(spark, d):
-    """Window statistics with the state of the window as class."""
+    """Window statistics; the class is what the intervals say of the window: nothing (0), an action towards the other mouse
+    (1) or one at itself (2), by the more frames."""
     p = pose(spark, d).select("video_id", "mouse_id", "video_frame", "nose_x", "nose_y", "tail_base_x")
-    s = Wn.statistics(Wn.members(p, ["video_id", "mouse_id"], 32, 32), ["video_id", "mouse_id", "win"], ["nose_x", "nose_y", "tail_base_x"])
-    y = F.when(F.col("nose_x_mean") > 26, 1.0).otherwise(0.0) + F.when(F.col("nose_y_std") > 26, 1.0).otherwise(0.0)
-    return s.withColumn("y", y).withColumn("fold", (F.col("video_id") % 3).cast("int"))
+    keys = ["video_id", "mouse_id", "win"]
+    s = Wn.statistics(Wn.members(p, ["video_id", "mouse_id"], 32, 32), keys, ["nose_x", "nose_y", "tail_base_x"])
+    f = I.frames_of(ann(spark, d).where("stop_frame > start_frame")).where("video_frame >= 0")
+    f = f.select("video_id", F.col("agent_id").alias("mouse_id"), F.floor(F.col("video_frame") / 32).alias("win"), (F.col("agent_id") == F.col("target_id")).alias("own"))
+    n = f.groupBy(*keys).agg(F.count_if("own").alias("_own"), F.count_if(~F.col("own")).alias("_other"))
+    y = F.when(F.col("_own") > F.col("_other"), 2.0).when(F.col("_other") > 0, 1.0).otherwise(0.0)
+    return s.join(n, keys, "left").withColumn("y", y).drop("_own", "_other").withColumn("fold", (F.col("video_id") % 3).cast("int"))
 
 
 COLUMNS = ["nose_x_mean", "nose_x_std", "nose_y_mean", "nose_y_std", "tail_base_x_mean", "tail_base_x_iqr"]

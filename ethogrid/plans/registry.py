@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import frame_queries, gate_queries, inference_queries, interval_queries, model_queries, quality_queries, repair_queries, report_queries, study_queries, tuning_queries
+from . import benchmark_queries, frame_queries, gate_queries, inference_queries, interval_queries, model_queries, quality_queries, repair_queries, report_queries, study_queries, tuning_queries
 
-MODULES = (interval_queries, frame_queries, gate_queries, inference_queries, quality_queries, model_queries, repair_queries, report_queries, study_queries, tuning_queries)
+MODULES = (benchmark_queries, interval_queries, frame_queries, gate_queries, inference_queries, quality_queries, model_queries, repair_queries, report_queries, study_queries, tuning_queries)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
