@@ -18,7 +18,7 @@ from ..operators import quality as Q
 from ..operators import sequence as S
 from ..operators import windows as Wn
 from ..session import shared_folder, written
-from ..sources.adapters import KEYPOINTS, PROBA_SQL, ann, pose, proba, proba_long
+from ..sources.adapters import KEYPOINTS, POSE_SQL, PROBA_SQL, ann, pose, proba, proba_long
 from ..streaming import online
 from .frame_queries import r4, rs
 from .quality_queries import _ACT, SQL as _RULES, _active, _thresholds
@@ -255,6 +255,17 @@ bw AS (SELECT video_id, agent, window_id, k, list_position(s, list_max(s))::INT
   SELECT fx.video_id, fx.agent, fx.window_id, fx.k, bw.back[bw.spot], fx.back FROM bw JOIN fx ON fx.video_id = bw.video_id AND fx.agent = bw.agent AND fx.k = bw.k - 1)
 SELECT window_id, spot - 1 AS cls FROM bw"""
 SQL = {
+    "sq_spectra": f"""WITH {POSE_SQL}, s AS (SELECT video_id, mouse_id, nose_x::DOUBLE AS x, row_number() OVER w - 1 AS i, count(*) OVER v AS len, min(nose_x) OVER v AS lo, max(nose_x) OVER v AS hi FROM pose WHERE nose_x IS NOT NULL WINDOW w AS (PARTITION BY video_id, mouse_id ORDER BY video_frame), v AS (PARTITION BY video_id, mouse_id)),
+k AS (SELECT *, least(64, len) AS n, unnest(range(0, (len - least(64, len)) // (least(64, len) // 2) + 1)) AS seg FROM s WHERE len >= 8 AND lo < hi), g AS (SELECT *, i - seg * (n // 2) AS j FROM k WHERE i >= seg * (n // 2) AND i < seg * (n // 2) + n),
+d AS (SELECT video_id, mouse_id, seg, n, j, (x - avg(x) OVER (PARTITION BY video_id, mouse_id, seg)) * (0.5 - 0.5 * cos(2 * pi() * j / n)) AS y, unnest(range(0, n // 2 + 1)) AS f FROM g),
+p AS (SELECT video_id, mouse_id, seg, n, f, (sum(y * cos(2 * pi() * f * j / n)) ** 2 + sum(y * sin(2 * pi() * f * j / n)) ** 2) * CASE WHEN f = 0 OR 2 * f = n THEN 1 ELSE 2 END AS p FROM d GROUP BY video_id, mouse_id, seg, n, f),
+a AS (SELECT video_id, mouse_id, n, f, sum(p) AS p FROM p GROUP BY ALL), q AS (SELECT video_id, mouse_id, f::DOUBLE / n AS f, p / sum(p) OVER v AS q, count(*) OVER v AS parts FROM a WINDOW v AS (PARTITION BY video_id, mouse_id)),
+c AS (SELECT *, sum(q) OVER (PARTITION BY video_id, mouse_id ORDER BY f) AS up FROM q),
+t AS (SELECT video_id, mouse_id, sum(CASE WHEN f > 0.2 THEN q ELSE 0 END) AS h, -sum(q * ln(q + 1e-12)) / ln(max(parts)) AS e, min(f) FILTER (WHERE up >= 0.95) AS b FROM c GROUP BY ALL)
+SELECT video_id, mouse_id, {rs('h', 'high_share')}, {rs('e', 'entropy')}, {rs('b', 'bandwidth')} FROM (SELECT DISTINCT video_id, mouse_id FROM pose) LEFT JOIN t USING (video_id, mouse_id)""",
+    "ml_hybrid_batch": f"""WITH RECURSIVE {PROBA_SQL}, top AS (SELECT *, row_number() OVER (ORDER BY score DESC, window_id) AS rn FROM (SELECT window_id, p, {_ENT} AS score FROM proba WHERE list_max(p) <= 0.3) QUALIFY rn <= 100),
+r AS (SELECT 0 AS step, window_id, p, list_distance(p, (SELECT p FROM top WHERE rn = 1)) AS d, (SELECT window_id FROM top WHERE rn = 1) AS c FROM top UNION ALL SELECT step + 1, r.window_id, r.p, least(r.d, list_distance(r.p, n.p)), n.window_id FROM r, (SELECT window_id, p FROM r ORDER BY d DESC, window_id LIMIT 1) AS n WHERE step < 9),
+s AS (SELECT DISTINCT step, c AS window_id FROM r) SELECT window_id FROM top WHERE rn <= 5 UNION ALL (SELECT window_id FROM s WHERE window_id NOT IN (SELECT window_id FROM top WHERE rn <= 5) ORDER BY step LIMIT 5)""",
     "sq_viterbi": _VITERBI,
     "sq_viterbi_uniform": _RULES["dc_ratio"],
     "sq_transition_log_probs": f"WITH {PROBA_SQL}, n AS (SELECT y AS a, lead(y) OVER (PARTITION BY video_id, agent ORDER BY core_start, window_id) AS b FROM proba), c AS (SELECT a, b, count(*) AS n FROM n WHERE b IS NOT NULL GROUP BY ALL), g AS (SELECT x.a, y.b, coalesce(n, 0) + 1.0 AS n FROM (SELECT unnest(range(0, 10))::INT AS a) AS x, (SELECT unnest(range(0, 10))::INT AS b) AS y LEFT JOIN c ON c.a = x.a AND c.b = y.b) SELECT a, b, {rs('ln((n / sum(n) OVER (PARTITION BY a))::DOUBLE)', 'lp', 6)} FROM g",
