@@ -51,6 +51,15 @@ def hybrid_batch(pool: DataFrame, labelled: DataFrame, n: int, vector: str, shar
     return top.unionByName(rest)
 
 
+def scheduled_batch(pool: DataFrame, members: DataFrame, labelled: DataFrame, n: int, step: int, switch: int = 3, identity: str = "window_id") -> DataFrame:
+    """id, score of the n rows that round `step` (from 0) asks for: before round `switch` those on which the members of an
+    ensemble disagree most (bald), from then on those of least margin; ties to the smaller id. members: id, p."""
+    if step >= switch:
+        return M.query_batch(pool, labelled, n, "margin", identity)
+    d = unlabelled(M.bald(members, identity), labelled, identity).withColumn("score", F.round("bald", 6))
+    return d.orderBy(F.desc("score"), identity).limit(n).select(identity, "score")
+
+
 def gradient_batch(pool: DataFrame, labelled: DataFrame, n: int, vector: str, seed: int = 0, identity: str = "window_id", near: int = 256) -> DataFrame:
     """n rows by k-means++ on loss gradients: a row's gradient towards its predicted class is (p - one-hot) times its
     vector, so a squared distance needs both factors alone. A draw weighted by the squared distance is the largest

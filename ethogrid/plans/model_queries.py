@@ -204,11 +204,24 @@ def ml_query_margin(spark, d):
     return M.query_batch(p, p.where("window_id % 5 = 0"), 25, "margin")
 
 
-def ml_bald(spark, d):
+def _members(spark, d):
     """Three members: the probabilities, and two softened forms of them."""
     p = proba(spark, d).select("window_id", "p")
     soft = lambda k: p.select("window_id", F.transform("p", lambda v: (v + k) / (1 + 10 * k)).alias("p"))
-    return r4(M.bald(p.unionByName(soft(0.1)).unionByName(soft(0.5)), "window_id"), 6)
+    return p.unionByName(soft(0.1)).unionByName(soft(0.5))
+
+
+def ml_bald(spark, d):
+    return r4(M.bald(_members(spark, d), "window_id"), 6)
+
+
+def ml_scheduled_batch(spark, d):
+    """What the last round before the switch asks for, and the first one after it, when the first answers are known."""
+    p = proba(spark, d)
+    known = p.where("array_max(p) > 0.3")
+    early = written(A.scheduled_batch(p, _members(spark, d), known, 15, 2), "early")
+    late = A.scheduled_batch(p, _members(spark, d), known.select("window_id").unionByName(early.select("window_id")), 15, 3)
+    return early.withColumn("round", F.lit(2)).unionByName(late.withColumn("round", F.lit(3)))
 
 
 def ml_seed_set(spark, d):
@@ -254,6 +267,7 @@ fx AS MATERIALIZED (SELECT * FROM fw),
 bw AS (SELECT video_id, agent, window_id, k, list_position(s, list_max(s))::INT AS spot, back FROM fx WHERE (video_id, agent, k) IN (SELECT (video_id, agent, max(k)) FROM fx GROUP BY video_id, agent) UNION ALL
   SELECT fx.video_id, fx.agent, fx.window_id, fx.k, bw.back[bw.spot], fx.back FROM bw JOIN fx ON fx.video_id = bw.video_id AND fx.agent = bw.agent AND fx.k = bw.k - 1)
 SELECT window_id, spot - 1 AS cls FROM bw"""
+_BALD = f"WITH {PROBA_SQL}, m AS (SELECT window_id, p FROM proba UNION ALL SELECT window_id, list_transform(p, lambda v: (v + 0.1) / 2.0) FROM proba UNION ALL SELECT window_id, list_transform(p, lambda v: (v + 0.5) / 6.0) FROM proba), e AS (SELECT window_id, avg(-list_sum(list_transform(p, lambda v: v * ln(v + 1e-12)))) AS mean FROM m GROUP BY window_id), u AS (SELECT window_id, unnest(range(0, 10)) AS c, unnest(p) AS v FROM m), t AS (SELECT window_id, sum(-v * ln(v + 1e-12)) AS h FROM (SELECT window_id, c, avg(v) AS v FROM u GROUP BY ALL) GROUP BY window_id)"
 SQL = {
     "sq_spectra": f"""WITH {POSE_SQL}, s AS (SELECT video_id, mouse_id, nose_x::DOUBLE AS x, row_number() OVER w - 1 AS i, count(*) OVER v AS len, min(nose_x) OVER v AS lo, max(nose_x) OVER v AS hi FROM pose WHERE nose_x IS NOT NULL WINDOW w AS (PARTITION BY video_id, mouse_id ORDER BY video_frame), v AS (PARTITION BY video_id, mouse_id)),
 k AS (SELECT *, least(64, len) AS n, unnest(range(0, (len - least(64, len)) // (least(64, len) // 2) + 1)) AS seg FROM s WHERE len >= 8 AND lo < hi), g AS (SELECT *, i - seg * (n // 2) AS j FROM k WHERE i >= seg * (n // 2) AND i < seg * (n // 2) + n),
@@ -276,7 +290,8 @@ s AS (SELECT DISTINCT step, c AS window_id FROM r) SELECT window_id FROM top WHE
     "ml_random_batch": f"WITH {PROBA_SQL} SELECT window_id FROM proba WHERE list_max(p) <= 0.3 ORDER BY md5('0|' || window_id), window_id LIMIT 25",
     "ml_combined_batch": f"WITH {PROBA_SQL}, i AS (SELECT y AS cls, 1.0::DOUBLE / count(*) AS i FROM proba GROUP BY y), u AS (SELECT window_id, -round(-list_sum(list_transform(p, lambda v: v * ln(v + 1e-12))), 6) AS a, -coalesce((SELECT round(i / (SELECT avg(i) FROM i), 6) FROM i WHERE cls = list_position(p, list_max(p)) - 1), 1.0) AS b, -(p[1] < 0.1)::INT AS c FROM proba WHERE list_max(p) <= 0.3), k AS (SELECT window_id, " + ", ".join(f"rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0 AS r{x}" for x in "abc") + f", count(*) OVER () AS n FROM u) SELECT window_id, {rs('round((0.5 * ra + 0.3 * rb + 0.2 * rc) / n, 9)', 'score', 6)} FROM k ORDER BY round((0.5 * ra + 0.3 * rb + 0.2 * rc) / n, 9) DESC, window_id LIMIT 25",
     "ml_oracle": f"WITH {PROBA_SQL}, q AS (SELECT window_id, y FROM proba WHERE list_max(p) <= 0.3 ORDER BY {_ENT} DESC, window_id LIMIT 25) SELECT window_id, y FROM q ORDER BY window_id LIMIT 10",
-    "ml_bald": f"WITH {PROBA_SQL}, m AS (SELECT window_id, p FROM proba UNION ALL SELECT window_id, list_transform(p, lambda v: (v + 0.1) / 2.0) FROM proba UNION ALL SELECT window_id, list_transform(p, lambda v: (v + 0.5) / 6.0) FROM proba), e AS (SELECT window_id, avg(-list_sum(list_transform(p, lambda v: v * ln(v + 1e-12)))) AS mean FROM m GROUP BY window_id), u AS (SELECT window_id, unnest(range(0, 10)) AS c, unnest(p) AS v FROM m), t AS (SELECT window_id, sum(-v * ln(v + 1e-12)) AS h FROM (SELECT window_id, c, avg(v) AS v FROM u GROUP BY ALL) GROUP BY window_id) SELECT window_id, {rs('h - mean', 'bald', 6)} FROM t JOIN e USING (window_id)",
+    "ml_bald": f"{_BALD} SELECT window_id, {rs('h - mean', 'bald', 6)} FROM t JOIN e USING (window_id)",
+    "ml_scheduled_batch": f"{_BALD}, a AS (SELECT window_id, {rs('h - mean', 'score', 6)} FROM t JOIN e USING (window_id) JOIN proba USING (window_id) WHERE list_max(p) <= 0.3 ORDER BY 2 DESC, 1 LIMIT 15), b AS (SELECT window_id, round(list_sort(p, 'DESC')[2] - list_sort(p, 'DESC')[1], 6) AS score FROM proba WHERE list_max(p) <= 0.3 AND window_id NOT IN (SELECT window_id FROM a) ORDER BY 2 DESC, 1 LIMIT 15) SELECT window_id, score, 2 AS round FROM a UNION ALL SELECT window_id, score, 3 FROM b",
     "ml_seed_set": f"WITH {PROBA_SQL} SELECT window_id, y FROM proba QUALIFY row_number() OVER (PARTITION BY y ORDER BY md5('0|' || window_id), window_id) <= 5",
     "sm_hourly_rates": f"WITH b AS (SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, value FROM events), g AS (SELECT start, event_type, count(*) AS n, avg(value) AS m FROM b GROUP BY start, event_type) SELECT start, start + INTERVAL 1 hour AS stop, event_type, n, {rs('m', 'mean')} FROM g WHERE start + INTERVAL 1 hour <= (SELECT max(ts) - INTERVAL 2 hour FROM events)",
     "sm_sessions": "WITH o AS (SELECT user_id, ts, coalesce(ts >= lag(ts) OVER w + INTERVAL 6 hour, true) AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), i AS (SELECT *, sum(b::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM o) SELECT min(ts) AS start, max(ts) + INTERVAL 6 hour AS stop, user_id, count(*) AS n FROM i GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 hour <= (SELECT max(ts) - INTERVAL 2 hour FROM events)",
