@@ -251,6 +251,33 @@ def test_url_rules_and_model(spark):
     assert urls.filter_urls(spark.createDataFrame(every[-5:-3], kind)).select("verdict").distinct().collect()[0][0] == "allow"
 
 
+def test_url_verdicts_of_the_contract(spark, tmp_path):
+    """Each rule's word, written out from the contract, not read from the code; through the query."""
+    want = {
+        "http://a.com/en/1": ("com/en/", "block"),
+        "http://example.com/en/8": ("com/en/", "block"),
+        "http://www.example.com/en/70": ("example.com/en/7", "allow"),
+        "http://notexample.com/en/7": ("com/en/", "block"),
+        "http://a.net/de/1": ("net/de/", "allow"),
+        "http://net/de/8": ("net/de/", "allow"),
+        "http://example.net/de/7?x=/de/8": ("net/de/", "allow"),
+        "http://notexample.net/de/8": ("net/de/", "allow"),
+        "http://EXAMPLE.net/de/80": ("example.net/de/8", "block"),
+        "http://a.org/es/#/de/": ("org/es/", "block"),
+    }
+    assert set(urls.RULES) == {(v, rule[: rule.index("/")], rule[rule.index("/") :]) for rule, v in want.values()}
+    loose = ["http://a.net/DE/1", "http://xnet/de/8", "http://a.net/?/de/", None]
+    every = list(enumerate([*want, *loose]))
+    spark.createDataFrame(every, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in urls.op4_url_filter(spark, str(tmp_path)).collect()}
+    assert len(got) == len(every)
+    for i, url in every:
+        if url in want:
+            assert (got[i].rule, got[i].verdict) == want[url]
+        else:
+            assert got[i].rule is None and got[i].verdict in ("block", "allow")
+
+
 def test_url_features_and_held_out_figures(spark):
     """Features against plain Python; labels that follow digits and parameters are learnt, whatever the class shares."""
     import math
