@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .minimise import changes, whole
+
 KEY = ["video_id", "agent_id", "target_id"]
 
 
@@ -114,11 +120,17 @@ def decode_intervals(prob: DataFrame, thresholds: Column, frame: str = "video_fr
 
 
 def frames_of(intervals: DataFrame, inclusive: bool = False, name: str = "video_frame") -> DataFrame:
-    """One row per covered frame of non-empty intervals."""
+    """One row per covered frame of non-empty intervals. Spark takes them for as few as the intervals: a join of them needs
+    the hint of a merge (unbroadcast), or all frames may be broadcast."""
     last = F.col("stop_frame") - (0 if inclusive else 1)
     return intervals.where(last >= F.col("start_frame")).withColumn(name, F.explode(F.sequence(F.col("start_frame"), last)))
 
 
+def unbroadcast(df: DataFrame) -> DataFrame:
+    """df, whose join is a merge of sorted shuffles whatever its size is taken for."""
+    return df.hint("merge")
+
+
 def label_frames(frames: DataFrame, ann: DataFrame, precedence: str = "longest", background: str = "background") -> DataFrame:
     """frames (video_id, agent_id, target_id, video_frame) with the action of the covering interval; the longest or the
     shortest one wins, then the later start, then the name. Intervals are exploded to frames, so that the join is on
@@ -126,12 +138,79 @@ def label_frames(frames: DataFrame, ann: DataFrame, precedence: str = "longest",
     if precedence not in ("longest", "shortest"):
         raise ValueError(precedence)
     d = frames_of(ann.withColumn("_len", F.col("stop_frame") - F.col("start_frame"))).select("video_id", "agent_id", F.col("target_id").alias("_target"), "video_frame", "action", "_len", "start_frame")
-    both = frames.join(d, ["video_id", "agent_id", "video_frame"], "left").withColumn("_fits", (F.col("_target") == F.col("target_id")) | (F.col("_target") == F.col("agent_id")))
+    both = unbroadcast(frames).join(unbroadcast(d), ["video_id", "agent_id", "video_frame"], "left").withColumn("_fits", (F.col("_target") == F.col("target_id")) | (F.col("_target") == F.col("agent_id")))
     size = F.col("_len") if precedence == "longest" else -F.col("_len")
     picked = F.max_by("action", F.when(F.col("_fits"), F.struct(size, F.col("start_frame"), F.col("action"))))
     return both.groupBy(*frames.columns).agg(F.coalesce(picked, F.lit(background)).alias("label"))
 
 
+def label_spells(spans: DataFrame, ann: DataFrame, precedence: str = "longest", background: str = "background") -> DataFrame:
+    """What label_frames says of the frames that spans (KEY, start_frame, stop_frame) cover, as spells of one label: KEY,
+    start_frame, stop_frame, label; spells of a key do not overlap. A sweep over the ends of an agent's intervals, so no
+    frame is materialised."""
+    if precedence not in ("longest", "shortest"):
+        raise ValueError(precedence)
+    sign = 1 if precedence == "longest" else -1
+    row = lambda df, action: df.where("stop_frame > start_frame").select(*KEY, F.col("start_frame").cast("long"), F.col("stop_frame").cast("long"), action.alias("action"), F.lit(df is spans).alias("asked"))
+    every = row(spans, F.lit(None).cast("string")).unionByName(row(ann, F.col("action")))
+
+    def spells(asked: list, known: list):
+        """start, stop, action of the frames in asked (start, stop); known: start, stop, order (the least wins), action."""
+        points = sorted({p for x in (asked, known) for r in x for p in r[:2]})
+        asked, known, heap, a, k, until = sorted(asked), sorted(known, key=lambda r: r[0]), [], 0, 0, None
+        for at, to in zip(points, points[1:]):
+            while a < len(asked) and asked[a][0] <= at:
+                until = asked[a][1] if until is None else max(until, asked[a][1])
+                a += 1
+            while k < len(known) and known[k][0] <= at:
+                heapq.heappush(heap, (known[k][2], known[k][1], known[k][3]))
+                k += 1
+            while heap and heap[0][1] <= at:
+                heapq.heappop(heap)
+            if until is not None and at < until:
+                yield at, to, heap[0][2] if heap else None
+
+    def of(batches):
+        for pdf in whole(batches, ["video_id", "agent_id"]):
+            names = sorted(pdf["action"].dropna().unique())
+            rank = {n: i for i, n in enumerate(names)}
+            new = changes(pdf, ["video_id", "agent_id"])
+            starts = [*np.flatnonzero(new), len(pdf)]
+            cols = [[None if x is None or x != x else x for x in pdf[c].tolist()] for c in (*KEY, "start_frame", "stop_frame", "action")]
+            is_asked = pdf["asked"].tolist()
+            out = []
+            for i, j in zip(starts, starts[1:]):
+                video, agent = cols[0][i], cols[1][i]
+                asked: dict = {}
+                known: dict = {}
+                for r in range(i, j):
+                    start, stop, action = cols[3][r], cols[4][r], cols[5][r]
+                    if is_asked[r]:
+                        asked.setdefault(cols[2][r], []).append((start, stop))
+                    elif video is not None and agent is not None and cols[2][r] is not None:
+                        known.setdefault(cols[2][r], []).append((start, stop, (-sign * (stop - start), -start, -rank.get(action, -1)), action))
+                for target, x in asked.items():
+                    near = known.get(agent, []) + (known.get(target, []) if target != agent else [])
+                    out += [(video, agent, target, *s) for s in spells(x, near)]
+            d = pd.DataFrame(out, columns=[*KEY, "start_frame", "stop_frame", "label"])
+            d["label"] = d["label"].where(d["label"].notna(), background)
+            yield d.astype({k: "Int64" for k in KEY}) if all(t in ("int", "bigint") for t in kinds) else d
+
+    kinds = [every.schema[k].dataType.simpleString() for k in KEY]
+    schema = ", ".join(f"{k} {t}" for k, t in zip(KEY, kinds)) + ", start_frame long, stop_frame long, label string"
+    return every.repartition("video_id", "agent_id").sortWithinPartitions("video_id", "agent_id").mapInPandas(of, schema)
+
+
+def covered(intervals: DataFrame, rows: DataFrame, keys: list[str], inclusive: bool = False, block: int = 64) -> DataFrame:
+    """intervals joined with the rows (keys, video_frame and more) of the frames that they cover. Both meet by keys and
+    blocks of frames, of which an interval has few: its frames are not materialised."""
+    last = F.col("stop_frame") - (0 if inclusive else 1)
+    number = lambda c: F.floor(c / block)
+    i = intervals.where(last >= F.col("start_frame")).withColumn("_block", F.explode(F.sequence(number(F.col("start_frame")), number(last))))
+    both = unbroadcast(i).join(rows.withColumn("_block", number(F.col("video_frame"))), [*keys, "_block"])
+    return both.where((F.col("video_frame") >= F.col("start_frame")) & (F.col("video_frame") <= last)).drop("_block")
+
+
 # ---- score -----------------------------------------------------------------------------------------------------------
 
 

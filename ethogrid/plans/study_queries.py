@@ -193,8 +193,8 @@ def ev_context_scales(spark, d):
 def ev_interval_depths(spark, d):
     """Implied depth of each annotated interval: mean, largest, deviation, median."""
     z = P.implied_depth(pose(spark, d), 100.0).select("video_id", F.col("mouse_id").alias("agent_id"), F.col("video_frame").cast("long").alias("video_frame"), "dz_sum")
-    f = I.frames_of(_clean(spark, d), inclusive=True)
-    g = f.join(z, ["video_id", "agent_id", "video_frame"]).groupBy("event_id").agg(F.avg("dz_sum").alias("mean"), F.max("dz_sum").alias("most"), F.stddev_pop("dz_sum").alias("std"), F.percentile("dz_sum", F.lit(0.5)).alias("median"))
+    f = I.covered(_clean(spark, d), z, ["video_id", "agent_id"], inclusive=True)
+    g = f.groupBy("event_id").agg(F.avg("dz_sum").alias("mean"), F.max("dz_sum").alias("most"), F.stddev_pop("dz_sum").alias("std"), F.percentile("dz_sum", F.lit(0.5)).alias("median"))
     return _r6(g)
 
 
