@@ -84,10 +84,15 @@ def iv_robustify(spark, d):
     return I.robustify(ann(spark, d))
 
 
+def _labelled(spark, d, precedence):
+    """Frames by label, and the sum of their numbers."""
+    x = I.label_spells(_clean(spark, d), ann(spark, d), precedence).withColumn("_n", F.col("stop_frame") - F.col("start_frame"))
+    numbers = ((F.col("start_frame") + F.col("stop_frame") - 1) * F.col("_n") / 2).cast("long")
+    return x.groupBy("label").agg(F.sum("_n").alias("n"), F.sum(numbers).alias("s"))
+
+
 def iv_label_longest(spark, d):
-    a = _clean(spark, d)
-    frames = I.frames_of(a).select(*I.KEY, "video_frame").distinct()
-    return I.label_frames(frames, ann(spark, d).where("stop_frame > start_frame"), "longest").groupBy("label").agg(F.count("*").alias("n"), F.sum("video_frame").alias("s"))
+    return _labelled(spark, d, "longest")
 
 
 def iv_label_shortest(spark, d):
