@@ -96,9 +96,7 @@ def iv_label_longest(spark, d):
 
 
 def iv_label_shortest(spark, d):
-    a = _clean(spark, d)
-    frames = I.frames_of(a).select(*I.KEY, "video_frame").distinct()
-    return I.label_frames(frames, ann(spark, d).where("stop_frame > start_frame"), "shortest").groupBy("label").agg(F.count("*").alias("n"), F.sum("video_frame").alias("s"))
+    return _labelled(spark, d, "shortest")
 
 
 def _label_sql(order: str) -> str:
