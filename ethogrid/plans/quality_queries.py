@@ -355,8 +355,8 @@ def st_bone_variance(spark, d):
 def st_dz_by_action(spark, d):
     """Implied depth during annotated frames: per interval, then per action."""
     z = P.implied_depth(pose(spark, d), 100.0).select("video_id", F.col("mouse_id").alias("agent_id"), F.col("video_frame").cast("long").alias("video_frame"), "dz_sum")
-    f = I.frames_of(_clean(spark, d), inclusive=True)
-    one = f.join(z, ["video_id", "agent_id", "video_frame"]).groupBy("action", "event_id").agg(F.avg("dz_sum").alias("mean"), F.max("dz_sum").alias("most"), F.count("*").alias("n"))
+    f = I.covered(_clean(spark, d), z, ["video_id", "agent_id"], inclusive=True)
+    one = f.groupBy("action", "event_id").agg(F.avg("dz_sum").alias("mean"), F.max("dz_sum").alias("most"), F.count("*").alias("n"))
     return _r6(one.groupBy("action").agg(F.avg("mean").alias("mean"), F.max("most").alias("most"), F.sum("n").alias("frames")))
 
 

@@ -60,7 +60,7 @@ def test_covered_is_the_join_of_frames(spark, inclusive):
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("name", ["iv_label_longest", "iv_label_shortest", "ev_interval_depths"])
+@pytest.mark.parametrize("name", ["iv_label_longest", "iv_label_shortest", "ev_interval_depths", "st_dz_by_action"])
 def test_no_frames_are_broadcast(spark, name):
     """Explosions are taken for as small as what is exploded: 0.1 GB of tables broke the driver."""
     plan = plan_of(entry.queries()[name](spark, DATA))
