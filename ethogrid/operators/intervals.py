@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import unbroadcast
 from .minimise import changes, whole
 
 KEY = ["video_id", "agent_id", "target_id"]
@@ -126,11 +127,6 @@ def frames_of(intervals: DataFrame, inclusive: bool = False, name: str = "video_
     return intervals.where(last >= F.col("start_frame")).withColumn(name, F.explode(F.sequence(F.col("start_frame"), last)))
 
 
-def unbroadcast(df: DataFrame) -> DataFrame:
-    """df, whose join is a merge of sorted shuffles whatever its size is taken for."""
-    return df.hint("merge")
-
-
 def label_frames(frames: DataFrame, ann: DataFrame, precedence: str = "longest", background: str = "background") -> DataFrame:
     """frames (video_id, agent_id, target_id, video_frame) with the action of the covering interval; the longest or the
     shortest one wins, then the later start, then the name. Intervals are exploded to frames, so that the join is on

@@ -6,7 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from ethogrid.functions import geometry as G
+from ethogrid.operators import correction as C
+from ethogrid.operators import identity as Id
 from ethogrid.operators import intervals as I
+from ethogrid.operators import repair as Re
+from ethogrid.sources.adapters import KEYPOINTS, XY
 
 DATA = "/root/testdata/sf0.001"
 ANN = "video_id long, agent_id int, target_id int, action string, start_frame long, stop_frame long"
@@ -71,3 +76,13 @@ def test_labels_are_not_broadcast(spark):
     spans = spark.createDataFrame(some(20, 1), ANN)
     frames = I.frames_of(spans).select(*I.KEY, "video_frame").distinct()
     assert "Broadcast" not in plan_of(I.label_frames(frames, spans))
+
+
+def test_flags_of_the_chain_are_not_broadcast(spark):
+    """A stored table of few values is far larger than its files: the chain's flags broke the driver at 0.1 GB."""
+    p = spark.createDataFrame([(1, m, t, *([float(t % 7), 1.0] * 7)) for m in (1, 2) for t in range(40)], "video_id long, mouse_id int, video_frame int, " + ", ".join(f"{c} double" for c in XY))
+    w = Re.weighted_points(p, {f"{a}→{b}": 1.0 for a, b in G.EDGES})
+    assert w.count() == 80 and "Broadcast" not in plan_of(w)
+    fixed = C.corrected_windows(w.withColumn("nose_w", F.when(F.col("video_frame") % 9 == 4, 0.1).otherwise(1.0)), KEYPOINTS, 10.0)
+    assert "Broadcast" not in plan_of(C.with_corrections(p, fixed, XY))
+    assert "Broadcast" not in plan_of(Id.exchanged(p, p.select("video_id", "video_frame", F.lit(1).alias("a"), F.lit(2).alias("b"), F.col("video_frame").alias("order"))))
