@@ -65,7 +65,7 @@ def sq_corrected(spark, d):
     p = P.without_zero_frames(pose(spark, d))
     c = S.corrected(p, KEYPOINTS, UNIT)
     refs = spark.createDataFrame([(f"{a}→{b}", n * UNIT) for (a, b), n in zip(G.EDGES, G.DEFAULT_LENGTHS)], "edge string, l_ref double")
-    v = [Q.violations(Q.edge_lengths(x), refs, 0.25).select("edge", F.col("violation_rate").alias(n)) for x, n in ((p, "before"), (c, "after"))]
+    v = [Q.violation_rate(Q.edge_lengths(x), refs, 0.25).withColumnRenamed("violation_rate", n) for x, n in ((p, "before"), (c, "after"))]
     return r4(v[0].join(v[1], "edge"))
 
 
