@@ -113,9 +113,10 @@ def adaptive_thresholds(residuals: DataFrame, k: float = 3.0, floor: float = 0.0
 def reestimated(lengths: DataFrame, refs: DataFrame, *by: str) -> DataFrame:
     """Per edge: median of the half that deviates least from its reference, and IQR / 1.35 of it, within [.02, .2]."""
     keys = [*by, "edge"]
-    d = lengths.where("length IS NOT NULL").join(refs.select("edge", "l_ref"), "edge").withColumn("dev", F.abs(F.col("length") - F.col("l_ref")))
+    d = lengths.where("length IS NOT NULL").join(F.broadcast(refs.select("edge", "l_ref")), "edge").withColumn("dev", F.abs(F.col("length") - F.col("l_ref")))  # one row an edge
     d = written(d.select(*keys, "length", "dev"), "lengths")
     half = exact_percentiles(d, ["dev"], (0.5,), *keys).select(*keys, F.get("v", F.lit(0)).alias("m"))
+    half = bounded_broadcast(written(half, "halves"))  # one row per group and edge
     q = exact_percentiles(d.join(half, keys).where("dev <= m"), ["length"], (0.25, 0.5, 0.75), *keys)
     spread = (F.get("v", F.lit(2)) - F.get("v", F.lit(0))) / 1.35 / F.get("v", F.lit(1))
     return q.select(*keys, F.get("v", F.lit(1)).alias("l_ref"), F.least(F.lit(0.2), F.greatest(F.lit(0.02), spread)).alias("sigma"))

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from ethogrid.functions import geometry as G
 from ethogrid.operators import correction as C
+from ethogrid.operators import frames as P
 from ethogrid.operators import identity as Id
 from ethogrid.operators import intervals as I
+from ethogrid.operators import quality as Q
 from ethogrid.operators import repair as Re
+from ethogrid.session import written
 from ethogrid.sources.adapters import KEYPOINTS, XY
 
 DATA = "/root/testdata/sf0.001"
@@ -86,3 +89,46 @@ def test_flags_of_the_chain_are_not_broadcast(spark):
     fixed = C.corrected_windows(w.withColumn("nose_w", F.when(F.col("video_frame") % 9 == 4, 0.1).otherwise(1.0)), KEYPOINTS, 10.0)
     assert "Broadcast" not in plan_of(C.with_corrections(p, fixed, XY))
     assert "Broadcast" not in plan_of(Id.exchanged(p, p.select("video_id", "video_frame", F.lit(1).alias("a"), F.lit(2).alias("b"), F.col("video_frame").alias("order"))))
+
+
+def exchanges(spark, name):
+    """Shuffles of rows by key in the query's plan, as run."""
+    done = plan_of(entry.queries()[name](spark, DATA)).split("== Initial Plan ==")[0]
+    return [x for x in done.split("\n") if "Exchange hashpartitioning" in x and "Reused" not in x]
+
+
+def test_long_to_wide_is_one_aggregate(spark):
+    """A pivot shuffled each keypoint's row, and then every column."""
+    by = exchanges(spark, "fr_long_to_wide")
+    assert len(by) == 2 and not any("bodypart" in x for x in by)  # the poses' own, and one by frame
+
+
+def test_wide_keeps_what_a_frame_lacks(spark):
+    long = spark.createDataFrame([(1, 1, 0, "nose", 1.0, None), (1, 1, 0, "neck", 2.0, 3.0), (1, 1, 1, "other", 9.0, 9.0)], "video_id long, mouse_id int, video_frame int, bodypart string, x double, y double")
+    got = sorted(tuple(r) for r in P.to_wide(long, ["nose", "neck"]).collect())
+    assert got == [(1, 1, 0, 1.0, None, 2.0, 3.0), (1, 1, 1, None, None, None, None)]
+
+
+def test_relations_are_dealt_by_video_once(spark):
+    """The join of both mice and the windows of a pair shuffled all columns three times."""
+    by = exchanges(spark, "fr_relations")
+    assert len(by) == 2
+
+
+def test_aligned_pairs_are_those_of_a_join(spark):
+    rows = [(v, m, t, float((v or 0) + 10 * m + 100 * (t or 0))) for v in (1, 2, None) for m in (1, 2, 3) for t in (0, 1, 2, None) if (m, t) != (2, 1)]
+    df = spark.createDataFrame([*rows, (1, 1, 0, 7.0)], "video_id long, mouse_id int, video_frame int, x double")
+    one = lambda n, c: df.select("video_id", "video_frame", F.col("mouse_id").alias(n), F.col("x").alias(c))
+    want = one("agent", "a_x").join(one("target", "b_x"), ["video_id", "video_frame"]).where("agent <> target")
+    got = P.aligned(df)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_references_are_broadcast_to_lengths(spark, monkeypatch):
+    """A few edges are never a reason to shuffle every length by its edge."""
+    seen = []
+    monkeypatch.setattr(Q, "written", lambda df, name: (seen.append((name, plan_of(df))), written(df, name))[1])
+    entry.queries()["ql_reestimated"](spark, DATA)
+    plan = dict(seen)["lengths"].split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(edge" not in plan
