@@ -21,9 +21,10 @@ def by_mouse(frame: str = "video_frame"):
 
 
 def to_wide(long: DataFrame, keypoints: list[str] = KEYPOINTS) -> DataFrame:
-    """One row per frame and mouse; the pivot's values are given, so that no job looks for them."""
-    wide = long.groupBy(*MOUSE, "video_frame").pivot("bodypart", keypoints).agg(F.first("x").alias("x"), F.first("y").alias("y"))
-    return wide.select(*MOUSE, "video_frame", *[F.col(f"{k}_{a}") for k in keypoints for a in "xy"])
+    """One row per frame and mouse, by one aggregate with a condition per column: a pivot shuffles every keypoint's row, and all
+    columns a second time."""
+    value = lambda k, a: F.first(F.when(F.col("bodypart") == k, F.col(a)), ignorenulls=True).alias(f"{k}_{a}")
+    return long.groupBy(*MOUSE, "video_frame").agg(*[value(k, a) for k in keypoints for a in "xy"])
 
 
 def without_zero_frames(wide: DataFrame, keypoints: list[str] = KEYPOINTS) -> DataFrame:
