@@ -131,11 +131,14 @@ def paired(wide: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def aligned(wide: DataFrame) -> DataFrame:
-    """Frames that both mice of an ordered pair have: a_* and b_* columns."""
+    """Frames that both mice of an ordered pair have: a_* and b_* columns. Rows are dealt by video once; a frame's mice then meet
+    within a task, and windows over a pair need no other shuffle."""
     keep = [c for c in wide.columns if c not in (*MOUSE, "video_frame")]
-    a = wide.select("video_id", "video_frame", F.col("mouse_id").alias("agent"), *[F.col(c).alias(f"a_{c}") for c in keep])
-    b = wide.select("video_id", "video_frame", F.col("mouse_id").alias("target"), *[F.col(c).alias(f"b_{c}") for c in keep])
-    return a.join(b, ["video_id", "video_frame"]).where("agent <> target")
+    known = wide.where("video_id IS NOT NULL AND video_frame IS NOT NULL").select(*MOUSE, "video_frame", *keep).repartition("video_id")
+    frames = known.groupBy("video_id", "video_frame").agg(F.collect_list(F.struct("mouse_id", *keep)).alias("_all"))
+    pairs = frames.select("video_id", "video_frame", "_all", F.explode("_all").alias("_a")).select("video_id", "video_frame", "_a", F.explode("_all").alias("_b"))
+    side = lambda s, name: [F.col(f"_{s}.mouse_id").alias(name), *[F.col(f"_{s}")[c].alias(f"{s}_{c}") for c in keep]]
+    return pairs.where("_a.mouse_id <> _b.mouse_id").select("video_id", "video_frame", *side("a", "agent"), *side("b", "target"))
 
 
 def relations(wide: DataFrame, keypoints: list[str] = KEYPOINTS) -> DataFrame:
