@@ -14,18 +14,30 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..session import written
 from .frames import MOUSE, by_mouse, paired
-from .motion import recovery
+from .motion import recovered, recovery
 from .sequence import welch
 from .stats import ks_statistic
 
 Change = Callable[[DataFrame], DataFrame]
 
 
-def recovery_grid(clean: DataFrame, corruptions: dict[str, Change], repairs: dict[str, Change], keypoints: list[str], number: str = "video_id") -> DataFrame:
+def recovery_grid(clean: DataFrame, corruptions: dict[str, Change], repairs: dict[str, Change], keypoints: list[str], number: str = "video_id", columns: list[str] | None = None, in_rows: bool = False) -> DataFrame:
     """corruption, repair, keypoint, before, after, recovered (see recovery) of every pair. All corruptions are one table,
     in which a video has a number for each of them, so a repair runs once over everything and no job is made per pair.
-    Repairs work within videos; `number` is an integer."""
+    Repairs work within videos; `number` is an integer. columns: the coordinates that repairs read, if not all. in_rows: repairs
+    change values of the keypoints only, and no row's key, so that clean and corrupt places travel in the row and nothing is
+    joined."""
     kinds = list(corruptions)
+    keys, cols = [*MOUSE, "video_frame"], [f"{k}_{a}" for k in keypoints for a in "xy"]
+    if in_rows:
+        kept = [c for c in clean.columns if c in keys or columns is None or c in columns]
+        known = clean.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).withColumns({f"_t_{c}": F.col(c) for c in cols})
+        every = [corruptions[k](known).select(*kept, *[f"_t_{c}" for c in cols]) for k in kinds]
+        every = [d.withColumn(number, F.col(number).cast("long") * len(kinds) + i) for i, d in enumerate(every)]
+        spoiled = written(reduce(DataFrame.unionByName, every), "spoiled").withColumns({f"_c_{c}": F.col(c) for c in cols})
+        name = F.get(F.array(*map(F.lit, kinds)), F.pmod(F.col(number), F.lit(len(kinds))).cast("int")).alias("corruption")
+        each = lambda d: d.select(name, *[F.col(p + c).alias(to + c) for p, to in (("_t_", ""), ("_c_", "c_"), ("", "r_")) for c in cols])
+        return reduce(DataFrame.unionByName, [recovered(each(fix(spoiled)), keypoints, "corruption").withColumn("repair", F.lit(n)) for n, fix in repairs.items()])
     as_kind = lambda df, k: df.withColumn(number, F.col(number).cast("long") * len(kinds) + k)
     spoiled = written(reduce(DataFrame.unionByName, [as_kind(corruptions[k](clean).select(clean.columns), i) for i, k in enumerate(kinds)]), "spoiled")
     truth = as_kind(clean.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(len(kinds) - 1)))), F.col("_k"))

@@ -122,6 +122,11 @@ def recovery(clean: DataFrame, corrupt: DataFrame, repaired: DataFrame, keypoint
     j = clean.select(*keys, *[c for c in by if c not in keys], *cols)
     for df, n in ((corrupt, "c"), (repaired, "r")):
         j = j.join(df.select(*keys, *[F.col(c).alias(f"{n}_{c}") for c in cols]), keys)
+    return recovered(j, keypoints, *by)
+
+
+def recovered(j: DataFrame, keypoints: list[str], *by: str) -> DataFrame:
+    """recovery of rows that hold a keypoint's clean places (<keypoint>_x), corrupt (c_<keypoint>_x) and repaired ones (r_)."""
     parts = F.array(*[F.struct(F.lit(k).alias("keypoint"), *[G.distance(f"{k}_x", f"{k}_y", f"{n}_{k}_x", f"{n}_{k}_y").alias(n) for n in "cr"]) for k in keypoints])
     d = j.select(*by, F.inline(parts))
     rms = lambda c: F.sqrt(F.avg(F.col(c) * F.col(c)))

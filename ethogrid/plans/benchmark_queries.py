@@ -32,7 +32,7 @@ def _over(name: str):
 def bk_recovery(spark, d):
     """Three corruptions of noses against medians and means of five frames."""
     p = pose(spark, d).select("video_id", "mouse_id", "video_frame", *XY)
-    return r4(B.recovery_grid(p, CORRUPTIONS, {n: _over(n) for n in ("median", "mean")}, ["nose"]), 6)
+    return r4(B.recovery_grid(p, CORRUPTIONS, {n: _over(n) for n in ("median", "mean")}, ["nose"], columns=["nose_x", "nose_y"], in_rows=True), 6)
 
 
 def bk_swap_recovery(spark, d):

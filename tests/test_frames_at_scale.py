@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ethogrid.functions import geometry as G
+from ethogrid.operators import benchmarks as B
 from ethogrid.operators import correction as C
 from ethogrid.operators import frames as P
 from ethogrid.operators import identity as Id
 from ethogrid.operators import intervals as I
 from ethogrid.operators import quality as Q
 from ethogrid.operators import repair as Re
+from ethogrid.plans import benchmark_queries as BQ
+from ethogrid.plans.frame_queries import r4
 from ethogrid.session import written
 from ethogrid.sources.adapters import KEYPOINTS, XY
 
@@ -132,3 +135,17 @@ def test_references_are_broadcast_to_lengths(spark, monkeypatch):
     entry.queries()["ql_reestimated"](spark, DATA)
     plan = dict(seen)["lengths"].split("== Initial Plan ==")[0]
     assert "BroadcastHashJoin" in plan and "hashpartitioning(edge" not in plan
+
+
+def test_places_that_travel_in_rows_are_those_joined(spark):
+    rows = [(v, m, t, *[float((7 * t + 3 * i + m) % 11) if (t, i) != (4, 0) else None for i in range(14)]) for v in (1, 2) for m in (1, 2) for t in range(60)]
+    df = spark.createDataFrame(rows, "video_id long, mouse_id int, video_frame int, " + ", ".join(f"{c} double" for c in XY))
+    repairs = {n: BQ._over(n) for n in ("median", "mean")}
+    got, want = (sorted(map(tuple, r4(B.recovery_grid(df, BQ.CORRUPTIONS, repairs, ["nose"], **how), 6).select("corruption", "repair", "keypoint", "before", "after", "recovered").collect())) for how in ({"columns": ["nose_x", "nose_y"], "in_rows": True}, {}))
+    assert got == want and len(got) == 6
+
+
+def test_recovery_joins_nothing(spark):
+    """Clean, corrupt and repaired frames were three tables, joined for each repair: 21 times the tables on disk."""
+    plan = plan_of(entry.queries()["bk_recovery"](spark, DATA))
+    assert "Join" not in plan
