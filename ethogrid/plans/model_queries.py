@@ -17,7 +17,7 @@ from ..operators import models as M
 from ..operators import quality as Q
 from ..operators import sequence as S
 from ..operators import windows as Wn
-from ..session import shared_folder, written
+from ..session import shared_folder, unbroadcast, written
 from ..sources.adapters import KEYPOINTS, POSE_SQL, PROBA_SQL, ann, pose, proba, proba_long
 from ..streaming import online
 from .frame_queries import r4, rs
@@ -79,11 +79,19 @@ def _windows(spark, d):
     p = pose(spark, d).select("video_id", "mouse_id", "video_frame", "nose_x", "nose_y", "tail_base_x")
     keys = ["video_id", "mouse_id", "win"]
     s = Wn.statistics(Wn.members(p, ["video_id", "mouse_id"], 32, 32), keys, ["nose_x", "nose_y", "tail_base_x"])
-    f = I.frames_of(ann(spark, d).where("stop_frame > start_frame")).where("video_frame >= 0")
-    f = f.select("video_id", F.col("agent_id").alias("mouse_id"), F.floor(F.col("video_frame") / 32).alias("win"), (F.col("agent_id") == F.col("target_id")).alias("own"))
-    n = f.groupBy(*keys).agg(F.count_if("own").alias("_own"), F.count_if(~F.col("own")).alias("_other"))
+    n = _frames_by_window(ann(spark, d), 32)
     y = F.when(F.col("_own") > F.col("_other"), 2.0).when(F.col("_other") > 0, 1.0).otherwise(0.0)
-    return s.join(n, keys, "left").withColumn("y", y).drop("_own", "_other").withColumn("fold", (F.col("video_id") % 3).cast("int"))
+    return s.join(unbroadcast(n), keys, "left").withColumn("y", y).drop("_own", "_other").withColumn("fold", (F.col("video_id") % 3).cast("int"))
+
+
+def _frames_by_window(a, size):
+    """video_id, mouse_id, win, and the frames from 0 on that intervals towards the mouse itself (_own) and another one
+    (_other) cover in it, counted from the intervals' ends."""
+    a = a.withColumn("start_frame", F.greatest("start_frame", F.lit(0).cast("long"))).where("stop_frame > start_frame")
+    a = a.withColumn("win", F.explode(F.sequence(F.floor(F.col("start_frame") / size), F.floor((F.col("stop_frame") - 1) / size))))
+    n = F.least(F.col("stop_frame"), (F.col("win") + 1) * size) - F.greatest(F.col("start_frame"), F.col("win") * size)
+    own = F.col("agent_id") == F.col("target_id")
+    return a.groupBy("video_id", F.col("agent_id").alias("mouse_id"), "win").agg(F.sum(F.when(own, n).otherwise(0)).alias("_own"), F.sum(F.when(~own, n).otherwise(0)).alias("_other"))
 
 
 COLUMNS = ["nose_x_mean", "nose_x_std", "nose_y_mean", "nose_y_std", "tail_base_x_mean", "tail_base_x_iqr"]
@@ -91,7 +99,7 @@ COLUMNS = ["nose_x_mean", "nose_x_std", "nose_y_mean", "nose_y_std", "tail_base_
 
 def _features(spark, d):
     """Vectors; gaps get the means of the folds 1 and 2."""
-    w = _windows(spark, d)
+    w = written(_windows(spark, d), "windows")  # a forest reads them many times
     return M.assembled(w, COLUMNS, train=w.where("fold <> 0"))
 
 

@@ -15,6 +15,7 @@ from ethogrid.operators import intervals as I
 from ethogrid.operators import quality as Q
 from ethogrid.operators import repair as Re
 from ethogrid.plans import benchmark_queries as BQ
+from ethogrid.plans import model_queries as MQ
 from ethogrid.plans.frame_queries import r4
 from ethogrid.session import written
 from ethogrid.sources.adapters import KEYPOINTS, XY
@@ -149,3 +150,19 @@ def test_recovery_joins_nothing(spark):
     """Clean, corrupt and repaired frames were three tables, joined for each repair: 21 times the tables on disk."""
     plan = plan_of(entry.queries()["bk_recovery"](spark, DATA))
     assert "Join" not in plan
+
+
+def test_frames_by_window_from_ends(spark):
+    a = spark.createDataFrame([r for r in some(80, 4) if r[5] > r[4]] + [(1, 1, 2, "u", -9, 0), (1, 1, None, "u", 3, 90)], ANN)
+    f = I.frames_of(a).where("video_frame >= 0").select("video_id", F.col("agent_id").alias("mouse_id"), F.floor(F.col("video_frame") / 8).alias("win"), (F.col("agent_id") == F.col("target_id")).alias("own"))
+    want = f.groupBy("video_id", "mouse_id", "win").agg(F.count_if("own").alias("_own"), F.count_if(~F.col("own")).alias("_other"))
+    assert sorted(map(tuple, MQ._frames_by_window(a, 8).collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["ml_bundle"])
+def test_windows_are_made_once(spark, monkeypatch, name):
+    """A fit reads its rows a dozen times; each time the poses were shuffled again, and classes were broadcast."""
+    seen = []
+    monkeypatch.setattr(MQ, "written", lambda df, n: (seen.append((n, plan_of(df))), written(df, n))[1])
+    entry.queries()[name](spark, DATA).count()
+    assert [n for n, _ in seen] == ["windows"] and "Broadcast" not in seen[0][1]
