@@ -148,7 +148,7 @@ def ml_importances(spark, d):
 
 
 def ml_permuted(spark, d):
-    return r4(M.permuted_importances(_windows(spark, d), COLUMNS, F.col("fold") == 0, M.forest(5, 4)), 6)
+    return r4(M.permuted_importances(written(_windows(spark, d), "windows"), COLUMNS, F.col("fold") == 0, M.forest(5, 4)), 6)
 
 
 def ml_resampled(spark, d):

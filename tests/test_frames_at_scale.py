@@ -159,7 +159,7 @@ def test_frames_by_window_from_ends(spark):
     assert sorted(map(tuple, MQ._frames_by_window(a, 8).collect())) == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("name", ["ml_bundle"])
+@pytest.mark.parametrize("name", ["ml_bundle", "ml_permuted"])
 def test_windows_are_made_once(spark, monkeypatch, name):
     """A fit reads its rows a dozen times; each time the poses were shuffled again, and classes were broadcast."""
     seen = []
